@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .admission import lookup
 from .names import key_words, uninvert_name
 from .numeric import col
 
@@ -88,9 +89,7 @@ def image_score(url, alt, page_type, page_url, width, height, prominence) -> Col
     w, h = F.coalesce(col(width), F.lit(0)), F.coalesce(col(height), F.lit(0))
     sized = (w > 0) & (h > 0)
     reject = is_bad_url(url) | (sized & ((w < MIN_WIDTH) | (h < MIN_HEIGHT) | (h > w * 1.15)))
-    base = F.lit(1.0)
-    for name, score in PAGE_SCORES.items():
-        base = F.when(col(page_type) == name, score).otherwise(base)
+    base = lookup(col(page_type), PAGE_SCORES, 1.0)
     shown = F.coalesce(col(prominence), F.lit(0))
     lead = F.when(shown > 0, F.least(shown * 0.5, F.lit(4.0))).otherwise(0.0)
     area = F.when(sized, F.least(w.cast("double") * h / 1500000.0, F.lit(2.5))).otherwise(0.0)
@@ -140,10 +139,7 @@ def keyword_score(text: Column, plus: list[str], minus: list[str], gain: int = 6
 
 
 def _page_points(page_type, table: dict[str, int], default: int = 0) -> Column:
-    out = F.lit(default)
-    for name, pts in table.items():
-        out = F.when(col(page_type) == name, pts).otherwise(out)
-    return out
+    return lookup(col(page_type), table, default)
 
 
 def slot_score(slot: str, text: Column, page_type, from_og, page_url=None) -> Column:

@@ -83,10 +83,11 @@ def a_tier_label(score) -> Column:
 
 def strength_label(tier_short, adj_tier) -> Column:
     """Program strength in words; without a tier the swim tier stands in."""
-    out = col(adj_tier)
+    out = None
     for code, label in STRENGTH_LABELS.items():
-        out = F.when(col(tier_short) == code, label).otherwise(out)
-    return out
+        cond = col(tier_short) == code
+        out = F.when(cond, label) if out is None else out.when(cond, label)
+    return out.otherwise(col(adj_tier))
 
 
 def derived_fifth(first, eighth) -> Column:

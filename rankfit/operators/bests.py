@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.admission import lookup
 from ..functions.numeric import col, round_to, to_double
 from ..functions.times import is_placeholder_time
 
@@ -26,10 +27,11 @@ MAX_DROP = {
 
 def event_of(distance, stroke) -> Column:
     """Event label of a distance and stroke code; null when not supported."""
-    out = F.lit(None).cast("string")
+    out = None
     for code, (name, dists) in EVENT_CODES.items():
-        out = F.when((col(stroke) == code) & col(distance).isin(dists),
-                     F.concat(col(distance).cast("string"), F.lit(f" {name}"))).otherwise(out)
+        cond = (col(stroke) == code) & col(distance).isin(dists)
+        label = F.concat(col(distance).cast("string"), F.lit(f" {name}"))
+        out = F.when(cond, label) if out is None else out.when(cond, label)
     return out
 
 
@@ -55,10 +57,7 @@ def first_nonnull(raw: DataFrame, key: str = "swimmer_id", flag: str = "eventgen
 
 
 def max_drop(event) -> Column:
-    out = F.lit(None).cast("double")
-    for name, cap in MAX_DROP.items():
-        out = F.when(col(event) == name, cap).otherwise(out)
-    return out
+    return lookup(col(event), MAX_DROP)
 
 
 def seed_pr_filter(raw: DataFrame) -> DataFrame:

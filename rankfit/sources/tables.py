@@ -135,10 +135,9 @@ def file_metadata(name) -> Column:
 def bundle_key(files: DataFrame, name: str = "file_name") -> DataFrame:
     """Files with their metadata, conference and bundle id (conference slug and year)."""
     d = files.withColumn("_m", file_metadata(name))
-    d = d.withColumn("conference", detect_conference(name, "_m.conference_hint"))
+    d = d.withColumn("conference", detect_conference(name, "_m.conference_hint")).select(*files.columns, "_m.*", "conference")
     slug = F.regexp_replace(F.lower("conference"), "[^a-z0-9]", "")
-    year = F.coalesce("_m.year", F.lit("unknown"))
-    return d.select(*files.columns, "_m.*", "conference").withColumn("bundle_id", F.concat_ws("_", slug, year))
+    return d.withColumn("bundle_id", F.concat_ws("_", slug, F.coalesce("year", F.lit("unknown"))))
 
 
 def group_filter(rows: DataFrame, wanted: list[str], key: str = "bundle_id") -> DataFrame:
