@@ -51,11 +51,10 @@ def _no(c: Column) -> Column:
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """Map a column through a short fixed table."""
-    out = None
-    for k, v in table.items():
-        out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
-    return out.otherwise(F.lit(default))
+    """Map a column through a fixed table. The key is evaluated once, whatever the table's size."""
+    entries = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    found = F.try_element_at(entries, key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def selectivity_tier(accept_pct, sat_median) -> Column:

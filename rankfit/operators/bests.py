@@ -27,12 +27,8 @@ MAX_DROP = {
 
 def event_of(distance, stroke) -> Column:
     """Event label of a distance and stroke code; null when not supported."""
-    out = None
-    for code, (name, dists) in EVENT_CODES.items():
-        cond = (col(stroke) == code) & col(distance).isin(dists)
-        label = F.concat(col(distance).cast("string"), F.lit(f" {name}"))
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out
+    table = {f"{d}|{code}": f"{d} {name}" for code, (name, dists) in EVENT_CODES.items() for d in dists}
+    return lookup(F.concat_ws("|", col(distance).cast("string"), col(stroke)), table)
 
 
 def legal_yards(raw: DataFrame) -> DataFrame:
@@ -52,7 +48,7 @@ def first_nonnull(raw: DataFrame, key: str = "swimmer_id", flag: str = "eventgen
     """First M or F flag per participant in input order."""
     code = F.upper(F.trim(F.col(flag)))
     d = raw.filter(code.isin("M", "F"))
-    first = F.min_by(code, F.col(order))
+    first = F.min_by(code, F.struct(F.col(order), code))
     return d.groupBy(key).agg(F.when(first == "M", "men").otherwise("women").alias("gender"))
 
 

@@ -162,7 +162,7 @@ def source_coverage(rows: DataFrame, pages: DataFrame, keys: Sequence[str] = ("b
     got = rows.groupBy(*keys).agg(
         F.count("*").alias("rows_captured"),
         F.array_join(F.array_sort(F.collect_set("gender")), "|").alias("genders_found"),
-        F.min_by("source", F.struct("gender", "rank")).alias("selected_source"),
+        F.min_by("source", F.struct("gender", "rank", "source")).alias("selected_source"),
     )
     d = pages.groupBy(*keys).agg(F.sum("pages_scanned").alias("candidate_pages_scanned"),
                                  F.max("section_found").alias("_heading")).join(got, keys, "left")

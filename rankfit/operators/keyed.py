@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 CHUNK = 65536
 
 
@@ -73,50 +75,62 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: Column,
     return out.withColumn(name, F.col("_run") + F.col("_start")).select(*df.columns, name)
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values per key with their counts in `_n`, materialised: later passes read this short table only."""
+    w = F.col(weight) if weight else F.lit(1)
+    return cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(w).cast("bigint").alias("_n")))
+
+
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None, buckets: int = 4096
+    counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 4096, small: int = 2_000_000
 ) -> DataFrame:
-    """Per key: count `n` and, for each named probability, the two neighbouring order statistics and the
-    fraction between them as `<name>_lo`, `<name>_hi`, `<name>_f`.
+    """Per key of a `value_counts` table: total `n` and, for each named probability, the two neighbouring order
+    statistics and the fraction between them as `<name>_lo`, `<name>_hi`, `<name>_f`.
 
-    Distinct values are counted first (partial aggregation), then placed in equal-width buckets; only the
-    buckets that hold a wanted rank are ordered. Exact for any distribution.
+    A short table is ranked with one window per key. A long one goes through an equal-width histogram per key, and only
+    the buckets that hold a wanted rank are ordered, so no task sorts a whole group. Both are exact.
     """
-    w = F.col(weight) if weight else F.lit(1)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(w).cast("bigint").alias("_n"))
-    spans = counts.groupBy(*keys).agg(
-        F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_n").alias("n")
-    )
+    keys = list(keys)
+    ranked = _ranked_values(counts, keys, value) if counts.count() <= small else _ranked_buckets(counts, keys, value, probs, buckets)
+    picks = []
+    for c, r in _wanted_ranks(probs).items():
+        here = (F.col("_hi_rank") - F.col("_n") <= r) & (r < F.col("_hi_rank"))
+        picks.append(F.max(F.when(here, F.col(value))).alias(c))
+    out = ranked.groupBy(*keys, "n").agg(*picks)
+    pos = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in probs.items()}
+    return out.withColumns({f"{name}_f": x - F.floor(x) for name, x in pos.items()})
+
+
+def _wanted_ranks(probs: dict[str, float]) -> dict[str, Column]:
+    out = {}
+    for name, p in probs.items():
+        low = F.floor(F.lit(float(p)) * (F.col("n") - 1))
+        out[f"{name}_lo"], out[f"{name}_hi"] = low, F.least(low + 1, F.col("n") - 1)
+    return out
+
+
+def _ranked_values(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(value)
+    return counts.withColumns({
+        "_hi_rank": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "n": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+
+
+def _ranked_buckets(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int) -> DataFrame:
+    spans = counts.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_n").alias("n"))
     scaled = F.try_divide(F.col(value) - F.col("_min"), F.col("_max") - F.col("_min")) * buckets
-    placed = counts.join(spans, list(keys)).withColumn(
-        "_b", F.least(F.lit(buckets - 1), F.floor(F.coalesce(scaled, F.lit(0.0))).cast("int"))
-    )
+    placed = counts.join(spans, keys).withColumn(
+        "_b", F.least(F.lit(buckets - 1), F.floor(F.coalesce(scaled, F.lit(0.0))).cast("int")))
     hist = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"), F.first("n").alias("n"))
     run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_end", F.sum("_bn").over(run)).withColumn("_start", F.col("_end") - F.col("_bn"))
-    ranks = {}
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        ranks[f"{name}_lo"] = F.floor(pos)
-        ranks[f"{name}_hi"] = F.least(F.floor(pos) + 1, F.col("n") - 1)
     holds = F.lit(False)
-    for r in ranks.values():
+    for r in _wanted_ranks(probs).values():
         holds = holds | ((F.col("_start") <= r) & (r < F.col("_end")))
     wanted = hist.filter(holds).select(*keys, "_b", "_start")
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        placed.join(wanted, [*keys, "_b"])
-        .withColumn("_hi_rank", F.col("_start") + F.sum("_n").over(inside))
-        .withColumn("_lo_rank", F.col("_hi_rank") - F.col("_n"))
-    )
-    picks = [
-        F.max(F.when((F.col("_lo_rank") <= r) & (r < F.col("_hi_rank")), F.col(value))).alias(c)
-        for c, r in ranks.items()
-    ]
-    out = rows.groupBy(*keys, "n").agg(*picks)
-    return out.withColumns(
-        {f"{name}_f": F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)) for name, p in probs.items()}
-    )
+    return placed.join(wanted, [*keys, "_b"]).withColumn("_hi_rank", F.col("_start") + F.sum("_n").over(inside))
 
 
 def interpolated(name: str, lo: Column | None = None, hi: Column | None = None) -> Column:
@@ -130,5 +144,5 @@ def interpolated(name: str, lo: Column | None = None, hi: Column | None = None)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
-    stats = order_statistics(df, keys, value, probs, weight)
+    stats = order_statistics(value_counts(df, keys, value, weight), keys, value, probs)
     return stats.select(*keys, "n", *[interpolated(name).alias(name) for name in probs])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import round_to
-from ..session import small_side
-from .keyed import interpolated, order_statistics
+from ..session import cut_lineage, small_side
+from .keyed import interpolated, order_statistics, value_counts
 
 METRICS = ("sw", "deep", "spread", "shape")
 STATS = ("n", "median", "mad", "p05", "p25", "p75", "p95")
@@ -52,14 +52,16 @@ def robust_profile(rows: DataFrame, sw: str = "sw", deep: str = "deep", min_n: i
     # NaN and infinity compare as largest, so one bound removes both
     long = long.filter((F.col("v") > 0) & (F.col("v") < F.lit(float("inf"))))
     mkeys = [*keys, "metric"]
-    raw = order_statistics(long, mkeys, "v", PROBS).filter(F.col("n") >= min_n)
+    counts = value_counts(long, mkeys, "v")
+    raw = order_statistics(counts, mkeys, "v", PROBS).filter(F.col("n") >= min_n)
     bounds = raw.withColumns({"_lo": interpolated("p05"), "_hi": interpolated("p95")})
-    stats = bounds.select(
-        *mkeys, "n", "_lo", "_hi", *[interpolated(p, F.col("_lo"), F.col("_hi")).alias(p) for p in PROBS])
+    stats = cut_lineage(bounds.select(
+        *mkeys, "n", "_lo", "_hi", *[interpolated(p, F.col("_lo"), F.col("_hi")).alias(p) for p in PROBS]))
     clipped = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col("v")))
-    dev = long.join(stats.select(*mkeys, "_lo", "_hi", "median"), mkeys).withColumn(
+    dev = counts.join(stats.select(*mkeys, "_lo", "_hi", "median"), mkeys).withColumn(
         "_dev", F.abs(clipped - F.col("median")))
-    mad = order_statistics(dev, mkeys, "_dev", {"mad": 0.5}).select(*mkeys, interpolated("mad").alias("mad"))
+    mad = order_statistics(value_counts(dev, mkeys, "_dev", "_n"), mkeys, "_dev", {"mad": 0.5}).select(
+        *mkeys, interpolated("mad").alias("mad"))
     full = stats.join(mad, mkeys)
     wide = full.groupBy(*keys).agg(*[
         F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in METRICS for s in STATS])
