@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import NAME_STOP, PREFIX_STOP, norm_key, norm_name, norm_query, tokens
+from ..session import cut_lineage
 from .keyed import first_per_key, top_k_per_key, with_group_stats
 
 GRAM = 4
@@ -108,20 +109,27 @@ def grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))))
 
 
-def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: str, n: int = GRAM) -> DataFrame:
-    """Pairs where the needle occurs inside the hay text. Needles shorter than n never match.
+def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: str, min_length: int = GRAM) -> DataFrame:
+    """Pairs where the needle, of at least `min_length` characters, occurs inside the hay text.
 
-    A needle is looked up by its rarest gram only; a needle with a gram no hay text holds is dropped.
+    A needle of four or more characters is looked up by its rarest four-gram only, and dropped at once when one of its
+    grams is in no hay text. A shorter needle is itself a gram of its length.
     """
-    hays = haystack.select(F.col(hay)).distinct().filter(F.length(hay) >= n)
-    posting = hays.select(hay, F.explode(grams(F.col(hay), n)).alias("_gram"))
+    need = needles.select(F.col(needle)).distinct().filter(F.length(needle) >= min_length)
+    hays = haystack.select(F.col(hay)).distinct()
+    posting = hays.filter(F.length(hay) >= GRAM).select(hay, F.explode(grams(F.col(hay), GRAM)).alias("_gram"))
     df = posting.groupBy("_gram").agg(F.count("*").alias("_df"))
-    need = needles.select(F.col(needle)).distinct().filter(F.length(needle) >= n)
-    parts = need.select(needle, F.size(grams(F.col(needle), n)).alias("_all"), F.explode(grams(F.col(needle), n)).alias("_gram"))
+    long = need.filter(F.length(needle) >= GRAM).withColumn("_grams", grams(F.col(needle), GRAM))
+    parts = long.select(needle, F.size("_grams").alias("_all"), F.explode("_grams").alias("_gram"))
     rare = parts.join(df, "_gram").groupBy(needle, "_all").agg(
         F.min_by("_gram", F.struct("_df", "_gram")).alias("_gram"), F.count("*").alias("_known"))
     rare = rare.filter(F.col("_known") == F.col("_all")).select(needle, "_gram")
-    return rare.join(posting, "_gram").filter(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
+    out = rare.join(posting, "_gram").filter(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
+    for n in range(min_length, GRAM):
+        short = need.filter(F.length(needle) == n)
+        inside = hays.filter(F.length(hay) >= n).select(hay, F.explode(grams(F.col(hay), n)).alias(needle))
+        out = out.unionByName(short.join(inside, needle).select(needle, hay))
+    return out
 
 
 def prefix_token_pairs(queries: DataFrame, query: str, names: DataFrame, name: str) -> DataFrame:
@@ -230,9 +238,10 @@ def resolve_entities(queries: DataFrame, names: DataFrame, acronyms: DataFrame,
     fuzzy ratio x .8, and location text .65 only for queries nothing else matched. Best score per name, at least
     .55. acronyms: short (normalized), canonical.
     """
-    q = queries.select(F.col(query).alias("_raw")).distinct().withColumn("_q", norm_query("_raw"))
+    # the distinct texts are normalized once; every rung reads these short tables
+    q = cut_lineage(queries.select(F.col(query).alias("_raw")).distinct().withColumn("_q", norm_query("_raw")))
     s = names.select(F.col(name).alias("_name"), F.col(surface).alias("_surface")).dropDuplicates(["_name"])
-    s = s.withColumn("_n", norm_query("_name"))
+    s = cut_lineage(s.withColumn("_n", norm_query("_name")))
     qn, nn = q.select("_q").distinct(), s.select("_n").distinct()
     hit = lambda d, score: d.select("_q", "_name", F.lit(score).cast("double").alias("score"))
     to_names = lambda d: d.join(s.select("_n", "_name"), "_n")
@@ -253,7 +262,7 @@ def resolve_entities(queries: DataFrame, names: DataFrame, acronyms: DataFrame,
         near = by_norm.select("_q", "_name", "_n").unionByName(typed.select("_q", "_name", "_n")).distinct()
         found = found.unionByName(near.select(
             "_q", "_name", (sequence_ratio(F.col("_q"), F.col("_n")) * 0.80).alias("score")))
-    best = found.groupBy("_q", "_name").agg(F.max("score").alias("score"))
+    best = cut_lineage(found.groupBy("_q", "_name").agg(F.max("score").alias("score")))
     rest = long_q.join(best.select("_q").distinct(), "_q", "left_anti")
     places = contained_pairs(rest, "_q", s, "_surface").join(s.select("_surface", "_name"), "_surface")
     full = best.unionByName(hit(places, 0.65)).filter(F.col("score") >= MIN_CONFIDENCE)

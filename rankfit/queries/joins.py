@@ -1 +1,291 @@
-"""Queries."""
+"""Joins: enrichment, lookup cascades, name matching, comparisons, similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import names as N, scoring as SC
+from ..operators import bests as B, coverage as C, matching as M, ranking as R, robust as RB, sets as ST, topscore as S
+from .aggregates import SCORED_CTE, TOPK_CTE, mens_anchors, profile_ctes, scored, wide_profile_sql
+from .base import query, rnd, role
+from .scalars import EXP_SQL, NNAME_SQL, TIER_SQL, _STATE_SQL, qnorm_sql, selectivity_sql, stop_sql
+
+# ---- exact keys ------------------------------------------------------------------------------------------
+
+
+@query("enrich_exact", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, s_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey")
+def _(t):
+    d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "s_name")
+
+
+role("part_aliases", "SELECT DISTINCT p_name AS raw, 'the ' || p_name AS canonical, 'prefix' AS reason FROM {part} WHERE p_size < 6")
+
+
+@query("canonicalize", "SELECT p_partkey, coalesce(canonical, p_name) AS school, p_name AS raw_name, canonical IS NOT NULL AS normalized, reason FROM part LEFT JOIN {part_aliases} ON p_name = raw")
+def _(t):
+    d = t.part.select("p_partkey", F.col("p_name").alias("school"))
+    return M.canonicalize(d, t.part_aliases).select("p_partkey", "school", "raw_name", "normalized", "reason")
+
+
+@query("normalization_log", "SELECT p_brand AS conference, p_name AS raw, canonical, reason FROM part JOIN {part_aliases} ON p_name = raw")
+def _(t):
+    d = t.part.select(F.col("p_brand").alias("conference"), F.col("p_name").alias("school"))
+    return M.normalization_log(M.canonicalize(d, t.part_aliases))
+
+
+role("cas_right", "SELECT r_name AS conference, 'T ' || CAST(s_suppkey % 40 AS STRING) AS school, s_suppkey AS pos FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey")
+role("cas_left", """
+SELECT c_custkey AS id, r_name AS conference, CASE c_custkey % 4 WHEN 0 THEN 'T' || CAST(c_custkey % 60 AS STRING) WHEN 1 THEN 'Short-' || CAST(c_custkey % 30 AS STRING) ELSE 'none' END AS school,
+ 't.' || CAST((c_custkey * 7) % 80 AS STRING) AS raw_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+""")
+role("cas_short", "SELECT 'short' || CAST(n_nationkey AS STRING) AS short, 'T ' || CAST(n_nationkey AS STRING) AS full FROM {nation}")
+_NK = lambda c: f"regexp_replace(lower(trim({c})), '[^a-z0-9]', '', 'g')"
+
+
+@query("cascade_lookup", f"""WITH r AS (SELECT {_NK('conference')} AS g, {_NK('school')} AS n, pos FROM {{cas_right}}), ex AS (SELECT g, n, max(pos) AS p FROM r GROUP BY 1, 2), bn AS (SELECT n, min(pos) AS p, count(*) AS c FROM r GROUP BY 1),
+al AS (SELECT short AS n, bn.p FROM {{cas_short}} JOIN bn ON bn.n = {_NK('"full"')}),
+l AS (SELECT id, {_NK('conference')} AS g, {_NK('school')} AS n, {_NK('raw_name')} AS w FROM {{cas_left}})
+SELECT l.id, coalesce(e1.p, a1.p, CASE WHEN b1.c = 1 THEN b1.p END, e2.p, a2.p, CASE WHEN b2.c = 1 THEN b2.p END) AS hit,
+ CASE WHEN e1.p IS NOT NULL THEN 1 WHEN a1.p IS NOT NULL THEN 2 WHEN b1.c = 1 THEN 4 WHEN e2.p IS NOT NULL THEN 5 WHEN a2.p IS NOT NULL THEN 6 WHEN b2.c = 1 THEN 8 END AS rung
+FROM l LEFT JOIN ex e1 ON e1.g = l.g AND e1.n = l.n LEFT JOIN al a1 ON a1.n = l.n LEFT JOIN bn b1 ON b1.n = l.n LEFT JOIN ex e2 ON e2.g = l.g AND e2.n = l.w LEFT JOIN al a2 ON a2.n = l.w LEFT JOIN bn b2 ON b2.n = l.w""")
+def _(t):
+    return M.cascade_lookup(t.cas_left, t.cas_right, t.cas_short, "id")
+
+
+role("two_names", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN n_name ELSE 'x' END AS a, CASE c_custkey % 3 WHEN 1 THEN n_name ELSE 'y' END AS b FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey")
+
+
+@query("two_key_fallback", "SELECT id, coalesce(m1.n_nationkey, m2.n_nationkey) AS n_nationkey, CASE WHEN m1.n_nationkey IS NOT NULL THEN 'first' WHEN m2.n_nationkey IS NOT NULL THEN 'second' ELSE 'none' END AS meta_source FROM {two_names} LEFT JOIN nation m1 ON a = m1.n_name LEFT JOIN nation m2 ON b = m2.n_name")
+def _(t):
+    d = M.two_key_fallback(t.two_names, t.nation.select("n_name", "n_nationkey"), "a", "b", "n_name")
+    return d.select("id", "n_nationkey", "meta_source")
+
+
+@query("gender_pivot_join", """SELECT Team AS school, arg_max(Finish, pos) FILTER (g = 'men') AS men_finish, arg_max(Finish, pos) FILTER (g = 'women') AS women_finish,
+ CASE WHEN count(*) FILTER (g = 'men') > 0 THEN arg_max(Finish, pos) FILTER (g = 'men') ELSE arg_max(Finish, pos) FILTER (g = 'women') END AS finish, string_agg(DISTINCT g, ',' ORDER BY g) AS gender_coverage FROM (SELECT *, lower(gender) AS g FROM {snapshot}) x GROUP BY 1""")
+def _(t):
+    d = t.snapshot.select(F.col("Team").alias("school"), F.lower("gender").alias("gender"), F.col("Finish").alias("finish"), "pos")
+    return M.gender_pivot_join(d, "school", ["finish"])
+
+
+@query("score_cross", f"WITH {SCORED_CTE} SELECT swimmer, conference, event, sec, place, pts, exp_pts, confidence, place_label FROM sc")
+def _(t):
+    return scored(t)
+
+
+@query("expected_grid", """SELECT n.n_name, s.c_mktsegment AS segment, p.pr AS priority, coalesce(x.n, 0) AS orders, x.n IS NULL AS missing FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('5-LOW'), ('9-NONE')) p(pr)
+LEFT JOIN (SELECT c_nationkey, c_mktsegment, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) x ON x.c_nationkey = n.n_nationkey AND x.c_mktsegment = s.c_mktsegment AND x.o_orderpriority = p.pr""")
+def _(t):
+    grid = C.expected_grid(t.nation.select("n_nationkey", "n_name"), {"priority": ["1-URGENT", "2-HIGH", "5-LOW", "9-NONE"]})
+    grid = C.expected_grid_of(grid, {"segment": t.customer.select(F.col("c_mktsegment").alias("segment"))})
+    seen = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("orders"))
+    d = grid.join(seen, ["n_nationkey", "segment", "priority"], "left")
+    return d.select("n_name", "segment", "priority", F.coalesce("orders", F.lit(0)).alias("orders"), F.col("orders").isNull().alias("missing"))
+
+
+# standards as rows: five levels per event type, from the spread of its values
+role("levels", """
+SELECT 'men' AS gender, event_type AS event, level, floor(max(value) / 4) / (level + 1) + 10 AS sec
+FROM {events} JOIN (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) l ON 1 = 1 GROUP BY event_type, level
+""")
+role("event_values", "SELECT event_id AS id, 'men' AS gender, event_type AS event, value AS sec FROM {events}")
+
+
+@query("bracket_lookup", f"""WITH b AS (SELECT lo.event, lo.level, lo.sec AS a, hi.sec AS z FROM {{levels}} lo JOIN {{levels}} hi ON lo.event = hi.event AND hi.level = lo.level + 1)
+SELECT v.id, v.event, {rnd('max(level + (a - v.sec) / (a - z))', 6)} AS a_score FROM {{event_values}} v JOIN b ON b.event = v.event AND ((v.sec BETWEEN z AND a) OR (level = 0 AND v.sec > a) OR (level = 3 AND v.sec < z)) GROUP BY 1, 2""")
+def _(t):
+    from ..functions.numeric import round_to
+
+    d = S.bracket_lookup(t.event_values, t.levels)
+    return d.select("id", "event", round_to("a_score", 6).alias("a_score"))
+
+
+def distance_sql(v: dict[str, str], p: str) -> str:
+    total, weight = [], []
+    for m, w in RB.DISTANCE_WEIGHTS.items():
+        z = f"(abs({v[m]} - {p}.{m}_median) / (1.4826::DOUBLE * {p}.{m}_mad + 1e-6))"
+        total.append(f"coalesce({w}::DOUBLE * {z} * {z}, 0.0)")
+        weight.append(f"CASE WHEN {z} IS NOT NULL THEN {w}::DOUBLE ELSE 0.0 END")
+    return f"sqrt(({' + '.join(total)}) / nullif({' + '.join(weight)}, 0.0))"
+
+
+_V = {"sw": "r.sw", "deep": "r.deep", "spread": "(r.deep - r.sw)", "shape": "(r.deep / r.sw)"}
+NEAREST_SQL = f"""WITH {profile_ctes()}, {wide_profile_sql()}, d AS (SELECT r.bundle, r.gender, r.event, w.event AS other, {distance_sql(_V, 'w')} AS d FROM {{pairs}} r JOIN wide w ON w.gender = lower(r.gender) AND w.event <> lower(r.event))
+SELECT bundle, gender, event, arg_min(other, (d, other)) AS best_event, {rnd('min(d)', 3)} AS best_dist FROM d WHERE d IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+@query("nearest_other", NEAREST_SQL)
+def _(t):
+    from ..functions.numeric import round_to
+
+    d = t.pairs.withColumns({"gender_norm": F.lower("gender"), "event_norm": F.lower("event"), "spread": F.col("deep") - F.col("sw"), "shape": F.col("deep") / F.col("sw")})
+    out = RB.nearest_other(d, RB.robust_profile(t.pairs)).filter(F.col("best_dist").isNotNull())
+    return out.select("bundle", "gender", "event", "best_event", round_to("best_dist", 3).alias("best_dist"))
+
+
+# ---- names -----------------------------------------------------------------------------------------------
+
+# names are the first words of the documents; search texts are distorted names
+role("doc_names", """
+SELECT doc_id AS pos, name AS school, CASE doc_id % 5 WHEN 0 THEN 'Los Angeles, CA' WHEN 1 THEN 'Boston, MA' WHEN 2 THEN 'Nashville, TN' WHEN 3 THEN 'Chicago, IL' ELSE '' END AS location
+FROM (SELECT doc_id, split_part(f, ' ', 1) || ' ' || split_part(f, ' ', 2) || ' ' || split_part(f, ' ', 3) AS name FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(9), ' ') AS f FROM {documents}) x) y
+WHERE trim(name) <> ''
+""")
+role("doc_queries", """
+SELECT pos, CASE pos % 8 WHEN 0 THEN '  ' || school || '.' WHEN 1 THEN substr(school, 1, 2) || substr(school, 4) WHEN 2 THEN split_part(school, ' ', 1) || ' ' || substr(split_part(school, ' ', 2), 1, 3) WHEN 3 THEN 'the ' || school || ' campus'
+  WHEN 4 THEN CASE WHEN pos % 3 = 0 THEN 'nashville' ELSE 'Boston' END WHEN 5 THEN 'd' || CAST(pos AS STRING) WHEN 6 THEN split_part(school, ' ', 3) || ' & ' || split_part(school, ' ', 1) ELSE substr(school, 3, 9) END AS query FROM {doc_names}
+""")
+role("acronyms", "SELECT 'd' || CAST(pos AS STRING) AS short, school AS canonical FROM {doc_names} WHERE pos % 3 = 0")
+
+_TOK = lambda c: f"[x for x in list_distinct(string_split({c}, ' ')) if len(x) > 1 AND x NOT IN {stop_sql(N.PREFIX_STOP)}]"
+LEXICAL_SQL = f"""WITH qs AS (SELECT DISTINCT query AS raw, {qnorm_sql('query')} AS q FROM {{doc_queries}}), ns AS (SELECT *, {_TOK('n')} AS nt FROM (SELECT DISTINCT ON (school) school, {qnorm_sql('school')} AS n, location FROM {{doc_names}} ORDER BY school, pos) x),
+su AS (SELECT *, concat_ws(' ', n, CASE WHEN location <> '' THEN {qnorm_sql("regexp_replace(location, '[,.]', ' ', 'g')")} END, CASE WHEN sn <> '' THEN {qnorm_sql('sn')} END) AS surface FROM (SELECT *, {_STATE_SQL} AS sn FROM ns) y),
+qn AS (SELECT q, {_TOK('q')} AS qt FROM (SELECT DISTINCT q FROM qs) z), rep AS (SELECT n, max(school) AS school FROM ns GROUP BY 1),
+hits AS (SELECT q, a.canonical AS school, 1.0::DOUBLE AS score FROM qn JOIN {{acronyms}} a ON a.short = q UNION ALL SELECT q, school, 1.0 FROM qn JOIN rep ON n = q
+ UNION ALL SELECT q, school, CASE WHEN len(q) >= 4 AND contains(n, q) THEN 0.85::DOUBLE ELSE 0.80::DOUBLE END FROM qn JOIN ns ON len(q) >= 4 AND (contains(n, q) OR (len(n) >= 4 AND contains(q, n)))
+ UNION ALL SELECT q, school, 0.78 FROM qn JOIN ns ON len(qt) >= 2 AND len(nt) > 0 AND len([t for t in qt if len([u for u in nt if starts_with(u, t)]) = 0]) = 0),
+best AS (SELECT q, school, max(score) AS score FROM hits GROUP BY 1, 2),
+allh AS (SELECT * FROM best UNION ALL SELECT q, school, 0.65 FROM qn JOIN su ON len(q) >= 4 AND contains(surface, q) WHERE q NOT IN (SELECT q FROM best))
+SELECT raw AS query, school, score FROM qs JOIN allh USING (q) WHERE score >= 0.55"""
+
+
+def names_with_surface(t):
+    d = t.doc_names.orderBy("school", "pos").select("school", "location", "pos")
+    from ..operators.keyed import first_per_key
+
+    return first_per_key(d, ["school"], ["pos"]).withColumn("surface", N.search_surface("school", "location"))
+
+
+@query("resolve_entities_lexical", LEXICAL_SQL)
+def _(t):
+    return M.resolve_entities(t.doc_queries, names_with_surface(t), t.acronyms, fuzzy=False)
+
+
+@query("resolve_entities")
+def _(t):
+    return M.resolve_entities(t.doc_queries, names_with_surface(t), t.acronyms)
+
+
+@query("fuzzy_ratio")
+def _(t):
+    q = t.doc_queries.select(F.lower("query").alias("query"))
+    return M.fuzzy_pairs(q, "query", t.doc_names.select(F.lower("school").alias("school")), "school")
+
+
+role("name_aliases", "SELECT DISTINCT lower(p_name) AS raw, p_type || ' ' || p_name AS canonical FROM {part} WHERE p_size = 7")
+role("record_names", "SELECT min(p_partkey) AS pos, p_type || ' ' || p_name AS school FROM {part} GROUP BY p_type, p_name")
+role("cand_names", """
+SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN 'The ' || p_name || ' College' WHEN 2 THEN p_type || ' ' || split_part(p_name, ' ', 2) WHEN 3 THEN split_part(p_name, ' ', 2) || ' of ' || split_part(p_name, ' ', 1) || ' ' || p_type
+  WHEN 4 THEN p_type WHEN 5 THEN split_part(p_name, ' ', 1) || ' ' || p_brand ELSE p_type || '-' || p_name END AS candidate FROM {part}
+""")
+_NT = lambda c: f"[x for x in list_distinct(string_split({c}, ' ')) if len(x) > 1 AND x NOT IN {stop_sql(N.NAME_STOP)}]"
+_NN = NNAME_SQL.format
+
+
+@query("token_jaccard_match", f"""WITH c AS (SELECT candidate, {_NN('candidate')} AS c, {_NT(_NN('candidate'))} AS ct FROM {{cand_names}} WHERE trim(candidate) <> ''), r AS (SELECT school, pos, {_NN('school')} AS n, {_NT(_NN('school'))} AS nt FROM {{record_names}}),
+f AS (SELECT n, arg_max(school, pos) AS school, min(pos) AS pos FROM r GROUP BY 1),
+h AS (SELECT candidate, f.school, 0 AS rung, f.pos::DOUBLE AS k FROM c JOIN {{name_aliases}} a ON a.raw = c.c JOIN f ON f.n = {_NN('a.canonical')} UNION ALL SELECT candidate, f.school, 1, f.pos FROM c JOIN f ON f.n = c.c
+ UNION ALL SELECT candidate, f.school, 2, f.pos FROM c JOIN f ON c.c <> '' AND f.n <> '' AND (contains(f.n, c.c) OR contains(c.c, f.n))
+ UNION ALL SELECT candidate, school, 3, 1e9 - j * 1e12 + pos FROM (SELECT candidate, r.school, r.pos, len(list_intersect(ct, nt))::DOUBLE / (len(ct) + len(nt) - len(list_intersect(ct, nt))) AS j FROM c JOIN r ON len(ct) > 0 AND len(nt) > 0) x WHERE j >= 0.5)
+SELECT candidate, school, rung FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY rung, k, school) AS rn FROM h) y WHERE rn = 1""")
+def _(t):
+    return M.token_jaccard_match(t.cand_names, t.record_names, t.name_aliases)
+
+
+# a benchmark passage against every distinct line of the documents, by token sets
+_LT = "list_distinct([x for x in string_split({0}, ' ') if len(x) > 1])"
+
+
+@query("jaccard_pairs", f"""WITH l AS (SELECT DISTINCT trim(lower(unnest(string_split(text, chr(10))))) AS line FROM documents), a AS (SELECT item_id, {_LT.format("lower(replace(text, chr(10), ' '))")} AS s FROM benchmark), b AS (SELECT line, {_LT.format('line')} AS s FROM l)
+SELECT item_id, md5(line) AS line, {rnd('j', 6)} AS jaccard FROM (SELECT item_id, line, len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS j FROM a JOIN b ON len(a.s) > 0 AND len(b.s) > 0) x WHERE j >= 0.3""")
+def _(t):
+    from ..functions.numeric import round_to
+    from ..operators.extraction import lines_of
+
+    lines = lines_of(t.documents, "doc_id", "text").select(F.trim(F.lower("text")).alias("line")).distinct()
+    items = t.benchmark.select("item_id", N.tokens(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), [""]).alias("toks"))
+    d = M.jaccard_pairs(items, "item_id", lines.withColumn("toks", N.tokens(F.col("line"), [""])), "line", threshold=0.3)
+    return d.select("item_id", F.md5("line").alias("line"), round_to("jaccard", 6).alias("jaccard"))
+
+
+@query("partial_name_lookup", """WITH q AS (SELECT DISTINCT candidate AS query, lower(trim(candidate)) AS q FROM {cand_names}), r AS (SELECT school, lower(school) AS n, pos FROM {record_names}),
+h AS (SELECT query, school, 0 AS rung, pos FROM q JOIN r ON q = n UNION ALL SELECT query, school, 1, pos FROM q JOIN r ON contains(n, q) OR contains(q, n))
+SELECT query, school, rung FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rung, pos) AS rn FROM h) x WHERE rn = 1""")
+def _(t):
+    return M.partial_name_lookup(t.cand_names.withColumnRenamed("candidate", "query"), t.record_names)
+
+
+# ---- similarity and comparison ---------------------------------------------------------------------------
+
+role("institutions", """
+SELECT id AS school, CASE id % 3 WHEN 0 THEN 'D1' WHEN 1 THEN 'D2' ELSE 'D3' END AS division, accept, sat_median, CASE id % 6 WHEN 0 THEN '1A' WHEN 1 THEN '1B' WHEN 2 THEN '2' WHEN 3 THEN '3' WHEN 4 THEN '4' ELSE '' END AS tier_short FROM {applicants}
+""")
+_SIM = f"""i AS (SELECT school, division, CASE {selectivity_sql()} WHEN 'ultra_selective' THEN 0 WHEN 'highly_selective' THEN 1 WHEN 'selective' THEN 2 ELSE 3 END AS sel, CASE tier_short WHEN '1A' THEN 0 WHEN '1B' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 WHEN '4' THEN 4 ELSE 99 END AS tier FROM {{institutions}}),
+sim AS (SELECT target, candidate, distance, CAST(row_number() OVER (PARTITION BY target ORDER BY distance, candidate) AS INTEGER) AS rank FROM (SELECT a.school AS target, b.school AS candidate, CASE WHEN a.division = b.division THEN 0 ELSE 4 END + abs(a.sel - b.sel) * 3 + CASE WHEN a.tier <> 99 AND b.tier <> 99 THEN abs(a.tier - b.tier) ELSE 0 END AS distance FROM i a JOIN i b ON a.school <> b.school) x)"""
+
+
+@query("similar_entities", f"WITH {_SIM} SELECT target, candidate, distance, rank FROM sim WHERE rank <= 35")
+def _(t):
+    return R.similar_entities(t.institutions)
+
+
+@query("pick_by_position", """SELECT p.c_nationkey AS pool, p.number, p.c_custkey AS school, 'why ' || p.number AS why FROM (SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS number FROM customer) p
+JOIN (SELECT DISTINCT s_nationkey, CAST(1 + s_suppkey % 50 AS INTEGER) AS number FROM supplier) k ON k.s_nationkey = p.c_nationkey AND k.number = p.number WHERE p.number <= 35""")
+def _(t):
+    pool = t.customer.select(F.col("c_nationkey").alias("pool"), F.col("c_custkey").alias("school"), "c_acctbal")
+    picks = t.supplier.select(F.col("s_nationkey").alias("pool"), (1 + F.col("s_suppkey") % 50).cast("int").alias("number")).distinct()
+    d = R.pick_by_position(pool, picks, "pool", [F.desc("c_acctbal"), F.asc("school")])
+    return d.select("pool", "number", "school", F.concat(F.lit("why "), F.col("number").cast("string")).alias("why"))
+
+
+@query("geo_lookup", """SELECT c_custkey, n_name AS location, CASE WHEN c_custkey % 10 = 0 THEN 1.5::DOUBLE WHEN n_nationkey % 4 <> 3 THEN n_nationkey * 1.25::DOUBLE END AS lat, CASE WHEN c_custkey % 10 = 0 THEN 2.5::DOUBLE WHEN n_nationkey % 4 <> 3 THEN n_nationkey * -2.5::DOUBLE END AS lng
+FROM customer LEFT JOIN nation ON (CASE WHEN c_custkey % 3 = 0 THEN c_nationkey WHEN c_custkey % 3 = 1 THEN (c_nationkey + 1) % 25 END) = n_nationkey""")
+def _(t):
+    c = t.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("school"), "c_nationkey")
+    over = c.filter("c_custkey % 10 = 0").select("school", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
+    nat = t.nation.select(F.col("n_nationkey").cast("string").alias("school"), F.col("n_name").alias("location"))
+    direct = c.filter("c_custkey % 3 = 0").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("school", F.col("n_name").alias("location"))
+    # every third customer is known under the name of the next nation
+    alias = c.filter("c_custkey % 3 = 1").select(F.col("school").alias("raw"), F.concat(F.lit("N"), ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("canonical"))
+    locations = direct.unionByName(nat.withColumn("school", F.concat(F.lit("N"), F.col("school"))))
+    coords = t.nation.filter("n_nationkey % 4 <> 3").select(F.col("n_name").alias("location"), (F.col("n_nationkey") * 1.25).alias("lat"), (F.col("n_nationkey") * -2.5).alias("lng"))
+    return M.geo_lookup(c.select("c_custkey", "school"), over, locations, alias, coords).drop("school")
+
+
+@query("anti_new", "SELECT o_custkey AS user_id FROM orders UNION ALL SELECT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
+def _(t):
+    return ST.anti_new(t.orders.select(F.col("o_custkey").alias("user_id")), t.events.select("user_id"), ["user_id"])
+
+
+_EXPC = f"""ea AS (SELECT *, first + 4.0::DOUBLE / 7.0 * (eighth - first) AS fifth, eighth + 6.0::DOUBLE / 8.0 * (sixteenth - eighth) AS fourteenth FROM anch),
+ep AS (SELECT swimmer, a.conference, t.event, sec, CASE WHEN sec <= first THEN 1.0::DOUBLE WHEN sec <= fifth THEN 1.0 + (sec - first) / greatest(fifth - first, 0.001) * 4.0 WHEN sec <= fourteenth THEN 5.0 + (sec - fifth) / greatest(fourteenth - fifth, 0.001) * 9.0 ELSE 14.0 + (sec - fourteenth) / greatest((fourteenth - fifth) / 9.0, 0.001) END AS p FROM {{times}} t JOIN ea a ON t.event = a.event),
+es AS (SELECT swimmer, conference, event, {rnd('p', 2)} AS place, {rnd(f'{EXP_SQL} * (CASE WHEN p <= 14 THEN 1.0::DOUBLE WHEN p <= 16 THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END)', 2)} AS pts FROM ep),
+ek AS (SELECT *, row_number() OVER (PARTITION BY swimmer, conference ORDER BY pts DESC, event) AS rn FROM es),
+et AS (SELECT swimmer, conference, sum(CAST(floor(pts * 100 + 0.5) AS BIGINT)) FILTER (rn <= 4) / 100.0::DOUBLE AS raw_pts FROM ek GROUP BY 1, 2 HAVING sum(pts) FILTER (rn <= 4) <> 0),
+sh AS (SELECT swimmer, conference, count(*) AS n FROM sc JOIN es USING (swimmer, conference, event) WHERE abs(es.place - sc.place) >= 0.5 OR abs(es.pts - sc.pts) >= 0.5 GROUP BY 1, 2)"""
+
+
+@query("variant_compare", f"""WITH {TOPK_CTE}, {_EXPC}, j AS (SELECT tk.swimmer, s.school, tk.conference, {rnd('tk.raw_pts * psf', 2)} AS pa, {rnd('et.raw_pts * psf', 2)} AS ea, tk.raw_pts AS pr, et.raw_pts AS er FROM tk JOIN et USING (swimmer, conference) JOIN {{schools}} s ON tk.conference = s.conference)
+SELECT j.swimmer, j.school, {rnd('er - pr', 2)} AS delta_raw, {rnd('ea - pa', 2)} AS delta_adj, CASE WHEN {TIER_SQL('pa')} = {TIER_SQL('ea')} THEN 'same' ELSE {TIER_SQL('pa')} || ' → ' || {TIER_SQL('ea')} END AS tier_change, coalesce(sh.n, 0) AS shifts FROM j LEFT JOIN sh ON sh.swimmer = j.swimmer AND sh.conference = j.conference""")
+def _(t):
+    anchors = mens_anchors(t)
+    exp_anchors = anchors.withColumns({"fifth": SC.derived_fifth("first", "eighth"), "fourteenth": SC.derived_fourteenth("eighth", "sixteenth")})
+    prod = S.score_events(t.times, anchors)
+    exp = S.score_events(t.times, exp_anchors, SC.estimate_place_5_14("sec", "first", "fifth", "fourteenth"), SC.confidence_5_14)
+    a, b = (S.spread_to_teams(S.top_k_sum(x), t.schools) for x in (prod, exp))
+    d = S.variant_compare(a, b, prod, exp)
+    n = F.when(F.col("place_shifts") == "", 0).otherwise(F.size(F.split("place_shifts", "; ")))
+    return d.select("swimmer", "school", "delta_raw", "delta_adj", "tier_change", n.cast("bigint").alias("shifts"))
+
+
+@query("new_pr_join", """WITH a AS (SELECT user_id AS swimmer_id, event_type AS event, min(value) AS old_sec FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1, 2), p AS (SELECT user_id AS swimmer_id, event_type AS event, min(value) AS time_sec FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2)
+SELECT p.swimmer_id, p.event, time_sec, old_sec FROM p LEFT JOIN a USING (swimmer_id, event) WHERE old_sec IS NULL OR time_sec < old_sec""")
+def _(t):
+    cut = F.lit("2024-01-10").cast("timestamp_ntz")
+    e = t.events.select(F.col("user_id").alias("swimmer_id"), F.col("event_type").alias("event"), "value", "ts")
+    best = lambda d: d.groupBy("swimmer_id", "event").agg(F.min("value").alias("time_sec"))
+    return B.new_pr_join(best(e.filter(F.col("ts") >= cut)), best(e.filter(F.col("ts") < cut)))
+
+
