@@ -137,7 +137,7 @@ role("doc_queries", """
 SELECT pos, CASE pos % 8 WHEN 0 THEN '  ' || school || '.' WHEN 1 THEN substr(school, 1, 2) || substr(school, 4) WHEN 2 THEN split_part(school, ' ', 1) || ' ' || substr(split_part(school, ' ', 2), 1, 3) WHEN 3 THEN 'the ' || school || ' campus'
   WHEN 4 THEN CASE WHEN pos % 3 = 0 THEN 'nashville' ELSE 'Boston' END WHEN 5 THEN 'd' || CAST(pos AS STRING) WHEN 6 THEN split_part(school, ' ', 3) || ' & ' || split_part(school, ' ', 1) ELSE substr(school, 3, 9) END AS query FROM {doc_names}
 """)
-role("acronyms", "SELECT 'd' || CAST(pos AS STRING) AS short, school AS canonical FROM {doc_names} WHERE pos % 3 = 0")
+role("acronyms", "SELECT 'd' || CAST(pos AS STRING) AS short, school AS canonical FROM {doc_names}")
 
 _TOK = lambda c: f"[x for x in list_distinct(string_split({c}, ' ')) if len(x) > 1 AND x NOT IN {stop_sql(N.PREFIX_STOP)}]"
 LEXICAL_SQL = f"""WITH qs AS (SELECT DISTINCT query AS raw, {qnorm_sql('query')} AS q FROM {{doc_queries}}), ns AS (SELECT *, {_TOK('n')} AS nt FROM (SELECT DISTINCT ON (school) school, {qnorm_sql('school')} AS n, location FROM {{doc_names}} ORDER BY school, pos) x),
