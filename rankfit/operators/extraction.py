@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import events as E, text as X
-from ..functions.times import parse_time_hms
-from .keyed import carry_forward, first_per_key, running_total
+from ..functions.times import parse_time_hms, time_suffix
+from ..session import cut_lineage
+from .keyed import carry_forward, first_per_key, needs_chunks, running_total
 
 FILE = ["source_file"]
 MISS_LIMIT, MISS_LIMIT_WIDE = 5, 12
 TAIL_PAGES = 10
-LINE_CHUNK = 65536
 
 
 def lines_of(df: DataFrame, key: str, text: str, page: str | None = None) -> DataFrame:
@@ -30,8 +30,8 @@ def split_merged(lines: DataFrame) -> DataFrame:
     return d.withColumn("line_no", F.col("line_no") * 1000 + F.col("_i")).drop("_i")
 
 
-def carry_state(lines: DataFrame, values: list[str], keys: list[str] = FILE) -> DataFrame:
-    return carry_forward(lines, keys, "line_no", values, LINE_CHUNK)
+def carry_state(lines: DataFrame, values: list[str], keys: list[str] = FILE, chunked: bool | None = None) -> DataFrame:
+    return carry_forward(lines, keys, "line_no", values, chunked)
 
 
 def mark_lines(lines: DataFrame) -> DataFrame:
@@ -51,17 +51,18 @@ def extract_results(lines: DataFrame, files: DataFrame) -> DataFrame:
     files: source_file, file_gender (men / women / combined / unknown) and name_gender (from the file name). The
     first value of a place wins within an event section.
     """
+    long = needs_chunks(lines, "line_no")
     d = mark_lines(lines).join(files, "source_file")
     kind, fg = F.col("kind"), F.col("file_gender")
     men_header = (kind == "event") & F.col("event").isNotNull() & (F.col("event_gender") == "men")
     upgrade = men_header & (fg == "women") & (F.col("name_gender") != "women")
-    d = carry_state(d.withColumn("_up", F.when(upgrade, True)), ["_up"])
+    d = carry_state(d.withColumn("_up", F.when(upgrade, True)), ["_up"], chunked=long)
     fg = F.when(F.coalesce("_up", F.lit(False)), "combined").otherwise(F.col("file_gender"))
     d = d.withColumn("_fg", fg)
     said = (F.when(kind == "section_men", "men").when(kind == "section_women", "women")
             .when((kind == "event") & F.col("event").isNotNull() & F.col("event_gender").isin("men", "women"), F.col("event_gender")))
     allowed = F.when(said == "men", F.col("_fg") != "women").when(said == "women", F.col("_fg") != "men")
-    d = carry_state(d.withColumn("_section", F.when(allowed, said)), ["_section"])
+    d = carry_state(d.withColumn("_section", F.when(allowed, said)), ["_section"], chunked=long)
     start = F.when(F.col("file_gender").isin("men", "women"), F.col("file_gender"))
     section = F.coalesce("_section", start)
     resolved = F.when(F.col("event_gender").isin("men", "women"), F.col("event_gender")).otherwise(section)
@@ -71,13 +72,13 @@ def extract_results(lines: DataFrame, files: DataFrame) -> DataFrame:
     d = d.withColumn("_head", F.when(boundary, F.struct(
         F.col("line_no").alias("header_line"),
         F.when(opens, F.col("event")).alias("event"), F.when(opens, resolved).alias("gender"))))
-    return _results_in_sections(d, boundary)
+    return _results_in_sections(d, boundary, FILE, long)
 
 
-def _results_in_sections(d: DataFrame, boundary: Column, keys: list[str] = FILE) -> DataFrame:
+def _results_in_sections(d: DataFrame, boundary: Column, keys: list[str], long: bool) -> DataFrame:
     """Pair results with the carried header and final label, then resolve times found on a later line."""
     final = F.when(boundary, F.coalesce("final", F.lit("unknown"))).when(F.col("kind") == "final", F.col("final"))
-    d = carry_state(d.withColumn("_final", final), ["_head", "_final"], keys)
+    d = carry_state(d.withColumn("_final", final), ["_head", "_final"], keys, long)
     place, time = F.col("_r.place"), F.col("_r.time")
     full = E.final_offset(place, F.col("_final"))
     in_event = F.col("_head.event").isNotNull()
@@ -85,15 +86,16 @@ def _results_in_sections(d: DataFrame, boundary: Column, keys: list[str] = FILE)
     # a ranked line opens an island that stays open only while its time is missing; a boundary closes it
     island = F.when(boundary, F.struct(F.col("line_no").alias("at"), F.lit(None).cast("int").alias("waiting"))).when(
         ranked, F.struct(F.col("line_no").alias("at"), F.when(time.isNull(), full).alias("waiting")))
-    d = carry_state(d.withColumns({"_island": island, "_full": F.when(ranked, full)}), ["_island"], keys)
+    d = carry_state(d.withColumns({"_island": island, "_full": F.when(ranked, full)}), ["_island"], keys, long)
+    # two readers below: materialise the state once
+    d = cut_lineage(d.withColumns({"_ranked": ranked, "_boundary": boundary}))
+    ranked, boundary = F.col("_ranked"), F.col("_boundary")
     direct = d.filter(ranked & time.isNotNull()).select(
         *keys, "page_no", "line_no", "_head", F.col("_full").alias("place"), time.alias("time"),
         F.col("_r.suffix").alias("suffix"), F.col("_final").alias("final"))
     late = d.filter(in_event & ~ranked & ~boundary & (F.col("kind") != "final") & F.col("_island.waiting").isNotNull())
     late = late.withColumn("time", E.first_long_time("text")).filter(F.col("time").isNotNull())
     late = first_per_key(late.withColumn("_at", F.col("_island.at")), [*keys, "_at"], ["line_no"])
-    from ..functions.times import time_suffix
-
     late = late.select(*keys, "page_no", "line_no", "_head", F.col("_island.waiting").alias("place"), "time",
                        time_suffix("text").alias("suffix"), F.col("_final").alias("final"))
     rows = direct.unionByName(late).withColumn("sec", parse_time_hms("time")).filter(F.col("sec").isNotNull())
@@ -122,7 +124,7 @@ def second_pass(lines: DataFrame, files: DataFrame, missing: DataFrame) -> DataF
         "kind": F.when(label, "final").when(boundary, "event").otherwise("other"),
         "_head": F.when(boundary, F.struct(
             F.col("line_no").alias("header_line"), F.col("_loose").alias("event"), F.col("page_no").alias("header_page")))})
-    rows = _results_in_sections(d, F.col("kind") == "event", ["source_file", "gender"])
+    rows = _results_in_sections(d, F.col("kind") == "event", ["source_file", "gender"], needs_chunks(lines, "line_no"))
     keys = ["source_file", "gender", "header_line"]
     alive = rows.groupBy(*keys).agg(F.min("page_no").alias("_p"), F.first("header_page").alias("_h")).filter("_p = _h")
     return rows.join(alive.select(*keys), keys, "left_semi").drop("header_page")
@@ -137,14 +139,14 @@ def score_sections(lines: DataFrame) -> DataFrame:
     A heading opens a block on its page; an event header closes it; non-entry lines stay in while fewer than five
     of them follow each other. Each line is tested once per layout and the layout in force is carried forward.
     """
-    keys = ["source_file", "page_no"]
+    keys, long = ["source_file", "page_no"], needs_chunks(lines, "line_no")
     s = F.trim("text")
     heading, table = s.rlike(X.HEADING), s.rlike(X.TABLE_HEADER)
     d = lines.withColumns({"_heading": heading, "_table": table & ~heading})
     mark = F.when(F.col("_heading"), F.struct(
         X.heading_gender(s).alias("gender"), s.alias("section_heading"), F.col("line_no").alias("block")))
     d = carry_forward(d.withColumns({
-        "_block": mark, "_layout": F.when(F.col("_heading"), False).when(F.col("_table"), True)}), keys, "line_no", ["_block", "_layout"])
+        "_block": mark, "_layout": F.when(F.col("_heading"), False).when(F.col("_table"), True)}), keys, "line_no", ["_block", "_layout"], long)
     d = d.filter(F.col("_block").isNotNull() & ~F.col("_heading") & ~F.col("_table") & ~s.rlike(X.TOTAL_LINE))
     listed, tabled = X.score_entries("text"), X.score_entries("text", table=True)
     has_entry = F.when(F.col("_layout"), s.rlike(X.TABLE_ENTRY)).otherwise(F.col("text").rlike(X.LIST_ENTRY))
@@ -160,8 +162,9 @@ def score_sections(lines: DataFrame) -> DataFrame:
 
 def running_miss_cutoff(lines: DataFrame, keys: list[str], hit: str, limit: int = MISS_LIMIT) -> DataFrame:
     """Lines kept while fewer than `limit` misses follow the last hit; also the miss count of every line."""
-    d = running_total(lines, keys, "line_no", F.when(F.col(hit), 0).otherwise(1), "_misses")
-    d = carry_forward(d.withColumn("_at_hit", F.when(F.col(hit), F.col("_misses"))), keys, "line_no", ["_at_hit"])
+    long = needs_chunks(lines, "line_no")
+    d = running_total(lines, keys, "line_no", F.when(F.col(hit), 0).otherwise(1), "_misses", long)
+    d = carry_forward(d.withColumn("_at_hit", F.when(F.col(hit), F.col("_misses"))), keys, "line_no", ["_at_hit"], long)
     d = d.withColumn("misses", F.col("_misses") - F.coalesce("_at_hit", F.lit(0)))
     return d.filter(F.col("misses") < limit).drop("_misses", "_at_hit")
 

@@ -39,38 +39,53 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(agg, cond).drop(*renamed.values())
 
 
+def needs_chunks(df: DataFrame, order: str, chunk: int = CHUNK) -> bool:
+    """Whether some key runs past one chunk. Reads the order column only."""
+    longest = df.agg(F.max(order)).first()[0]
+    return longest is not None and longest >= chunk
+
+
 def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    # both branches below read this table, so it is materialised once instead of being computed twice
+    return cut_lineage(df.withColumn("_chunk", F.floor(F.col(order) / chunk)))
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Fill nulls of `values` with the last non-null value before them, per key in `order` (an integer)."""
+def carry_forward(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], chunked: bool | None = None,
+                  chunk: int = CHUNK) -> DataFrame:
+    """Fill nulls of `values` with the last non-null value before them, per key in `order` (an integer).
+
+    Where every key fits in one chunk this is a plain window, and a chain of carries shares one shuffle and sort. Longer
+    keys are cut in chunks: a window per chunk, a short table of chunk ends, and a join back. `chunked` says which;
+    when it is not given the longest key is looked up.
+    """
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if not (needs_chunks(df, order, chunk) if chunked is None else chunked):
+        return df.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in values})
     d = _chunked(df, order, chunk)
     parts = [*keys, "_chunk"]
     inside = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     ends = d.groupBy(*parts).agg(
-        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_end_{v}") for v in values]
-    )
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_end_{v}") for v in values])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *parts, *[F.last(f"_end_{v}", ignorenulls=True).over(before).alias(f"_in_{v}") for v in values]
-    )
+        *parts, *[F.last(f"_end_{v}", ignorenulls=True).over(before).alias(f"_in_{v}") for v in values])
     filled = d.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in values}).join(carried, parts)
     filled = filled.withColumns({v: F.coalesce(F.col(v), F.col(f"_in_{v}")) for v in values})
     return filled.select(*df.columns)
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Inclusive running sum per key in `order` (an integer)."""
+def running_total(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, chunked: bool | None = None,
+                  chunk: int = CHUNK) -> DataFrame:
+    """Inclusive running sum per key in `order` (an integer), cut in chunks for long keys."""
+    if not (needs_chunks(df, order, chunk) if chunked is None else chunked):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(w))
     d = _chunked(df.withColumn("_v", value), order, chunk)
     parts = [*keys, "_chunk"]
     inside = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        d.groupBy(*parts)
-        .agg(F.sum("_v").alias("_sum"))
-        .select(*parts, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    )
+    starts = d.groupBy(*parts).agg(F.sum("_v").alias("_sum")).select(
+        *parts, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     out = d.withColumn("_run", F.sum("_v").over(inside)).join(starts, parts)
     return out.withColumn(name, F.col("_run") + F.col("_start")).select(*df.columns, name)
 

@@ -29,6 +29,9 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir, self._made = spark, sf_dir, {}
 
+    def folder(self) -> str:
+        return self.dir
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

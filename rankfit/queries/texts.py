@@ -17,20 +17,22 @@ _CS = "CAST(floor(sec / 5) AS BIGINT) + 1000"
 _TIME = "CASE WHEN c >= 6000 THEN CAST(CAST(floor(c / 6000) AS BIGINT) AS STRING) || ':' || lpad(CAST(CAST(floor(c / 100) AS BIGINT) % 60 AS STRING), 2, '0') ELSE CAST(CAST(floor(c / 100) AS BIGINT) AS STRING) END || '.' || lpad(CAST(c % 100 AS STRING), 2, '0')"
 
 
-def _file(header: str, where: str) -> str:
+def _file(header: str, where: str, extra: str = "") -> str:
     return f"""SELECT bundle_id AS source_file, 1 + CAST(floor((rn - 1) / 50) AS INT) AS page_no, rn AS line_no, kind, gender, event, place, c, text FROM (
  SELECT *, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY gender, event, place, part) AS INT) AS rn FROM (
-  SELECT bundle_id, gender, event, 0 AS place, 0 AS part, 'header' AS kind, CAST(0 AS BIGINT) AS c, {header} AS text FROM (SELECT DISTINCT bundle_id, gender, event FROM {{event_places}}) h WHERE {where}
+  SELECT bundle_id, gender, event, 0 AS place, 0 AS part, 'header' AS kind, CAST(0 AS BIGINT) AS c, {header} AS text FROM (SELECT DISTINCT bundle_id, gender, event FROM {{event_places}} WHERE {where}) h
   UNION ALL SELECT DISTINCT bundle_id, gender, event, CASE WHEN place > 16 THEN 17 ELSE 9 END, -1, 'label', CAST(0 AS BIGINT), CASE WHEN place > 16 THEN 'C - Final' ELSE 'Consolation Final' END FROM {{event_places}} WHERE place > 8 AND {where}
   UNION ALL SELECT bundle_id, gender, event, place, 1, 'result', c, CAST({_SHOWN} AS STRING) || ' Lane, ' || gender || ' SO ' || bundle_id || CASE WHEN place % 5 = 3 THEN '' ELSE ' ' || {_TIME} || CASE WHEN place % 4 = 1 THEN ' q' ELSE '' END END
    FROM (SELECT *, {_CS} AS c FROM {{event_places}} WHERE {where}) r
-  UNION ALL SELECT bundle_id, gender, event, place, 2, 'late', c, '   ' || {_TIME} || '* @' FROM (SELECT *, {_CS} AS c FROM {{event_places}} WHERE place % 5 = 3 AND {where}) s) u) v"""
+  UNION ALL SELECT bundle_id, gender, event, place, 2, 'late', c, '   ' || {_TIME} || '* @' FROM (SELECT *, {_CS} AS c FROM {{event_places}} WHERE place % 5 = 3 AND {where}) s{extra}) u) v"""
 
 
 _GENDERED = "CASE gender WHEN 'men' THEN 'Men''s ' ELSE 'Women ' END"
-role("result_lines", _file(f"'Event 12 ' || {_GENDERED} || split_part(event, ' ', 1) || ' Yard ' || {_STROKE}", "1 = 1"))
+role("result_lines", _file(f"'Event 12 ' || {_GENDERED} || split_part(event, ' ', 1) || ' Yard ' || {_STROKE}", "place <= 24"))
 # headers the strict pattern cannot read: the stroke comes first
-role("loose_lines", _file(f"{_GENDERED} || {_STROKE} || ' - ' || split_part(event, ' ', 1)", "event <> '75 Free'"))
+role("loose_lines", _file(f"{_GENDERED} || {_STROKE} || ' - ' || split_part(event, ' ', 1)", "place <= 24 AND event <> '75 Free'",
+    # a header of no known event ends each half of the file
+    " UNION ALL SELECT DISTINCT bundle_id, gender, 'zz', 0, 0, 'close', CAST(0 AS BIGINT), 'Event 9 Men 75 Yard Free' FROM {event_places}"))
 
 
 @query("classify_line", """SELECT source_file, line_no, CASE kind WHEN 'header' THEN 'event' WHEN 'label' THEN 'final' WHEN 'result' THEN 'result' ELSE 'other' END AS kind FROM {result_lines}""")
