@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Bind a costly expression once and use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lit_double(v: float) -> Column:
     return F.lit(float(v))
 

@@ -41,7 +41,7 @@ def mark_lines(lines: DataFrame) -> DataFrame:
     return d.withColumns({
         "event": F.when(F.col("kind") == "event", F.col("_ev.event")),
         "event_gender": F.when(F.col("kind") == "event", F.col("_ev.gender")),
-        "_r": F.when(F.col("kind").isin("result", "other"), result),
+        "_r": F.when(F.col("kind") == "result", result),
     }).drop("_ev")
 
 

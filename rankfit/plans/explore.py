@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import intent as I
-from ..functions.names import looks_like_name, norm_key
+from ..functions.names import looks_like_name, norm_key, search_surface
 from ..functions.numeric import round_to, to_double, to_long
 from ..functions.scoring import a_score, a_tier_label
 from ..operators import bests as B, matching as M, ranking as R, topscore as S
 from ..operators.keyed import first_per_key, top_k_per_key
+from ..session import cut_lineage
 
 META = ["accept", "sat_median", "sat25", "sat75", "gpa_mean", "hidden_ivy", "ivy_league", "stem", "moonshot", "merit",
         "location"]
@@ -70,19 +71,19 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     Path per query: names resolved (all of them, or the one plus the most similar schools), broad pool, or proposed
     candidates with intent filters; the pre-sorted pool stands in where too few candidates map or none survives.
     """
+    # only the swimmers who search; four branches read the result, so it is materialised once
+    universe = cut_lineage(universe.join(queries.select("swimmer").distinct(), "swimmer", "left_semi"))
     q = queries.withColumns({"_i": I.query_intent("query")})
     q = q.withColumns({"_broad": I.is_broad_pool(F.col("_i"), "query"), "limit": F.when(I.wants_more("query"), 12).otherwise(6)})
     names = universe.select("school", "location").dropDuplicates(["school"])
-    from ..functions.names import search_surface
-
     names = names.withColumn("surface", search_surface("school", "location"))
     hits = M.resolve_entities(q, names, acronyms).join(q.select("query_id", "query"), "query")
-    hits = R.exclude_list(hits, excluded, keys=["query_id", "school"])
+    hits = cut_lineage(R.exclude_list(hits, excluded, keys=["query_id", "school"]))
     n_hits = hits.groupBy("query_id").agg(F.count("*").alias("_hits"))
     q = q.join(n_hits, "query_id", "left").withColumn("_hits", F.coalesce("_hits", F.lit(0)))
     q = q.withColumn("path", F.when(F.col("_hits") >= 2, "multi_match").when(F.col("_hits") == 1, "direct_match")
                      .when(looks_like_name("query"), "unknown_name").when(F.col("_broad"), "broad_pool").otherwise("candidates"))
-    info = q.select("query_id", "query", "swimmer", "path", "limit", "has_times", "_i")
+    info = cut_lineage(q.select("query_id", "query", "swimmer", "path", "limit", "has_times", "_i"))
 
     multi = hits.join(info.filter("path = 'multi_match'").select("query_id", "path"), "query_id")
     multi = multi.select("query_id", "school", "path", F.row_number().over(_by_score()).alias("position"))
@@ -100,7 +101,7 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
 
     mapped = M.token_jaccard_match(candidates, universe.select("school").distinct().withColumn(
         "pos", F.xxhash64("school")), cand_aliases).join(candidates, "candidate")
-    mapped = first_per_key(mapped, ["query_id", "school"], [F.asc("pos")]).select("query_id", "school", "pos")
+    mapped = first_per_key(mapped, ["query_id", "school"], [F.asc("pos")]).select("query_id", "school", F.col("pos").alias("_order"))
     cand = pool.filter("path = 'candidates'").join(mapped, ["query_id", "school"])
     enough = cand.groupBy("query_id").agg(F.count("*").alias("_n")).filter("_n >= 3").select("query_id")
     cand = cand.join(enough, "query_id", "left_semi").withColumns({
@@ -109,8 +110,9 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     kept, _ = R.hard_filter(cand.filter("_i.is_personal"))
     keep = kept.unionByName(cand.filter("NOT _i.is_personal"))
     hard = F.col("_i.is_prestige_sort")
+    keep = cut_lineage(keep)
     keep = top_k_per_key(keep, ["query_id"], [
-        F.when(hard, I.label_score("label")).otherwise(0).asc(), F.when(hard, -F.col("adj_pts")).otherwise(0.0).asc(), "pos"],
+        F.when(hard, I.label_score("label")).otherwise(0).asc(), F.when(hard, -F.col("adj_pts")).otherwise(0.0).asc(), "_order"],
         12, "position").filter(F.col("position") <= F.col("limit")).select("query_id", "school", "path", "position")
     bare = pool.filter("path = 'candidates'").join(keep.select("query_id").distinct(), "query_id", "left_anti")
     fallback = R.intent_sort(bare, limit=6).select("query_id", "school", F.lit("fallback").alias("path"), "position")
@@ -118,13 +120,9 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
 
 
 def _by_score():
-    from pyspark.sql import Window
-
     return Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("school"))
 
 
 def _by_prestige():
-    from pyspark.sql import Window
-
     return Window.partitionBy("query_id").orderBy(
         F.coalesce(F.nullif("accept", F.lit(0)), F.lit(999)).asc(), F.desc("adj_pts"), F.asc("school"))
