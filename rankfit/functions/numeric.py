@@ -42,9 +42,10 @@ def safe_number(c: Column | str) -> Column:
 
 
 def round_to(c: Column | str, digits: int) -> Column:
-    """Round on the binary value (floor of the scaled value plus a half).
+    """Round half up on the scaled double.
 
-    The built-in round works on the shortest decimal text, so 2.675 becomes 2.68 there and 2.67 here.
+    The same arithmetic in any engine. The built-in round goes through decimal text instead, and the two can differ in
+    the last digit on values that sit on a half.
     """
     scale = float(10**digits)
     x = col(c).cast("double")

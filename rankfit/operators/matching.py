@@ -11,7 +11,7 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import NAME_STOP, PREFIX_STOP, norm_key, norm_name, norm_query, tokens
 from ..session import cut_lineage
@@ -181,7 +181,7 @@ def jaccard_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: s
     return good.join(lmap, "_setl").join(rmap, "_setr").select(left_key, right_key, "jaccard")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(name: pd.Series, query: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two short texts. The query is the second sequence of the matcher."""
     out = []

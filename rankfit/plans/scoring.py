@@ -9,6 +9,7 @@ from ..functions.numeric import round_to
 from ..functions.scoring import tier_label
 from ..functions.text import division_of
 from ..operators.topscore import score_events, top_k_sum
+from ..session import small_side
 
 
 def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools
     come in. The grid is built by expanding each swimmer over the short list of conferences and joining schools on
     the conference; no table is crossed with another.
     """
+    schools = small_side(schools)
     sums = top_k_sum(score_events(times, anchors)).select("swimmer", "conference", "raw_pts", "top_events", "has_depth")
     confs = schools.agg(F.array_sort(F.collect_set("conference")).alias("_confs"))
     grid = swimmers.join(F.broadcast(confs)).withColumn("conference", F.explode("_confs")).drop("_confs")
