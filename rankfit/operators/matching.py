@@ -274,9 +274,9 @@ def token_jaccard_match(candidates: DataFrame, records: DataFrame, aliases: Data
                         name: str = "school", order: str = "pos", threshold: float = 0.5) -> DataFrame:
     """One record per candidate text by the first rung that hits: alias, exact, containment either way (first
     record in order), token Jaccard (best, then first). aliases: raw (normalized), canonical."""
-    c = candidates.select(F.col(cand)).distinct().withColumn("_c", norm_name(cand)).filter(F.trim(cand) != "")
+    c = cut_lineage(candidates.select(F.col(cand)).distinct().withColumn("_c", norm_name(cand)).filter(F.trim(cand) != ""))
     # records that share a normalized form: the last one stands for it
-    r = records.select(F.col(name).alias("_name"), F.col(order).alias("_pos"), norm_name(name).alias("_n"))
+    r = cut_lineage(records.select(F.col(name).alias("_name"), F.col(order).alias("_pos"), norm_name(name).alias("_n")))
     forms = r.groupBy("_n").agg(F.max_by("_name", "_pos").alias("_name"), F.min("_pos").alias("_pos"))
     cn, rn = c.select("_c").distinct(), forms.select("_n")
     pick = lambda d, rung: d.select("_c", "_name", F.lit(rung).alias("rung"), F.col("_pos").cast("double").alias("_key"))

@@ -44,17 +44,17 @@ def points_cents(c) -> Column:
 def top_k_sum(scored: DataFrame, keys: Sequence[str] = ("swimmer", "conference"), k: int = TOP_K) -> DataFrame:
     """Sum of the k best event points per key, with the depth flag. Zero sums are dropped.
 
-    Two small aggregates per key: the group limit keeps at most k rows per key and input partition before the
-    shuffle, and the depth count is combined on the map side.
+    One pass: the group limit keeps at most k rows per key and input partition before the shuffle. Points are never
+    negative, so k events score exactly when all of the k best do.
     """
     best = top_k_per_key(scored, list(keys), [F.desc("pts"), F.asc("event")], k)
+    ordered = F.array_sort(F.collect_list(F.struct("rn", "event")))
     sums = best.groupBy(*keys).agg(
         (F.sum(points_cents(F.col("pts"))) / F.lit(100.0)).alias("raw_pts"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event"))), lambda s: s["event"]), ", ")
-        .alias("top_events"),
+        F.array_join(F.transform(ordered, lambda s: s["event"]), ", ").alias("top_events"),
+        (F.count_if(F.col("pts") > 0) >= k).alias("has_depth"),
     )
-    depth = scored.groupBy(*keys).agg((F.count_if(F.col("pts") > 0) >= k).alias("has_depth"))
-    return sums.join(depth, list(keys)).filter(F.col("raw_pts") != 0)
+    return sums.filter(F.col("raw_pts") != 0)
 
 
 def weighted_top_k_sum(scored: DataFrame, weights: Sequence[float], keys: Sequence[str] = ("swimmer", "conference")) -> DataFrame:
