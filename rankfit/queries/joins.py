@@ -240,18 +240,18 @@ def _(t):
     return d.select("pool", "number", "school", F.concat(F.lit("why "), F.col("number").cast("string")).alias("why"))
 
 
-@query("geo_lookup", """SELECT c_custkey, n_name AS location, CASE WHEN c_custkey % 10 = 0 THEN 1.5::DOUBLE WHEN n_nationkey % 4 <> 3 THEN n_nationkey * 1.25::DOUBLE END AS lat, CASE WHEN c_custkey % 10 = 0 THEN 2.5::DOUBLE WHEN n_nationkey % 4 <> 3 THEN n_nationkey * -2.5::DOUBLE END AS lng
-FROM customer LEFT JOIN nation ON (CASE WHEN c_custkey % 3 = 0 THEN c_nationkey WHEN c_custkey % 3 = 1 THEN (c_nationkey + 1) % 25 END) = n_nationkey""")
+@query("geo_lookup", """SELECT c_custkey, n_name AS location, CASE WHEN c_acctbal < 0 THEN 1.5::DOUBLE WHEN n_regionkey <> 3 THEN n_nationkey * 1.25::DOUBLE END AS lat, CASE WHEN c_acctbal < 0 THEN 2.5::DOUBLE WHEN n_regionkey <> 3 THEN n_nationkey * -2.5::DOUBLE END AS lng
+FROM customer LEFT JOIN nation ON (CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey WHEN c_mktsegment = 'MACHINERY' THEN (c_nationkey + 1) % 25 END) = n_nationkey""")
 def _(t):
-    c = t.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("school"), "c_nationkey")
-    over = c.filter("c_custkey % 10 = 0").select("school", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
-    nat = t.nation.select(F.col("n_nationkey").cast("string").alias("school"), F.col("n_name").alias("location"))
-    direct = c.filter("c_custkey % 3 = 0").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("school", F.col("n_name").alias("location"))
-    # every third customer is known under the name of the next nation
-    alias = c.filter("c_custkey % 3 = 1").select(F.col("school").alias("raw"), F.concat(F.lit("N"), ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("canonical"))
-    locations = direct.unionByName(nat.withColumn("school", F.concat(F.lit("N"), F.col("school"))))
-    coords = t.nation.filter("n_nationkey % 4 <> 3").select(F.col("n_name").alias("location"), (F.col("n_nationkey") * 1.25).alias("lat"), (F.col("n_nationkey") * -2.5).alias("lng"))
-    return M.geo_lookup(c.select("c_custkey", "school"), over, locations, alias, coords).drop("school")
+    c = t.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("school"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    over = c.filter("c_acctbal < 0").select("school", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
+    nations = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("school"), F.col("n_name").alias("location"))
+    direct = c.filter("c_mktsegment = 'BUILDING'").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("school", F.col("n_name").alias("location"))
+    # one segment is known under the name of the next nation
+    following = F.concat(F.lit("N"), ((F.col("c_nationkey") + 1) % 25).cast("string"))
+    alias = c.filter("c_mktsegment = 'MACHINERY'").select(F.col("school").alias("raw"), following.alias("canonical"))
+    coords = t.nation.filter("n_regionkey <> 3").select(F.col("n_name").alias("location"), (F.col("n_nationkey") * 1.25).alias("lat"), (F.col("n_nationkey") * -2.5).alias("lng"))
+    return M.geo_lookup(c.select("c_custkey", "school"), over, direct.unionByName(nations), alias, coords).drop("school")
 
 
 @query("anti_new", "SELECT o_custkey AS user_id FROM orders UNION ALL SELECT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")

@@ -151,8 +151,10 @@ _LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, da
 @query("kv_upsert", f"SELECT user_id, data_key, data_value, seq FROM ({_LATEST}) y")
 def _(t):
     w = t.kv_writes
-    first = ST.kv_upsert(w.limit(0), w.filter("seq % 2 = 0"))
-    return ST.kv_upsert(first, w.filter("seq % 2 = 1")).select("user_id", "data_key", "data_value", "seq")
+    # the first half of the month, then the second half on top of it
+    later = F.col("updated_at") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    first = ST.kv_upsert(w.limit(0), w.filter(~later))
+    return ST.kv_upsert(first, w.filter(later)).select("user_id", "data_key", "data_value", "seq")
 
 
 @query("kv_load", f"SELECT user_id, data_key, CAST(json_extract_string(data_value, '$.k') AS BIGINT) AS k FROM ({_LATEST}) y")

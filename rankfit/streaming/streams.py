@@ -33,7 +33,7 @@ def _detect(gate_hours: float):
             best = float(sec)
         state.update((best, None if last is None else pd.Timestamp(last).to_pydatetime()))
         if out:
-            yield pd.DataFrame(out, columns=["user_id", "event", "ts", "time_sec", "old_best"])
+            yield pd.DataFrame(out, columns=["user_id", "event", "ts", "time_sec", "old_best"]).astype({"old_best": "float64"})
 
     return step
 

@@ -34,7 +34,10 @@ def _lines(spark, text, name="f"):
     return spark.createDataFrame(rows, "source_file string, page_no int, line_no int, text string")
 
 
-def test_extract_results(spark):
+@pytest.mark.parametrize("long_files", [False, True])
+def test_extract_results(spark, monkeypatch, long_files):
+    # the path for files longer than one chunk must give the same rows
+    monkeypatch.setattr(X, "needs_chunks", lambda *a: long_files)
     files = spark.createDataFrame([("f", "combined", "combined")], "source_file string, file_gender string, name_gender string")
     got = sorted((r["gender"], r["event"], r["place"], r["sec"], r["suffix"]) for r in X.extract_results(_lines(spark, TEXT), files).collect())
     assert got == [("men", "100 Free", 1, 44.1, ""), ("men", "100 Free", 2, 44.5, "q"), ("men", "100 Free", 3, 44.9, "*"), ("men", "100 Free", 9, 45.1, ""), ("women", "200 IM", 1, 120.1, "")]
