@@ -24,10 +24,11 @@ def trim_per_category(rows: DataFrame, entity: str = "school", category: str = "
 
 
 def best_per_slot(rows: DataFrame, entity: str, slot: str, url: str = "url", score: str = "score") -> DataFrame:
-    """Highest score above zero per (entity, slot)."""
+    """Highest score above zero per (entity, slot). The best row decides, so the test comes after the aggregation and a
+    costly score expression is evaluated once."""
     key = F.struct(-F.col(score), F.col(url))
-    return rows.filter(F.col(score) > 0).groupBy(entity, slot).agg(
-        F.min_by(url, key).alias(url), F.max(score).alias(score))
+    best = rows.groupBy(entity, slot).agg(F.min_by(url, key).alias(url), F.max(score).alias(score))
+    return best.filter(F.col(score) > 0)
 
 
 def exclusive_slot_pick(rows: DataFrame, entity: str, slots: Sequence[tuple[str, str, int]], url: str = "url",
