@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op1_decontamination, op2_lines, op7_secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,18 @@ def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontamination", op1_decontamination.ORACLE)
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_lines", op2_lines.ORACLE)
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_secrets", op7_secrets.ORACLE)
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_secrets.findings(table(spark, sf_dir, "documents"))
