@@ -50,3 +50,17 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secrets", op7_secrets.ORACLE)
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_secrets.findings(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language")
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_language import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
