@@ -14,7 +14,9 @@ no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -31,24 +33,39 @@ LENGTH = 2048
 OPEN = 16
 END_ID = 1
 FAN_IN = 64
-CACHE = 400_000
+CACHE = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as they are, the others from U+0100 on in order."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class Words:
     """Ids of texts by the tokenizer, remembered per white-space word.
 
     White space only separates for this tokenizer (its pattern never matches it, and nothing composes across it), so the
-    ids of a text are those of its words in order. Words are cut at ASCII white space only.
+    ids of a text are those of its words in order; ASCII letters may be lowered first, as the tokenizer does it itself.
+    Words are cut at ASCII white space only. Of a new word, Latin letters and the ASCII signs after them are separate
+    pieces for the tokenizer's pattern; a piece of letters goes straight to its model, everything else through the whole
+    tokenizer. What is remembered is bounded by `CACHE` words and as many stems.
     """
 
     _by_path: dict[str, "Words"] = {}
+    _shape = re.compile(r"([^\W\d_]+)([,.!?;:%#*&$|]*)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Words":
@@ -56,22 +73,41 @@ class Words:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters_of(self, stem: str) -> bytes:
+        low = stem if stem.isascii() else stem.lower().encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+
+    def _new(self, word: str) -> bytes:
+        m = self._shape.fullmatch(word)
+        # Latin letters have one lower-case form each, but for the dotted capital I, and are in composed form
+        if not m or not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+            return self._whole(word)
+        out = b""
+        for piece, letters in ((m[1], True), (m[2], False)):
+            if piece:
+                got = self.stems.get(piece)
+                if got is None:
+                    got = self._letters_of(piece) if letters else self._whole(piece)
+                    if len(self.stems) < CACHE:
+                        self.stems[piece] = got
+                out += got
+        return out
+
     def ids(self, docs: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [d.encode().split() for d in docs]
-        new = set().union(*words).difference(self.known) if words else set()
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = set().union(*words)
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-        of = self.known.__getitem__
-        for w in words:
-            yield b"".join(map(of, w))
+        known = self.known
+        for d in docs:
+            words = d.encode().lower().split()
+            try:
+                yield b"".join(map(known.__getitem__, words))
+            except KeyError:
+                own = {w: known.get(w) or self._new(w.decode()) for w in set(words)}
+                if len(known) < CACHE:
+                    known.update(own)
+                yield b"".join(map(own.__getitem__, words))
 
 
 class OpenWindows:
