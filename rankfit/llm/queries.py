@@ -64,3 +64,24 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op8_quality import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_forest")
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_chat")
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_chat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_html")
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
