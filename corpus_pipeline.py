@@ -10,7 +10,7 @@ Decontamination drops documents that overlap a benchmark item. Packing returns t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rankfit.llm import op1_decontamination, op2_lines, op3_language, op4_packing, op5_simhash
 from rankfit.llm.common import table, written
@@ -21,11 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = op2_lines.without_repeats(docs)
-    if "n_chars" in docs.columns:
-        size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return op2_lines.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,8 +69,8 @@ def overlaps(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCA
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that overlap no item. Rows without an id stay unless such a row overlaps."""
-    bad = overlaps(docs, items).select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    bad = overlaps(docs, items).select(F.col("doc_id").alias("bad")).distinct()
+    return docs.select(F.struct("*").alias("d")).join(bad, F.col("d.doc_id").eqNullSafe(F.col("bad")), "left_anti").select("d.*")
 
 
 ORACLE = rf"""

@@ -60,23 +60,37 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of `docs`, the text without the repeated runs, and `n_lines`, `n_removed`."""
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    runs = repeated_runs(keyed.select("doc_id", F.col("_row").alias("row"), F.col("text").cast("string").alias("text")), min_words)
-    cuts = runs.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    cuts = cuts.withColumnsRenamed({"doc_id": "_doc", "row": "_of"})
-    out = keyed.join(cuts.hint("shuffle_hash"), keyed.doc_id.eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
-    out = out.withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """(d, text, n_lines, n_removed): every row of `docs` as a struct, its text without the repeated runs, and the counts."""
+    whole = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("d")).withColumn("row", F.xxhash64(whole))
+    runs = repeated_runs(keyed.select(F.col("d.doc_id").alias("doc_id"), "row", F.col("d.text").cast("string").alias("text")), min_words)
+    cuts = runs.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts")).select(
+        F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row"), "cuts")
+    out = keyed.join(cuts.hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row") == F.col("of_row")), "left")
+    out = out.select("d", "cuts", F.split(whole, "\n").alias("lines"))
     # what lies between the cuts, from the end of one to the start of the next
-    kept = F.expr(
-        """array_join(transform(filter(transform(sequence(0, size(_cuts)), k -> named_struct(
-        'a', coalesce(get(_cuts, k - 1).end + 1, 0), 'b', coalesce(get(_cuts, k).start, size(_lines)))), r -> r.b > r.a),
-        r -> array_join(slice(_lines, r.a + 1, r.b - r.a), '\\n')), '\\n')""")
-    removed = F.expr("coalesce(aggregate(_cuts, 0, (n, c) -> n + c.end - c.start + 1), 0)")
-    return out.select(
-        *[F.when(F.col("_cuts").isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.size("_lines").alias("n_lines"), removed.alias("n_removed"))
+    kept = F.expr("""array_join(transform(filter(transform(sequence(0, size(cuts)), k -> named_struct(
+        'a', coalesce(get(cuts, k - 1).end + 1, 0), 'b', coalesce(get(cuts, k).start, size(lines)))), r -> r.b > r.a),
+        r -> array_join(slice(lines, r.a + 1, r.b - r.a), '\\n')), '\\n')""")
+    removed = F.expr("coalesce(aggregate(cuts, 0, (n, c) -> n + c.end - c.start + 1), 0)")
+    text = F.when(F.col("cuts").isNull(), F.col("d.text").cast("string")).otherwise(kept)
+    return out.select("d", text.alias("text"), F.size("lines").alias("n_lines"), removed.alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """All rows and columns of `docs`, the text without the repeated runs, and `n_lines`, `n_removed` (in place of columns of these names)."""
+    kept = [F.col("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _cut(docs, min_words).select(*kept, "n_lines", "n_removed")
+
+
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """All rows of `docs` with the same columns: the text without the repeated runs, and n_chars, where there is one, of the shortened texts."""
+    cols = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(cols["n_chars"])
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return _cut(docs, min_words).select(*[c.cast(kinds[name]).alias(name) for name, c in cols.items()])
 
 
 ORACLE = f"""

@@ -190,10 +190,10 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
         _predictor(shared), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def _sieve(model, least: float):
+def _sieve(model, text: int, least: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = model.value.predict(texts(b.column("text").cast(pa.string())))
+            got = model.value.predict(texts(b.column(text).cast(pa.string())))
             yield b.filter(pa.array([p != "und" and s >= least for p, s in got], pa.bool_()))
 
     return keep
@@ -202,4 +202,5 @@ def _sieve(model, least: float):
 def with_language(docs: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
     """The documents whose language is told with a score of `least` or more; all columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    return docs.mapInArrow(_sieve(shared, least), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(_sieve(shared, docs.columns.index("text"), least), plain.schema).toDF(*docs.columns)

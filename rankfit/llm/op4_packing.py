@@ -2,13 +2,13 @@
 
 Every partition keeps a fixed number of open windows. A document is cut at the window length; what is left of it goes in
 the open window it fills best. When it fits in none, its head tops up the fullest window, which is emitted full, and the
-rest takes the freed place. At the end the windows still open are merged in a second, short step: whole windows of several
-partitions, best fit in order of size.
+rest takes the freed place. At the end the windows still open are merged in a second, short step: the pieces of several
+partitions' windows, best fit in order of size, cut only where they fit in no gap.
 
-Memory: the open windows, the batch at hand and a word cache of bounded size. Only pieces (a few numbers each) are
-written between the two steps, never ids or texts. Null texts count as empty: such a document is its end id alone.
-Repeated rows and equal doc_ids are packed as documents of their own; further columns are ignored; an empty table gives
-no rows.
+Memory: the open windows, the batch at hand and a word cache of bounded size. Between the two steps pieces are written as
+a few numbers each; only the pieces of open windows carry their ids. Null texts count as empty: such a document is its end
+id alone. Repeated rows and equal doc_ids are packed as documents of their own; further columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ class Words:
 
 
 class OpenWindows:
-    """Open windows in order of fill. A piece is (doc_id, start, length, crc, doc_tokens)."""
+    """Open windows in order of fill. A piece is (doc_id, start, length, crc, doc_tokens, ids)."""
 
     def __init__(self, places: int, length: int):
         self.places, self.length = places, length
@@ -137,10 +137,11 @@ class OpenWindows:
         return self.fills.pop()
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, part int, open boolean"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, part int, open boolean, ids binary"
+RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                           ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int32()),
-                          ("open", pa.bool_())])
+                          ("open", pa.bool_()), ("ids", pa.binary())])
 
 
 def _packer(path: str, length: int, places: int):
@@ -152,7 +153,8 @@ def _packer(path: str, length: int, places: int):
         def emit(n: int, still_open: bool) -> None:
             offset = 0
             for piece in windows.pieces.pop(n):
-                rows.append((*piece, (part << 33) + n, offset, part, still_open))
+                *own, ids = piece
+                rows.append((*own, (part << 33) + n, offset, part, still_open, ids if still_open else None))
                 offset += piece[2]
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,8 @@ def _packer(path: str, length: int, places: int):
                 total = len(ids) // 4
 
                 def piece(start: int, size: int) -> tuple:
-                    return doc_id, start, size, zlib.crc32(memoryview(ids)[start * 4:(start + size) * 4]), total
+                    own = ids[start * 4:(start + size) * 4]
+                    return doc_id, start, size, zlib.crc32(own), total, own
 
                 at = 0
                 while total - at >= length:
@@ -194,19 +197,24 @@ def _packer(path: str, length: int, places: int):
 
 def _merge(length: int, first_id: int):
     def merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["part", "sequence_id", "offset"], ignore_index=True)
-        sizes = pieces.groupby(["part", "sequence_id"], sort=True)["length"].sum()
-        windows = OpenWindows(len(sizes), length)
-        offsets, place = {}, {}
-        filled: dict[int, int] = {}
-        for own, size in sizes.sort_values(ascending=False, kind="stable").items():
-            n = windows.put(int(size))
-            place[own], offsets[own] = n, filled.get(n, 0)
-            filled[n] = offsets[own] + int(size)
-        own = list(zip(pieces["part"], pieces["sequence_id"]))
-        return pieces.assign(
-            offset=pieces["offset"].to_numpy() + np.array([offsets[o] for o in own]),
-            sequence_id=np.array([first_id + (int(key[0]) << 33) + place[o] for o in own]), open=False)
+        """As few sequences as hold all pieces: whole ones best fit in order of size, and what fits nowhere is cut over the gaps."""
+        pieces = pieces.sort_values(["length", "part", "sequence_id", "offset"], ascending=[False, True, True, True], ignore_index=True)
+        windows, filled, rows = OpenWindows(-(-int(pieces["length"].sum()) // length), length), {}, []
+        for doc_id, start, size, total, ids in zip(*[pieces[c] for c in ("doc_id", "start", "length", "doc_tokens", "ids")]):
+            at = 0
+            while at < size:
+                n, own = windows.put(size - at), size - at
+                if n is None:
+                    fill, n = windows.take_fullest()
+                    windows.places -= 1
+                    own = length - fill
+                if own:
+                    crc = zlib.crc32(memoryview(ids)[at * 4:(at + own) * 4])
+                    rows.append((doc_id, start + at, own, crc, total, first_id + (int(key[0]) << 33) + n, filled.get(n, 0)))
+                    filled[n] = filled.get(n, 0) + own
+                    at += own
+        out = pd.DataFrame(rows, columns=RESULT)
+        return out.astype({"doc_id": "Int64"})
 
     return merge
 
@@ -216,5 +224,6 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     pieces = written(
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_packer(path, length, places), PIECES), "pieces")
-    merged = pieces.filter("open").groupBy((F.col("part") / FAN_IN).cast("int")).applyInPandas(_merge(length, 1 << 62), PIECES)
-    return pieces.filter("not open").unionByName(merged).drop("part", "open")
+    merged = pieces.filter("open").groupBy((F.col("part") / FAN_IN).cast("int")).applyInPandas(
+        _merge(length, 1 << 62), ", ".join(f"{c} bigint" for c in RESULT))
+    return pieces.filter("not open").select(*RESULT).unionByName(merged)

@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest id of each group; of repeated rows with that id one stays. Rows without
     an id can't be named as copies and stay."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    again = F.lag(F.struct("text")).over(Window.partitionBy("doc_id").orderBy("text")).eqNullSafe(F.struct("text"))
-    kept = kept.withColumn("_again", again).filter("not _again").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    first = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
+    rows = docs.select(F.struct("*").alias("d"))
+    kept = rows.join(first, F.col("d.doc_id") == F.col("keep"), "left_semi")
+    own = F.struct("d.text")
+    again = F.lag(own).over(Window.partitionBy("d.doc_id").orderBy("d.text")).eqNullSafe(own)
+    return kept.select("d", again.alias("again")).filter("not again").select("d.*").unionByName(docs.filter(docs.doc_id.isNull()))
