@@ -9,13 +9,13 @@ from .numeric import col
 # fixed values: labels from worst to best
 LABELS = ["Moonshot", "Major Reach", "Possible", "Realistic Shot", "Strong Chance", "Very Strong Chance"]
 MOONSHOT_FUN = "Moonshot — Apply for Fun"
-# fixed values: row = academic band 4..0, column = swim band 4..0, entry = index into LABELS
+# fixed values: academic band -> swim band -> label
 MATRIX = {
-    4: [5, 4, 4, 3, 2],
-    3: [4, 4, 3, 2, 2],
-    2: [4, 3, 2, 2, 1],
-    1: [3, 2, 2, 1, 0],
-    0: [1, 1, 0, 0, 0],
+    4: {4: "Very Strong Chance", 3: "Strong Chance", 2: "Strong Chance", 1: "Realistic Shot", 0: "Possible"},
+    3: {4: "Strong Chance", 3: "Strong Chance", 2: "Realistic Shot", 1: "Possible", 0: "Possible"},
+    2: {4: "Strong Chance", 3: "Realistic Shot", 2: "Possible", 1: "Possible", 0: "Major Reach"},
+    1: {4: "Realistic Shot", 3: "Possible", 2: "Possible", 1: "Major Reach", 0: "Moonshot"},
+    0: {4: "Major Reach", 3: "Major Reach", 2: "Moonshot", 1: "Moonshot", 0: "Moonshot"},
 }
 # fixed values: swim tier to support band
 SWIM_BANDS = {
@@ -119,12 +119,8 @@ def admission_label(df, has_meta="has_meta", moonshot="moonshot", **cols):
     """Add `label`, `color`, `acad_band`, `swim_band`. Guardrails run in their fixed order."""
     d = admission_bands(df, **cols)
     acad, swim, sel = F.col("acad_band"), F.col("swim_band"), F.col("sel_tier")
-    rank = None
-    for a, row in MATRIX.items():
-        for i, value in enumerate(row):
-            cond = (acad == a) & (swim == 4 - i)
-            rank = F.when(cond, value) if rank is None else rank.when(cond, value)
-    d = d.withColumn("_rank", rank)
+    cells = {f"{a}|{s}": LABELS.index(label) for a, row in MATRIX.items() for s, label in row.items()}
+    d = d.withColumn("_rank", lookup(F.concat_ws("|", acad, swim), cells))
 
     def step(expr: Column) -> None:
         nonlocal d
@@ -175,16 +171,17 @@ def admission_label_simple(accept, sat_median, sat) -> Column:
     )
 
 
-# fixed values: ACT composite 15..36 to SAT composite
-ACT_FIRST = 15
-ACT_SAT = [850, 890, 930, 970, 1010, 1040, 1080, 1110, 1140, 1180, 1210, 1240, 1280, 1310, 1340, 1370, 1400, 1430,
-           1460, 1500, 1540, 1590]
+# fixed values: ACT composite -> SAT composite
+ACT_SAT = {
+    36: 1590, 35: 1540, 34: 1500, 33: 1460, 32: 1430, 31: 1400, 30: 1370, 29: 1340, 28: 1310, 27: 1280, 26: 1240,
+    25: 1210, 24: 1180, 23: 1140, 22: 1110, 21: 1080, 20: 1040, 19: 1010, 18: 970, 17: 930, 16: 890, 15: 850,
+}
 
 
 def act_to_sat(act) -> Column:
     a = col(act).cast("int")
     formula = F.bround(a / F.lit(36.0) * 1200 + 400, 0).cast("int")
-    return F.coalesce(F.get(F.array(*[F.lit(v) for v in ACT_SAT]), a - ACT_FIRST), formula)
+    return F.coalesce(lookup(a, ACT_SAT), formula)
 
 
 # fixed values: cost of attendance by accept percent, two published tables

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .admission import LABELS, MOONSHOT_FUN, lookup
+from .admission import lookup
 from .names import state_code
 from .numeric import col
 
@@ -69,7 +69,16 @@ SORTS = [
     ("d3", ["d3", "division 3", "division iii", "small school", "small college"]),
 ]
 # fixed values: label scores, strength of a conference tier without points, merit order
-LABEL_SCORES = dict(zip(LABELS, [5, 15, 40, 60, 80, 100])) | {MOONSHOT_FUN: 2, "Unknown": 25}
+LABEL_SCORES = {
+    "Very Strong Chance": 100,
+    "Strong Chance": 80,
+    "Realistic Shot": 60,
+    "Possible": 40,
+    "Major Reach": 15,
+    "Moonshot": 5,
+    "Moonshot — Apply for Fun": 2,
+    "Unknown": 25,
+}
 TIER_PROXY = {"1A": 120, "1B": 95, "2": 70, "3": 45, "4": 20}
 COMPOSITE_PROXY = {"1A": 130, "1B": 100, "2": 72, "3": 46, "4": 22}
 MERIT_ORDER = {"high": 0, "moderate": 1, "none": 2}

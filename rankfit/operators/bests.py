@@ -9,13 +9,14 @@ from ..functions.numeric import col, round_to, to_double
 from ..functions.times import is_placeholder_time
 
 MIN_IMPROVEMENT = 0.15
-# fixed values: stroke codes and the events they form with a distance
+# fixed values: (distance, stroke code) -> event
 EVENT_CODES = {
-    "1": ("Free", [50, 100, 200, 500, 1000, 1650]),
-    "2": ("Back", [100, 200]),
-    "3": ("Breast", [100, 200]),
-    "4": ("Fly", [100, 200]),
-    "5": ("IM", [200, 400]),
+    (50, "1"): "50 Free", (100, "1"): "100 Free", (200, "1"): "200 Free", (500, "1"): "500 Free",
+    (1000, "1"): "1000 Free", (1650, "1"): "1650 Free",
+    (100, "2"): "100 Back", (200, "2"): "200 Back",
+    (100, "3"): "100 Breast", (200, "3"): "200 Breast",
+    (100, "4"): "100 Fly", (200, "4"): "200 Fly",
+    (200, "5"): "200 IM", (400, "5"): "400 IM",
 }
 # fixed values: largest believable improvement in seconds
 MAX_DROP = {
@@ -27,7 +28,7 @@ MAX_DROP = {
 
 def event_of(distance, stroke) -> Column:
     """Event label of a distance and stroke code; null when not supported."""
-    table = {f"{d}|{code}": f"{d} {name}" for code, (name, dists) in EVENT_CODES.items() for d in dists}
+    table = {f"{d}|{code}": event for (d, code), event in EVENT_CODES.items()}
     return lookup(F.concat_ws("|", col(distance).cast("string"), col(stroke)), table)
 
 

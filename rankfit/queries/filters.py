@@ -17,7 +17,8 @@ SELECT id AS school, adj_tier, id % 5 <> 4 AS has_swim, CASE id % 6 WHEN 0 THEN
   id % 10 <> 9 AS has_any_times, id % 4 <> 3 AS is_swim, id % 7 = 6 AS is_explicit_reach, CASE id % 3 WHEN 0 THEN 80 WHEN 1 THEN 60 END AS adm_threshold, accept, psf * 60 AS adj_pts
 FROM (SELECT *, CASE WHEN id % 13 = 12 THEN '' ELSE adj_tier END AS t2 FROM {applicants}) x
 """)
-SCORE_SQL = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in IN.LABEL_SCORES.items()) + " ELSE 25 END"
+SCORE_SQL = lambda c: f"""CASE {c} WHEN 'Very Strong Chance' THEN 100 WHEN 'Strong Chance' THEN 80 WHEN 'Realistic Shot' THEN 60 WHEN 'Possible' THEN 40 WHEN 'Major Reach' THEN 15
+  WHEN 'Moonshot' THEN 5 WHEN 'Moonshot — Apply for Fun' THEN 2 ELSE 25 END"""
 _REASONS = f"""SELECT school, array_to_string([x for x in [CASE WHEN is_swim AND NOT is_explicit_reach THEN CASE WHEN NOT has_swim THEN 'no swim data' WHEN adj_tier = '' AND has_any_times THEN 'no scorable events at this school'
    WHEN adj_tier IN ('Below Roster Level', 'Not Competitive') THEN 'not competitive — ' || adj_tier END END,
   CASE WHEN {SCORE_SQL('label')} < adm_threshold THEN 'below threshold (' || label || ', need ' || CASE WHEN adm_threshold >= 80 THEN 'Strong Chance' ELSE 'Realistic Shot' END || '+)' END] if x IS NOT NULL], '; ') AS reason FROM {{search_rows}}"""
@@ -79,7 +80,9 @@ FROM (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) % 30000 / 100.0 AS c FROM
 
 
 def event_code_sql() -> str:
-    return "CASE " + " ".join(f"WHEN eventstroke = '{code}' AND eventdistance IN ({', '.join(map(str, ds))}) THEN eventdistance || ' {name}'" for code, (name, ds) in B.EVENT_CODES.items()) + " END"
+    return """CASE WHEN eventstroke = '1' AND eventdistance IN (50, 100, 200, 500, 1000, 1650) THEN eventdistance || ' Free' WHEN eventstroke = '2' AND eventdistance IN (100, 200) THEN eventdistance || ' Back'
+      WHEN eventstroke = '3' AND eventdistance IN (100, 200) THEN eventdistance || ' Breast' WHEN eventstroke = '4' AND eventdistance IN (100, 200) THEN eventdistance || ' Fly'
+      WHEN eventstroke = '5' AND eventdistance IN (200, 400) THEN eventdistance || ' IM' END"""
 
 
 LEGAL_SQL = f"legal_rows AS (SELECT *, {event_code_sql()} AS event FROM {{raw_results}} WHERE eventcourse = 'Y' AND coalesce(legal, true))"

@@ -215,7 +215,8 @@ def _(t):
 
 
 def division_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN {c} IN {stop_sql(v)} THEN '{d}'" for d, v in TX.DIVISIONS.items()) + " ELSE 'D3' END"
+    return f"""CASE WHEN {c} IN ('ACC', 'ASUN', 'America East', 'Atlantic 10', 'Big 12', 'Big East', 'Big Ten', 'Big West', 'CAA', 'Horizon League', 'Ivy League',
+      'MAAC', 'MPSF', 'Patriot', 'SEC', 'Summit League', 'WAC') THEN 'D1' WHEN {c} IN ('GLIAC', 'PSAC', 'SAC') THEN 'D2' WHEN {c} = 'PCSC' THEN 'NAIA' ELSE 'D3' END"""
 
 
 @query("map_with_default", f"SELECT k, conference, {division_sql('conference')} AS division FROM (SELECT k, {_category_sql('lower(file_name)')} AS conference FROM {{file_text}}) x")
@@ -278,18 +279,22 @@ def _(t):
 
 
 def _section_sql(c: str) -> str:
-    out = []
-    for pattern, kind in TX.SECTION_TYPES:
-        out.append(f"WHEN {c} = '{pattern[1:]}' THEN '{kind}'" if pattern[0] == "=" else f"WHEN contains({c}, '{pattern}') THEN '{kind}'")
-    return "CASE " + " ".join(out) + " ELSE 'content' END"
+    return f"""CASE WHEN contains({c}, 'bottom line') THEN 'bottom_line' WHEN contains({c}, 'in the pool') THEN 'in_the_pool' WHEN contains({c}, 'coach interest') THEN 'coach_interest'
+      WHEN contains({c}, 'is known for') THEN 'known_for' WHEN {c} = 'academic program' THEN 'academic_program' WHEN contains({c}, 'are you admissible') THEN 'are_you_admissible'
+      WHEN contains({c}, 'what it costs') THEN 'what_it_costs' WHEN {c} = 'campus life' THEN 'campus_life' WHEN {c} = 'outcomes' THEN 'outcomes'
+      WHEN contains({c}, 'how it compares') THEN 'how_it_compares' WHEN contains({c}, 'more: going deeper') OR contains({c}, 'more: academic') THEN 'more_going_deeper'
+      WHEN contains({c}, 'more: student experience') OR contains({c}, 'life outside the pool') THEN 'more_student_experience' WHEN contains({c}, 'more: career paths') THEN 'more_career_paths'
+      WHEN contains({c}, 'minor') THEN 'minor' ELSE 'unknown' END"""
 
 
 @query("split_sections", f"""WITH p AS (SELECT k, turn, unnest(range(0, len(a))) AS position, a FROM (SELECT k, turn, string_split(chr(10) || t, chr(10) || '## ') AS a FROM {{sectioned}}) x),
 q AS (SELECT k, turn, CAST(position AS INTEGER) AS position, trim(a[position + 1], ' ' || chr(10)) AS part FROM p),
 r AS (SELECT k, turn, position, trim(split_part(part, chr(10), 1)) AS title, CASE WHEN contains(part, chr(10)) THEN trim(substr(part, instr(part, chr(10)) + 1), ' ' || chr(10)) ELSE '' END AS body FROM q WHERE part <> '')
-SELECT k, turn, position, title, md5(body) AS body, {_section_sql('lower(title)')} AS type FROM r""")
+SELECT *, CASE WHEN slug IN ('bottom_line', 'academic_program', 'outcomes', 'more_student_experience', 'more_career_paths', 'minor') THEN slug WHEN slug = 'campus_life' THEN 'student_experience'
+  WHEN slug = 'more_going_deeper' THEN 'more_academic' ELSE 'content' END AS type
+FROM (SELECT k, turn, position, title, md5(body) AS body, {_section_sql('lower(title)')} AS slug FROM r) x""")
 def _(t):
-    return TX.split_sections(t.sectioned, "t").select("k", "turn", "position", "title", F.md5("body").alias("body"), "type")
+    return TX.split_sections(t.sectioned, "t").select("k", "turn", "position", "title", F.md5("body").alias("body"), "slug", "type")
 
 
 role("json_text", """
@@ -297,9 +302,10 @@ SELECT event_id AS k, CASE event_id % 4 WHEN 0 THEN 'Here: ```json' || chr(10) |
 """)
 
 
-@query("json_in_text", """SELECT k, CASE WHEN k % 4 IN (0, 1) THEN CAST(json_extract_string(regexp_extract(t, '\\{.*\\}'), '$.k') AS BIGINT) END AS value, contains(t, '{') AS has_object FROM {json_text}""")
+@query("json_in_text", """SELECT k, CASE WHEN k % 4 IN (0, 1) THEN CAST(json_extract_string(regexp_extract(t, '\\{.*\\}'), '$.k') AS BIGINT) END AS value, contains(t, '{') AS has_object, CASE WHEN k % 4 = 3 THEN regexp_extract(t, '\\{.*\\}') END AS reject FROM {json_text}""")
 def _(t):
-    return t.json_text.select("k", TX.json_in_text("t", "k bigint")["k"].alias("value"), F.contains("t", F.lit("{")).alias("has_object"))
+    got = TX.json_or_reject("t", "k bigint")
+    return t.json_text.select("k", got["value"]["k"].alias("value"), F.contains("t", F.lit("{")).alias("has_object"), got["reject"].alias("reject"))
 
 
 # image candidates from the pages: one srcset, one lazy image and one plain image per page
@@ -433,8 +439,9 @@ def _(t):
 
 def admission_sql(src: str, keep: str) -> str:
     """Reference decision over a relation with the applicant columns; `keep` names the columns to carry."""
-    rank = "CASE " + " ".join(f"WHEN acad = {a} AND swim = {4 - i} THEN {v}" for a, row in AD.MATRIX.items() for i, v in enumerate(row)) + " END"
-    labels = "CASE r6 " + " ".join(f"WHEN {i} THEN '{lab}'" for i, lab in enumerate(AD.LABELS)) + " END"
+    # 5 is the best label; rows are academic bands 4 to 0, columns swim bands 4 to 0
+    rank = "list_extract(list_extract([[5, 4, 4, 3, 2], [4, 4, 3, 2, 2], [4, 3, 2, 2, 1], [3, 2, 2, 1, 0], [1, 1, 0, 0, 0]], 5 - acad), 5 - swim)"
+    labels = """CASE r6 WHEN 5 THEN 'Very Strong Chance' WHEN 4 THEN 'Strong Chance' WHEN 3 THEN 'Realistic Shot' WHEN 2 THEN 'Possible' WHEN 1 THEN 'Major Reach' WHEN 0 THEN 'Moonshot' END"""
     bands = "CASE adj_tier " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in AD.SWIM_BANDS.items()) + " ELSE 0 END"
     colors = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AD.LABEL_COLORS.items()) + " ELSE '#94A3B8' END"
     return f"""
@@ -470,7 +477,8 @@ def _(t):
     return t.applicants.select("id", AD.admission_label_simple("accept", "sat_median", "sat").alias("label"))
 
 
-@query("act_to_sat", "SELECT id, CASE act " + " ".join(f"WHEN {AD.ACT_FIRST + i} THEN {v}" for i, v in enumerate(AD.ACT_SAT)) + " ELSE CAST(round(act / 36.0 * 1200 + 400) AS INTEGER) END AS sat FROM {applicants}")
+@query("act_to_sat", """SELECT id, CASE WHEN act BETWEEN 15 AND 36 THEN list_extract([850, 890, 930, 970, 1010, 1040, 1080, 1110, 1140, 1180, 1210, 1240, 1280, 1310, 1340, 1370, 1400, 1430,
+  1460, 1500, 1540, 1590], act - 14) ELSE CAST(round(act / 36.0 * 1200 + 400) AS INTEGER) END AS sat FROM {applicants}""")
 def _(t):
     return t.applicants.select("id", AD.act_to_sat("act").alias("sat"))
 
