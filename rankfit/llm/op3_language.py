@@ -151,7 +151,7 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS, penalties: Penalties = PENA
     idf = np.zeros(BUCKETS)
     idf[known["bucket"].to_numpy()] = np.log((1 + n_docs) / (1 + known["df"].to_numpy())) + 1
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    chosen = sample_per_class(rows.select("doc_id", key.alias("key"), "lang").distinct(), "lang", "key", per_class)
+    chosen = sample_per_class(rows.select("doc_id", key.alias("key"), "lang"), "lang", "key", per_class)
     sampled = rows.join(F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))),
                         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
     got = sampled.select(key.alias("key"), "lang", "text").mapInArrow(

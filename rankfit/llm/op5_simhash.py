@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = own.join(roots, own.fp == roots.node).select("fp", "doc", "root")
     least = found.groupBy("root").agg(F.min("doc").alias("least"))
     moved = found.join(least, "root").select("fp", F.col("least").alias("component_id"))
-    groups = own.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id"))
+    # as a table, so that the join below reads both sides from plain shuffles and a very common fingerprint can be split
+    groups = written(own.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id")), "groups")
     return fps.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

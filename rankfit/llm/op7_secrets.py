@@ -97,7 +97,8 @@ def findings(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.coalesce(F.size(F.filter("spans", lambda s: s["kind"] == kind)), F.lit(0)).cast("bigint")
     hit = hit.select("blob", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
-    out = paths.join(hit, "blob", "left")
+    # as a table, so that the join reads both sides from plain shuffles and a very common blob can be split
+    out = paths.join(written(hit, "findings"), "blob", "left")
     return out.select(F.col("path").alias("doc_id"), *[F.coalesce(f"n_{k}", F.lit(0).cast("bigint")).alias(f"n_{k}") for k in BASE],
                       F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
