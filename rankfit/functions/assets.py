@@ -326,9 +326,12 @@ def resolve_url(raw, base, drop_query: bool = False) -> Column:
     path = F.regexp_replace(F.substr(b, F.length(origin) + 1), r"[?#].*$", "")
     folder = F.regexp_replace(path, r"[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
-    joined = F.regexp_replace(F.concat(folder, r), r"/\./", "/")
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/(?!\.\.?/)[^/]+/\.\./", "/")
+    own, rest = F.regexp_extract(r, r"^[^?#]*", 0), F.regexp_extract(r, r"[?#].*$", 0)
+    steps = F.split(F.substr(F.concat(folder, own), F.lit(2)), "/")
+    at_end = F.get(F.reverse(steps), F.lit(0)).isin(".", "..")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(at_end & (F.size(kept) > 0), "/").otherwise(""), rest)
     out = (
         F.when(r == "", b)
         .when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), r)
@@ -336,7 +339,7 @@ def resolve_url(raw, base, drop_query: bool = False) -> Column:
         .when(F.startswith(r, F.lit("/")), F.concat(origin, r))
         .when(F.startswith(r, F.lit("?")), F.concat(origin, path, r))
         .when(F.startswith(r, F.lit("#")), F.concat(F.regexp_replace(b, "#.*$", ""), r))
-        .otherwise(F.concat(origin, F.regexp_replace(joined, r"^/(\.\./)+", "/")))
+        .otherwise(F.concat(origin, joined))
     )
     return F.substring_index(out, "?", 1) if drop_query else out
 
@@ -392,10 +395,12 @@ def extract_images(df, html: str = "html", page_url: str = "url"):
     usable = lambda s: (s["raw"] != "") & ~F.startswith(s["raw"], F.lit("data:"))
     found = F.filter(F.transform(tags, image), usable)
     found = F.transform(found, lambda s, i: s.withField("position", i + 1))
-    rows = df.select("*", F.posexplode(F.concat(F.filter(metas, usable), found)).alias("_at", "_img"))
+    every = F.transform(F.concat(F.filter(metas, usable), found), lambda s: s.withField("url", resolve_url(s["raw"], base)))
+    once = F.filter(every, lambda s, i: F.array_position(F.transform(every, lambda x: x["url"]), s["url"]) == i + 1)
+    rows = df.select("*", F.posexplode(once).alias("_at", "_img"))
     pos, meta = F.col("_img.position"), F.col("_img.from_meta")
     rows = rows.select(
-        *df.columns, "_at", resolve_url("_img.raw", base).alias("image_url"), F.col("_img.alt").alias("alt"),
+        *df.columns, "_at", F.col("_img.url").alias("image_url"), F.col("_img.alt").alias("alt"),
         F.col("_img.width").alias("width"), F.col("_img.height").alias("height"), meta.alias("from_meta"),
         F.when(meta, 10).when(pos <= 4, 5 - pos).otherwise(0).alias("prominence"),
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import round_to
-from ..session import cut_lineage
-from .keyed import first_per_key, top_k_per_key
+from .keyed import first_per_key
 
 ANCHOR_PLACES = (1, 8, 16)
 MIN_SHORT_FIELD = 8
@@ -118,52 +118,61 @@ def pick_best_version(summary: DataFrame, keys: Sequence[str], version: str, pla
 
 
 def smart_merge(df: DataFrame, keys: Sequence[str], version: str, place: str = "place", sec: str = "sec",
-                session: str = "session_score", max_rounds: int | None = None) -> DataFrame:
+                session: str = "session_score") -> DataFrame:
     """Fold versions in order: little overlap (at most three places) unions the places, first kept; otherwise
     the better version (session score, then completeness) replaces the state.
 
-    One round of joins per further version, keyed by (group, place), so no group is pulled into one task.
+    The fold is sequential within a group by its nature. Rows come sorted by group and version and stream through the
+    task; it holds the places of one state and one version, so a group may have any number of versions.
     """
     keys = list(keys)
-    order = df.select(*keys, version).distinct()
-    numbered = top_k_per_key(order, keys, [F.asc(version)], 999, "_v")
-    rows = df.join(numbered, [*keys, version]).select(*keys, place, sec, session, "_v")
-    if max_rounds is None:
-        max_rounds = rows.agg(F.max("_v")).first()[0] or 0
-    rows = cut_lineage(rows) if max_rounds > 2 else rows
-    state = rows.filter("_v = 1").drop("_v")
-    for v in range(2, int(max_rounds) + 1):
-        other = rows.filter(F.col("_v") == v).drop("_v")
-        both = state.select(*keys, place).join(other.select(*keys, place), [*keys, place])
-        overlap = both.groupBy(*keys).agg(F.count("*").alias("_over"))
-        verdict = (
-            _fold_stats(state, keys, place, session, "s")
-            .join(_fold_stats(other, keys, place, session, "o"), keys)
-            .join(overlap, keys, "left")
-            .withColumn("_union", F.coalesce(F.col("_over"), F.lit(0)) <= OVERLAP_LIMIT)
-            .withColumn("_replace", ~F.col("_union") & (
-                (F.col("_score_o") > F.col("_score_s"))
-                | ((F.col("_score_o") == F.col("_score_s")) & (F.col("_full_o") > F.col("_full_s")))))
-            .withColumn("_session", F.when(F.col("_union"), F.greatest("_score_s", "_score_o"))
-                        .when(F.col("_replace"), F.col("_score_o")).otherwise(F.col("_score_s")))
-            .select(*keys, "_union", "_replace", "_session")
-        )
-        keep = state.join(verdict, keys, "left").filter(~F.coalesce(F.col("_replace"), F.lit(False)))
-        keep = keep.withColumn(session, F.coalesce(F.col("_session"), F.col(session)))
-        add = other.join(verdict, keys, "left").filter(
-            F.coalesce(F.col("_union") | F.col("_replace"), F.lit(True)))
-        add = add.withColumn(session, F.coalesce(F.col("_session"), F.col(session)))
-        fresh = add.join(keep.select(*keys, place), [*keys, place], "left_anti")
-        state = keep.select(*keys, place, sec, session).unionByName(fresh.select(*keys, place, sec, session))
-        if v % 4 == 0 and v < max_rounds:
-            state = cut_lineage(state)
-    return state
-
-
-def _fold_stats(df: DataFrame, keys, place: str, session: str, tag: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.max(session).alias(f"_score_{tag}"), F.count_if(F.col(place).isin(*ANCHOR_PLACES)).alias(f"_full_{tag}")
-    )
+    rows = df.select(*keys, version, place, sec, session)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, version, place, sec)
+    return dealt.mapInArrow(_folded(len(keys)), dealt.drop(version).schema)
+
+
+def _folded(n_keys: int):
+    """Rows are (keys..., version, place, sec, session), sorted; the result leaves the version out."""
+
+    def stats(places: dict) -> tuple:
+        scores = [s for _, s in places.values() if s is not None]
+        return max(scores, default=None), sum(p in places for p in ANCHOR_PLACES)
+
+    def merged(state: dict | None, other: dict) -> dict:
+        if state is None:
+            return other
+        (score, full), (new_score, new_full) = stats(state), stats(other)
+        if len(state.keys() & other.keys()) <= OVERLAP_LIMIT:
+            best = max((s for s in (score, new_score) if s is not None), default=None)
+            return {p: (t, s if best is None else best) for p, (t, s) in {**other, **state}.items()}
+        if None not in (score, new_score) and (new_score, new_full) > (score, full):
+            return {p: (t, new_score) for p, (t, _) in other.items()}
+        return {p: (t, s if score is None else score) for p, (t, s) in state.items()}
+
+    def fold(batches):
+        group, number, state, own, schema, out = None, None, None, {}, None, []
+        for b in batches:
+            schema = pa.schema([f for i, f in enumerate(b.schema) if i != n_keys])
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                at, v, (place, sec, session) = row[:n_keys], row[n_keys], row[n_keys + 1:]
+                if (at, v) != (group, number):
+                    if own:
+                        state = merged(state, own)
+                    if at != group:
+                        if state:
+                            out += [(*group, p, t, s) for p, (t, s) in state.items()]
+                        state = None
+                    group, number, own = at, v, {}
+                own.setdefault(place, (sec, session))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if own:
+            state = merged(state, own)
+            out = [(*group, p, t, s) for p, (t, s) in state.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return fold
 
 
 def quality_label(session_score: Column) -> Column:
@@ -176,17 +185,27 @@ def fallback_type(quality: Column) -> Column:
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence) -> tuple[DataFrame, DataFrame]:
-    """Rows that hold their key first, and the suppressed duplicates with a flag.
+    """The row that holds its key first (ties: the smallest of the other columns), and the suppressed duplicates with a flag.
 
-    Suppressed rows are those that differ from the first holder of the key, found by a join on the key, so no
-    window has to number a whole hot key.
+    Equal rows are counted, the first row of a key is a minimum, and both are joined on the key, so no window has to number
+    a whole hot key.
     """
-    order_cols = [F.col(o) for o in order]
-    firsts = df.groupBy(*keys).agg(F.min(F.struct(*order_cols)).alias("_head"))
-    marked = df.join(firsts, list(keys)).withColumn("_is_first", F.struct(*order_cols) == F.col("_head"))
-    kept = marked.filter("_is_first").drop("_head", "_is_first")
-    dropped = marked.filter("NOT _is_first").drop("_head", "_is_first").withColumn("issue", F.lit("duplicate_suppressed"))
-    return kept, dropped
+    ranked = [*order, *[c for c in df.columns if c not in order]]
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    firsts = counted.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_head"))
+    marked = counted.join(firsts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_head"), _null_safe(counted, keys))
+    marked = marked.withColumn("_is_first", F.struct(*ranked).eqNullSafe(F.col("_head")))
+    kept = marked.filter("_is_first").select(*df.columns)
+    more = F.col("_n") - F.when(F.col("_is_first"), 1).otherwise(0)
+    dropped = marked.filter(more > 0).select(*df.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), more)).alias("_i")).drop("_i")
+    return kept, dropped.withColumn("issue", F.lit("duplicate_suppressed"))
+
+
+def _null_safe(df: DataFrame, keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(F.col(f"_key_{k}"))
+    return cond
 
 
 def anchor_sanity(df: DataFrame, true5="true5", true14="true14", first="first", eighth="eighth", sixteenth="sixteenth"):

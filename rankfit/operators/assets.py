@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -14,13 +15,14 @@ CATEGORIES = ["campus", "pool", "student_life"]
 
 def trim_per_category(rows: DataFrame, entity: str = "school", category: str = "category", url: str = "url",
                       score: str = "score", limit: int = 24, order: str | None = None) -> DataFrame:
-    """First row per url (input order, else best score), then the best `limit` per known category. Rows of unknown
-    categories stay."""
+    """First row per url (input order, else best score), then the best `limit` per known category; a row without
+    one belongs to the campus. Rows of unknown categories stay."""
     first = [F.asc(order), F.desc(score)] if order else [F.desc(score)]
     d = first_per_key(rows.filter(F.coalesce(F.col(url), F.lit("")) != ""), [entity, url], [*first, F.asc(category)])
-    known = F.coalesce(F.col(category), F.lit("campus")).isin(CATEGORIES)
-    best = top_k_per_key(d.filter(known), [entity, category], [F.desc(score), F.asc(url)], limit, "_rn").drop("_rn")
-    return best.unionByName(d.filter(~known))
+    d = d.withColumn("_category", F.coalesce(F.col(category), F.lit("campus")))
+    known = F.col("_category").isin(CATEGORIES)
+    best = top_k_per_key(d.filter(known), [entity, "_category"], [F.desc(score), F.asc(url)], limit, "_rn").drop("_rn")
+    return best.unionByName(d.filter(~known)).drop("_category")
 
 
 def best_per_slot(rows: DataFrame, entity: str, slot: str, url: str = "url", score: str = "score") -> DataFrame:
@@ -61,26 +63,53 @@ def drop_shared(rows: DataFrame, value: str, group: str, others: int = 2) -> Dat
 
 
 def global_exclusive_pick(rows: DataFrame, entity: str, entity_order: str, url: str = "url", score: str = "score",
-                          minimum: int = -5, max_rounds: int = 1000) -> DataFrame:
+                          minimum: int = -5, rounds: int = 20, block: int = 512) -> DataFrame:
     """Best url per entity where earlier entities choose first and a url is used once.
 
     Rounds of proposals: every unplaced entity proposes to its best url that has not refused it; each url keeps the
     earliest proposer and refuses the rest. With one common order of entities the stable outcome is exactly the
-    one-by-one choice, and each round is one aggregation and one anti join over all entities.
+    one-by-one choice, and each round is one aggregation and one anti join over all entities. Where many entities want
+    the same urls, rounds settle few of them; after `rounds` of them the entities still open choose in blocks of their
+    order: a block needs the best `block` free urls of each of its entities only, whatever the pool holds.
     """
     offers = cut_lineage(rows.filter(F.col(score) >= minimum).groupBy(entity, entity_order, url).agg(F.max(score).alias(score)))
     refused = None
-    for _ in range(max_rounds):
+    for _ in range(rounds):
         open_offers = offers if refused is None else offers.join(refused, [entity, url], "left_anti")
         best = first_per_key(open_offers, [entity], [F.desc(score), F.asc(url)])
-        holder = best.groupBy(url).agg(F.min_by(entity, entity_order).alias("_holder"))
-        judged = best.join(holder, url)
-        lost = judged.filter(F.col(entity) != F.col("_holder")).select(entity, url)
-        lost = cut_lineage(lost)
+        holder = best.groupBy(url).agg(F.min_by(entity, entity_order).alias("_holder"), F.min(entity_order).alias("_first"))
+        # a url that an earlier entity holds is never given up to a later one
+        lost = cut_lineage(open_offers.join(holder, url).filter((F.col(entity_order) > F.col("_first"))).select(entity, url))
         if lost.isEmpty():
-            return judged.select(entity, url, score)
+            return best.select(entity, url, score)
         refused = lost if refused is None else refused.unionByName(lost)
-    raise RuntimeError(f"no stable assignment within {max_rounds} rounds")
+    free = cut_lineage(offers.join(refused, [entity, url], "left_anti"))
+    picked = None
+    while True:
+        first = free.select(entity, entity_order).distinct().orderBy(entity_order, entity).limit(block)
+        own = top_k_per_key(free.join(F.broadcast(first.select(entity)), entity), [entity], [F.desc(score), F.asc(url)], block, "_rn")
+        # one bounded group: at most block x block offers
+        chosen = cut_lineage(own.groupBy(F.lit(0)).applyInPandas(_choose(entity, entity_order, url, score), free.select(entity, url, score).schema))
+        picked = chosen if picked is None else picked.unionByName(chosen)
+        done = first.agg(F.max(F.struct(entity_order, entity)).alias("m")).first()["m"]
+        if done is None:
+            return picked
+        later = F.struct(entity_order, entity) > F.struct(F.lit(done[0]).alias(entity_order), F.lit(done[1]).alias(entity))
+        free = cut_lineage(free.filter(later).join(chosen.select(url), url, "left_anti"))
+
+
+def _choose(entity: str, entity_order: str, url: str, score: str):
+    def choose(offers):
+        taken, rows = set(), []
+        for _, own in offers.sort_values([entity_order, entity, "_rn"]).groupby([entity_order, entity], sort=True):
+            for u, s in zip(own[url], own[score]):
+                if u not in taken:
+                    taken.add(u)
+                    rows.append(own[own[url] == u][[entity, url, score]].iloc[:1])
+                    break
+        return pd.concat(rows) if rows else offers[[entity, url, score]].iloc[:0]
+
+    return choose
 
 
 def crowded(rows: DataFrame, entity: str, limit: int, count: Column | None = None) -> DataFrame:

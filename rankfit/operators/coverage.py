@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import short_values
 from ..functions.events import OPTIONAL_EVENTS
 from .keyed import first_per_key
 
@@ -25,11 +26,12 @@ def expected_grid(groups: DataFrame, values: dict[str, Sequence[str]]) -> DataFr
 
 
 def expected_grid_of(groups: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Same with dimension columns that come from data: each dimension is folded to one sorted list first."""
+    """Same with dimension columns that come from data: the values of each dimension are looked up first."""
     d = groups
     for name, dim in dims.items():
-        items = dim.agg(F.array_sort(F.collect_set(name)).alias(f"_{name}"))
-        d = d.join(F.broadcast(items)).withColumn(name, F.explode(f"_{name}")).drop(f"_{name}")
+        kind = dict(dim.dtypes)[name]
+        items = F.array(*[F.lit(v) for v, in short_values(dim, [name]) if v is not None])
+        d = d.withColumn(name, F.explode(items.cast(f"array<{kind}>")))
     return d
 
 

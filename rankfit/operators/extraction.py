@@ -25,9 +25,11 @@ def lines_of(df: DataFrame, key: str, text: str, page: str | None = None) -> Dat
 
 
 def split_merged(lines: DataFrame) -> DataFrame:
-    """One row per entry of a merged line; order within a line is kept in the new line number."""
-    d = lines.select("source_file", "page_no", "line_no", F.posexplode(E.split_merged_line("text")).alias("_i", "text"))
-    return d.withColumn("line_no", F.col("line_no") * 1000 + F.col("_i")).drop("_i")
+    """One row per entry of a merged line. Lines are numbered anew in each file, as every line may become several."""
+    d = lines.select("source_file", "page_no", "line_no", E.split_merged_line("text").alias("_pieces"))
+    d = running_total(d, ["source_file"], "line_no", F.size("_pieces").cast("bigint"), "_till", chunked=True)
+    d = d.select("source_file", "page_no", (F.col("_till") - F.size("_pieces")).alias("_since"), F.posexplode("_pieces").alias("_i", "text"))
+    return d.select("source_file", "page_no", (F.col("_since") + F.col("_i")).cast("int").alias("line_no"), "text")
 
 
 def carry_state(lines: DataFrame, values: list[str], keys: list[str] = FILE, chunked: bool | None = None) -> DataFrame:

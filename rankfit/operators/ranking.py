@@ -57,12 +57,14 @@ def intent_sort(rows: DataFrame, query_key: str = "query_id", text: str = "query
 
 
 def prestige_sort(rows: DataFrame, query_key: str, limit: Column | int, by_label: bool = True, label: str = "label",
-                  accept: str = "accept", points: str = "adj_pts", name: str = "school", max_limit: int = 12) -> DataFrame:
-    """Hardest first: by label score or by accept rate (missing last), then points; limit per query."""
+                  accept: str = "accept", points: str = "adj_pts", name: str = "school") -> DataFrame:
+    """Hardest first: by label score or by accept rate (missing last), then points; limit per query, a number or a column."""
     first = I.label_score(label) if by_label else F.coalesce(F.nullif(accept, F.lit(0)), F.lit(999))
-    top = max_limit if not isinstance(limit, int) else limit
-    d = top_k_per_key(rows, [query_key], [first.asc(), F.desc(points), F.asc(name)], top, "position")
-    return d if isinstance(limit, int) else d.filter(F.col("position") <= limit)
+    order = [first.asc(), F.desc(points), F.asc(name)]
+    if isinstance(limit, int):
+        return top_k_per_key(rows, [query_key], order, limit, "position")
+    w = Window.partitionBy(query_key).orderBy(*order)
+    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
 
 
 def pick_by_position(pool: DataFrame, picks: DataFrame, key: str, order: Sequence, limit: int = SIMILAR_LIMIT) -> DataFrame:
@@ -90,12 +92,14 @@ def similar_entities(rows: DataFrame, name: str = "school", division: str = "div
     heads = top_k_per_key(d, cell, ordering, limit + 1, "_crn").select(*cell, F.col(name).alias("candidate"), *[
         F.col(o).alias(f"_o_{o}") for o in ordering])
     cells = d.select(*cell).distinct()
-    # one row per ordered pair of cells: bounded by the value domains, not by the number of entities
+    # one row per ordered pair of cells: every cell looks up all values of two of its three attributes, so cells meet on keys
+    # and their number is bounded by the value domains, not by the number of entities
     other = cells.withColumnsRenamed({c: f"c{c}" for c in cell})
     gap = F.when(F.col("_div") == F.col("c_div"), 0).otherwise(4) + F.abs(F.col("_sel") - F.col("c_sel")) * 3 + F.when(
         (F.col("_tier") != 99) & (F.col("c_tier") != 99), F.abs(F.col("_tier") - F.col("c_tier"))).otherwise(0)
-    pairs = cells.join(F.broadcast(other.agg(F.collect_list(F.struct(*other.columns)).alias("_all"))))
-    pairs = pairs.select(*cell, F.inline("_all")).withColumn("distance", gap)
+    values = lambda table, missing: F.explode(F.array(*[F.lit(v) for v in sorted({*table.values(), missing})]))
+    sought = cells.withColumn("c_sel", values(I.SELECTIVITY_ORDER, 3)).withColumn("c_tier", values(I.TIER_ORDER, 99))
+    pairs = sought.join(other, ["c_sel", "c_tier"]).withColumn("distance", gap)
     lists = pairs.join(heads.withColumnsRenamed({c: f"c{c}" for c in cell}), [f"c{c}" for c in cell])
     lists = top_k_per_key(lists, cell, ["distance", *[f"_o_{o}" for o in ordering]], limit + 1, "_lrn")
     lists = lists.select(*cell, "candidate", "distance", "_lrn")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import round_to
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage
 from .keyed import interpolated, order_statistics, value_counts
 
 METRICS = ("sw", "deep", "spread", "shape")
@@ -109,7 +109,7 @@ def nearest_other(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     fields = ["event", *[f"{m}_{s}" for m in METRICS for s in ("median", "mad")]]
     lists = profiles.groupBy(F.col("gender").alias("_g")).agg(
         F.collect_list(F.struct(*fields)).alias("_profiles"))
-    joined = rows.join(small_side(lists, 1000), rows["gender_norm"] == F.col("_g"), "left").drop("_g")
+    joined = rows.join(lists, rows["gender_norm"] == F.col("_g"), "left").drop("_g")
     values = {m: F.col(m) for m in METRICS}
     scored = F.transform(
         F.filter("_profiles", lambda p: p["event"] != F.col("event_norm")),
@@ -131,7 +131,7 @@ def validate_rows(rows: DataFrame, profiles: DataFrame, sw: str = "sw", deep: st
                        "shape": F.when(F.col("sw") > 0, F.col("deep") / F.col("sw"))})
     stat_cols = [f"{m}_{s}" for m in METRICS for s in ("median", "mad")] + ["sw_p95"]
     own = profiles.select(F.col("gender").alias("_pg"), F.col("event").alias("_pe"), F.lit(True).alias("_has"), *stat_cols)
-    d = d.join(small_side(own), (d["gender_norm"] == F.col("_pg")) & (d["event_norm"] == F.col("_pe")), "left")
+    d = d.join(own, (d["gender_norm"] == F.col("_pg")) & (d["event_norm"] == F.col("_pe")), "left")
     d = nearest_other(d, profiles)
     has = F.coalesce(F.col("_has"), F.lit(False))
     values = {m: F.col(m) for m in METRICS}

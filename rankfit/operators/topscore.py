@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import round_to
 from ..functions.scoring import confidence_weight, estimate_place, exp_points, place_label, tier_label
-from ..session import small_side
 from .keyed import top_k_per_key
 
 TOP_K = 4
@@ -19,9 +18,8 @@ def score_events(times: DataFrame, anchors: DataFrame, place: Column | None = No
 
     times: swimmer, event, sec. anchors: conference, event, first, eighth, sixteenth, sec_per_place.
     The join multiplies times by the number of groups, not by the number of teams. Anchors are one row per group and
-    event: when their counted size allows they are broadcast, so times are not shuffled on a few, possibly hot, events.
+    event; the size Spark measures decides whether they are broadcast or the hot events are split.
     """
-    anchors = small_side(anchors)
     at = place if place is not None else estimate_place("sec", "first", "eighth", "sixteenth", "sec_per_place")
     d = times.join(anchors, "event").withColumn("_place", at).filter(F.col("_place").isNotNull())
     d = d.withColumns({"_exp": exp_points("_place"), "confidence": confidence("_place")})
@@ -68,7 +66,7 @@ def weighted_top_k_sum(scored: DataFrame, weights: Sequence[float], keys: Sequen
 
 def spread_to_teams(sums: DataFrame, teams: DataFrame) -> DataFrame:
     """Fan group sums out to the teams of the group: adjusted points and tier per (swimmer, school)."""
-    d = sums.join(small_side(teams), "conference").withColumn("adj_pts", round_to(F.col("raw_pts") * F.col("psf"), 2))
+    d = sums.join(teams, "conference").withColumn("adj_pts", round_to(F.col("raw_pts") * F.col("psf"), 2))
     return d.withColumn("adj_tier", tier_label("adj_pts"))
 
 

@@ -9,7 +9,7 @@ from ..functions.numeric import round_to
 from ..functions.scoring import tier_label
 from ..functions.text import division_of
 from ..operators.topscore import score_events, top_k_sum
-from ..session import small_side
+from ..session import short_values
 
 
 def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools: DataFrame) -> DataFrame:
@@ -22,10 +22,9 @@ def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools
     come in. The grid is built by expanding each swimmer over the short list of conferences and joining schools on
     the conference; no table is crossed with another.
     """
-    schools = small_side(schools)
     sums = top_k_sum(score_events(times, anchors)).select("swimmer", "conference", "raw_pts", "top_events", "has_depth")
-    confs = schools.agg(F.array_sort(F.collect_set("conference")).alias("_confs"))
-    grid = swimmers.join(F.broadcast(confs)).withColumn("conference", F.explode("_confs")).drop("_confs")
+    confs = [c for c, in short_values(schools, ["conference"]) if c is not None]
+    grid = swimmers.withColumn("conference", F.explode(F.array(*[F.lit(c) for c in confs]).cast("array<string>")))
     d = grid.join(sums, ["swimmer", "conference"], "left").join(schools, "conference")
     scored = F.col("has_swim") & F.col("raw_pts").isNotNull()
     d = d.withColumns({
@@ -47,7 +46,10 @@ def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools
 def score_one(times: DataFrame, anchors: DataFrame, school: DataFrame) -> DataFrame:
     """All events of every swimmer at the given school rows (conference, school, psf): scored ones with points, the
     others marked as not benchmarked."""
-    at = times.filter(F.col("sec").isNotNull()).join(school.select("conference", "school", "psf"))
+    rows = short_values(school, ["conference", "school", "psf"])
+    schools = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("conference", "school", "psf"), r)]) for r in rows]).cast(
+        "array<struct<conference: string, school: string, psf: double>>")
+    at = times.filter(F.col("sec").isNotNull()).select(*times.columns, F.inline(schools))
     marks = score_events(times, anchors.join(school.select("conference").distinct(), "conference", "left_semi"))
     d = at.join(marks.select("swimmer", "conference", "event", "place", "pts", "place_label"),
                 ["swimmer", "conference", "event"], "left")

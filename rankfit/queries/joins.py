@@ -127,11 +127,11 @@ def _(t):
 
 # ---- names -----------------------------------------------------------------------------------------------
 
-# names are the first words of the documents; search texts are distorted names
+# made names, one per supplier: three words from a checksum of its name; search texts are distorted names
 role("doc_names", """
-SELECT doc_id AS pos, name AS school, CASE doc_id % 5 WHEN 0 THEN 'Los Angeles, CA' WHEN 1 THEN 'Boston, MA' WHEN 2 THEN 'Nashville, TN' WHEN 3 THEN 'Chicago, IL' ELSE '' END AS location
-FROM (SELECT doc_id, split_part(f, ' ', 1) || ' ' || split_part(f, ' ', 2) || ' ' || split_part(f, ' ', 3) AS name FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(9), ' ') AS f FROM {documents}) x) y
-WHERE trim(name) <> ''
+SELECT s_suppkey AS pos, substr(m, 1, 6) || ' ' || substr(m, 7, 7) || ' ' || substr(m, 14, 5) AS school,
+ CASE s_suppkey % 5 WHEN 0 THEN 'Los Angeles, CA' WHEN 1 THEN 'Boston, MA' WHEN 2 THEN 'Nashville, TN' WHEN 3 THEN 'Chicago, IL' ELSE '' END AS location
+FROM (SELECT s_suppkey, md5(s_name) AS m FROM {supplier}) x
 """)
 role("doc_queries", """
 SELECT pos, CASE pos % 8 WHEN 0 THEN '  ' || school || '.' WHEN 1 THEN substr(school, 1, 2) || substr(school, 4) WHEN 2 THEN split_part(school, ' ', 1) || ' ' || substr(split_part(school, ' ', 2), 1, 3) WHEN 3 THEN 'the ' || school || ' campus'
@@ -152,7 +152,7 @@ SELECT raw AS query, school, score FROM qs JOIN allh USING (q) WHERE score >= 0.
 
 
 def names_with_surface(t):
-    d = t.doc_names.orderBy("school", "pos").select("school", "location", "pos")
+    d = t.doc_names.select("school", "location", "pos")
     from ..operators.keyed import first_per_key
 
     return first_per_key(d, ["school"], ["pos"]).withColumn("surface", N.search_surface("school", "location"))

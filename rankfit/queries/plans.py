@@ -42,7 +42,7 @@ def _(t):
 
 # ---- results ---------------------------------------------------------------------------------------------
 
-role("extracted_places", "SELECT bundle_id, bundle_id AS conference, gender, event, place, CAST(CAST(floor(sec / 5) AS BIGINT) + 1000 AS DOUBLE) / 100 AS sec FROM {event_places} WHERE place <= 24 AND event <> '75 Free'")
+role("extracted_places", "SELECT bundle_id, bundle_id AS conference, gender, event, place, CAST(CAST(floor(sec / 5) AS BIGINT) + 1000 AS DOUBLE) / 100 AS sec FROM {event_places} WHERE event <> '75 Free'")
 
 
 def built(t):

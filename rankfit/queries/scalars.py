@@ -673,7 +673,7 @@ def _(t):
 role("query_text", """
 SELECT conv_id, turn, CASE (conv_id + turn) % 14 WHEN 0 THEN 'Best swim teams I can get into ' WHEN 1 THEN 'hardest schools where I could swim ' WHEN 2 THEN 'dream school on the West Coast ' WHEN 3 THEN 'STEM programs in New England '
   WHEN 4 THEN 'affordable with merit money ' WHEN 5 THEN 'all schools where I can make the team ' WHEN 6 THEN 'fun social vibe ' WHEN 7 THEN 'hidden ivy ' WHEN 8 THEN 'd1 big school ' WHEN 9 THEN 'small college d3 '
-  WHEN 10 THEN 'which will definitely get me in, safety ' WHEN 11 THEN 'show me more options like me ' WHEN 12 THEN 'podium star ' ELSE 'red ring' END || substr(text, 1, 40) AS query
+  WHEN 10 THEN 'which will definitely get me in, safety ' WHEN 11 THEN 'show me more options like me ' WHEN 12 THEN 'podium star ' ELSE 'red ring' END || text AS query
 FROM {conversations}
 """)
 

@@ -165,7 +165,7 @@ def _(t):
 
 # cached texts: one write per turn, with cost-only rows that must count as a miss
 role("cache_writes", """
-SELECT conv_id AS school, CASE turn % 2 WHEN 0 THEN 'art' ELSE 'math' END AS major, CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE substr(text, 1, 30) END AS known_for,
+SELECT conv_id AS school, CASE turn % 2 WHEN 0 THEN 'art' ELSE 'math' END AS major, CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE text END AS known_for,
   CASE WHEN turn % 4 = 0 THEN 'life' ELSE '' END AS campus_life_main, turn AS updated FROM {conversations}
 """)
 

@@ -11,7 +11,7 @@ from ..plans import results as P
 from .base import query, role
 
 _STROKE = "CASE split_part(event, ' ', 2) WHEN 'Free' THEN 'Freestyle' WHEN 'Back' THEN 'Backstroke' WHEN 'Breast' THEN 'Breaststroke' WHEN 'Fly' THEN 'Butterfly' ELSE 'IM' END"
-_SHOWN = "CASE WHEN place <= 8 THEN place WHEN place <= 16 THEN place - 8 ELSE place - 16 END"
+_SHOWN = "CASE WHEN place <= 8 THEN place WHEN place <= 16 THEN place - 8 WHEN place <= 24 THEN place - 16 ELSE place END"
 # a time of ten seconds and more in whole hundredths
 _CS = "CAST(floor(sec / 5) AS BIGINT) + 1000"
 _TIME = "CASE WHEN c >= 6000 THEN CAST(CAST(floor(c / 6000) AS BIGINT) AS STRING) || ':' || lpad(CAST(CAST(floor(c / 100) AS BIGINT) % 60 AS STRING), 2, '0') ELSE CAST(CAST(floor(c / 100) AS BIGINT) AS STRING) END || '.' || lpad(CAST(c % 100 AS STRING), 2, '0')"
@@ -28,9 +28,9 @@ def _file(header: str, where: str, extra: str = "") -> str:
 
 
 _GENDERED = "CASE gender WHEN 'men' THEN 'Men''s ' ELSE 'Women ' END"
-role("result_lines", _file(f"'Event 12 ' || {_GENDERED} || split_part(event, ' ', 1) || ' Yard ' || {_STROKE}", "place <= 24"))
+role("result_lines", _file(f"'Event 12 ' || {_GENDERED} || split_part(event, ' ', 1) || ' Yard ' || {_STROKE}", "true"))
 # headers the strict pattern cannot read: the stroke comes first
-role("loose_lines", _file(f"{_GENDERED} || {_STROKE} || ' - ' || split_part(event, ' ', 1)", "place <= 24 AND event <> '75 Free'",
+role("loose_lines", _file(f"{_GENDERED} || {_STROKE} || ' - ' || split_part(event, ' ', 1)", "event <> '75 Free'",
     # a header of no known event ends each half of the file
     " UNION ALL SELECT DISTINCT bundle_id, gender, 'zz', 0, 0, 'close', CAST(0 AS BIGINT), 'Event 9 Men 75 Yard Free' FROM {event_places}"))
 

@@ -78,9 +78,9 @@ def _(t):
     return d.select("bundle_id", "gender", "team_key", "score_f", "pos", "first_pos", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("differ", F.lit(False)).alias("differ"))
 
 
-@query("first_wins", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN rk = 1 THEN '' ELSE 'duplicate_suppressed' END AS issue FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS rk FROM lineitem) x""")
+@query("first_wins", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN rk = 1 THEN '' ELSE 'duplicate_suppressed' END AS issue FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS rk FROM lineitem) x""")
 def _(t):
-    kept, dropped = A.first_wins(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+    kept, dropped = A.first_wins(t.lineitem, ["l_orderkey"], ["l_partkey", "l_suppkey"])
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "issue"]
     return kept.withColumn("issue", F.lit("")).select(*cols).unionByName(dropped.select(*cols))
 
@@ -189,7 +189,8 @@ def _(t):
 
 @query("tier_order_sort", "SELECT school, tier_short, finish, CAST(row_number() OVER (PARTITION BY conference ORDER BY CASE tier_short WHEN '1A' THEN 0 WHEN '1B' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 WHEN '4' THEN 4 ELSE 5 END, coalesce(nullif(finish, 0), 99), school) AS INTEGER) AS position FROM {schools}")
 def _(t):
-    d = K.top_k_per_key(t.schools, ["conference"], R.tier_order_sort(t.schools), 999, "position")
+    w = Window.partitionBy("conference").orderBy(*R.tier_order_sort(t.schools))
+    d = t.schools.withColumn("position", F.row_number().over(w))
     return d.select("school", "tier_short", "finish", "position")
 
 
@@ -296,15 +297,20 @@ def _(t):
     return d.select("school", "hero", "swim", at(F.col("source_pages")).alias("hero_source"), at(F.col("is_fallback")).alias("hero_fallback"))
 
 
-@query("replace_slice", """WITH b AS (SELECT l_suppkey AS school, l_returnflag AS category, l_partkey AS url, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2, 3), fresh AS (SELECT school, 'A' AS category, url + 100000 AS url, score / 2 AS score FROM b WHERE category = 'A' AND score > 50000)
-SELECT school, category, url, score FROM b WHERE NOT (category = 'A' AND school IN (SELECT school FROM fresh)) UNION ALL SELECT school, category, url, score FROM fresh WHERE url NOT IN (SELECT p_partkey + 100000 FROM part WHERE p_size = 1)""")
+_SLICE = "CASE l_returnflag WHEN 'A' THEN 'campus' WHEN 'N' THEN 'pool' ELSE 'student_life' END"
+
+
+@query("replace_slice", f"""WITH b AS (SELECT l_suppkey AS school, {_SLICE} AS category, l_partkey AS url, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2, 3), fresh AS (SELECT school, category, url + 100000 AS url, score / 2 AS score FROM b WHERE category = 'campus' AND score > 50000),
+u AS (SELECT school, category, url, score FROM b WHERE NOT (category = 'campus' AND school IN (SELECT school FROM fresh)) UNION ALL SELECT school, category, url, score FROM fresh WHERE url NOT IN (SELECT p_partkey + 100000 FROM part WHERE p_size = 1))
+SELECT school, category, url, score FROM u QUALIFY row_number() OVER (PARTITION BY school, category ORDER BY score DESC, category || '|' || url) <= 32""")
 def _(t):
-    b = t.lineitem.groupBy(F.col("l_suppkey").alias("school"), F.col("l_returnflag").alias("category"), F.col("l_partkey").alias("url")).agg(F.max("l_extendedprice").alias("score"))
+    category = F.when(F.col("l_returnflag") == "A", "campus").when(F.col("l_returnflag") == "N", "pool").otherwise("student_life")
+    b = t.lineitem.groupBy(F.col("l_suppkey").alias("school"), category.alias("category"), F.col("l_partkey").alias("url")).agg(F.max("l_extendedprice").alias("score"))
     # a url is unique per category here, so the category is part of it
     key = lambda d: d.withColumn("url", F.concat_ws("|", "category", F.col("url").cast("string")))
-    fresh = b.filter("category = 'A' AND score > 50000").select("school", "category", (F.col("url") + 100000).alias("url"), (F.col("score") / 2).alias("score"))
-    blocked = t.part.filter("p_size = 1").select(F.concat_ws("|", F.lit("A"), (F.col("p_partkey") + 100000).cast("string")).alias("url"))
-    d = ST.replace_slice(key(b), key(fresh), "school", "category", blocked=blocked, limit=10**6)
+    fresh = b.filter("category = 'campus' AND score > 50000").select("school", "category", (F.col("url") + 100000).alias("url"), (F.col("score") / 2).alias("score"))
+    blocked = t.part.filter("p_size = 1").select(F.concat_ws("|", F.lit("campus"), (F.col("p_partkey") + 100000).cast("string")).alias("url"))
+    d = ST.replace_slice(key(b), key(fresh), "school", "category", blocked=blocked)
     return d.withColumn("url", F.substring_index("url", "|", -1).cast("bigint")).select("school", "category", "url", "score")
 
 

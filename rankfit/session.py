@@ -23,11 +23,13 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, a temporary one only where none is set."""
+    """Folder every executor can reach: the one the cluster names. Only a local session may do with a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -43,9 +45,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Materialise a dimension-sized result and broadcast it only when its counted size is within the bound."""
-    from pyspark.sql import functions as F
-
-    done = cut_lineage(df)
-    return F.broadcast(done) if done.count() <= max_rows else done
+def short_values(df: DataFrame, columns: list[str], most: int = 10_000) -> list[tuple]:
+    """Distinct values of dimension columns, sorted, on the driver; fails where there are more than a dimension may have."""
+    rows = [tuple(r) for r in df.select(*columns).distinct().limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct values of {columns}: not a dimension")
+    return sorted(rows, key=lambda r: [(v is not None, v) for v in r])

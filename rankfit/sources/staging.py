@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.keyed import first_per_key
 from ..operators.sets import additive_schema
@@ -34,8 +34,7 @@ def stage_partitions(rows: DataFrame, ids: DataFrame, root: str, key: str = "bun
     fresh = rows.join(todo, key, "left_semi")
     # many tasks may write one partition, so a hot id is not pulled into a single file
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{root}/data")
-    have = spark.read.parquet(f"{root}/data").select(F.col(key).cast("string")).distinct() if path_exists(
-        spark, f"{root}/data") and fresh.limit(1).count() else todo.limit(0)
+    have = fresh.select(key).distinct()
     status = F.when(F.col("_have").isNotNull(), "staged").otherwise("empty")
     marks = todo.join(have.withColumn("_have", F.lit(True)), key, "left").select(key, status.alias("status"))
     marks.write.mode("append").parquet(f"{root}/_marks")
@@ -43,8 +42,11 @@ def stage_partitions(rows: DataFrame, ids: DataFrame, root: str, key: str = "bun
 
 
 def read_stages(spark: SparkSession, root: str) -> DataFrame:
-    """Union of all stages."""
-    return spark.read.parquet(f"{root}/data")
+    """Union of all stages. Ids keep the type they were staged with, however their folders are named."""
+    marks, found = staged_ids(spark, root), spark.read.parquet(f"{root}/data").schema
+    key = marks.columns[0]
+    kinds = [T.StructField(f.name, marks.schema[key].dataType if f.name == key else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(kinds)).parquet(f"{root}/data")
 
 
 def write_table(df: DataFrame, path: str, columns: Sequence[str], fmt: str = "csv") -> None:

@@ -31,16 +31,17 @@ def _given(df: DataFrame, name: str) -> Column:
 
 def scan_anchors(raw: DataFrame, gender: str = "men") -> DataFrame:
     """Typed anchors of one gender. The seconds column goes before the text one; rows with neither 1st nor 8th drop
-    out; of several rows per (conference, event) the last one in `pos` order stays when that column is present."""
+    out; of several rows per (conference, event) the last one stays, in `pos` order or else in the order they are read."""
+    raw = raw if "pos" in raw.columns else raw.withColumn("pos", F.monotonically_increasing_id())
     d = require_columns(raw, ANCHOR_COLUMNS).filter(F.lower(F.trim("Gender")) == gender)
     anchor = lambda n: to_double(F.coalesce(_given(d, f"{n}_seconds"), _given(d, n)))
     d = d.select(
         F.trim("Conference").alias("conference"), F.trim("Event").alias("event"), anchor("1st").alias("first"),
         anchor("8th").alias("eighth"), anchor("16th").alias("sixteenth"),
-        to_double(_given(d, "Sec_per_place")).alias("sec_per_place"), *[c for c in ("pos",) if c in raw.columns])
+        to_double(_given(d, "Sec_per_place")).alias("sec_per_place"), "pos")
     d = d.filter((F.col("conference") != "") & (F.col("event") != "") & (F.col("first").isNotNull() | F.col("eighth").isNotNull()))
     d = d.withColumn("out_of_order", monotonic_check("first", "eighth", "sixteenth"))
-    return first_per_key(d, ["conference", "event"], [F.desc("pos")]).drop("pos") if "pos" in d.columns else d
+    return first_per_key(d, ["conference", "event"], [F.desc("pos")]).drop("pos")
 
 
 def scan_teams(raw: DataFrame, aliases: DataFrame, gender: str = "men", order: str = "pos") -> DataFrame:
