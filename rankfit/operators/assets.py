@@ -89,7 +89,7 @@ def global_exclusive_pick(rows: DataFrame, entity: str, entity_order: str, url:
         first = free.select(entity, entity_order).distinct().orderBy(entity_order, entity).limit(block)
         own = top_k_per_key(free.join(F.broadcast(first.select(entity)), entity), [entity], [F.desc(score), F.asc(url)], block, "_rn")
         # one bounded group: at most block x block offers
-        chosen = cut_lineage(own.groupBy(F.lit(0)).applyInPandas(_choose(entity, entity_order, url, score), free.select(entity, url, score).schema))
+        chosen = cut_lineage(own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_choose(entity, entity_order, url, score), free.select(entity, url, score).schema))
         picked = chosen if picked is None else picked.unionByName(chosen)
         done = first.agg(F.max(F.struct(entity_order, entity)).alias("m")).first()["m"]
         if done is None:
