@@ -137,24 +137,46 @@ def _walker(plan):
 
 def _ranker(top: int):
     def rank(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """The nearest `top` of each query among the vectors of the leaves it opened here."""
-        ids, found, scores = [], [], []
+        """The nearest `top` of each query among the vectors of the leaves it opened here.
+
+        Squared distances from inner products, all queries at once, choose what is measured exactly: everything up to the
+        place that could matter, with room for rounding.
+        """
+        out = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
         if len(index) and len(queries):
-            vectors = np.stack(index["v"].to_numpy()).astype(np.float64)
-            leaf = index["leaf"].to_numpy()
-            own_ids = index["ids"].to_numpy()
-            for q, mine in queries.groupby("query_id"):
-                for _, same in mine.groupby("n"):
-                    pick = np.flatnonzero(np.isin(leaf, same["leaf"].to_numpy()))
-                    d = np.sqrt(((vectors[pick] - np.asarray(same["v"].iloc[0], np.float64)) ** 2).sum(axis=1))
-                    # one entry may be the query's own vector, whose ids need not last
-                    limit = np.partition(d, top)[top] if len(d) > top + 1 else np.inf
-                    keep = np.flatnonzero(d <= limit)
-                    pairs = sorted((d[i], x) for i in keep for x in own_ids[pick[i]] if x != q)[:top]
-                    ids += [q] * len(pairs)
-                    found += [x for _, x in pairs]
-                    scores += [s for s, _ in pairs]
-        return pd.DataFrame({"query_id": np.array(ids, np.int64), "vec_id": np.array(found, np.int64), "score": np.array(scores, np.float64)})
+            vectors, leaf = np.stack(index["v"].to_numpy()).astype(np.float64), index["leaf"].to_numpy()
+            held = index["ids"].map(len).to_numpy()
+            ids, first = np.concatenate(index["ids"].to_numpy()), np.concatenate(([0], np.cumsum(held)[:-1]))
+            queries = queries.sort_values(["query_id", "n"], ignore_index=True)
+            new = queries[["query_id", "n"]].ne(queries[["query_id", "n"]].shift()).any(axis=1).to_numpy()
+            which, asked = np.cumsum(new) - 1, queries["query_id"].to_numpy()[new]
+            points = np.stack(queries["v"].to_numpy()[new]).astype(np.float64)
+            low = int(leaf.min())
+            opened = np.zeros((len(asked), max(int(leaf.max()), int(queries["leaf"].max())) - low + 1), bool)
+            inside = queries["leaf"].to_numpy() >= low
+            opened[which[inside], queries["leaf"].to_numpy()[inside] - low] = True
+            norms = (vectors * vectors).sum(axis=1)
+            parts = []
+            for at in range(0, len(asked), 256):
+                q = points[at:at + 256]
+                size = (q * q).sum(axis=1)[:, None] + norms[None, :]
+                near = np.where(opened[at:at + 256][:, leaf - low], size - 2 * (q @ vectors.T), np.inf)
+                # one entry may be the query's own vector, whose ids need not last
+                limit = np.partition(near, top, axis=1)[:, top] if near.shape[1] > top + 1 else np.full(len(q), np.inf)
+                row, col = np.nonzero((near <= limit[:, None] + 1e-9 * size) & np.isfinite(near))
+                d = np.sqrt(((vectors[col] - q[row]) ** 2).sum(axis=1))
+                n = held[col]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                parts.append((np.repeat(row + at, n), ids[np.repeat(first[col], n) + step], np.repeat(d, n)))
+            row, found, d = (np.concatenate(x) for x in zip(*parts))
+            other = found != asked[row]
+            row, found, d = row[other], found[other], d[other]
+            order = np.lexsort((found, d, row))
+            row, found, d = row[order], found[order], d[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            best = place < top
+            out = {"query_id": asked[row[best]], "vec_id": found[best], "score": d[best]}
+        return pd.DataFrame(out)
 
     return rank
 
