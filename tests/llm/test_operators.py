@@ -394,5 +394,16 @@ def test_chat(spark, monkeypatch, stretch):
         assert whole.count("<|end|>\n") == len(roles) and whole.endswith("<|end|>\n")
 
 
+def test_chat_does_not_depend_on_stretches(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(c, t, rng.choice(["system", "user", "assistant", None]), f"t{rng.random()}") for c in range(30) for t in range(rng.randint(1, 40))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = []
+    for stretch in (4, 7, 1024):
+        monkeypatch.setattr(O10, "STRETCH", stretch)
+        told.append(sorted((r["conv_id"], r["turn"], r["role"], r["rendered"], r["cost"]) for r in O10.formatted(turns).collect()))
+    assert told[0] == told[1] == told[2]
+
+
 def test_segment_sums():
     assert segment_sums(np.array([1, 2, 3, 4]), np.array([0, 2, 0, 1, 1, 0])).tolist() == [0, 3, 0, 3, 4, 0]
