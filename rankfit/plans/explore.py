@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import intent as I
+from ..functions.admission import admission_label_simple, lookup, selectivity_tier
 from ..functions.names import looks_like_name, norm_key, search_surface
 from ..functions.numeric import round_to, to_double, to_long
 from ..functions.scoring import a_score, a_tier_label
@@ -62,14 +63,17 @@ def swimmer_bests(raw: DataFrame, standards: DataFrame, n: int = 10) -> DataFram
 
 
 def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candidates: DataFrame, cand_aliases: DataFrame,
-           excluded: DataFrame) -> DataFrame:
-    """Deterministic search over a batch of queries.
+           excluded: DataFrame, outside: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
+    """Deterministic search over a batch of queries: (query_id, school, path, position, label).
 
-    queries: query_id, query, swimmer, has_times. universe: one row per (swimmer, school) with score and metadata
+    queries: query_id, query, swimmer, has_times, and sat where `outside` is given. universe: one row per (swimmer, school) with score and metadata
     columns. candidates: query_id, candidate, pos (names proposed for broad queries). excluded: query_id, school.
+    outside: name, accept, sat_median of schools outside the universe. `fuzzy` off leaves out the ratio rung of the names.
 
-    Path per query: names resolved (all of them, or the one plus the most similar schools), broad pool, or proposed
-    candidates with intent filters; the pre-sorted pool stands in where too few candidates map or none survives.
+    Path per query: names resolved (all of them, or the one plus the most similar schools), a name that is not known (a
+    stub row with the simple admission label, plus the schools most like it), broad pool, or proposed candidates with
+    intent filters; the pre-sorted pool stands in where too few candidates map or none survives. Candidates map to the
+    first school in result order: points over all swimmers of the batch, then name.
     """
     # only the swimmers who search; four branches read the result, so it is materialised once
     universe = cut_lineage(universe.join(queries.select("swimmer").distinct(), "swimmer", "left_semi"))
@@ -77,13 +81,14 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     q = q.withColumns({"_broad": I.is_broad_pool(F.col("_i"), "query"), "limit": F.when(I.wants_more("query"), 12).otherwise(6)})
     names = universe.select("school", "location").dropDuplicates(["school"])
     names = names.withColumn("surface", search_surface("school", "location"))
-    hits = M.resolve_entities(q, names, acronyms).join(q.select("query_id", "query"), "query")
+    hits = M.resolve_entities(q, names, acronyms, fuzzy=fuzzy).join(q.select("query_id", "query"), "query")
     hits = cut_lineage(R.exclude_list(hits, excluded, keys=["query_id", "school"]))
     n_hits = hits.groupBy("query_id").agg(F.count("*").alias("_hits"))
     q = q.join(n_hits, "query_id", "left").withColumn("_hits", F.coalesce("_hits", F.lit(0)))
     q = q.withColumn("path", F.when(F.col("_hits") >= 2, "multi_match").when(F.col("_hits") == 1, "direct_match")
                      .when(looks_like_name("query"), "unknown_name").when(F.col("_broad"), "broad_pool").otherwise("candidates"))
-    info = cut_lineage(q.select("query_id", "query", "swimmer", "path", "limit", "has_times", "_i"))
+    sat = F.col("sat") if "sat" in q.columns else F.lit(None).cast("int")
+    info = cut_lineage(q.select("query_id", "query", "swimmer", "path", "limit", "has_times", "_i", sat.alias("_sat")))
 
     multi = hits.join(info.filter("path = 'multi_match'").select("query_id", "path"), "query_id")
     multi = multi.select("query_id", "school", "path", F.row_number().over(_by_score()).alias("position"))
@@ -94,13 +99,15 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     near = near.select("query_id", "school", "path", (F.col("rank") + 1).alias("position"))
     direct = direct.select("query_id", "school", "path", F.lit(1).alias("position")).unionByName(near)
 
-    pool = universe.join(info.filter("path IN ('broad_pool', 'candidates')"), "swimmer")
+    stub, like_stub = _unknown_names(info.filter("path = 'unknown_name'"), universe, excluded, outside)
+    pool = universe.join(info.filter("path IN ('broad_pool', 'candidates')").drop("_sat"), "swimmer")
     pool = R.exclude_list(pool, excluded, keys=["query_id", "school"])
     broad = R.viable_pool(pool.filter("path = 'broad_pool'"))
     broad = broad.withColumn("position", F.row_number().over(_by_prestige())).select("query_id", "school", "path", "position")
 
-    mapped = M.token_jaccard_match(candidates, universe.select("school").distinct().withColumn(
-        "pos", F.xxhash64("school")), cand_aliases).join(candidates, "candidate")
+    order = universe.groupBy("school").agg(F.max("adj_pts").alias("most")).withColumn(
+        "pos", F.row_number().over(Window.orderBy(F.desc("most"), "school")))
+    mapped = M.token_jaccard_match(candidates, order.drop("most"), cand_aliases).join(candidates, "candidate")
     mapped = first_per_key(mapped, ["query_id", "school"], [F.asc("pos")]).select("query_id", "school", F.col("pos").alias("_order"))
     cand = pool.filter("path = 'candidates'").join(mapped, ["query_id", "school"])
     enough = cand.groupBy("query_id").agg(F.count("*").alias("_n")).filter("_n >= 3").select("query_id")
@@ -116,7 +123,28 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
         12, "position").filter(F.col("position") <= F.col("limit")).select("query_id", "school", "path", "position")
     bare = pool.filter("path = 'candidates'").join(keep.select("query_id").distinct(), "query_id", "left_anti")
     fallback = R.intent_sort(bare, limit=6).select("query_id", "school", F.lit("fallback").alias("path"), "position")
-    return multi.unionByName(direct).unionByName(broad).unionByName(keep).unionByName(fallback)
+    known = multi.unionByName(direct).unionByName(like_stub).unionByName(broad).unionByName(keep).unionByName(fallback)
+    return known.withColumn("label", F.lit(None).cast("string")).unionByName(stub)
+
+
+def _unknown_names(info: DataFrame, universe: DataFrame, excluded: DataFrame, outside: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The stub of a name that is not in the universe, and the schools most like it: its division and tier are not known, so
+    the gap in selectivity decides, then the result order."""
+    words = F.transform(F.filter(F.split(F.trim("query"), r"\s+"), lambda w: w != ""), lambda w: F.when(
+        (w == F.upper(w)) & (F.length(w) > 1), F.upper(w)).otherwise(F.initcap(F.lower(w))))
+    d = info.select("query_id", "swimmer", "path", "_sat", F.array_join(words, " ").alias("school"))
+    if outside is None:
+        d = d.withColumns({"accept": F.lit(None).cast("int"), "sat_median": F.lit(None).cast("int"), "name": F.lit(None).cast("string")})
+    else:
+        d = d.join(outside.select("name", "accept", "sat_median"), F.lower("school") == F.lower("name"), "left")
+    label = F.when(F.col("name").isNotNull(), admission_label_simple("accept", "sat_median", "_sat")).otherwise("")
+    stub = d.select("query_id", "school", "path", F.lit(1).alias("position"), label.alias("label"))
+    rank = lambda a, s: lookup(selectivity_tier(a, s), I.SELECTIVITY_ORDER, 3)
+    mine = d.select("query_id", "swimmer", "path", rank("accept", "sat_median").alias("_own"))
+    rows = universe.select("swimmer", "school", "adj_pts", rank("accept", "sat_median").alias("_sel")).join(mine, "swimmer")
+    rows = R.exclude_list(rows, excluded, keys=["query_id", "school"])
+    like = top_k_per_key(rows, ["query_id"], [F.abs(F.col("_sel") - F.col("_own")), F.desc("adj_pts"), "school"], R.SIMILAR_LIMIT, "_rn")
+    return stub, like.select("query_id", "school", "path", (F.col("_rn") + 1).alias("position"))
 
 
 def _by_score():

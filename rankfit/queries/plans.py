@@ -121,7 +121,10 @@ def _(t):
     none = t.spark.createDataFrame([], "raw string, canonical string")
     acronyms = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("short"), F.col("n_name").alias("canonical"))
     out = t.customer.filter("c_acctbal < 0").select((F.col("c_custkey") * 100).alias("query_id"), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("school"))
-    return EX.search(q, u, acronyms, cands, none, out)
+    outside = t.part.select(F.initcap("p_name").alias("name"), F.col("p_size").alias("accept"), (1000 + F.col("p_size") * 10).alias("sat_median")).groupBy("name").agg(
+        F.min("accept").alias("accept"), F.min("sat_median").alias("sat_median"))
+    q = q.join(t.swimmers.select("swimmer", "sat"), "swimmer", "left")
+    return EX.search(q, u, acronyms, cands, none, out, outside)
 
 
 # ---- streams ---------------------------------------------------------------------------------------------

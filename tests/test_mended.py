@@ -136,3 +136,35 @@ def test_no_cross_join(spark, name):
     df = all_queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_search_paths(spark):
+    """One case for each way a query is answered."""
+    from rankfit.plans import explore as EX
+
+    cols = ("swimmer long, conference string, school string, location string, division string, accept int, sat_median int, tier_short string, adj_pts double, "
+            "has_swim boolean, adj_tier string, label string, stem boolean, merit string, hidden_ivy boolean, ivy_league boolean")
+    names = ["Alder College", "Birch College", "Cedar University", "Dogwood Institute", "Elm State"]
+    rows = [(1, "C", n, "Boston, MA", "D3", 10 + 20 * i, 1500 - 100 * i, "2", 50.0 - i, True, "Recruitable", "Possible", True, "high", False, False)
+            for i, n in enumerate(names)]
+    queries = spark.createDataFrame([
+        (1, "college", 1, True, 1300), (2, "elm state", 1, True, 1300), (3, "HYU quux", 1, True, 1300), (4, "quux zork", 1, True, 1300),
+        (5, "all schools where I can make the team", 1, True, 1300), (6, "which program is the nicest of all in the land?", 1, True, 1300),
+        (7, "which program is the cheapest of all in the land?", 1, True, 1300)], "query_id long, query string, swimmer long, has_times boolean, sat int")
+    cands = spark.createDataFrame([(6, f"{n} at Town", i) for i, n in enumerate(names[::-1])], "query_id long, candidate string, pos int")
+    outside = spark.createDataFrame([("Quux Zork", 20, 1250)], "name string, accept int, sat_median int")
+    none = spark.createDataFrame([], "raw string, canonical string")
+    short = spark.createDataFrame([("zz", "Elm State")], "short string, canonical string")
+    out = spark.createDataFrame([(5, "Birch College")], "query_id long, school string")
+    got = EX.search(queries, spark.createDataFrame(rows, cols), short, cands, none, out, outside).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["position"])):
+        by.setdefault(r["query_id"], []).append(r)
+    paths = {k: {r["path"] for r in v} for k, v in by.items()}
+    assert paths == {1: {"multi_match"}, 2: {"direct_match"}, 3: {"unknown_name"}, 4: {"unknown_name"}, 5: {"broad_pool"}, 6: {"candidates"}, 7: {"fallback"}}
+    schools = {k: [r["school"] for r in v] for k, v in by.items()}
+    assert schools[1] == ["Alder College", "Birch College"] and schools[2][0] == "Elm State" and len(schools[2]) == 5
+    assert schools[3][0] == "HYU Quux" and by[3][0]["label"] == "" and sorted(schools[3][1:]) == names
+    assert schools[4][0] == "Quux Zork" and by[4][0]["label"] == "Realistic Shot" and len(schools[4]) == 6
+    assert schools[5] == [n for n in names if n != "Birch College"]
+    assert schools[6] == names[::-1] and schools[7] == names
