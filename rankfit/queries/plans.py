@@ -139,24 +139,40 @@ def _(t):
     return d.select("user_id", "event", "time_sec", "old_best")
 
 
-def event_stream(t):
-    schema = t.events.schema
-    d = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder())
-    return d.select("user_id", F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("time_sec"), "event_id")
-
-
-@query("pr_detect_stream", f"SELECT user_id, event_type AS event, value AS time_sec, old_best FROM ({_RUN}) x WHERE old_best IS NULL OR value < old_best")
-def _(t):
+def event_stream(t, batches: int = 3):
+    """The events as a stream of several micro-batches, one file of a stretch of time each."""
+    path = scratch_path(t.spark, "event-files")
+    d = t.event_order
+    low, high = d.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    step = ((high or 0) - (low or 0)) // batches + 1
+    for i in range(batches):
+        d.filter(F.unix_micros("ts").between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def found_bests(t, **options):
     path = scratch_path(t.spark, "new-bests")
-    found = SM.pr_detect_stream(event_stream(t).drop("event_id"))
+    found = SM.pr_detect_stream(event_stream(t).drop("event_id"), **options)
     run = found.writeStream.format("parquet").option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start(path)
     run.awaitTermination()
     return t.spark.read.parquet(path).select("user_id", "event", "time_sec", "old_best")
 
 
-@query("upsert_stream", "SELECT user_id, event_type AS event, value AS time_sec, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+@query("pr_detect_stream", f"SELECT user_id, event_type AS event, value AS time_sec, old_best FROM ({_RUN}) x WHERE old_best IS NULL OR value < old_best")
 def _(t):
-    path = scratch_path(t.spark, "latest")
-    SM.upsert_stream(event_stream(t), path, ["user_id", "event"], "ts", "event_id", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
-    return SM.read_upserted(t.spark, path).select("user_id", "event", "time_sec", "event_id")
+    return found_bests(t)
 
+
+@query("pr_detect_gated_stream", f"""WITH RECURSIVE b AS (SELECT user_id, event_type AS event, ts, value AS time_sec, old_best, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, value) AS i FROM ({_RUN}) x WHERE old_best IS NULL OR value < old_best),
+nx AS (SELECT b.user_id, b.event, b.i, min(c.i) AS j FROM b JOIN b c ON c.user_id = b.user_id AND c.event = b.event AND c.ts >= b.ts + INTERVAL 48 HOUR GROUP BY 1, 2, 3),
+e AS (SELECT user_id, event, i FROM b WHERE i = 1 UNION ALL SELECT nx.user_id, nx.event, nx.j FROM e JOIN nx ON nx.user_id = e.user_id AND nx.event = e.event AND nx.i = e.i)
+SELECT b.user_id, b.event, b.time_sec, b.old_best FROM e JOIN b USING (user_id, event, i)""")
+def _(t):
+    return found_bests(t, gate_hours=48.0)
+
+
+@query("upsert_stream", "SELECT user_id, event_type AS event, value AS time_sec, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def _(t):
+    path, order = scratch_path(t.spark, "latest"), (["user_id", "event"], "ts", "event_id")
+    SM.upsert_stream(event_stream(t), path, *order, f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return SM.read_upserted(t.spark, path, *order).select("user_id", "event", "time_sec", "event_id")

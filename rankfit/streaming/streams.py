@@ -5,92 +5,110 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.staging import latest_per_key
+from ..sources.staging import latest_per_key, path_exists
 
 PR_SCHEMA = "user_id bigint, event string, ts timestamp, time_sec double, old_best double"
-STATE_SCHEMA = "best double, last_emit timestamp"
+STATE_SCHEMA = "best double, last_emit timestamp, seen timestamp"
 
 
-def _detect(gate_hours: float):
+def _detect(gate_hours: float, ttl_hours: float | None):
     """Per (user, event): emit a row when a value beats the stored best and the last emission is old enough."""
 
+    def moment(ts):
+        return None if ts is None else pd.Timestamp(ts).to_pydatetime()
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        best, last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "time_sec"], kind="stable")
-        out = []
-        for ts, sec in zip(rows["ts"], rows["time_sec"]):
-            if best is not None and not sec < best:
-                continue
-            if last is None or ts - pd.Timestamp(last) >= pd.Timedelta(hours=gate_hours):
-                out.append((key[0], key[1], ts, float(sec), best))
-                last = ts
-            best = float(sec)
-        state.update((best, None if last is None else pd.Timestamp(last).to_pydatetime()))
+        best, last, seen = state.get if state.exists else (None, None, None)
+        out, last, seen = [], None if last is None else pd.Timestamp(last), None if seen is None else pd.Timestamp(seen)
+        for rows in batches:
+            rows = rows.sort_values(["ts", "time_sec"], kind="stable")
+            for ts, sec in zip(rows["ts"], rows["time_sec"]):
+                late = seen is not None and ts < seen
+                seen = ts if seen is None else max(seen, ts)
+                if best is not None and not sec < best:
+                    continue
+                if not late and (last is None or ts - last >= pd.Timedelta(hours=gate_hours)):
+                    out.append((key[0], key[1], ts, float(sec), best))
+                    last = ts
+                best = float(sec)
+        state.update((best, moment(last), moment(seen)))
+        if ttl_hours is not None:
+            due = max(int(seen.timestamp() * 1000 + ttl_hours * 3_600_000), state.getCurrentWatermarkMs() + 1)
+            state.setTimeoutTimestamp(due)
         if out:
             yield pd.DataFrame(out, columns=["user_id", "event", "ts", "time_sec", "old_best"]).astype({"old_best": "float64"})
 
     return step
 
 
-def pr_detect_stream(events: DataFrame, gate_hours: float = 0.0) -> DataFrame:
+def pr_detect_stream(events: DataFrame, gate_hours: float = 0.0, ttl_hours: float | None = None) -> DataFrame:
     """New bests per (user, event) of a stream of (user_id, event, ts, time_sec).
 
-    A key's rows of one micro-batch are ordered inside its task, so the trigger size (files or offsets per trigger)
-    bounds what a hot key can bring at once. Where order within a batch does not matter, `best_per_batch` keeps
-    every step a partial aggregation.
+    `gate_hours`: how long after an announced best the next one of the key is held back. A row that is older than one the
+    key has already seen in an earlier batch counts for the best, but is not announced. `ttl_hours`: a key's state goes that
+    long after its last row, by the watermark that the stream must then have. A key's rows of one micro-batch are read
+    Arrow batch by Arrow batch inside its task; where order within a batch does not matter, `best_per_batch` keeps every
+    step a partial aggregation.
     """
+    timeout = GroupStateTimeout.NoTimeout if ttl_hours is None else GroupStateTimeout.EventTimeTimeout
     return events.groupBy("user_id", "event").applyInPandasWithState(
-        _detect(gate_hours), PR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _detect(gate_hours, ttl_hours), PR_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
-def upsert_stream(changes: DataFrame, path: str, keys: list[str], updated: str, tie: str, checkpoint: str):
-    """Last write per key into versioned parquet folders.
+def append_epoch(rows: DataFrame, path: str, epoch: int) -> None:
+    """Write the rows of one micro-batch as their own partition, and how many they are. A replayed batch replaces itself."""
+    put = lambda df, name: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{path}/{name}")
+    put(rows, "rows")
+    here = rows.sparkSession.read.parquet(f"{path}/rows").filter(F.col("epoch") == epoch) if path_exists(rows.sparkSession, f"{path}/rows/epoch={epoch}") else rows.limit(0)
+    put(here.agg(F.count("*").alias("n")), "counts")
 
-    Every batch writes a new version next to the old one and only then moves the pointer, so a batch that is replayed
-    after a failure gives the same table.
-    """
-    from ..sources.staging import path_exists
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of all micro-batches; fails where a batch is missing or incomplete."""
+    rows, counts = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/counts")
+    found = rows.groupBy("epoch").agg(F.count("*").alias("found"))
+    lost = counts.join(found, "epoch", "left").filter(F.coalesce("found", F.lit(0)) != F.col("n")).select("epoch")
+    span = counts.agg(F.max("epoch") + 1 - F.count("*")).first()[0]
+    if span or not lost.isEmpty():
+        raise RuntimeError(f"{path}: a micro-batch is missing or incomplete")
+    return rows
+
+
+def upsert_stream(changes: DataFrame, path: str, keys: list[str], updated: str, tie: str, checkpoint: str):
+    """Last write per key. A micro-batch appends its own last writes only, so no batch rewrites the table and a batch that
+    is replayed after a failure replaces itself; reading takes the last write over all batches."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        previous = f"{path}/v{epoch - 1}"
-        both = spark.read.parquet(previous).unionByName(batch) if epoch > 0 and path_exists(spark, previous) else batch
-        latest_per_key(both, keys, updated, tie).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        append_epoch(latest_per_key(batch, keys, updated, tie), path, epoch)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def read_upserted(spark, path: str) -> DataFrame:
-    """Newest complete version of an upserted table."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [s.getPath().getName() for s in fs.listStatus(jpath)]
-    done = [int(v[1:]) for v in versions if v[:1] == "v" and fs.exists(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v{max(done)}")
+def read_upserted(spark: SparkSession, path: str, keys: list[str], updated: str, tie: str) -> DataFrame:
+    """The upserted table: the last write of every key."""
+    return latest_per_key(read_epochs(spark, path).drop("epoch"), keys, updated, tie)
 
 
 def best_per_batch(events: DataFrame, path: str, checkpoint: str):
-    """New-best detection per micro-batch without per-key tasks: the batch is reduced to its minimum per (user, event)
-    and joined to the stored bests. Writes the new bests of batch n to <path>/new/n and the table to <path>/best/vN."""
+    """New-best detection per micro-batch without per-key tasks: the batch is reduced to its minimum per (user, event),
+    joined to the minimum of the earlier batches, and appended. New bests of batch n are in <path>/new/n."""
     from ..operators.bests import new_pr_join
-    from ..sources.staging import path_exists
 
     keys = ["user_id", "event"]
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         low = batch.groupBy(*keys).agg(F.min("time_sec").alias("time_sec"))
-        previous = f"{path}/best/v{epoch - 1}"
-        stored = spark.read.parquet(previous) if epoch > 0 and path_exists(spark, previous) else low.limit(0)
+        before = read_epochs(spark, path).filter(F.col("epoch") < epoch) if path_exists(spark, f"{path}/counts") else low
+        stored = before.groupBy(*keys).agg(F.min("time_sec").alias("time_sec")) if path_exists(spark, f"{path}/counts") else low.limit(0)
         new_pr_join(low, stored, keys).write.mode("overwrite").parquet(f"{path}/new/{epoch}")
-        both = stored.unionByName(low).groupBy(*keys).agg(F.min("time_sec").alias("time_sec"))
-        both.write.mode("overwrite").parquet(f"{path}/best/v{epoch}")
+        append_epoch(low, path, epoch)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -75,9 +75,23 @@ def test_streams(spark):
     q.awaitTermination()
     assert sorted((r["user_id"], r["time_sec"], r["old_best"]) for r in spark.read.parquet(f"{root}/out").collect()) == [(1, 4.0, 5.0), (1, 5.0, None), (2, 9.0, None)]
     SM.upsert_stream(src(), f"{root}/t", ["user_id"], "ts", "seq", f"{root}/c2").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["user_id"], r["seq"]) for r in SM.read_upserted(spark, f"{root}/t").collect()) == [(1, 3), (2, 4)]
+    assert sorted((r["user_id"], r["seq"]) for r in SM.read_upserted(spark, f"{root}/t", ["user_id"], "ts", "seq").collect()) == [(1, 3), (2, 4)]
     SM.best_per_batch(src(), f"{root}/b", f"{root}/c3").trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{root}/b/best/v0").count() == 2
+    assert spark.read.parquet(f"{root}/b/rows").count() == 2
+    # a second run with one more file: earlier bests hold, a late row is not announced, the gate holds back
+    more = spark.createDataFrame([(1, "a", 25, 3.0, 5), (2, "a", 40, 8.0, 6)], "user_id long, event string, s long, time_sec double, seq long")
+    more.withColumn("ts", F.timestamp_seconds("s")).drop("s").select(*d.columns).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    SM.pr_detect_stream(src().drop("seq")).writeStream.format("parquet").option("checkpointLocation", f"{root}/c1").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    assert sorted((r["user_id"], r["time_sec"]) for r in spark.read.parquet(f"{root}/out").collect()) == [(1, 4.0), (1, 5.0), (2, 8.0), (2, 9.0)]
+    SM.upsert_stream(src(), f"{root}/t", ["user_id"], "ts", "seq", f"{root}/c2").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["user_id"], r["seq"]) for r in SM.read_upserted(spark, f"{root}/t", ["user_id"], "ts", "seq").collect()) == [(1, 3), (2, 6)]
+    SM.best_per_batch(src(), f"{root}/b", f"{root}/c3").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["user_id"], r["time_sec"]) for r in spark.read.parquet(f"{root}/b/new/1").collect()) == [(1, 3.0), (2, 8.0)]
+    import shutil
+
+    shutil.rmtree(f"{root}/t/rows/epoch=0")
+    with pytest.raises(RuntimeError):
+        SM.read_upserted(spark, f"{root}/t", ["user_id"], "ts", "seq")
 
 
 SAMPLE = ["score_all", "nth_anchors", "share_tiers", "validate_row", "cascade_lookup", "admission_label", "kv_upsert", "scan_anchors",
