@@ -29,13 +29,16 @@ def incomplete_groups(versions: DataFrame, groups: DataFrame) -> DataFrame:
 def event_versions(lines: DataFrame, files: DataFrame, recover: bool = True) -> DataFrame:
     """All versions (one per source file and pass) of every event, with the second pass for incomplete groups.
 
-    files: source_file, bundle_id, file_gender, name_gender, session_score, file_order.
+    files: source_file, bundle_id, file_gender, name_gender, session_score, file_order. Lines that hold several entries are
+    split first. A bundle whose first pass finds nothing is taken for men's.
     """
+    lines = X.split_merged(lines)
     first = fold_sections(X.extract_results(lines, files.select("source_file", "file_gender", "name_gender")), files)
     first = cut_lineage(first.withColumn("pass", F.lit(1)))
     if not recover:
         return first
-    missing = incomplete_groups(first, first.select("bundle_id", "gender"))
+    genders = files.select("bundle_id").distinct().join(first.select("bundle_id", "gender").distinct(), "bundle_id", "left")
+    missing = incomplete_groups(first, genders.select("bundle_id", F.coalesce("gender", F.lit("men")).alias("gender")))
     found = X.second_pass(lines, files.select("source_file", "bundle_id", "file_gender"), missing)
     second = cut_lineage(fold_sections(found, files))
     # files are read in order and reading stops for an event once one of them completed it

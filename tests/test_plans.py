@@ -48,9 +48,11 @@ def test_build_anchors_with_recovery(spark):
     lines = _lines(spark, "\n".join(head))
     files = spark.createDataFrame([("f", "b", "men", "men", 3, 1, "c", "2026")], "source_file string, bundle_id string, file_gender string, name_gender string, session_score int, file_order int, conference string, year string")
     assert P.build_anchors(lines, files, recover=False)["anchors"].count() == 0
-    # without a first-pass group there is nothing to expect, so the bundle gets one strict event
-    strict = _lines(spark, "\n".join([*head, "Event 2 Men 100 Free", "1 Swimmer, X SO Yale 45.00"]))
-    row = P.build_anchors(strict, files)["anchors"].first()
+    # a bundle that finds nothing at first is taken for men's; merged lines are split before
+    merged = [head[0], *[f"{a} {b}" for a, b in zip(head[1::2], head[2::2])]]
+    row = P.build_anchors(_lines(spark, "\n".join(merged)), files)["anchors"].first()
+    assert (row["event"], row["first"], row["sixteenth"], row["data_quality"]) == ("50 Free", 20.01, 20.16, "finals")
+    row = P.build_anchors(lines, files)["anchors"].first()
     assert (row["event"], row["first"], row["sixteenth"], row["data_quality"]) == ("50 Free", 20.01, 20.16, "finals")
 
 
