@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, short_values
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,17 @@ def held_out(doc_id: Column) -> Column:
 def sample_per_class(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
     """At most `per_class` rows of each label, those with the smallest hash of their key: a bounded training sample.
 
-    The labels are counted first, so that of any label only about twice the sample is ever ordered in one place.
+    The labels (a dimension of at most 10,000 values) are counted first, so that of any label only about twice the sample is
+    ever ordered in one place.
     """
-    order = F.xxhash64(key)
-    share = (2 * per_class + 100) / F.col("n")
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
-    few = rows.join(sizes, label).filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).drop("n").distinct()
-    w = Window.partitionBy(label).orderBy(F.pmod(order, F.lit(1 << 30)), key)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    sizes = short_values(rows.groupBy(label).agg(F.count("*").alias("n")), [label, "n"])
+    if not sizes:
+        return rows.limit(0)
+    kind = dict(rows.dtypes)[label]
+    most = F.create_map(*[F.lit(x) for name, n in sizes if name is not None for x in (name, min(1 << 30, (2 * per_class + 100) * (1 << 30) // n))])
+    few = rows.filter(place < most.cast(f"map<{kind}, bigint>")[F.col(label)]).distinct()
+    w = Window.partitionBy(label).orderBy(place, key)
     return few.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_class).drop("rn")
 
 

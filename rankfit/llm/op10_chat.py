@@ -80,19 +80,33 @@ def stretch_matrix(roles: list[int], ties: list[int]) -> np.ndarray:
     return m
 
 
-def choices(roles: list[int], ties: list[int], start: int, end: int) -> list[int]:
-    """State after each turn on the cheapest way from `start` to `end`."""
-    cost = np.full(4, NEVER, np.int64)
+_WAYS = [[[(state, int(STEPS[own, state, role])) for state in range(4) if STEPS[own, state, role] < NEVER] for role in range(4)] for own in range(4)]
+
+
+def choices(roles: list[int], ties: list[int], start: int, end: int | None) -> tuple[list[int], int]:
+    """State after each turn on the cheapest way from `start` to `end`, or to the best end of a conversation; and its cost."""
+    cost = [NEVER] * 4
     cost[start] = 0
     came = []
-    for r, t in zip(roles, ties):
-        ways = cost[:, None] + _step(r, t)
-        came.append(ways.argmin(axis=0))
-        cost = np.minimum(ways.min(axis=0), NEVER)
+    for own, tie in zip(roles, ties):
+        now, back = [NEVER] * 4, [0] * 4
+        for role in (SYSTEM, USER, ASSISTANT):
+            best, at = NEVER, 0
+            for state, step in _WAYS[own][role]:
+                if cost[state] + step < best:
+                    best, at = cost[state] + step, state
+            if best < NEVER:
+                now[role], back[role] = best + (tie >> 10 * (role - 1) & 0xFFF), at
+        came.append(back)
+        cost = now
+    if end is None:
+        closed = [c + int(x) for c, x in zip(cost, LAST)]
+        end = closed.index(min(closed))
+        cost[end] = closed[end]
     out = [end]
-    for c in reversed(came[1:]):
-        out.append(int(c[out[-1]]))
-    return out[::-1]
+    for back in reversed(came[1:]):
+        out.append(back[out[-1]])
+    return out[::-1], cost[end] // UNIT
 
 
 ROW_SCHEMA = "conv_id bigint, turn bigint, role string, text string, tie bigint, segment bigint, n int, own int"
@@ -144,60 +158,56 @@ def _joints(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 OUT_SCHEMA = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("n", pa.int32()), ("turn", pa.int64()), ("role", pa.string()),
                         ("action", pa.string()), ("rendered", pa.string()), ("cost", pa.int64())])
+READY = ("segment", "n", "conv_id", "turn", "text", "own", "tie", "start", "end", "last", "cost")
+_MARK = ["", *[f"<|{r}|>\n" for r in ROLES]]
+_END = "<|end|>\n"
+
+
+def _stretch(rows: list[tuple]) -> Iterator[tuple]:
+    """Rendered turns of one stretch. A turn opens with its mark unless it joins the one before; the one before closes
+    when the next one opens. Empty turns are rendered before the turn that needs them, and after the last one."""
+    segment, _, conv, _, _, _, _, start, end, last, cost = rows[0]
+    ways, own_cost = choices([r[5] for r in rows], [r[6] for r in rows], START if start is None else start, end)
+    # a stretch without joints is a whole conversation
+    state, last, cost = (START, True, own_cost) if start is None else (start, last, cost)
+    for i, ((_, n, _, turn, text, source, *_), role) in enumerate(zip(rows, ways)):
+        parts, actions = [], []
+        if role == state:
+            parts.append("\n\n")
+            actions.append("merge")
+        else:
+            if state != START:
+                parts.append(_END)
+            for empty in FOLLOWS[state, role]:
+                parts += (_MARK[empty], _END)
+                actions.append(f"insert {ROLES[empty - 1]}")
+            parts.append(_MARK[role])
+        parts.append(text or "")
+        if source != role:
+            actions.append("relabel")
+        if last and i == len(rows) - 1:
+            parts.append(_END)
+            for empty in ENDS[role]:
+                parts += (_MARK[empty], _END)
+                actions.append(f"insert {ROLES[empty - 1]}")
+        yield conv, segment, n, turn, ROLES[role - 1], ", ".join(actions) or "keep", "".join(parts), cost
+        state = role
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (segment, n); a stretch that a batch cuts off is carried to the next one.
-
-    A rendered turn opens with its mark unless it joins the turn before; the turn before it closes when the next one
-    opens. Empty turns are rendered before the turn that needs them, and after the last one.
-    """
-
-    def told(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-        out = []
-        for segment, own in rows.groupby("segment", sort=False):
-            first = own.iloc[0]
-            roles = own["own"].tolist()
-            state, k = int(first["start"]), len(own) - 1
-            ways = choices(roles, own["tie"].tolist(), state, int(first["end"]))
-            for i, (turn, source, text, role) in enumerate(zip(own["turn"], roles, own["text"], ways)):
-                parts, actions = [], []
-                text = text or ""
-                if role == state:
-                    parts.append(f"\n\n{text}")
-                    actions.append("merge")
-                else:
-                    if state != START:
-                        parts.append("<|end|>\n")
-                    for empty in FOLLOWS[state, role]:
-                        parts.append(f"<|{ROLES[empty - 1]}|>\n<|end|>\n")
-                        actions.append(f"insert {ROLES[empty - 1]}")
-                    parts.append(f"<|{ROLES[role - 1]}|>\n{text}")
-                if source != role:
-                    actions.append("relabel")
-                if i == k and bool(first["last"]):
-                    parts.append("<|end|>\n")
-                    for empty in ENDS[role]:
-                        parts.append(f"<|{ROLES[empty - 1]}|>\n<|end|>\n")
-                        actions.append(f"insert {ROLES[empty - 1]}")
-                out.append((first["conv_id"], int(segment), int(own["n"].iloc[i]), turn, ROLES[role - 1], ", ".join(actions) or "keep", "".join(parts),
-                            int(first["cost"])))
-                state = role
-        clean = [tuple(None if x is pd.NA or x != x else x for x in r) for r in out]
-        yield from arrow_batches(dict(zip(OUT_SCHEMA.names, zip(*clean))), OUT_SCHEMA)
-
-    kept = None
+    """Rows come sorted by (segment, n), so one stretch at a time is held."""
+    own: list[tuple] = []
     for b in batches:
-        now = b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        now = now if kept is None else pd.concat((kept, now), ignore_index=True)
-        if not len(now):
-            continue
-        cut = now["segment"] == now["segment"].iloc[-1]
-        kept = now[cut]
-        if not cut.all():
-            yield from told(now[~cut])
-    if kept is not None and len(kept):
-        yield from told(kept)
+        out = []
+        for row in zip(*[b.column(c).to_pylist() for c in READY]):
+            if own and own[0][0] != row[0]:
+                out += _stretch(own)
+                own = []
+            own.append(row)
+        if out:
+            yield from arrow_batches(dict(zip(OUT_SCHEMA.names, zip(*out))), OUT_SCHEMA)
+    if own:
+        yield from arrow_batches(dict(zip(OUT_SCHEMA.names, zip(*_stretch(own)))), OUT_SCHEMA)
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -207,8 +217,12 @@ def formatted(turns: DataFrame) -> DataFrame:
     order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]
     cut = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
         "tie", F.crc32(F.concat_ws("|", "turn", "role", "text").cast("binary"))).mapInArrow(_cut, ROW_SCHEMA), "turns")
-    matrices = cut.select("conv_id", "segment", "n", "own", "tie").groupBy("segment").applyInPandas(_matrices, "conv_id bigint, segment bigint, cost array<bigint>")
+    # only conversations of several stretches need the matrices
+    long = cut.groupBy("conv_id").agg(F.min("segment").alias("a"), F.max("segment").alias("b")).filter("a < b").select(F.col("conv_id").alias("c"))
+    several = cut.join(long, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    matrices = several.select("conv_id", "segment", "n", "own", "tie").groupBy("segment").applyInPandas(
+        _matrices, "conv_id bigint, segment bigint, cost array<bigint>")
     joints = matrices.groupBy("conv_id").applyInPandas(_joints, "segment bigint, start int, end int, last boolean, cost bigint")
-    ready = cut.join(joints, "segment").select("segment", "n", "conv_id", "turn", "text", "own", "tie", "start", "end", "last", "cost")
+    ready = cut.join(joints, "segment", "left").select(*READY)
     return ready.repartition("segment").sortWithinPartitions("segment", "n").mapInArrow(
         _render, "conv_id bigint, segment bigint, n int, turn bigint, role string, action string, rendered string, cost bigint")

@@ -91,8 +91,8 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield from arrow_batches({"bucket": np.concatenate((full, [-1])), "df": np.concatenate((df[full], [n]))}, schema)
 
 
-def _parts(docs: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about a million characters together: numpy works on them at once, in bounded memory."""
+def _parts(docs: list[str], chars: int = 1 << 18) -> Iterator[list[str]]:
+    """Runs of texts of about a quarter of a million characters together: numpy works on them at once, in bounded memory."""
     part, size = [], 0
     for d in docs:
         part.append(d)

@@ -33,7 +33,7 @@ LENGTH = 2048
 OPEN = 16
 END_ID = 1
 FAN_IN = 64
-CACHE = 500_000
+CACHE = 150_000
 TOKENIZER = "word_bpe_49k.json"
 
 

@@ -241,7 +241,7 @@ class Model:
         return out
 
 
-def _parts(sources: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
+def _parts(sources: list[str], chars: int = 1 << 19) -> Iterator[list[str]]:
     part, size = [], 0
     for s in sources:
         part.append(s)
