@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, held_out, sample_per_class, segment_sums, texts
+from .common import arrow_batches, held_out, sample_per_class, segment_sums, slices, texts
 from .ftrl import Penalties, softmax, temperature, train
 
 BUCKETS = 1 << 16
@@ -76,7 +76,7 @@ def _counts_of(docs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BUCKETS, np.int64), 0
-    for b in batches:
+    for b in slices(batches):
         for part in _parts(texts(b.column("text"))):
             grams, counts, has = _ngrams(part)
             bounds = [np.concatenate(([0], np.cumsum(c))) for c in counts]
@@ -106,7 +106,7 @@ def _parts(docs: list[str], chars: int = 1 << 18) -> Iterator[list[str]]:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.string()), ("lang", pa.string()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("total", pa.int64())])
-    for b in batches:
+    for b in slices(batches):
         got = list(_counts_of(texts(b.column("text"))))
         yield from arrow_batches({
             "key": b.column("key"), "lang": b.column("lang"), "buckets": [g[0] for g in got], "counts": [g[1] for g in got],
@@ -174,7 +174,7 @@ def _predictor(model):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = model.value.predict(texts(b.column("text")))
             yield from arrow_batches({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": [g[0] for g in got],
                                       "score": [g[1] for g in got]}, schema)
@@ -192,7 +192,7 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def _sieve(model, text: int, least: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = model.value.predict(texts(b.column(text).cast(pa.string())))
             yield b.filter(pa.array([p != "und" and s >= least for p, s in got], pa.bool_()))
 

@@ -27,13 +27,13 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, texts, written
+from .common import arrow_batches, slices, texts, written
 
 LENGTH = 2048
 OPEN = 16
 END_ID = 1
 FAN_IN = 64
-CACHE = 150_000
+CACHE = 250_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -162,7 +162,7 @@ def _packer(path: str, length: int, places: int):
                 yield from arrow_batches(dict(zip(PIECE_SCHEMA.names, zip(*rows))), PIECE_SCHEMA)
                 rows.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.ids(texts(b.column("text")))):
                 ids += end
                 total = len(ids) // 4

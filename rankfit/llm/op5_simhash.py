@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_batches, components, texts, written
+from .common import arrow_batches, components, slices, texts, written
 
 SHINGLE = 4
 SEED = 42
@@ -65,7 +65,7 @@ FP_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         fps = np.array([fingerprint(t) for t in texts(b.column("text"))], np.uint64).view(np.int64)
         yield from arrow_batches({"doc_id": b.column("doc_id"), "fp": fps}, FP_SCHEMA)
 

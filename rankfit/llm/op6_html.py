@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, texts
+from .common import arrow_batches, slices, texts
 from .ftrl import Penalties, train
 
 PAGES = 400
@@ -257,7 +257,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per node of a labelled page: its features, label, parent's label, and whether it is text."""
     schema = pa.schema([("key", pa.int64()), ("node", pa.int32()), ("features", pa.list_(pa.int32())), ("label", pa.int32()), ("above", pa.int32()),
                         ("is_text", pa.int32())])
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for key, source in zip(b.column("key").to_pylist(), texts(b.column("html"))):
             p = Page(source, plain=bool(key % 2))
@@ -290,7 +290,7 @@ def _extractor(model):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = model.value.extract(texts(b.column("html")))
             yield from arrow_batches({"page_id": b.column("page_id"), "url": b.column("url"), "text": got, "n_chars": [len(t) for t in got]}, schema)
 

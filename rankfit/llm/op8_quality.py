@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, held_out, sample_per_class, segment_sums, texts
+from .common import arrow_batches, held_out, sample_per_class, segment_sums, slices, texts
 from .ftrl import Penalties, sigmoid, train
 from .op3_language import _parts
 
@@ -126,7 +126,7 @@ class Model:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.string()), ("label", pa.int32()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
-    for b in batches:
+    for b in slices(batches):
         got = [_sparse(t) for t in texts(b.column("text"))]
         yield from arrow_batches({"key": b.column("key"), "label": b.column("label"), "buckets": [g[0] for g in got],
                                   "shares": [g[1] for g in got]}, schema)
@@ -153,7 +153,7 @@ def _scorer(model):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = model.value.scores(texts(b.column("text")))
             yield from arrow_batches({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": s,
                                       "predicted": (s >= CUT).astype(np.int32)}, schema)
