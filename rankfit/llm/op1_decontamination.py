@@ -6,8 +6,8 @@ least 11 tokens are equal within 13 neighbouring item positions (for items of fe
 masks together hit every such overlap, whichever two tokens were substituted (a test tries all cases).
 
 A document's token hashes stay in its row; a seed is computed from them, looked up, and only hits leave the row. The
-seeds of the benchmark are counted first and broadcast within `max_broadcast` rows; a larger benchmark is joined by
-shuffle. No document is sampled or cut.
+seeds of the benchmark are counted first and broadcast within `max_broadcast` rows; for a larger
+benchmark the seeds of both sides meet by shuffle, without texts. No document is sampled or cut.
 
 Tokens are maximal runs of letters and digits in lower case. Items of fewer than 8 tokens are too short to tell and match
 nothing. Null texts count as empty; repeated rows and equal ids add to one result row per (doc_id, item_id); ties between
@@ -45,14 +45,19 @@ def overlaps(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCA
     bench = written(items.select("item_id", _hashed("text").alias("tokens")).distinct(), "benchmark")
     seeds = written(_seeds(bench.withColumn("item", F.xxhash64("tokens")), ["item", "tokens"]).select(
         "h", "item", F.col("i").alias("j"), F.size("tokens").alias("n")).distinct(), "seeds")
-    if seeds.count() <= max_broadcast:
-        seeds = F.broadcast(seeds)
     rows = docs.select("doc_id", _hashed("text").alias("tokens")).withColumn("row", F.xxhash64("tokens"))
-    hits = _seeds(rows, ["doc_id", "row", "tokens"]).join(seeds, "h")
-    # the item's first position on this diagonal may lie before the document; absent tokens are null
+    # the item's first position on a diagonal may lie before the document; absent tokens are null
     start = F.col("i") - F.col("j")
-    own = F.slice("tokens", F.greatest(start, F.lit(0)) + 1, F.col("n") + F.least(start, F.lit(0)))
-    found = hits.select("doc_id", "row", "item", start.alias("doc_start"), own.alias("own")).groupBy(
+    on_diagonal = F.slice("tokens", F.greatest("doc_start", F.lit(0)) + 1, F.col("n") + F.least("doc_start", F.lit(0)))
+    if seeds.count() <= max_broadcast:
+        hits = _seeds(rows, ["doc_id", "row", "tokens"]).join(F.broadcast(seeds), "h")
+        hits = hits.select("doc_id", "row", "item", "n", "tokens", start.alias("doc_start"))
+    else:
+        # seeds alone go through the shuffle; the documents that were hit come in afterwards
+        narrow = _seeds(rows, ["doc_id", "row", "tokens"]).select("doc_id", "row", "i", "h").join(seeds, "h")
+        narrow = narrow.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "item", "n", start.alias("doc_start")).distinct()
+        hits = narrow.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).drop("d", "r")
+    found = hits.select("doc_id", "row", "item", "doc_start", on_diagonal.alias("own")).groupBy(
         "doc_id", "row", "item", "doc_start").agg(F.first("own").alias("own"))
     wanted = bench.withColumn("item", F.xxhash64("tokens"))
     both = found.join(wanted, "item")
