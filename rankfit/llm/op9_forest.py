@@ -208,7 +208,8 @@ def nearest(vectors: DataFrame, queries: Column | None = None, top: int = TOP, r
     walk = asked.repartition("vec_id").mapInArrow(_walker(spark.sparkContext.broadcast((forest, sizes, reach * n))), "query_id bigint, n bigint, tree int, leaf int")
     group = (F.col("leaf") / TOGETHER).cast("int")
     left = placed.select("ids", "v", "tree", "leaf", group.alias("g"), F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("part"))
-    right = walk.join(asked.select(F.col("vec_id").alias("query_id"), "n", "v"), ["query_id", "n"]).select(
+    # how much a walk gives can't be estimated, so it is never broadcast
+    right = walk.join(asked.select(F.col("vec_id").alias("query_id"), "n", "v").hint("merge"), ["query_id", "n"]).select(
         "query_id", "n", "v", "tree", "leaf", group.alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
     near = left.groupBy("tree", "g", "part").cogroup(right.groupBy("tree", "g", "part")).applyInPandas(
         _ranker(top), "query_id bigint, vec_id bigint, score double").distinct()
