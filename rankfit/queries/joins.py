@@ -163,12 +163,37 @@ def _(t):
     return M.resolve_entities(t.doc_queries, names_with_surface(t), t.acronyms, fuzzy=False)
 
 
-@query("resolve_entities")
+def ratio_sql(pairs: str) -> str:
+    """Tables over `pairs` (id, a, b): `ratio` (id, ratio) is twice the matched characters over all characters. The longest
+    common piece is found (the first one in a, then in b), then the same to its left and to its right."""
+    return f"""ea AS (SELECT id, b, unnest(range(length(a))) AS i, unnest(string_split(a, '')) AS x FROM {pairs}), eb AS (SELECT id, unnest(range(length(b))) AS j, unnest(string_split(b, '')) AS y FROM {pairs}),
+e0 AS (SELECT ea.id, i, j, i - row_number() OVER (PARTITION BY ea.id, i - j ORDER BY i) AS g FROM ea JOIN eb ON ea.id = eb.id AND x = y),
+e AS (SELECT id, i, j, max(i) OVER (PARTITION BY id, i - j, g) - i + 1 AS run FROM e0),
+iv AS (SELECT id, 0::BIGINT AS al, length(a)::BIGINT AS ah, 0::BIGINT AS bl, length(b)::BIGINT AS bh, 0::BIGINT AS k FROM {pairs}
+ UNION ALL SELECT id, CASE side WHEN 0 THEN al ELSE i + n END, CASE side WHEN 0 THEN i ELSE ah END, CASE side WHEN 0 THEN bl ELSE j + n END, CASE side WHEN 0 THEN j ELSE bh END, CASE side WHEN 0 THEN n ELSE 0 END
+ FROM (SELECT id, al, ah, bl, bh, best[1] AS n, -best[2] AS i, -best[3] AS j, unnest([0, 1]) AS side FROM (
+  SELECT iv.id, al, ah, bl, bh, max([least(run, ah - i, bh - j), -i, -j]) AS best FROM iv JOIN e ON e.id = iv.id AND i >= al AND i < ah AND j >= bl AND j < bh GROUP BY 1, 2, 3, 4, 5) m) c),
+ratio AS (SELECT p.id, p.a, p.b, 2.0::DOUBLE * sum(k) / (length(p.a) + length(p.b)) AS ratio FROM iv JOIN {pairs} p ON p.id = iv.id GROUP BY 1, 2, 3)"""
+
+
+_FUZZY = f"""pr AS (SELECT row_number() OVER () AS id, a, b FROM (SELECT n AS a, q AS b FROM ns, qn WHERE n <> '' AND q <> '' UNION SELECT school, raw FROM ns, qs WHERE raw <> '') x),
+{ratio_sql('pr')},
+f1 AS (SELECT q, n, rep.school FROM (SELECT b AS q, a AS n, ratio FROM ratio JOIN (SELECT DISTINCT n FROM ns) t ON t.n = a JOIN qn ON q = b WHERE ratio >= {M.FUZZY_CUTOFF}::DOUBLE QUALIFY row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC) <= {M.FUZZY_HITS}) y JOIN rep USING (n)),
+f2 AS (SELECT qs.q, ns.n, z.school FROM (SELECT b AS raw, a AS school FROM ratio JOIN (SELECT DISTINCT school FROM ns) t ON t.school = a JOIN (SELECT DISTINCT raw FROM qs) u ON u.raw = b WHERE ratio >= {M.FUZZY_CUTOFF}::DOUBLE QUALIFY row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC) <= {M.FUZZY_HITS}) z
+  JOIN qs USING (raw) JOIN ns ON ns.school = z.school),
+"""
+_RESOLVE_SQL = LEXICAL_SQL.replace("WITH qs", "WITH RECURSIVE qs", 1).replace("hits AS (", _FUZZY + "hits AS (SELECT f.q, f.school, ratio * 0.80::DOUBLE AS score FROM (SELECT * FROM f1 UNION SELECT * FROM f2) f JOIN ratio ON a = f.n AND b = f.q UNION ALL ", 1)
+
+
+@query("resolve_entities", _RESOLVE_SQL)
 def _(t):
     return M.resolve_entities(t.doc_queries, names_with_surface(t), t.acronyms)
 
 
-@query("fuzzy_ratio")
+@query("fuzzy_ratio", f"""WITH RECURSIVE pr AS (SELECT row_number() OVER () AS id, school AS a, query AS b FROM (SELECT DISTINCT lower(query) AS query FROM {{doc_queries}}) q, (SELECT DISTINCT lower(school) AS school FROM {{doc_names}}) n
+  WHERE query <> '' AND 2 * least(length(query), length(school)) >= (length(query) + length(school)) * {M.FUZZY_CUTOFF}),
+{ratio_sql('pr')}
+SELECT b AS query, a AS school, ratio FROM ratio WHERE ratio >= {M.FUZZY_CUTOFF}::DOUBLE QUALIFY row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC) <= {M.FUZZY_HITS}""")
 def _(t):
     q = t.doc_queries.select(F.lower("query").alias("query"))
     return M.fuzzy_pairs(q, "query", t.doc_names.select(F.lower("school").alias("school")), "school")

@@ -143,7 +143,12 @@ def _(t):
 role("offers", "SELECT l_suppkey AS entity, l_suppkey AS ord, CAST(l_partkey AS STRING) AS url, CAST(max(l_quantity) AS INT) AS score FROM {lineitem} GROUP BY 1, 2, 3")
 
 
-@query("global_exclusive_pick")
+@query("global_exclusive_pick", """WITH RECURSIVE o AS (SELECT entity, ord, url, max(score) AS score FROM {offers} WHERE score >= 10 GROUP BY 1, 2, 3), en AS (SELECT entity, row_number() OVER (ORDER BY ord) AS k FROM (SELECT DISTINCT entity, ord FROM o) x),
+l AS (SELECT k, entity, list(url ORDER BY score DESC, url) AS urls, list(score ORDER BY score DESC, url) AS scores FROM o JOIN en USING (entity) GROUP BY 1, 2),
+r AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS taken, NULL::BIGINT AS entity, NULL::VARCHAR AS url, NULL::INTEGER AS score
+ UNION ALL SELECT k, CASE WHEN p > 0 THEN list_append(taken, urls[p]) ELSE taken END, entity, CASE WHEN p > 0 THEN urls[p] END, CASE WHEN p > 0 THEN scores[p] END
+ FROM (SELECT l.*, taken, list_position([NOT list_contains(taken, u) for u in urls], true) AS p FROM r JOIN l ON l.k = r.k + 1) y)
+SELECT entity, url, score FROM r WHERE url IS NOT NULL""")
 def _(t):
     return OA.global_exclusive_pick(t.offers, "entity", "ord", minimum=10)
 
