@@ -26,7 +26,7 @@ from .op3_language import _parts
 
 BUCKETS = 1 << 18
 BIAS = BUCKETS
-PER_CLASS = 1500
+PER_CLASS = 1000
 PENALTIES = Penalties(alpha=0.3, l1=0.02, l2=0.01, epochs=4)
 CUT = 0.7
 SCALE = 10.0
@@ -143,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, penaltie
     got = got.sort_values(["key", "label"], ignore_index=True)
     if got["label"].nunique() == 0:
         return Model(np.zeros(BUCKETS + 1))
-    made = [(np.concatenate((np.asarray(b, np.int64), [BIAS])), np.concatenate((SCALE * np.asarray(x, np.float64), [1.0])), int(y))
-            for b, x, y in zip(got["buckets"], got["shares"], got["label"])]
+    made = [(np.append(np.asarray(b, np.int32), np.int32(BIAS)), np.append(np.asarray(x, np.float32) * SCALE, np.float32(1)), int(y))
+            for b, x, y in zip(got.pop("buckets"), got.pop("shares"), got["label"])]
     w = train(made, BUCKETS + 1, 2, penalties)
     return Model(w[:, 1] - w[:, 0])
 
