@@ -2,7 +2,7 @@
 
 A window is the shortest run of lines from a line on (or up to a line) with at least 50 words. The smallest line hash in a
 window is its fingerprint, so any run of 50 words or more that two places share has a fingerprint in common. Only windows
-whose fingerprint occurs in several places go on. Windows are joined by fingerprint and content with the first place of
+whose fingerprint was taken from several lines of the corpus go on. Windows are joined by fingerprint and content with the first place of
 the corpus that holds them, forward windows extend a match to the right and backward windows to the left, and a run that
 occurred before (by doc_id, then position) is deleted as a whole. The first occurrence stays.
 
@@ -22,7 +22,7 @@ MIN_WORDS = 50
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """Complete windows: direction, fingerprint, content key, document, own position and extent."""
+    """Complete windows: direction, fingerprint (the smallest line hash) and its line, content key, document and extent."""
     lines = docs.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     line = F.trim("line")
     words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
@@ -33,10 +33,10 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     made = lines
     for way, frame in (("f", doc.orderBy("since").rangeBetween(0, min_words - 1)), ("b", doc.orderBy("till").rangeBetween(-min_words + 1, 0))):
         made = made.withColumns({
-            f"{way}_words": F.sum("words").over(frame), f"{way}_print": F.min("h").over(frame),
+            f"{way}_words": F.sum("words").over(frame), f"{way}_least": F.min(F.struct("h", "pos")).over(frame),
             f"{way}_key": F.xxhash64(F.collect_list("h").over(frame)),
             f"{way}_end": (F.max("pos") if way == "f" else F.min("pos")).over(frame)})
-    sides = [F.struct(F.lit(way).alias("way"), F.col(f"{way}_words").alias("n"), F.col(f"{way}_print").alias("print"),
+    sides = [F.struct(F.lit(way).alias("way"), F.col(f"{way}_words").alias("n"), F.col(f"{way}_least.h").alias("print"), F.col(f"{way}_least.pos").alias("at"),
                       F.col(f"{way}_key").alias("key"), F.least("pos", f"{way}_end").alias("start"), F.greatest("pos", f"{way}_end").alias("end"))
              for way in ("f", "b")]
     return made.select("doc_id", "row", F.inline(F.array(*sides))).filter(F.col("n") >= min_words).drop("n")
@@ -45,9 +45,8 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, row, start, end): line ranges of `docs` (doc_id, row, text) that occurred before, merged where they meet."""
     windows = written(_windows(docs, min_words), "windows")
-    where = F.struct("doc_id", "row", "start")
-    shared = windows.groupBy("print").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.max("end").alias("e"), F.min("end").alias("f"))
-    shared = shared.filter("a <> b or e <> f").select("print")
+    where = F.struct("doc_id", "row", "at")
+    shared = windows.groupBy("print").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("not (a <=> b)").select("print")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "start")
     first = windows.join(shared, "print", "left_semi").groupBy("way", "print", "key").agg(
         F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
