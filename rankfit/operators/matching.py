@@ -109,6 +109,11 @@ def grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))))
 
 
+def longest(df: DataFrame, text: str) -> Column:
+    """Length of the longest text, as a scalar subquery; null where there is none."""
+    return df.agg(F.max(F.length(text))).scalar()
+
+
 def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: str, min_length: int = GRAM) -> DataFrame:
     """Pairs where the needle, of at least `min_length` characters, occurs inside the hay text.
 
@@ -117,6 +122,7 @@ def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: s
     """
     need = needles.select(F.col(needle)).distinct().filter(F.length(needle) >= min_length)
     hays = haystack.select(F.col(hay)).distinct()
+    need = need.filter(F.length(needle) <= longest(hays, hay))
     posting = hays.filter(F.length(hay) >= GRAM).select(hay, F.explode(grams(F.col(hay), GRAM)).alias("_gram"))
     df = posting.groupBy("_gram").agg(F.count("*").alias("_df"))
     long = need.filter(F.length(needle) >= GRAM).withColumn("_grams", grams(F.col(needle), GRAM))
@@ -202,6 +208,8 @@ def fuzzy_pairs(queries: DataFrame, query: str, names: DataFrame, name: str, cut
     """
     q = queries.select(query).distinct().filter(F.length(query) > 0)
     s = names.select(name).distinct().filter(F.length(name) > 0)
+    # a text so much longer than every name can't reach the ratio
+    q = q.filter(F.length(query) * cutoff <= longest(s, name) * (2 - cutoff))
 
     def keyed(d: DataFrame, c: str) -> DataFrame:
         both = F.concat(F.coalesce(grams(F.col(c), 2), F.array().cast("array<string>")), grams(F.col(c), 1))
