@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -221,9 +220,12 @@ def _merge(length: int, first_id: int):
 
 def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, places: int = OPEN) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
     pieces = written(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_packer(path, length, places), PIECES), "pieces")
+        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_packer(tokenizer, length, places), PIECES), "pieces")
     merged = pieces.filter("open").groupBy((F.col("part") / FAN_IN).cast("int")).applyInPandas(
         _merge(length, 1 << 62), ", ".join(f"{c} bigint" for c in RESULT))
     return pieces.filter("not open").select(*RESULT).unionByName(merged)
