@@ -48,6 +48,8 @@ class Words:
 
     White space only separates for this tokenizer (its pattern never matches it, and nothing composes across it), so the
     ids of a text are those of its words in order; ASCII letters may be lowered first, as the tokenizer does it itself.
+    Two kinds of words keep their case: those that may hold a special token, which is matched as written, and those with
+    combining marks, which are composed before they are lowered (j with caron is one letter, J with caron is not).
     Words are cut at ASCII white space only. Of a new word, Latin letters and the ASCII signs after them are separate
     pieces for the tokenizer's pattern; a piece of letters goes straight to its model, everything else through the whole
     tokenizer. What is remembered is bounded by `CACHE` words and as many stems.
@@ -55,6 +57,8 @@ class Words:
 
     _by_path: dict[str, "Words"] = {}
     _shape = re.compile(r"([^\W\d_]+)([,.!?;:%#*&$|]*)")
+    # the start of a special token, and the first bytes of U+0300 to U+037F
+    _cased = re.compile(rb"<\||[\xcc\xcd]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -81,8 +85,9 @@ class Words:
 
     def _new(self, word: str) -> bytes:
         m = self._shape.fullmatch(word)
-        # Latin letters have one lower-case form each, but for the dotted capital I, and are in composed form
-        if not m or not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+        # \w also holds numbers like ² and ½, which are pieces of their own; Latin letters have one lower-case form each,
+        # but for the dotted capital I, and are in composed form
+        if not m or not m[1].isalpha() or not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
             return self._whole(word)
         out = b""
         for piece, letters in ((m[1], True), (m[2], False)):
@@ -99,7 +104,11 @@ class Words:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
         for d in docs:
-            words = d.encode().lower().split()
+            words = d.encode()
+            if self._cased.search(words):
+                words = [w if self._cased.search(w) else w.lower() for w in words.split()]
+            else:
+                words = words.lower().split()
             try:
                 yield b"".join(map(known.__getitem__, words))
             except KeyError:
