@@ -10,7 +10,10 @@ the like, is content. At most `PAGES` such pages are used, those with the smalle
 of them the labelling elements are renamed, so that text is also learned from what it looks like. The node scores are
 trained by follow-the-regularised-leader, the pair potentials are smoothed log ratios of counts.
 
-Blocks follow the markup: block elements separate, inline elements and line breaks do not. Null html is empty; pages
+Blocks follow the markup: block elements separate, inline elements, formulas and line breaks do not. What scripts, styles,
+titles, inline frames and text fields hold is no text; without an end tag they reach to the end of the page, as for a
+browser. Graphics, formulas, objects and stand-ins like `noscript` are nodes like others; where one is never closed, what
+follows is not taken for its own. Null html is empty; pages
 without text give an empty text; repeated rows keep a row each; html of any length is parsed whole, and broken markup
 never fails; where no page labels itself, fixed scores for the same features stand in; further columns are ignored; an
 empty table gives no rows.
@@ -36,16 +39,23 @@ PENALTIES = Penalties(alpha=0.3, l1=0.5, l2=0.05, epochs=2)
 
 # fixed values: element names of the markup language and words in class, id and role by which pages name their parts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes textarea title xmp svg math object".split())
+RAW = frozenset("script style iframe textarea title xmp".split())
+# parsed like others, but what follows belongs to them only if they are closed at all
+ENCLOSED = frozenset("noscript template noembed noframes svg math object".split())
+# what starts one of these ends open graphics and formulas, save in those of their parts that hold markup
+ENDS_FOREIGN = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr
+ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
+HOLDS_MARKUP = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span
 strike strong sub sup time tt u var wbr""".split())
+SEAMLESS = INLINE | frozenset("math object annotation-xml mi mo mn ms mtext".split())
 ENDS_PARAGRAPH = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3
 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul""".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "body": {"head"}}
 LABELLING = frozenset(("article", "main"))
 OTHER_TAGS = frozenset("""head nav aside footer header form button select option menu dialog script style noscript template iframe noembed
-noframes textarea title xmp svg math object label input fieldset""".split())
+noframes textarea title xmp svg annotation annotation-xml label input fieldset""".split())
 OTHER_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
 notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside menu menus nav navbar navigation
 breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing social related recommended
@@ -57,6 +67,8 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z]+")
+# searched in the source itself, as lowering may change its length; ASCII, or i would also match the dotted capital one
+_END = {t: re.compile(rf"</{t}(?=[\t\n\r\f />])", re.I | re.A) for t in RAW | ENCLOSED}
 
 
 def _number(name: str) -> int:
@@ -80,7 +92,7 @@ def _kind(tag: str, attributes: str) -> tuple[tuple[int, ...], int]:
         elif tag in LABELLING or words & CONTENT_WORDS:
             says = 1
         got = (_number(f"tag {tag}"), *[_number(f"word {w}") for w in sorted(words)]), says
-        if len(_KINDS) < 50_000:
+        if len(_KINDS) < 50_000 and len(attributes) < 500:  # not the outlines of graphics
             _KINDS[key] = got
     return got
 
@@ -104,10 +116,10 @@ class Page:
         self._parse(source, plain)
 
     def _parse(self, source: str, plain: bool) -> None:
-        # an open element: tag, node, what stands above (the nearest name that says something), label, in a link
-        stack = [("", 0, 0, 0, False)]
+        # an open element: tag, node, what stands above (the nearest name that says something), label, in a link, in svg or math
+        stack = [("", 0, 0, 0, False, "")]
         block, at, end = 0, 0, len(source)
-        lower = None
+        ends: dict[str, int] = {}
         while at <= end:
             m = _TAG.search(source, at)
             if m is None:
@@ -120,7 +132,10 @@ class Page:
             if not tag:
                 continue
             tag, closing, attributes = tag.lower(), m[1] if m[2] else m[4], (m[3] if m[2] else m[6]) or ""
-            if tag not in INLINE:
+            if not closing and stack[-1][5] and tag in ENDS_FOREIGN:
+                while stack[-1][5]:
+                    stack.pop()
+            if tag not in SEAMLESS and stack[-1][5] != "math":
                 block += 1
             elif tag == "br":
                 self._leaf(" ", stack[-1], block)
@@ -132,7 +147,7 @@ class Page:
             for other in ENDS_SAME.get(tag, ()):
                 if stack[-1][0] == other or len(stack) > 1 and stack[-1][0] in INLINE:
                     self._close(stack, other, implied=True)
-            _, above_node, above, labelled, link = stack[-1]
+            _, above_node, above, labelled, link, foreign = stack[-1]
             features, says = _kind("div" if plain and tag in LABELLING else tag, attributes)
             if tag == "header" and any(x[0] in LABELLING for x in stack):
                 says = 0  # a heading of the article itself
@@ -142,31 +157,36 @@ class Page:
             self.depth.append(self.depth[above_node] + 1)
             self.features.append((*features, _SAYS[says], _ABOVE[above]))
             self.label.append(inside)
-            if tag in VOID or attributes.endswith("/") and tag in RAW:
+            if tag in VOID or attributes.endswith("/") and (foreign or tag in RAW or tag in ENCLOSED):
                 continue
-            if tag in RAW:
-                lower = lower if lower is not None else source.lower()
-                close = lower.find(f"</{tag}", at)
-                at = end + 1 if close < 0 else close
-                if close < 0:
-                    break
-            stack.append((tag, node, says or above, inside, link or tag == "a"))
+            if tag in _END:
+                close = ends.get(tag, -1)
+                if close < at:
+                    m = _END[tag].search(source, at)
+                    close = ends[tag] = m.start() if m else end + 1
+                if tag in RAW:
+                    at = close
+                elif close > end:
+                    continue
+            foreign = tag if tag in ("svg", "math") else "" if tag in HOLDS_MARKUP else foreign
+            stack.append((tag, node, says or above, inside, link or tag == "a", foreign))
 
     @staticmethod
     def _close(stack: list, tag: str, implied: bool = False) -> None:
-        """Pops up to the nearest open element of the name. Inline ends and implied ends do not reach beyond a block."""
+        """Pops up to the nearest open element of the name. Inline ends and implied ends do not reach beyond a block, but
+        beyond graphics and formulas."""
         for i in range(len(stack) - 1, 0, -1):
             own = stack[i][0]
             if own == tag:
                 del stack[i:]
                 return
-            if own not in INLINE and (implied or tag in INLINE or tag == "p"):
+            if own not in INLINE and not stack[i][5] and (implied or tag in INLINE or tag == "p"):
                 return
 
     def _leaf(self, text: str, above: tuple, block: int) -> None:
         if "&" in text:
             text = entities.unescape(text)
-        _, node, says, label, link = above
+        _, node, says, label, link, _ = above
         blank = not text or text.isspace()
         if blank and (not text or self.text and self.text[-1].isspace() and self.block[-1] == block):
             return
