@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .keyed import first_per_key, top_k_per_key, with_group_stats
@@ -64,7 +64,8 @@ def drop_shared(rows: DataFrame, value: str, group: str, others: int = 2) -> Dat
 
 def global_exclusive_pick(rows: DataFrame, entity: str, entity_order: str, url: str = "url", score: str = "score",
                           minimum: int = -5, rounds: int = 20, block: int = 512) -> DataFrame:
-    """Best url per entity where earlier entities choose first and a url is used once.
+    """Best url per entity where earlier entities choose first and a url is used once. A null order comes before all
+    others; entities of equal order choose by entity.
 
     Rounds of proposals: every unplaced entity proposes to its best url that has not refused it; each url keeps the
     earliest proposer and refuses the rest. With one common order of entities the stable outcome is exactly the
@@ -73,13 +74,14 @@ def global_exclusive_pick(rows: DataFrame, entity: str, entity_order: str, url:
     order: a block needs the best `block` free urls of each of its entities only, whatever the pool holds.
     """
     offers = cut_lineage(rows.filter(F.col(score) >= minimum).groupBy(entity, entity_order, url).agg(F.max(score).alias(score)))
+    turn = F.struct(entity_order, entity)  # nulls compare as the smallest values
     refused = None
     for _ in range(rounds):
         open_offers = offers if refused is None else offers.join(refused, [entity, url], "left_anti")
         best = first_per_key(open_offers, [entity], [F.desc(score), F.asc(url)])
-        holder = best.groupBy(url).agg(F.min_by(entity, entity_order).alias("_holder"), F.min(entity_order).alias("_first"))
+        holder = best.groupBy(url).agg(F.min(turn).alias("_first"))
         # a url that an earlier entity holds is never given up to a later one
-        lost = cut_lineage(open_offers.join(holder, url).filter((F.col(entity_order) > F.col("_first"))).select(entity, url))
+        lost = cut_lineage(open_offers.join(holder, url).filter(turn > F.col("_first")).select(entity, url))
         if lost.isEmpty():
             return best.select(entity, url, score)
         refused = lost if refused is None else refused.unionByName(lost)
@@ -87,21 +89,22 @@ def global_exclusive_pick(rows: DataFrame, entity: str, entity_order: str, url:
     picked = None
     while True:
         first = free.select(entity, entity_order).distinct().orderBy(entity_order, entity).limit(block)
-        own = top_k_per_key(free.join(F.broadcast(first.select(entity)), entity), [entity], [F.desc(score), F.asc(url)], block, "_rn")
+        first = first.withColumn("_turn", F.row_number().over(Window.orderBy(entity_order, entity)))
+        own = top_k_per_key(free.join(F.broadcast(first.select(entity, "_turn")), entity), [entity], [F.desc(score), F.asc(url)], block, "_rn")
         # one bounded group: at most block x block offers
-        chosen = cut_lineage(own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_choose(entity, entity_order, url, score), free.select(entity, url, score).schema))
+        chosen = cut_lineage(own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_choose(entity, url, score), free.select(entity, url, score).schema))
         picked = chosen if picked is None else picked.unionByName(chosen)
-        done = first.agg(F.max(F.struct(entity_order, entity)).alias("m")).first()["m"]
+        done = first.agg(F.max(turn).alias("m")).first()["m"]
         if done is None:
             return picked
-        later = F.struct(entity_order, entity) > F.struct(F.lit(done[0]).alias(entity_order), F.lit(done[1]).alias(entity))
-        free = cut_lineage(free.filter(later).join(chosen.select(url), url, "left_anti"))
+        last = F.struct(*[F.lit(v).cast(free.schema[c].dataType).alias(c) for c, v in zip((entity_order, entity), done)])
+        free = cut_lineage(free.filter(turn > last).join(chosen.select(url), url, "left_anti"))
 
 
-def _choose(entity: str, entity_order: str, url: str, score: str):
+def _choose(entity: str, url: str, score: str):
     def choose(offers):
         taken, rows = set(), []
-        for _, own in offers.sort_values([entity_order, entity, "_rn"]).groupby([entity_order, entity], sort=True):
+        for _, own in offers.sort_values(["_turn", "_rn"]).groupby("_turn"):
             for u, s in zip(own[url], own[score]):
                 if u not in taken:
                     taken.add(u)
