@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_decontamination, op2_lines, op7_secrets
+from . import op1_decontamination, op2_lines, op7_secrets, op11_lexical
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,22 @@ def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op6_html import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_lexical", op11_lexical.ORACLE)
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_whitening")
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_toxicity")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
