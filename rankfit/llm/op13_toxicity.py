@@ -43,6 +43,7 @@ BLOCK = 64
 NEAR = 0.1
 PRIOR = 0.5
 SHOWN = 5
+TOGETHER = 8192
 CUT = 0.5
 
 
@@ -71,6 +72,17 @@ def _counter(known):
     return count
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a task hold each word, so that only sums are shuffled."""
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        own = np.bincount(b.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=len(total))
+        own[:len(total)] += total
+        total = own
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["t", "n"])
+
+
 class Index:
     """Unit vectors of the examples by word, in blocks."""
 
@@ -205,21 +217,21 @@ def telling_words(docs: DataFrame, chosen: DataFrame, level: float = LEVEL, leas
 
 
 def fit(docs: DataFrame, counts_of, labels: DataFrame, per_class: int, k: int) -> tuple[Model, DataFrame]:
-    """The model, and the word counts of all documents."""
+    """The model, and the word counts of all documents, dealt out anew: their table is small, but scoring takes its time."""
     chosen, stands_for = examples(docs, labels, per_class)
     known = telling_words(docs, chosen)
     counts = counts_of(known)
     n = counts.count()
     df = np.zeros(len(known))
-    for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():
-        df[r["t"]] = r["count"]
+    for r in counts.select("terms").mapInArrow(_frequencies, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        df[r["t"]] = r["n"]
     # one row of each example, whatever repeats
     own = counts.join(F.broadcast(chosen.withColumnsRenamed({"doc_id": "of_doc", "row": "of_row"})), (F.col("row") == F.col("of_row")) & (F.col("doc_id") == F.col("of_doc")))
     got = own.select("doc_id", "row", "label", "terms", "tfs").distinct().orderBy("row", "doc_id").collect()
     ids, truth = np.array([r["doc_id"] for r in got], np.int64), np.array([r["label"] for r in got], np.int64)
     index = Index(np.log((n + 1) / (df + 0.5)), [])
     vectors = [(t := np.array(r["terms"], np.int64), index.unit(t, np.array(r["tfs"], float))) for r in got]
-    return Model(known, Index(index.idf, vectors), ids, truth, stands_for, k).calibrated(vectors), counts
+    return Model(known, Index(index.idf, vectors), ids, truth, stands_for, k).calibrated(vectors), counts.repartition(max(1, -(-n // TOGETHER)))
 
 
 def _scorer(model):
