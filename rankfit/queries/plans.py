@@ -173,6 +173,6 @@ def _(t):
 
 @query("upsert_stream", "SELECT user_id, event_type AS event, value AS time_sec, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def _(t):
-    path, order = scratch_path(t.spark, "latest"), (["user_id", "event"], "ts", "event_id")
-    SM.upsert_stream(event_stream(t), path, *order, f"{path}-log").trigger(availableNow=True).start().awaitTermination()
-    return SM.read_upserted(t.spark, path, *order).select("user_id", "event", "time_sec", "event_id")
+    log = scratch_path(t.spark, "latest")
+    SM.upsert_stream(event_stream(t), ["user_id", "event"], "ts", "event_id", log).trigger(availableNow=True).start().awaitTermination()
+    return SM.read_upserted(t.spark, log).select("user_id", "event", "time_sec", "event_id")

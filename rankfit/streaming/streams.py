@@ -1,114 +1,118 @@
-"""Structured Streaming forms: new-best detection and keyed upserts."""
+"""Structured Streaming forms: new-best detection with keyed state, and keyed upserts.
+
+State lies in Spark's RocksDB store: every batch writes what changed, and Spark makes snapshots and removes what they
+replace. After a restart a query goes on from its last committed batch.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..sources.staging import latest_per_key, path_exists
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PR_SCHEMA = "user_id bigint, event string, ts timestamp, time_sec double, old_best double"
-STATE_SCHEMA = "best double, last_emit timestamp, seen timestamp"
-
-
-def _detect(gate_hours: float, ttl_hours: float | None):
-    """Per (user, event): emit a row when a value beats the stored best and the last emission is old enough."""
-
-    def moment(ts):
-        return None if ts is None else pd.Timestamp(ts).to_pydatetime()
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, last, seen = state.get if state.exists else (None, None, None)
-        out, last, seen = [], None if last is None else pd.Timestamp(last), None if seen is None else pd.Timestamp(seen)
-        for rows in batches:
-            rows = rows.sort_values(["ts", "time_sec"], kind="stable")
-            for ts, sec in zip(rows["ts"], rows["time_sec"]):
-                late = seen is not None and ts < seen
-                seen = ts if seen is None else max(seen, ts)
-                if best is not None and not sec < best:
-                    continue
-                if not late and (last is None or ts - last >= pd.Timedelta(hours=gate_hours)):
-                    out.append((key[0], key[1], ts, float(sec), best))
-                    last = ts
-                best = float(sec)
-        state.update((best, moment(last), moment(seen)))
-        if ttl_hours is not None:
-            due = max(int(seen.timestamp() * 1000 + ttl_hours * 3_600_000), state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(due)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event", "ts", "time_sec", "old_best"]).astype({"old_best": "float64"})
+# microseconds since 1970
+STATE_SCHEMA = "best double, announced bigint, seen bigint"
+HOUR = 3_600_000_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    return step
 
+def with_store(df: DataFrame) -> DataFrame:
+    """The stream, in a session whose new streams keep their state in RocksDB."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df
 
-def pr_detect_stream(events: DataFrame, gate_hours: float = 0.0, ttl_hours: float | None = None) -> DataFrame:
-    """New bests per (user, event) of a stream of (user_id, event, ts, time_sec).
-
-    `gate_hours`: how long after an announced best the next one of the key is held back. A row that is older than one the
-    key has already seen in an earlier batch counts for the best, but is not announced. `ttl_hours`: a key's state goes that
-    long after its last row, by the watermark that the stream must then have. A key's rows of one micro-batch are read
-    Arrow batch by Arrow batch inside its task; where order within a batch does not matter, `best_per_batch` keeps every
-    step a partial aggregation.
-    """
-    timeout = GroupStateTimeout.NoTimeout if ttl_hours is None else GroupStateTimeout.EventTimeTimeout
-    return events.groupBy("user_id", "event").applyInPandasWithState(
-        _detect(gate_hours, ttl_hours), PR_SCHEMA, STATE_SCHEMA, "append", timeout)
 
+def staircase(moment: np.ndarray, sec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are smaller than all before them in the order of (moment, sec)."""
+    order = np.lexsort((sec, moment))
+    moment, sec = moment[order], sec[order]
+    before = np.concatenate(([np.inf], np.minimum.accumulate(sec)[:-1])) if len(sec) else sec
+    return moment[sec < before], sec[sec < before]
 
-def append_epoch(rows: DataFrame, path: str, epoch: int) -> None:
-    """Write the rows of one micro-batch as their own partition, and how many they are. A replayed batch replaces itself."""
-    put = lambda df, name: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{path}/{name}")
-    put(rows, "rows")
-    here = rows.sparkSession.read.parquet(f"{path}/rows").filter(F.col("epoch") == epoch) if path_exists(rows.sparkSession, f"{path}/rows/epoch={epoch}") else rows.limit(0)
-    put(here.agg(F.count("*").alias("n")), "counts")
 
+class NewBests(StatefulProcessor):
+    """Per (user, event): announces a value that beats the stored best when the last announcement is old enough.
 
-def read_epochs(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of all micro-batches; fails where a batch is missing or incomplete."""
-    rows, counts = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/counts")
-    found = rows.groupBy("epoch").agg(F.count("*").alias("found"))
-    lost = counts.join(found, "epoch", "left").filter(F.coalesce("found", F.lit(0)) != F.col("n")).select("epoch")
-    span = counts.agg(F.max("epoch") + 1 - F.count("*")).first()[0]
-    if span or not lost.isEmpty():
-        raise RuntimeError(f"{path}: a micro-batch is missing or incomplete")
-    return rows
+    A key's rows come in Arrow batches in any order. Of every batch only its staircase is kept and merged into the one so
+    far, so a task holds the new bests of a key, not its rows.
+    """
 
+    def __init__(self, gate_hours: float, ttl_hours: float | None, idle_hours: float | None):
+        self.gate, self.ttl = int(gate_hours * HOUR), None if ttl_hours is None else int(ttl_hours * HOUR)
+        self.idle_ms = None if idle_hours is None else int(idle_hours * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("best", STATE_SCHEMA, ttlDurationMs=self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best, announced, seen = self.state.get() if self.state.exists() else (None, None, None)
+        moment, sec, latest = np.zeros(0, np.int64), np.zeros(0), seen
+        for batch in rows:
+            batch = batch[batch["ts"].notna() & batch["time_sec"].notna()]
+            if len(batch):
+                own = batch["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+                latest = int(own.max()) if latest is None else max(latest, int(own.max()))
+                moment, sec = staircase(np.concatenate((moment, own)), np.concatenate((sec, batch["time_sec"].to_numpy(dtype=float))))
+        out = []
+        for at, value in zip(moment.tolist(), sec.tolist()):
+            if best is not None and not value < best:
+                continue
+            late = seen is not None and at < seen
+            if not late and (announced is None or at - announced >= self.gate):
+                out.append((*key, pd.Timestamp(at, unit="us"), value, best))
+                announced = at
+            best = value
+        if latest is not None:
+            self.state.update((best, announced, latest))
+            if self.ttl is not None and next(iter(self.handle.listTimers()), None) is None:
+                self.handle.registerTimer(self._due(latest, timerValues))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event", "ts", "time_sec", "old_best"]).astype({"old_best": "float64"})
 
-def upsert_stream(changes: DataFrame, path: str, keys: list[str], updated: str, tie: str, checkpoint: str):
-    """Last write per key. A micro-batch appends its own last writes only, so no batch rewrites the table and a batch that
-    is replayed after a failure replaces itself; reading takes the last write over all batches."""
+    def _due(self, seen: int, timers) -> int:
+        return max((seen + self.ttl) // 1000, timers.getCurrentWatermarkInMs() + 1)
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        append_epoch(latest_per_key(batch, keys, updated, tie), path, epoch)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, _, seen = self.state.get() if self.state.exists() else (None, None, None)
+        if seen is not None and (seen + self.ttl) // 1000 > expiredTimerInfo.getExpiryTimeInMs():
+            # rows came since: one timer per key, moved when it fires
+            self.handle.registerTimer(self._due(seen, timerValues))
+        else:
+            self.state.clear()
+        return iter([])
 
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    def close(self) -> None:
+        pass
 
 
-def read_upserted(spark: SparkSession, path: str, keys: list[str], updated: str, tie: str) -> DataFrame:
-    """The upserted table: the last write of every key."""
-    return latest_per_key(read_epochs(spark, path).drop("epoch"), keys, updated, tie)
+def pr_detect_stream(events: DataFrame, gate_hours: float = 0.0, ttl_hours: float | None = None, idle_hours: float | None = None) -> DataFrame:
+    """New bests per (user, event) of a stream of (user_id, event, ts, time_sec).
 
+    `gate_hours`: how long after an announced best the next one of the key is held back. A row that is older than one the
+    key has already seen in an earlier batch counts for the best, but is not announced. `ttl_hours`: a key's state goes that
+    long after its last row, by the watermark that the stream must then have. `idle_hours`: it goes when no row has come for
+    that long by the clock. Rows without a time or a value take no part.
+    """
+    if ttl_hours is not None and idle_hours is not None:
+        raise ValueError("ttl_hours goes by the watermark, idle_hours by the clock; give one of them")
+    mode = "None" if ttl_hours is None and idle_hours is None else "EventTime" if idle_hours is None else "ProcessingTime"
+    return with_store(events).groupBy("user_id", "event").transformWithStateInPandas(NewBests(gate_hours, ttl_hours, idle_hours), PR_SCHEMA, "Append", mode)
 
-def best_per_batch(events: DataFrame, path: str, checkpoint: str):
-    """New-best detection per micro-batch without per-key tasks: the batch is reduced to its minimum per (user, event),
-    joined to the minimum of the earlier batches, and appended. New bests of batch n are in <path>/new/n."""
-    from ..operators.bests import new_pr_join
 
-    keys = ["user_id", "event"]
+def upsert_stream(changes: DataFrame, keys: list[str], updated: str, tie: str, checkpoint: str):
+    """Last write per key as the state of a streaming maximum, reduced before the shuffle and kept in `checkpoint`.
+    A batch stores the keys it changed; nothing is rewritten or read again. Start the result to run it."""
+    rest = [c for c in changes.columns if c not in (*keys, updated, tie)]
+    last = with_store(changes).groupBy(*keys).agg(F.max(F.struct(updated, tie, *rest)).alias("last"))
+    return last.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        low = batch.groupBy(*keys).agg(F.min("time_sec").alias("time_sec"))
-        before = read_epochs(spark, path).filter(F.col("epoch") < epoch) if path_exists(spark, f"{path}/counts") else low
-        stored = before.groupBy(*keys).agg(F.min("time_sec").alias("time_sec")) if path_exists(spark, f"{path}/counts") else low.limit(0)
-        new_pr_join(low, stored, keys).write.mode("overwrite").parquet(f"{path}/new/{epoch}")
-        append_epoch(low, path, epoch)
 
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+def read_upserted(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The upserted table as of the last committed batch: the last write of every key."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", F.col("value.max").alias("last")).select("*", "last.*").drop("last")

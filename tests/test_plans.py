@@ -1,5 +1,6 @@
 import os
 import tempfile
+import time
 
 import duckdb
 import pytest
@@ -67,33 +68,116 @@ def test_wide_score_block_ends_after_misses(spark):
     assert [r["team"] for r in X.wide_score_rows(_lines(spark, text)).collect()] == ["Yale"]
 
 
-def test_streams(spark):
+EVENT = "user_id long, event string, s double, time_sec double, seq long"
+
+
+@pytest.fixture
+def feed(spark):
+    """A folder, a function that adds a file of rows to its stream, and the stream."""
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    rows = [(1, "a", 10, 5.0, 1), (1, "a", 20, 6.0, 2), (1, "a", 30, 4.0, 3), (2, "a", 15, 9.0, 4)]
-    d = spark.createDataFrame(rows, "user_id long, event string, s long, time_sec double, seq long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    d.coalesce(1).write.parquet(f"{root}/in")
-    src = lambda: spark.readStream.schema(d.schema).parquet(f"{root}/in")
-    q = SM.pr_detect_stream(src().drop("seq")).writeStream.format("parquet").option("checkpointLocation", f"{root}/c1").trigger(availableNow=True).start(f"{root}/out")
-    q.awaitTermination()
-    assert sorted((r["user_id"], r["time_sec"], r["old_best"]) for r in spark.read.parquet(f"{root}/out").collect()) == [(1, 4.0, 5.0), (1, 5.0, None), (2, 9.0, None)]
-    SM.upsert_stream(src(), f"{root}/t", ["user_id"], "ts", "seq", f"{root}/c2").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["user_id"], r["seq"]) for r in SM.read_upserted(spark, f"{root}/t", ["user_id"], "ts", "seq").collect()) == [(1, 3), (2, 4)]
-    SM.best_per_batch(src(), f"{root}/b", f"{root}/c3").trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{root}/b/rows").count() == 2
-    # a second run with one more file: earlier bests hold, a late row is not announced, the gate holds back
-    more = spark.createDataFrame([(1, "a", 25, 3.0, 5), (2, "a", 40, 8.0, 6)], "user_id long, event string, s long, time_sec double, seq long")
-    more.withColumn("ts", F.timestamp_seconds("s")).drop("s").select(*d.columns).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    SM.pr_detect_stream(src().drop("seq")).writeStream.format("parquet").option("checkpointLocation", f"{root}/c1").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
-    assert sorted((r["user_id"], r["time_sec"]) for r in spark.read.parquet(f"{root}/out").collect()) == [(1, 4.0), (1, 5.0), (2, 8.0), (2, 9.0)]
-    SM.upsert_stream(src(), f"{root}/t", ["user_id"], "ts", "seq", f"{root}/c2").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["user_id"], r["seq"]) for r in SM.read_upserted(spark, f"{root}/t", ["user_id"], "ts", "seq").collect()) == [(1, 3), (2, 6)]
-    SM.best_per_batch(src(), f"{root}/b", f"{root}/c3").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["user_id"], r["time_sec"]) for r in spark.read.parquet(f"{root}/b/new/1").collect()) == [(1, 3.0), (2, 8.0)]
-    import shutil
-
-    shutil.rmtree(f"{root}/t/rows/epoch=0")
-    with pytest.raises(RuntimeError):
-        SM.read_upserted(spark, f"{root}/t", ["user_id"], "ts", "seq")
+
+    def add(rows):
+        rows = [(u, e, None if at is None else float(at), sec, n) for u, e, at, sec, n in rows]
+        d = spark.createDataFrame(rows, EVENT).withColumn("ts", F.timestamp_seconds("s"))
+        d.select("user_id", "event", "ts", "time_sec", "seq").coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    return root, add, lambda: spark.readStream.schema("user_id long, event string, ts timestamp, time_sec double, seq long").parquet(f"{root}/in")
+
+
+def _run(df, root, name="out"):
+    """Runs what is new since the last run, and gives all rows so far."""
+    df.writeStream.format("parquet").option("checkpointLocation", f"{root}/{name}-log").trigger(availableNow=True).start(f"{root}/{name}").awaitTermination()
+    return sorted((r["user_id"], r["time_sec"], r["old_best"]) for r in df.sparkSession.read.parquet(f"{root}/{name}").collect())
+
+
+def test_new_bests_across_restarts(feed):
+    root, add, src = feed
+    add([(1, "a", 30, 4.0, 3), (1, "a", 10, 5.0, 1), (1, "a", 20, 6.0, 2), (2, "a", 15, 9.0, 4), (2, "a", 16, None, 4), (2, "a", None, 1.0, 4)])
+    assert _run(SM.pr_detect_stream(src().drop("seq")), root) == [(1, 4.0, 5.0), (1, 5.0, None), (2, 9.0, None)]
+    # a second run with one more file: earlier bests hold, a late row counts but is not announced
+    add([(1, "a", 25, 3.0, 5), (2, "a", 40, 8.0, 6)])
+    assert _run(SM.pr_detect_stream(src().drop("seq")), root) == [(1, 4.0, 5.0), (1, 5.0, None), (2, 8.0, 9.0), (2, 9.0, None)]
+    add([(1, "a", 50, 3.5, 7), (1, "a", 60, 2.5, 8)])
+    assert _run(SM.pr_detect_stream(src().drop("seq")), root)[0] == (1, 2.5, 3.0)
+
+
+def test_new_bests_of_a_long_key(spark, feed):
+    """Many Arrow batches of one key in any order give what the batch form gives."""
+    root, add, src = feed
+    rows = [(1, "a", (i * 7919) % 5000, 1000 - ((i * 104_729) % 5003) / 10, i) for i in range(5000)]
+    add(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = _run(SM.pr_detect_stream(src().drop("seq")), root)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best, want = None, []
+    for _, _, s, sec, _ in sorted(rows, key=lambda r: (r[2], r[3])):
+        if best is None or sec < best:
+            want.append((1, sec, best))
+            best = sec
+    assert got == sorted(want, key=lambda r: r[1])
+
+
+def test_new_bests_gate(feed):
+    root, add, src = feed
+    add([(1, "a", 0, 9.0, 1), (1, "a", 3600 * 47, 8.0, 2), (1, "a", 3600 * 48, 7.0, 3)])
+    gated = lambda: SM.pr_detect_stream(src().drop("seq"), gate_hours=48.0)
+    assert _run(gated(), root) == [(1, 7.0, 8.0), (1, 9.0, None)]
+    add([(1, "a", 3600 * 60, 6.0, 4), (1, "a", 3600 * 97, 5.0, 5)])
+    assert _run(gated(), root) == [(1, 5.0, 6.0), (1, 7.0, 8.0), (1, 9.0, None)]
+
+
+def test_new_bests_expire(feed):
+    root, add, src = feed
+    timed = lambda: SM.pr_detect_stream(src().drop("seq").withWatermark("ts", "1 hour"), ttl_hours=2.0)
+    hour, day = 3600, 86_400
+    put = lambda rows: add([(u, e, day + s, sec, n) for u, e, s, sec, n in rows])
+    put([(1, "a", 0, 5.0, 1), (2, "a", 0, 5.0, 1)])
+    assert _run(timed(), root) == [(1, 5.0, None), (2, 5.0, None)]
+    # key 2 goes on, key 1 is idle: its timer fires, key 2's moves on
+    put([(2, "a", 2 * hour, 6.0, 2)])
+    _run(timed(), root)
+    put([(2, "a", 3.5 * hour, 6.0, 3)])
+    _run(timed(), root)
+    put([(1, "a", 4 * hour, 7.0, 4), (2, "a", 4 * hour, 4.0, 5)])
+    assert _run(timed(), root) == [(1, 5.0, None), (1, 7.0, None), (2, 4.0, 5.0), (2, 5.0, None)]
+    with pytest.raises(ValueError):
+        SM.pr_detect_stream(src(), ttl_hours=1.0, idle_hours=1.0)
+
+
+def test_new_bests_forget_idle_keys(feed):
+    root, add, src = feed
+    rows = lambda name: sorted((r["time_sec"], r["old_best"]) for r in src().sparkSession.read.schema(SM.PR_SCHEMA).parquet(f"{root}/{name}").collect())
+
+    def run(hours, name, wanted):
+        """A stream by the clock has no last batch, so it runs until the rows are there."""
+        out = SM.pr_detect_stream(src().drop("seq"), idle_hours=hours).writeStream.format("parquet").option("checkpointLocation", f"{root}/{name}-log").start(f"{root}/{name}")
+        until = time.time() + 60
+        while time.time() < until and not (os.path.isdir(f"{root}/{name}/_spark_metadata") and rows(name) == wanted):
+            time.sleep(0.5)
+        out.stop()
+        assert rows(name) == wanted
+
+    add([(1, "a", 0, 5.0, 1)])
+    run(0.1 / 3600, "short", [(5.0, None)])
+    run(1.0, "long", [(5.0, None)])
+    time.sleep(0.2)
+    add([(1, "a", 10, 6.0, 2), (1, "a", 20, 4.0, 3)])
+    run(0.1 / 3600, "short", [(4.0, 6.0), (5.0, None), (6.0, None)])
+    run(1.0, "long", [(4.0, 5.0), (5.0, None)])
+
+
+def test_upserts_across_restarts(spark, feed):
+    root, add, src = feed
+    write = lambda: SM.upsert_stream(src(), ["user_id"], "ts", "seq", f"{root}/table").trigger(availableNow=True).start().awaitTermination()
+    add([(1, "a", 10, 5.0, 1), (1, "b", 30, 4.0, 3), (1, "c", 20, 6.0, 2), (2, "a", 15, 9.0, 4), (None, "n", 1, 1.0, 9)])
+    write()
+    table = lambda: sorted((r["user_id"] or 0, r["event"], r["time_sec"], r["seq"]) for r in SM.read_upserted(spark, f"{root}/table").collect())
+    assert table() == [(0, "n", 1.0, 9), (1, "b", 4.0, 3), (2, "a", 9.0, 4)]
+    add([(1, "late", 25, 3.0, 5), (2, "tie", 15, None, 6)])
+    write()
+    assert table() == [(0, "n", 1.0, 9), (1, "b", 4.0, 3), (2, "tie", None, 6)]
 
 
 SAMPLE = ["score_all", "nth_anchors", "share_tiers", "validate_row", "cascade_lookup", "admission_label", "kv_upsert", "scan_anchors",
