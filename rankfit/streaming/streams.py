@@ -50,14 +50,15 @@ class NewBests(StatefulProcessor):
         self.state = handle.getValueState("best", STATE_SCHEMA, ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, announced, seen = self.state.get() if self.state.exists() else (None, None, None)
+        best, announced, seen = self.state.get() or (None, None, None)
         moment, sec, latest = np.zeros(0, np.int64), np.zeros(0), seen
         for batch in rows:
-            batch = batch[batch["ts"].notna() & batch["time_sec"].notna()]
-            if len(batch):
-                own = batch["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            at, value = batch["ts"].to_numpy().astype("datetime64[us]"), batch["time_sec"].to_numpy(dtype=float)
+            there = ~(np.isnat(at) | np.isnan(value))
+            own = at[there].astype(np.int64)
+            if len(own):
                 latest = int(own.max()) if latest is None else max(latest, int(own.max()))
-                moment, sec = staircase(np.concatenate((moment, own)), np.concatenate((sec, batch["time_sec"].to_numpy(dtype=float))))
+                moment, sec = staircase(np.concatenate((moment, own)), np.concatenate((sec, value[there])))
         out = []
         for at, value in zip(moment.tolist(), sec.tolist()):
             if best is not None and not value < best:
@@ -78,7 +79,7 @@ class NewBests(StatefulProcessor):
         return max((seen + self.ttl) // 1000, timers.getCurrentWatermarkInMs() + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, _, seen = self.state.get() if self.state.exists() else (None, None, None)
+        _, _, seen = self.state.get() or (None, None, None)
         if seen is not None and (seen + self.ttl) // 1000 > expiredTimerInfo.getExpiryTimeInMs():
             # rows came since: one timer per key, moved when it fires
             self.handle.registerTimer(self._due(seen, timerValues))
