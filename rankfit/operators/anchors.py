@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import round_to
@@ -122,57 +121,42 @@ def smart_merge(df: DataFrame, keys: Sequence[str], version: str, place: str = "
     """Fold versions in order: little overlap (at most three places) unions the places, first kept; otherwise
     the better version (session score, then completeness) replaces the state.
 
-    The fold is sequential within a group by its nature. Rows come sorted by group and version and stream through the
-    task; it holds the places of one state and one version, so a group may have any number of versions.
+    A version is one row with a bitmap of its places (64 to a word). The fold runs over the versions of a group in order and
+    tells from which version on places count and which of the later ones were united; overlap is a count of common bits. The
+    places themselves stay where they are and are picked by that answer. A group's versions, not its rows, are one array.
     """
     keys = list(keys)
-    rows = df.select(*keys, version, place, sec, session)
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, version, place, sec)
-    return dealt.mapInArrow(_folded(len(keys)), dealt.drop(version).schema)
-
-
-def _folded(n_keys: int):
-    """Rows are (keys..., version, place, sec, session), sorted; the result leaves the version out."""
-
-    def stats(places: dict) -> tuple:
-        scores = [s for _, s in places.values() if s is not None]
-        return max(scores, default=None), sum(p in places for p in ANCHOR_PLACES)
-
-    def merged(state: dict | None, other: dict) -> dict:
-        if state is None:
-            return other
-        (score, full), (new_score, new_full) = stats(state), stats(other)
-        if len(state.keys() & other.keys()) <= OVERLAP_LIMIT:
-            best = max((s for s in (score, new_score) if s is not None), default=None)
-            return {p: (t, s if best is None else best) for p, (t, s) in {**other, **state}.items()}
-        if None not in (score, new_score) and (new_score, new_full) > (score, full):
-            return {p: (t, new_score) for p, (t, _) in other.items()}
-        return {p: (t, s if score is None else score) for p, (t, s) in state.items()}
-
-    def fold(batches):
-        group, number, state, own, schema, out = None, None, None, {}, None, []
-        for b in batches:
-            schema = pa.schema([f for i, f in enumerate(b.schema) if i != n_keys])
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                at, v, (place, sec, session) = row[:n_keys], row[n_keys], row[n_keys + 1:]
-                if (at, v) != (group, number):
-                    if own:
-                        state = merged(state, own)
-                    if at != group:
-                        if state:
-                            out += [(*group, p, t, s) for p, (t, s) in state.items()]
-                        state = None
-                    group, number, own = at, v, {}
-                own.setdefault(place, (sec, session))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                out = []
-        if own:
-            state = merged(state, own)
-            out = [(*group, p, t, s) for p, (t, s) in state.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    return fold
+    rows = df.groupBy(*keys, version, place).agg(F.min(F.struct(sec, session)).alias("_s"))
+    rows = rows.select(*keys, F.col(version).alias("_v"), F.col(place).alias("_p"), F.col(f"_s.{sec}").alias("_sec"), F.col(f"_s.{session}").alias("_score"))
+    # no place is a place too: a word of its own
+    word = F.coalesce(F.floor(F.col("_p") / 64), F.lit(-(1 << 62)))
+    bit = F.expr("shiftleft(1L, cast(coalesce(pmod(_p, 64), 0) AS int))")
+    words = rows.groupBy(*keys, "_v", word.alias("_w")).agg(F.bit_or(bit).alias("_b"), F.max("_score").alias("_score"))
+    versions = words.groupBy(*keys, "_v").agg(F.collect_list(F.struct("_w", "_b")).alias("bits"), F.max("_score").alias("score"))
+    anchors = sum(1 << p for p in ANCHOR_PLACES)
+    full = lambda bits: f"bit_count(coalesce({bits}[0L], 0L) & {anchors}L)"
+    # maps have no order, their entries have
+    ordered = versions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), "bits", "score"))).alias("_all"))
+    fold = ordered.withColumn("_state", F.expr(f"""aggregate(
+        transform(slice(_all, 2, size(_all)), (x, i) -> named_struct('i', i + 1, 'bits', map_from_entries(x.bits), 'score', x.score)),
+        named_struct('bits', map_from_entries(_all[0].bits), 'score', _all[0].score, 'since', 0, 'united', cast(array() AS array<int>)),
+        (s, x) -> CASE
+            WHEN aggregate(map_values(map_zip_with(s.bits, x.bits, (k, a, b) -> bit_count(coalesce(a, 0L) & coalesce(b, 0L)))), 0, (n, c) -> n + c) <= {OVERLAP_LIMIT}
+            THEN named_struct('bits', map_zip_with(s.bits, x.bits, (k, a, b) -> coalesce(a, 0L) | coalesce(b, 0L)), 'score', greatest(s.score, x.score), 'since', s.since, 'united', array_append(s.united, x.i))
+            WHEN x.score > s.score OR (x.score = s.score AND {full('x.bits')} > {full('s.bits')})
+            THEN named_struct('bits', x.bits, 'score', x.score, 'since', x.i, 'united', cast(array() AS array<int>))
+            ELSE s END)"""))
+    # the versions that count, in order, with the score of the merged state
+    counting = fold.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.size("_all") > 1).alias("_merged"), F.col("_state.score").alias("_best"), F.inline(F.expr(
+        "transform(array_prepend(_state.united, _state.since), i -> named_struct('_i', i, '_of', _all[i].v))")))
+    same = F.col("_v").eqNullSafe(F.col("_of"))
+    for k in keys:
+        same = same & rows[k].eqNullSafe(F.col(f"_k_{k}"))
+    held = rows.join(counting, same)
+    score = F.when(F.col("_merged"), F.coalesce("_best", "_score")).otherwise(F.col("_score"))
+    first = first_per_key(held.select(*keys, "_p", "_i", "_sec", score.alias("_score")), [*keys, "_p"], ["_i"])
+    kinds = {f.name: f.dataType for f in df.schema}
+    return first.select(*keys, F.col("_p").cast(kinds[place]).alias(place), F.col("_sec").cast(kinds[sec]).alias(sec), F.col("_score").cast(kinds[session]).alias(session))
 
 
 def quality_label(session_score: Column) -> Column:

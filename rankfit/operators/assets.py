@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-from .keyed import first_per_key, top_k_per_key, with_group_stats
+from ..session import cut_lineage, scratch_path
+from .keyed import first_per_key, global_rank, top_k_per_key, with_group_stats
 
 CATEGORIES = ["campus", "pool", "student_life"]
 
@@ -63,56 +63,63 @@ def drop_shared(rows: DataFrame, value: str, group: str, others: int = 2) -> Dat
 
 
 def global_exclusive_pick(rows: DataFrame, entity: str, entity_order: str, url: str = "url", score: str = "score",
-                          minimum: int = -5, rounds: int = 20, block: int = 512) -> DataFrame:
+                          minimum: int = -5, block: int = 1024) -> DataFrame:
     """Best url per entity where earlier entities choose first and a url is used once. A null order comes before all
-    others; entities of equal order choose by entity.
-
-    Rounds of proposals: every unplaced entity proposes to its best url that has not refused it; each url keeps the
-    earliest proposer and refuses the rest. With one common order of entities the stable outcome is exactly the
-    one-by-one choice, and each round is one aggregation and one anti join over all entities. Where many entities want
-    the same urls, rounds settle few of them; after `rounds` of them the entities still open choose in blocks of their
-    order: a block needs the best `block` free urls of each of its entities only, whatever the pool holds.
+    others; entities of equal order choose by entity; of several orders of an entity the first counts.
+
+    Entities are numbered and cut in blocks. Prefixes of blocks double in length: one block, the next, the next two, four,
+    and so on; the offers lie in one folder per prefix and are read there, never rewritten. A prefix is settled in rounds
+    over all its blocks at once: a block chooses one by one among what neither earlier prefixes (a table that is only
+    appended to) nor, as of the last round, earlier blocks have taken. The first block is right at once; a round that changes
+    nothing has settled all. So the number of rounds follows how far a conflict reaches from block to block, not the number
+    of entities. In its turn the n-th of a block needs its n best offers only: a task holds at most block x block / 2 rows.
     """
-    offers = cut_lineage(rows.filter(F.col(score) >= minimum).groupBy(entity, entity_order, url).agg(F.max(score).alias(score)))
-    turn = F.struct(entity_order, entity)  # nulls compare as the smallest values
-    refused = None
-    for _ in range(rounds):
-        open_offers = offers if refused is None else offers.join(refused, [entity, url], "left_anti")
-        best = first_per_key(open_offers, [entity], [F.desc(score), F.asc(url)])
-        holder = best.groupBy(url).agg(F.min(turn).alias("_first"))
-        # a url that an earlier entity holds is never given up to a later one
-        lost = cut_lineage(open_offers.join(holder, url).filter(turn > F.col("_first")).select(entity, url))
-        if lost.isEmpty():
-            return best.select(entity, url, score)
-        refused = lost if refused is None else refused.unionByName(lost)
-    free = cut_lineage(offers.join(refused, [entity, url], "left_anti"))
-    picked = None
-    while True:
-        first = free.select(entity, entity_order).distinct().orderBy(entity_order, entity).limit(block)
-        first = first.withColumn("_turn", F.row_number().over(Window.orderBy(entity_order, entity)))
-        own = top_k_per_key(free.join(F.broadcast(first.select(entity, "_turn")), entity), [entity], [F.desc(score), F.asc(url)], block, "_rn")
-        # one bounded group: at most block x block offers
-        chosen = cut_lineage(own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_choose(entity, url, score), free.select(entity, url, score).schema))
-        picked = chosen if picked is None else picked.unionByName(chosen)
-        done = first.agg(F.max(turn).alias("m")).first()["m"]
-        if done is None:
-            return picked
-        last = F.struct(*[F.lit(v).cast(free.schema[c].dataType).alias(c) for c, v in zip((entity_order, entity), done)])
-        free = cut_lineage(free.filter(turn > last).join(chosen.select(url), url, "left_anti"))
-
-
-def _choose(entity: str, url: str, score: str):
-    def choose(offers):
-        taken, rows = set(), []
-        for _, own in offers.sort_values(["_turn", "_rn"]).groupby("_turn"):
-            for u, s in zip(own[url], own[score]):
-                if u not in taken:
-                    taken.add(u)
-                    rows.append(own[own[url] == u][[entity, url, score]].iloc[:1])
-                    break
-        return pd.concat(rows) if rows else offers[[entity, url, score]].iloc[:0]
-
-    return choose
+    spark = rows.sparkSession
+    offers = rows.filter(F.col(score) >= minimum).groupBy(entity, url).agg(F.max(score).alias(score), F.min(F.struct(F.col(entity_order).isNotNull(), entity_order)).alias("_first"))
+    turns = offers.groupBy(entity).agg(F.min("_first").alias("_first"))
+    turns = global_rank(turns, [F.asc("_first"), F.asc(entity)], "_turn").select(F.col(entity).alias("_e"), (F.col("_turn") - 1).alias("_turn"))
+    number = F.floor(F.col("_turn") / block)
+    prefix = F.when(number == 0, 0).otherwise(F.floor(F.log2(F.greatest(number, F.lit(1)).cast("double")) + 1e-12) + 1).cast("int")
+    numbered = offers.join(turns, F.col(entity).eqNullSafe(F.col("_e"))).select(
+        F.col(entity).alias("_entity"), F.col(url).alias("_url"), F.col(score).alias("_score"), "_turn", number.alias("_block"), prefix.alias("_prefix"))
+    path, taken = scratch_path(spark, "offers"), scratch_path(spark, "taken")
+    numbered.write.partitionBy("_prefix").parquet(path)
+    numbered = spark.read.parquet(path)
+    prefixes = [r["_prefix"] for r in numbered.select("_prefix").distinct().orderBy("_prefix").collect()]
+    chosen_schema = numbered.select("_entity", "_url", "_score", "_block").schema
+    spark.createDataFrame([], chosen_schema).write.parquet(taken)
+    for k in prefixes:
+        own = numbered.filter(F.col("_prefix") == k).join(spark.read.schema(chosen_schema).parquet(taken).select("_url"), "_url", "left_anti")
+        picked = _block_round(own, None, chosen_schema, block)
+        while k > 1:
+            again = _block_round(own, picked, chosen_schema, block)
+            same = again.count() == picked.count() and again.exceptAll(picked).isEmpty()
+            picked = again
+            if same:
+                break
+        picked.write.mode("append").parquet(taken)
+    return spark.read.schema(chosen_schema).parquet(taken).select(F.col("_entity").alias(entity), F.col("_url").alias(url), F.col("_score").alias(score))
+
+
+def _block_round(offers: DataFrame, picked: DataFrame | None, schema, block: int) -> DataFrame:
+    """What every block chooses when the blocks before it hold what they picked in the round before."""
+    if picked is not None:
+        held = picked.groupBy("_url").agg(F.min("_block").alias("_holder"))
+        offers = offers.join(held, "_url", "left").filter(F.col("_holder").isNull() | (F.col("_holder") >= F.col("_block"))).drop("_holder")
+    best = top_k_per_key(offers, ["_turn"], [F.desc("_score"), F.asc("_url")], block, "_rn").filter(F.col("_rn") <= F.col("_turn") % block + 1)
+    return cut_lineage(best.groupBy("_block").applyInPandas(_choose, schema))
+
+
+def _choose(offers: pd.DataFrame) -> pd.DataFrame:
+    """One by one the best offer whose url is free."""
+    offers = offers.sort_values(["_turn", "_rn"], ignore_index=True)
+    taken, served, rows = set(), None, []
+    for i, (turn, url) in enumerate(zip(offers["_turn"], offers["_url"])):
+        if turn != served and url not in taken:
+            taken.add(url)
+            served = turn
+            rows.append(i)
+    return offers.loc[rows, ["_entity", "_url", "_score", "_block"]]
 
 
 def crowded(rows: DataFrame, entity: str, limit: int, count: Column | None = None) -> DataFrame:

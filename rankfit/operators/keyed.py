@@ -39,6 +39,31 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(agg, cond).drop(*renamed.values())
 
 
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "position", keys: Sequence[str] = ()) -> DataFrame:
+    """The place of every row, from 1, in the order of `order`; with `keys`, its place among the rows of its keys.
+
+    Rows are dealt out in ranges of (keys, order) and numbered inside them; the ranges' sizes, one number for each partition,
+    give the offsets. So neither the whole order nor a hot key is ever in one task. Ties are spread as they come: end the
+    order with a column that tells rows apart. Nulls come first in ascending columns, as everywhere.
+    """
+    columns = [*[F.asc(k) for k in keys], *order]
+    # the rank of a row is fixed from here on, whatever is computed again
+    d = cut_lineage(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(tuple(r) for r in d.groupBy(part.alias("p")).agg(F.max(inside) + 1).collect())
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(offsets, "_p bigint, _before bigint")
+    out = d.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, F.col("_before") + inside + 1)
+    out = out.select(*df.columns, name)
+    if not keys:
+        return out
+    out = with_group_stats(out, keys, _least=F.min(name))
+    return out.withColumn(name, F.col(name) - F.col("_least") + 1).drop("_least")
+
+
 def needs_chunks(df: DataFrame, order: str, chunk: int = CHUNK) -> bool:
     """Whether some key runs past one chunk. Reads the order column only."""
     longest = df.agg(F.max(order)).first()[0]

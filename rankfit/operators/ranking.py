@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import intent as I
 from ..functions.admission import lookup, selectivity_tier
+from ..session import cut_lineage
 from .keyed import top_k_per_key
 
 PRE_SORT_LIMIT = 150
@@ -78,9 +79,11 @@ def similar_entities(rows: DataFrame, name: str = "school", division: str = "div
                      limit: int = SIMILAR_LIMIT) -> DataFrame:
     """For every entity the `limit` closest others: division penalty 4 + 3 x selectivity gap + tier gap.
 
-    The distance depends only on three short-valued columns. Entities are grouped in cells of those values, each
-    cell keeps its first limit + 1 members, and cells are compared with cells; targets then read the list of their
-    cell. Work is entities x limit, never entities x entities, and the result is exact.
+    The distance depends on three short-valued columns, and of the division it asks only whether it is the same. So a list
+    of the closest is merged from two: the closest of the own division, and the closest of all divisions with the penalty
+    (an entity of the own division stands in both; the nearer one counts). Both come from the first limit + 1 entities of
+    every pair of selectivity and tier, by division and overall. The overall lists don't depend on the division, so the work
+    is linear in the divisions, and the result is exact.
     """
     ordering = list(order or [name])
     d = rows.withColumns({
@@ -88,25 +91,24 @@ def similar_entities(rows: DataFrame, name: str = "school", division: str = "div
         "_tier": lookup(F.col(tier), I.TIER_ORDER, 99),
         "_div": F.coalesce(F.col(division), F.lit("")),
     })
-    cell = ["_div", "_sel", "_tier"]
-    heads = top_k_per_key(d, cell, ordering, limit + 1, "_crn").select(*cell, F.col(name).alias("candidate"), *[
-        F.col(o).alias(f"_o_{o}") for o in ordering])
-    cells = d.select(*cell).distinct()
-    # one row per ordered pair of cells: every cell looks up all values of two of its three attributes, so cells meet on keys
-    # and their number is bounded by the value domains, not by the number of entities
-    other = cells.withColumnsRenamed({c: f"c{c}" for c in cell})
-    gap = F.when(F.col("_div") == F.col("c_div"), 0).otherwise(4) + F.abs(F.col("_sel") - F.col("c_sel")) * 3 + F.when(
-        (F.col("_tier") != 99) & (F.col("c_tier") != 99), F.abs(F.col("_tier") - F.col("c_tier"))).otherwise(0)
+    pair, cell = ["_sel", "_tier"], ["_div", "_sel", "_tier"]
+    tail = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(ordering)], F.col(name).alias("candidate"))
+    heads = top_k_per_key(d, cell, ordering, limit + 1, "_rn").select(*cell, tail.alias("_c"))
+    overall = top_k_per_key(heads, pair, ["_c"], limit + 1, "_rn").select(*pair, "_c")
+    cells = cut_lineage(d.select(*cell).distinct())
+    gap = F.abs(F.col("_sel") - F.col("c_sel")) * 3 + F.when((F.col("_tier") != 99) & (F.col("c_tier") != 99), F.abs(F.col("_tier") - F.col("c_tier"))).otherwise(0)
+    best = lambda near, keys: top_k_per_key(near, keys, ["distance", "_c"], limit + 1, "_rn").select(*keys, "distance", "_c")
+    inside = cells.join(heads.withColumnsRenamed({c: f"c{c}" for c in pair}), "_div").withColumn("distance", gap)
+    # pairs of pairs meet on their keys: every pair looks up all values of the other's attributes
     values = lambda table, missing: F.explode(F.array(*[F.lit(v) for v in sorted({*table.values(), missing})]))
-    sought = cells.withColumn("c_sel", values(I.SELECTIVITY_ORDER, 3)).withColumn("c_tier", values(I.TIER_ORDER, 99))
-    pairs = sought.join(other, ["c_sel", "c_tier"]).withColumn("distance", gap)
-    lists = pairs.join(heads.withColumnsRenamed({c: f"c{c}" for c in cell}), [f"c{c}" for c in cell])
-    lists = top_k_per_key(lists, cell, ["distance", *[f"_o_{o}" for o in ordering]], limit + 1, "_lrn")
-    lists = lists.select(*cell, "candidate", "distance", "_lrn")
-    out = d.select(F.col(name).alias("target"), *cell).join(lists, cell).filter(F.col("target") != F.col("candidate"))
-    w = Window.partitionBy("target").orderBy("_lrn")
-    out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    return out.select("target", "candidate", "distance", "rank")
+    sought = cells.select(*pair).distinct().withColumn("c_sel", values(I.SELECTIVITY_ORDER, 3)).withColumn("c_tier", values(I.TIER_ORDER, 99))
+    across = best(sought.join(overall.withColumnsRenamed({c: f"c{c}" for c in pair}), ["c_sel", "c_tier"]).withColumn("distance", gap + 4), pair)
+    both = best(inside, cell).unionByName(cells.join(across, pair).select(*cell, "distance", "_c"))
+    merged = both.groupBy(*cell, "_c").agg(F.min("distance").alias("distance"))
+    lists = merged.groupBy(*cell).agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "_c"))), 1, limit + 1).alias("_list"))
+    others = F.slice(F.filter("_list", lambda x: x["_c"]["candidate"] != F.col("target")), 1, limit)
+    out = d.select(F.col(name).alias("target"), *cell).join(lists, cell).select("target", F.posexplode(others).alias("_at", "_x"))
+    return out.select("target", F.col("_x._c.candidate").alias("candidate"), F.col("_x.distance").alias("distance"), (F.col("_at") + 1).alias("rank"))
 
 
 def program_line(rows: DataFrame) -> Column:

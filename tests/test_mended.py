@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankfit.functions import assets as AS, text as TX
 from rankfit.operators import anchors as A, assets as OA, extraction as X, ranking as R
+from rankfit.operators.keyed import global_rank
 from rankfit.queries import all_queries
 from rankfit.session import short_values
 from rankfit.sources import staging as ST, tables as TB
@@ -61,10 +62,74 @@ def test_contended_pool(spark, n, block):
                 want[e] = u
                 break
     df = spark.createDataFrame(rows, "entity int, ord int, url string, score int")
-    got = {r["entity"]: r["url"] for r in OA.global_exclusive_pick(df, "entity", "ord", rounds=4, block=block).collect()}
+    got = {r["entity"]: r["url"] for r in OA.global_exclusive_pick(df, "entity", "ord", block=block).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_exclusive_pick_of_random_pools(spark, block):
+    rng = random.Random(block)
+    rows = [(e, rng.choice((None, e // 3)) if e % 5 == 0 else e // 3, f"u{rng.randint(0, 40)}", rng.randint(-9, 9)) for e in range(40) for _ in range(5)]
+    first = {}
+    for e, o, _, s in rows:
+        if s >= -5:
+            first[e] = min(first.get(e, (2, 0)), (o is not None, o or 0))
+    taken, want = set(), {}
+    for e in sorted(first, key=lambda e: (first[e], e)):
+        best = {}
+        for x, _, u, s in rows:
+            if x == e and s >= -5 and u not in taken:
+                best[u] = max(s, best.get(u, -99))
+        if best:
+            want[e] = min(best, key=lambda u: (-best[u], u))
+            taken.add(want[e])
+    df = spark.createDataFrame(rows, "entity int, ord int, url string, score int")
+    assert {r["entity"]: r["url"] for r in OA.global_exclusive_pick(df, "entity", "ord", block=block).collect()} == want
+
+
+def test_contended_pool_takes_few_rounds(spark, monkeypatch):
+    """20,000 entities after the same urls."""
+    rounds = []
+    one = OA._block_round
+    monkeypatch.setattr(OA, "_block_round", lambda *a: rounds.append(1) or one(*a))
+    n, few = 20_000, 12
+    d = spark.range(n).select(F.col("id").alias("entity"), F.explode(F.sequence(F.lit(0), F.lit(few))).alias("i"))
+    d = d.select("entity", F.col("entity").alias("ord"), F.when(F.col("i") < few, F.concat(F.lit("u"), (F.floor(F.col("entity") / 2000) * few + F.col("i")).cast("string")))
+                 .otherwise(F.concat(F.lit("own"), F.col("entity").cast("string"))).alias("url"), (100 - F.col("i")).cast("int").alias("score"))
+    got = {r["entity"]: r["url"] for r in OA.global_exclusive_pick(d, "entity", "ord").collect()}
+    assert len(rounds) <= 40
+    assert got == {e: f"u{e // 2000 * few + e % 2000}" if e % 2000 < few else f"own{e}" for e in range(n)}
+
+
+def test_similar_entities_of_many_divisions(spark):
+    rng = random.Random(8)
+    rows = [(f"s{i:05d}", f"d{i % 10_000}" if i % 7 else None, rng.randint(5, 90), rng.choice([None, 1250, 1350, 1450, 1550]), rng.choice(["1A", "1B", "2", "3", ""])) for i in range(12_000)]
+    d = spark.createDataFrame(rows, "school string, division string, accept int, sat_median int, tier_short string")
+    asked = {r[0]: r for r in rng.sample(rows, 25)}
+    got = {}
+    for r in R.similar_entities(d, limit=7).filter(F.col("target").isin(list(asked))).collect():
+        got.setdefault(r["target"], []).append((r["rank"], r["distance"], r["candidate"]))
+    sel = lambda a, s: 0 if a <= 15 or (s or 0) >= 1500 else 1 if a <= 30 or (s or 0) >= 1400 else 2 if a <= 50 or (s or 0) >= 1300 else 3
+    tier = {"1A": 0, "1B": 1, "2": 2, "3": 3, "": 99}
+    for name, t in asked.items():
+        gap = lambda c: abs(tier[t[4]] - tier[c[4]]) if 99 not in (tier[t[4]], tier[c[4]]) else 0
+        far = sorted(((0 if (t[1] or "") == (c[1] or "") else 4) + 3 * abs(sel(t[2], t[3]) - sel(c[2], c[3])) + gap(c), c[0]) for c in rows if c[0] != name)[:7]
+        assert [(a, b) for _, a, b in sorted(got[name])] == far
+
+
+def test_global_rank(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(("hot", "hot", "b", None)), rng.choice((None, rng.randint(0, 30))), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(5)
+    order = lambda r: (r[1] is None, -(r[1] or 0), r[2])
+    got = {r["id"]: r["position"] for r in global_rank(df, [F.desc("v"), F.asc("id")]).collect()}
+    assert got == {r[2]: i + 1 for i, r in enumerate(sorted(rows, key=order))}
+    got = {r["id"]: r["at"] for r in global_rank(df, [F.desc("v"), F.asc("id")], "at", ["k"]).collect()}
+    for k in ("hot", "b", None):
+        assert {r[2]: got[r[2]] for r in rows if r[0] == k} == {r[2]: i + 1 for i, r in enumerate(sorted((r for r in rows if r[0] == k), key=order))}
+    assert global_rank(df.limit(0), [F.asc("id")]).count() == 0
+
+
 def test_first_wins_keeps_one_row(spark):
     df = spark.createDataFrame([("k", 1, "b"), ("k", 1, "a"), ("k", 1, "a"), ("k", 2, "c"), (None, 1, "x")], "k string, pos int, v string")
     kept, dropped = A.first_wins(df, ["k"], ["pos"])
