@@ -1,15 +1,20 @@
 """Removal of repeated line runs by winnowing over line hashes, with DataFrame functions only.
 
 A window is the shortest run of lines from a line on (or up to a line) with at least 50 words. The smallest line hash in a
-window is its fingerprint, so any run of 50 words or more that two places share has a fingerprint in common. Only windows
-whose fingerprint was taken from several lines of the corpus go on. Windows are joined by fingerprint and content with the first place of
-the corpus that holds them, forward windows extend a match to the right and backward windows to the left, and a run that
-occurred before (by doc_id, then position) is deleted as a whole. The first occurrence stays.
+window is its fingerprint, so any run of 50 words or more that two places share has a fingerprint in common. Positions are
+joined by fingerprint: a window meets the first place of the corpus where the same fingerprint was taken from equal
+lines. Such a match goes on to the right through the forward windows and to the left through the backward windows of the
+lines beside it, each with the first place of its own; what they cover is the whole repeated run. (Line by line from one
+first place would fall short where that place shares less of the run than a later one does, and trying all places is
+quadratic; so a line is extended over exactly as far as some earlier place has it. README says the same.) The later run is
+deleted, the first occurrence stays: within a document only a window that begins behind the end of the first one counts,
+so a run that repeats itself keeps its first 50 words.
 
 A line is compared without the blanks around it; its words are its inner spaces plus one. Lines without words never match,
 but go with the run around them. Null texts count as empty and stay null; repeated rows count as one document (all rows
-of it get its result); rows with equal ids and other texts are documents of their own in the order of their hash; rows
-without an id come last. Further columns pass through; an empty table gives no rows.
+of it get its result) and are taken together before their lines are; rows with equal ids and other texts are documents of
+their own in the order of their hash; rows without an id come last. Further columns pass through, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ MIN_WORDS = 50
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     """Complete windows: direction, fingerprint (the smallest line hash) and its line, content key, document and extent."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    line = F.trim("line")
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    lines = lines.filter(line != "").select("doc_id", "row", "pos", F.xxhash64(line).alias("h"), words.cast("bigint").alias("words"))
-    lines = lines.repartition("doc_id", "row").groupBy("doc_id", "row", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))
+    line = lambda x: F.trim(x)
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    whole = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(line(x) != "", F.struct(F.xxhash64(line(x)).alias("h"), words(line(x)).cast("bigint").alias("words"))))
+    # copies of a row become one where they are read, before any line of theirs is a row
+    once = docs.select("doc_id", "row", whole.alias("lines")).groupBy("doc_id", "row").agg(F.first("lines").alias("lines"))
+    lines = once.select("doc_id", "row", F.posexplode("lines").alias("pos", "line")).filter("line is not null").select("doc_id", "row", "pos", "line.h", "line.words")
     doc = Window.partitionBy("doc_id", "row")
     lines = lines.withColumn("till", F.sum("words").over(doc.orderBy("pos"))).withColumn("since", F.col("till") - F.col("words"))
     made = lines
@@ -47,10 +53,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = written(_windows(docs, min_words), "windows")
     where = F.struct("doc_id", "row", "at")
     shared = windows.groupBy("print").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("not (a <=> b)").select("print")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "start")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "start", "end")
     first = windows.join(shared, "print", "left_semi").groupBy("way", "print", "key").agg(
         F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = windows.join(first, ["way", "print", "key"]).filter(place > F.col("first"))
+    inside = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.row") == F.col("row"))
+    later = windows.join(first, ["way", "print", "key"]).filter((place > F.col("first")) & ~(inside & (F.col("first.end") >= F.col("start"))))
     ranges = later.select("doc_id", "row", "start", "end").distinct()
     doc = Window.partitionBy("doc_id", "row").orderBy("start", "end")
     before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -79,13 +86,13 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of `docs`, the text without the repeated runs, and `n_lines`, `n_removed` (in place of columns of these names)."""
-    kept = [F.col("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [F.col("text") if c == "text" else F.col("d").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return _cut(docs, min_words).select(*kept, "n_lines", "n_removed")
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows of `docs` with the same columns: the text without the repeated runs, and n_chars, where there is one, of the shortened texts."""
-    cols = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    cols = {c: F.col("d").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(cols["n_chars"])
     kinds = {f.name: f.dataType for f in docs.schema}
@@ -106,7 +113,8 @@ w AS (SELECT doc_id, text, pos, sum(words) OVER f AS fw, list(line) OVER f AS fk
 s AS (SELECT 'f' AS way, doc_id, text, fk AS k, pos AS s, fe AS e FROM w WHERE fw >= {MIN_WORDS}
   UNION ALL SELECT 'b', doc_id, text, bk, be, pos FROM w WHERE bw >= {MIN_WORDS}),
 r AS (SELECT doc_id, text, unnest(range(s, e + 1)) AS pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY way, k ORDER BY doc_id, s) AS rn FROM s) x WHERE rn > 1),
+  SELECT *, row_number() OVER o AS rn, first_value(doc_id) OVER o AS d0, first_value(text) OVER o AS t0, first_value(e) OVER o AS e0 FROM s WINDOW o AS (PARTITION BY way, k ORDER BY doc_id, s)) x
+  WHERE rn > 1 AND NOT (doc_id = d0 AND text = t0 AND e0 >= s)),
 g AS (SELECT DISTINCT doc_id, text, pos FROM r),
 k AS (SELECT a.doc_id, a.text, string_agg(a.raw, chr(10) ORDER BY a.pos) FILTER (WHERE g.pos IS NULL) AS kept, count(*) AS n, count(g.pos) AS gone
   FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.text = g.text AND a.pos = g.pos GROUP BY a.doc_id, a.text)

@@ -3,11 +3,14 @@
 The trees are fitted on at most `SAMPLE` vectors, those with the smallest hash; every vector is indexed. A node splits at
 the median along the widest of some random directions between sampled vectors. A query walks all trees through one queue,
 ordered by how far the query lies beyond the hyperplanes on the way, and opens leaves until they hold `reach` times the
-rows of the table, all trees together. The opened leaves' vectors are ranked by their exact distance.
+rows of the table and at least `LEAST` rows, all trees together; so a table of up to `LEAST` / `TREES` vectors is searched whole. The
+opened leaves' vectors are ranked by their exact distance.
 
 Equal vectors are one entry that keeps as many of its smallest ids as a result can show. Leaves meet their queries in
-groups of bounded size: a leaf that outgrows `CHUNK` rows is dealt out and its queries are copied to every part. Trees,
-leaf sizes and the sample are bounded by parameters, whatever the table holds.
+groups of `TOGETHER` neighbours: the vectors of a group that outgrows `CHUNK` rows are dealt out, and so are the queries
+where there are more than `ASKED`; a query's vector comes to a group once, with the leaves it opened there. So a task holds at
+most about CHUNK vectors and ASKED queries, and 256 x CHUNK distances at a time. Trees, leaf sizes and the sample are bounded
+by parameters, whatever the table holds.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than most.
 Rows without an id take no part; repeated rows count once; equal ids with other vectors are candidates of their own, but
@@ -34,6 +37,8 @@ TOP = 10
 DIRECTIONS = 32
 CHUNK = 32_768
 TOGETHER = 16
+LEAST = 40_000
+ASKED = 16_384
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -123,14 +128,17 @@ def _indexer(forest):
 
 
 def _walker(plan):
-    schema = pa.schema([("query_id", pa.int64()), ("n", pa.int64()), ("tree", pa.int32()), ("leaf", pa.int32())])
+    schema = pa.schema([("query_id", pa.int64()), ("n", pa.int64()), ("tree", pa.int32()), ("g", pa.int32()), ("leaves", pa.list_(pa.int32()))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, sizes, rows = plan.value
         for b in batches:
             for q, n, v in zip(b.column("vec_id").to_pylist(), b.column("n").to_pylist(), _matrix(b.column("v")) if b.num_rows else []):
-                got = forest.opened(v, sizes, rows)
-                yield from arrow_batches({"query_id": [q] * len(got), "n": [n] * len(got), "tree": [t for t, _ in got], "leaf": [x for _, x in got]}, schema)
+                groups: dict[tuple[int, int], list[int]] = {}
+                for t, x in forest.opened(v, sizes, rows):
+                    groups.setdefault((t, x // TOGETHER), []).append(x)
+                yield from arrow_batches({"query_id": [q] * len(groups), "n": [n] * len(groups), "tree": [t for t, _ in groups],
+                                          "g": [g for _, g in groups], "leaves": list(groups.values())}, schema)
 
     return walk
 
@@ -147,14 +155,11 @@ def _ranker(top: int):
             vectors, leaf = np.stack(index["v"].to_numpy()).astype(np.float64), index["leaf"].to_numpy()
             held = index["ids"].map(len).to_numpy()
             ids, first = np.concatenate(index["ids"].to_numpy()), np.concatenate(([0], np.cumsum(held)[:-1]))
-            queries = queries.sort_values(["query_id", "n"], ignore_index=True)
-            new = queries[["query_id", "n"]].ne(queries[["query_id", "n"]].shift()).any(axis=1).to_numpy()
-            which, asked = np.cumsum(new) - 1, queries["query_id"].to_numpy()[new]
-            points = np.stack(queries["v"].to_numpy()[new]).astype(np.float64)
-            low = int(leaf.min())
-            opened = np.zeros((len(asked), max(int(leaf.max()), int(queries["leaf"].max())) - low + 1), bool)
-            inside = queries["leaf"].to_numpy() >= low
-            opened[which[inside], queries["leaf"].to_numpy()[inside] - low] = True
+            asked = queries["query_id"].to_numpy()
+            points = np.stack(queries["v"].to_numpy()).astype(np.float64)
+            low = int(leaf[0]) // TOGETHER * TOGETHER
+            opened = np.zeros((len(asked), TOGETHER), bool)
+            opened[np.repeat(np.arange(len(asked)), queries["leaves"].map(len)), np.concatenate(queries["leaves"].to_numpy()) - low] = True
             norms = (vectors * vectors).sum(axis=1)
             parts = []
             for at in range(0, len(asked), 256):
@@ -203,15 +208,20 @@ def nearest(vectors: DataFrame, queries: Column | None = None, top: int = TOP, r
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in placed.groupBy("tree", "leaf").count().toLocalIterator():
         sizes[r["tree"], r["leaf"]] = r["count"]
-    parts = max(1, int(np.ceil(sizes.max() / CHUNK)))
+    together = np.add.reduceat(sizes, np.arange(0, sizes.shape[1], TOGETHER), axis=1)
+    parts = max(1, int(np.ceil(together.max() / CHUNK)))
     asked = rows.filter(queries if queries is not None else F.col("vec_id") % 100 == 0).withColumn("n", F.xxhash64("v"))
-    walk = asked.repartition("vec_id").mapInArrow(_walker(spark.sparkContext.broadcast((forest, sizes, reach * n))), "query_id bigint, n bigint, tree int, leaf int")
+    dealt = max(1, int(np.ceil(asked.count() / ASKED)))
+    wanted = max(reach * n, LEAST)
+    walk = asked.repartition("vec_id").mapInArrow(_walker(spark.sparkContext.broadcast((forest, sizes, wanted))), "query_id bigint, n bigint, tree int, g int, leaves array<int>")
     group = (F.col("leaf") / TOGETHER).cast("int")
-    left = placed.select("ids", "v", "tree", "leaf", group.alias("g"), F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("part"))
+    each = lambda k, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias(name)
+    left = placed.select("ids", "v", "tree", "leaf", group.alias("g"), F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("part"), each(dealt, "deal"))
     # how much a walk gives can't be estimated, so it is never broadcast
     right = walk.join(asked.select(F.col("vec_id").alias("query_id"), "n", "v").hint("merge"), ["query_id", "n"]).select(
-        "query_id", "n", "v", "tree", "leaf", group.alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
-    near = left.groupBy("tree", "g", "part").cogroup(right.groupBy("tree", "g", "part")).applyInPandas(
+        "query_id", "v", "tree", "g", "leaves", F.pmod(F.xxhash64("query_id", "n"), F.lit(dealt)).alias("deal"), each(parts, "part"))
+    keys = ["tree", "g", "part", "deal"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         _ranker(top), "query_id bigint, vec_id bigint, score double").distinct()
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

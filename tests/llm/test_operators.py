@@ -84,8 +84,9 @@ def _repeats(docs, least):
                 if total < least:
                     continue
                 own = sorted(own)
-                key, place = tuple(x[1] for x in own), (d, own[0][0])
-                if seen[way].setdefault(key, place) != place:
+                key, place = tuple(x[1] for x in own), (d, own[0][0], own[-1][0])
+                first = seen[way].setdefault(key, place)
+                if first != place and (first[0] != d or first[2] < own[0][0]):
                     gone.setdefault(d, set()).update(range(own[0][0], own[-1][0] + 1))
     return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in docs}
 
@@ -100,6 +101,18 @@ def test_repeated_runs(spark):
     assert any(got[d] != t for d, t in docs) and got[0] != ""
 
 
+def test_a_run_that_repeats_itself_keeps_its_first_words(spark):
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(1, "\n".join([ten] * 10)), (2, "\n".join(["x", *[ten] * 5, "y"])), (3, "\n".join([ten] * 7))] + [(9, f"{ten}\nz\n{ten}")] * 50
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in O2.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("\n".join([ten] * 5), 5), 2: ("x\ny", 5), 3: ("", 7), 9: (f"{ten}\nz\n{ten}", 0)}
+
+
+def test_lines_with_any_column_names(spark):
+    df = spark.createDataFrame([(1, "a b", 3, "x", "y")], "doc_id long, text string, n_chars long, `a``b` string, `c.d` string")
+    assert O2.cleaned(df).columns == df.columns and O2.without_repeats(df).first()["a`b"] == "x"
+
+
 # ---- 3 and 8
 
 
