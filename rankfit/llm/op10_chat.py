@@ -4,7 +4,7 @@ The legal turns are those of an automaton: perhaps a system turn, then user and
 ending with the assistant. A source turn keeps its role, takes another one (relabelled), or joins the turn before it when
 both end up with the same role (merged); empty turns may be inserted before it and at the end. Dynamic programming finds
 the cheapest repair; among equal costs a checksum of the turns decides, so the result does not depend on how rows are dealt
-out (for conversations of up to 2^24 turns).
+out. Cost and checksum share one number, which holds for conversations of up to `TURNS` turns; a longer one is an error.
 
 The states are four, so a stretch of turns is a 4 x 4 matrix of costs, and matrices join by (min, +). A conversation is
 cut into stretches of at most `STRETCH` turns: each gives its matrix, the matrices of a conversation are walked once, and
@@ -34,6 +34,7 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 3, 1, 1, 2
 STRETCH = 1024
+TURNS = 1 << 24
 UNIT = 1 << 36
 NEVER = 1 << 61
 # (state, role) -> roles of the empty turns to insert before a turn of that role
@@ -137,6 +138,8 @@ def _matrices(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _joints(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Start and end state of every stretch of one conversation, and whether it is the last."""
+    if len(rows) > TURNS // STRETCH:
+        raise ValueError(f"a conversation of more than {TURNS} turns")
     rows = rows.sort_values("segment", ignore_index=True)
     cost = np.full(4, NEVER, np.int64)
     cost[START] = 0

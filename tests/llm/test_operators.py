@@ -1,5 +1,6 @@
 """The operators against brute force, on small tables."""
 
+import os
 import random
 import re
 import zlib
@@ -38,7 +39,7 @@ def _overlaps(docs, items):
         w = tok(text)
         for item, b in items:
             b = tok(b)
-            if len(b) < O1.SPAN:
+            if not b:
                 continue
             for s in range(-len(b) + 1, len(w)):
                 eq = [0 <= s + j < len(w) and w[s + j] == b[j] for j in range(len(b))]
@@ -50,7 +51,7 @@ def _overlaps(docs, items):
 @pytest.mark.parametrize("broadcast", [0, 10**6])
 def test_overlaps(spark, broadcast):
     rng = random.Random(3)
-    items = [(i, prose(rng, n)) for i, n in enumerate((5, 8, 9, 11, 12, 13, 20, 40))] + [(99, None), (98, "")]
+    items = [(i, prose(rng, n)) for i, n in enumerate((5, 8, 9, 11, 12, 13, 20, 40))] + [(50, prose(rng, 2)), (51, prose(rng, 2)), (52, "zzz"), (53, prose(rng, 7))] + [(99, None), (98, "")]
     docs = [(i, prose(rng, 60)) for i in range(20)]
     for i, (_, text) in enumerate(items[:8]):
         w = text.split()
@@ -161,6 +162,78 @@ def test_quality_learns(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def _plain_features(text):
+    """Feature numbers of a text, one at a time."""
+    data = text.encode()
+    kind = lambda c: 0 if c in b"\t\n\v\f\r " else 1 if chr(c).islower() and c < 128 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4
+    group = lambda c: 0 if kind(c) == 0 else 2 if kind(c) == 4 else 1
+    mask = (1 << 64) - 1
+    powers = [1]
+    for _ in range(255):
+        powers.append((powers[-1] * O8._R + 0x9E37) & mask)
+    tokens, at = [], 0
+    while at < len(data):
+        end = at + 1
+        while end < len(data) and group(data[end]) == group(data[at]):
+            end += 1
+        if group(data[at]):
+            tokens.append(data[at:end])
+        at = end
+    hashes, forms = [], []
+    for t in tokens:
+        hashes.append(sum((c + 32 * (65 <= c <= 90) + 7) * powers[i & 255] for i, c in enumerate(t)) & mask)
+        upper, digit = sum(kind(c) == 2 for c in t), sum(kind(c) == 3 for c in t)
+        form = O8.SIGNS if group(t[0]) == 2 else O8.DIGIT if digit else O8.LOWER if not upper else O8.TITLE if upper == 1 and len(t) > 1 else O8.UPPER
+        forms.append(O8.AGAIN if hashes[:-1] and hashes[-2] == hashes[-1] else form)
+
+    def bucket(h):
+        h &= mask
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return h >> 46
+
+    salt = lambda x: x * 0x9E3779B97F4A7C15 & mask
+    out = [bucket(h ^ salt(1)) for h in hashes] + [bucket((a * 0xD6E8FEB86659FD93 + b & mask) ^ salt(2)) for a, b in zip(hashes, hashes[1:])]
+    out += [bucket(f + salt(3)) for f in forms] + [bucket(8 * a + b + salt(4)) for a, b in zip(forms, forms[1:])]
+    return out + [bucket(64 * a + 8 * b + c + salt(5)) for a, b, c in zip(forms, forms[1:], forms[2:])]
+
+
+def test_quality_against_a_plain_model(spark):
+    """Features, training and scores with dictionaries and one coordinate at a time."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice((w, w.title(), w.upper(), f"{w},", f"{w}{rng.randint(0, 9)}!", "é" + w, w + " " + w)) for w in prose(rng, rng.randint(1, 25)).split()) for _ in range(60)]
+    docs = list(enumerate(texts)) + [(100, None), (101, ""), (102, " \n")]
+    labels = [(i, int(sum(c.isupper() for c in t) * 5 > len(t))) for i, t in enumerate(texts)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in O8.scored(*frames).collect()}
+    p = O8.PENALTIES
+    rows = []
+    for i, y in sorted(((i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda x: (str(x[0]), x[1])):
+        found = _plain_features(texts[i])
+        rows.append(({f: np.float32(np.float32(found.count(f) / len(found)) * O8.SCALE) for f in sorted(set(found))} | {O8.BIAS: np.float32(1)}, y))
+    z, n = ({}, {}), ({}, {})
+
+    def weight(m, f):
+        at = z[m].get(f, 0.0)
+        return 0.0 if abs(at) <= p.l1 else -(at - np.sign(at) * p.l1) / ((p.beta + np.sqrt(n[m].get(f, 0.0))) / p.alpha + p.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            w = [{f: weight(m, f) for f in x} for m in (0, 1)]
+            s = np.array([sum(float(v) * w[m][f] for f, v in x.items()) for m in (0, 1)])
+            e = np.exp(s - s.max())
+            for m in (0, 1):
+                for f, v in x.items():
+                    g, old = float(v) * (e[m] / e.sum() - (y == m)), n[m].get(f, 0.0)
+                    z[m][f] = z[m].get(f, 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / p.alpha * w[m][f]
+                    n[m][f] = old + g * g
+    for i, text in docs:
+        found = _plain_features(text or "")
+        s = weight(1, O8.BIAS) - weight(0, O8.BIAS) + O8.SCALE * sum(weight(1, f) - weight(0, f) for f in found) / max(len(found), 1)
+        assert abs(got[i] - 1 / (1 + np.exp(-s))) < 1e-5, i
+
+
 # ---- 4
 
 
@@ -372,6 +445,36 @@ def test_nearest(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == list(range(50, 60))
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    """The query's own set against exact search."""
+    path = f"/root/testdata/sf{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("given tables absent")
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(path).collect() if r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"])]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    hit = total = 0
+    found = {}
+    for r in O9.nearest(spark.read.parquet(path)).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        best = [ids[i] for i in np.lexsort((ids, d)) if i != q][:10]
+        hit, total = hit + len(set(best) & found[ids[q]]), total + len(best)
+    assert hit / total >= 0.9, hit / total
+
+
+def test_groups_of_bounded_size(spark, monkeypatch):
+    """Dealt vectors and dealt queries give the same result."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = sorted(tuple(r) for r in O9.nearest(df, leaf=16).collect())
+    monkeypatch.setattr(O9, "CHUNK", 40)
+    monkeypatch.setattr(O9, "ASKED", 2)
+    assert sorted(tuple(r) for r in O9.nearest(df, leaf=16).collect()) == plain
+
+
 # ---- 10
 
 
