@@ -57,9 +57,15 @@ def cross_group_frequency(rows: DataFrame, value: str, group: str, most: int = 4
     return rows.join(uses, value).withColumn("is_generic", F.col("group_count") > most)
 
 
-def drop_shared(rows: DataFrame, value: str, group: str, others: int = 2) -> DataFrame:
-    """Rows whose value occurs in fewer than `others` other groups."""
-    return cross_group_frequency(rows, value, group).filter(F.col("group_count") - 1 < others).drop("group_count", "is_generic")
+def null_shared(rows: DataFrame, values: Sequence[str], group: str, others: int = 2) -> DataFrame:
+    """All rows; a value that `others` or more other groups use in any of the columns becomes null, and `<column>_fallback`
+    says where one is missing."""
+    used = rows.select(F.col(group).alias("_g"), F.explode(F.array(*values)).alias("_v")).filter("_v is not null").distinct()
+    shared = used.groupBy("_v").agg(F.count("*").alias("_n")).filter(F.col("_n") - 1 >= others).select("_v")
+    for v in values:
+        rows = rows.join(shared.withColumn("_shared", F.lit(True)).withColumnRenamed("_v", v), v, "left")
+        rows = rows.withColumn(v, F.when(F.col("_shared").isNull(), F.col(v))).drop("_shared").withColumn(f"{v}_fallback", F.col(v).isNull())
+    return rows
 
 
 def global_exclusive_pick(rows: DataFrame, entity: str, entity_order: str, url: str = "url", score: str = "score",

@@ -6,7 +6,7 @@ the current section, event and final runs forward with two-level windows, so a v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import events as E, text as X
 from ..functions.times import parse_time_hms, time_suffix
@@ -177,38 +177,52 @@ def extract_score_rows(lines: DataFrame) -> DataFrame:
     return d.select("source_file", "page_no", "line_no", "gender", "section_heading", F.inline("entries"))
 
 
-def tail_then_full(rows: DataFrame, pages: DataFrame, tail: int = TAIL_PAGES) -> DataFrame:
-    """Rows of the last pages of each file; rows of the whole file where the tail holds none or one gender only.
+def tail_then_full(lines: DataFrame, pages: DataFrame, tail: int = TAIL_PAGES) -> DataFrame:
+    """Score rows of the last pages of each file; of the whole file where the tail holds none or one gender only.
 
-    pages: source_file, pages, is_auxiliary. Auxiliary files always count in full.
+    pages: source_file, pages, is_auxiliary. Auxiliary files always count in full. Only the tails are read first. The other
+    pages are read for the files that need them, by a join that prunes the scan where lines are stored by file.
     """
-    d = rows.join(pages, "source_file")
+    at = pages.select("source_file", "pages", "is_auxiliary")
     in_tail = F.col("is_auxiliary") | (F.col("page_no") > F.col("pages") - tail)
-    found = d.filter(in_tail).groupBy("source_file").agg(F.min("gender").alias("_lo"), F.max("gender").alias("_hi"))
-    enough = found.filter(F.col("_lo") != F.col("_hi")).select("source_file", F.lit(True).alias("_enough"))
-    d = d.join(enough, "source_file", "left")
-    return d.filter(in_tail | F.col("_enough").isNull()).select(*rows.columns)
+    first = cut_lineage(extract_score_rows(lines.join(at, "source_file").filter(in_tail).select(*lines.columns)))
+    found = first.groupBy("source_file").agg(F.min("gender").alias("_lo"), F.max("gender").alias("_hi"))
+    enough = found.filter(F.col("_lo") != F.col("_hi")).select("source_file")
+    open_files = cut_lineage(at.join(enough, "source_file", "left_anti"))
+    rest = lines.join(open_files, "source_file").filter(~in_tail).select(*lines.columns)
+    return first.unionByName(extract_score_rows(rest))
 
 
-def wide_score_rows(lines: DataFrame) -> DataFrame:
-    """Rows (team, score) of any of the three line layouts inside a standings block; a block ends after twelve
-    misses in a row."""
-    head = r"(?i)\bteam\s+(?:final\s+)?(?:scores?|standings?|rankings?|results?|points?)\b|\bfinal\s+(?:team\s+)?(?:scores?|standings?|rankings?|results?|points?)\b|\b(?:men'?s?|women'?s?)\s*[-–]?\s*(?:team\s+)?(?:final\s+)?(?:scores?|standings?|rankings?|results?|points?)\b|\boverall\s+(?:team\s+)?(?:scores?|standings?|rankings?)\b"
-    skip = r"(?i)^\s*(?:rank|place|pos|#|team|school|points?|score|pts)\s*$"
+# fixed values: what opens a standings block, what switches the flag inside one, and the column heads in it
+WIDE_HEAD = r"(?i)\bteam\s+(?:final\s+)?(?:scores?|standings?|rankings?|results?|points?)\b|\bfinal\s+(?:team\s+)?(?:scores?|standings?|rankings?|results?|points?)\b|\b(?:men'?s?|women'?s?)\s*[-–]?\s*(?:team\s+)?(?:final\s+)?(?:scores?|standings?|rankings?|results?|points?)\b|\boverall\s+(?:team\s+)?(?:scores?|standings?|rankings?)\b"
+WIDE_WOMEN = r"(?i)\bwomen'?s?\s*(team|final|standing|score|rank)"
+WIDE_MEN = r"(?i)\bmen'?s?\s*(team|final|standing|score|rank)"
+WIDE_SKIP = r"(?i)^\s*(?:rank|place|pos|#|team|school|points?|score|pts)\s*$"
+
+
+def wide_score_rows(lines: DataFrame, gender: str = "men") -> DataFrame:
+    """Rows (team, score) of one gender from standings blocks in any of the three line layouts.
+
+    A heading opens a block and names its gender (the wanted one where it names none); lines inside may switch it. Lines of
+    the other gender, lines that are no entry and empty lines are misses; entries and switches end a run of misses. The first
+    line that comes after twelve misses ends the block; column heads count as nothing.
+    """
     s = X.strip(F.col("text"))
-    d = lines.withColumn("_head", F.when(s.rlike(head), F.struct(X.heading_gender(s).alias("gender"), F.col("line_no").alias("block"))))
-    d = carry_state(d.withColumn("_is_head", F.col("_head").isNotNull()), ["_head"])
-    d = d.filter(F.col("_head").isNotNull() & ~F.col("_is_head") & ~s.rlike(skip))
-    d = d.withColumns({"_row": X.score_line("text"), "gender": F.col("_head.gender"), "block": F.col("_head.block")})
-    d = d.withColumn("_hit", F.col("_row").isNotNull())
-    d = running_miss_cutoff(d, ["source_file", "block"], "_hit", MISS_LIMIT_WIDE + 1)
-    broken = _first_break(lines, d)
-    d = d.join(broken, ["source_file", "block"], "left")
-    ok = F.col("_hit") & (F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop")))
-    return d.filter(ok).select("source_file", "line_no", "gender", "_row.team", F.col("_row.score_text").try_cast("double").alias("score"))
-
-
-def _first_break(lines: DataFrame, kept: DataFrame) -> DataFrame:
-    """First line of a block at which the allowed number of misses is reached."""
-    at_limit = kept.filter(F.col("misses") >= MISS_LIMIT_WIDE)
-    return at_limit.groupBy("source_file", "block").agg(F.min("line_no").alias("_stop"))
+    is_head = s.rlike(WIDE_HEAD)
+    switch = F.when(~is_head & s.rlike(WIDE_WOMEN), "women").when(~is_head & s.rlike(WIDE_MEN), "men")
+    named = X.heading_gender(s)
+    d = lines.select("source_file", "line_no", "text", F.when(is_head, F.col("line_no")).alias("block"), (s == "").alias("_blank"), switch.isNotNull().alias("_switch"),
+                     F.when(is_head, F.when(named.isin("men", "women"), named).otherwise(gender)).otherwise(switch).alias("gender"), (~is_head & switch.isNull() & s.rlike(WIDE_SKIP)).alias("_skip"))
+    d = d.withColumn("_head", F.col("block").isNotNull())
+    d = carry_state(d, ["block"]).filter(F.col("block").isNotNull() & ~F.col("_skip"))
+    keys = ["source_file", "block"]
+    d = carry_state(d, ["gender"], keys)
+    d = d.withColumn("_row", F.when(~F.col("_head") & ~F.col("_switch") & (F.col("gender") == gender), X.score_line("text")))
+    d = d.withColumn("_reset", F.col("_head") | F.col("_switch") | F.col("_row").isNotNull())
+    # misses up to each line, and of those the ones before it
+    d = running_miss_cutoff(d, keys, "_reset", 1 << 30)
+    before = F.coalesce(F.lag("misses").over(Window.partitionBy(*keys).orderBy("line_no")), F.lit(0))
+    d = d.withColumn("_over", ~F.col("_head") & ~F.col("_switch") & ~F.col("_blank") & (before >= MISS_LIMIT_WIDE))
+    stops = d.filter("_over").groupBy(*keys).agg(F.min("line_no").alias("_stop"))
+    d = d.join(stops, keys, "left").filter(F.col("_row").isNotNull() & (F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop"))))
+    return d.select("source_file", "line_no", "gender", "_row.team", F.col("_row.score_text").try_cast("double").alias("score"))

@@ -20,6 +20,7 @@ from .keyed import first_per_key, top_k_per_key, with_group_stats
 GRAM = 4
 FUZZY_CUTOFF, FUZZY_HITS = 0.80, 6
 MIN_CONFIDENCE = 0.55
+HEAVY_SHARE, HEAVY_LEAST, HEAVY_PARTS = 200, 4096, 64
 
 
 def canonicalize(rows: DataFrame, aliases: DataFrame, name: str = "school") -> DataFrame:
@@ -114,6 +115,21 @@ def longest(df: DataFrame, text: str) -> Column:
     return df.agg(F.max(F.length(text))).scalar()
 
 
+def heavy_split(posting: DataFrame, probe: DataFrame, key: str, row: str, df: DataFrame, share: int = HEAVY_SHARE, least: int = HEAVY_LEAST) -> DataFrame:
+    """The join of `probe` with `posting` on `key`, where the postings of heavy keys are dealt out by a second key.
+
+    Heavy is a key (its row count is `_df` in `df`) that more than one in `share` of all rows has, and more than `least` rows:
+    there are at most `share` times as many of them as a row has keys. Such a posting lies in `HEAVY_PARTS` parts by the hash
+    of the row, and whatever looks it up is copied to each of them.
+    """
+    rows = posting.select(row).distinct().agg(F.count("*")).scalar()
+    heavy = df.filter(F.col("_df") > F.greatest(F.lit(least), rows / share)).select(key, F.lit(True).alias("_heavy"))
+    parts = F.sequence(F.lit(0), F.lit(HEAVY_PARTS - 1))
+    left = probe.join(heavy, key, "left").withColumn("_part", F.explode(F.when(F.col("_heavy"), parts).otherwise(F.array(F.lit(0))))).drop("_heavy")
+    right = posting.join(heavy, key, "left").withColumn("_part", F.when(F.col("_heavy"), F.pmod(F.hash(row), F.lit(HEAVY_PARTS))).otherwise(0)).drop("_heavy")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: str, min_length: int = GRAM) -> DataFrame:
     """Pairs where the needle, of at least `min_length` characters, occurs inside the hay text.
 
@@ -130,7 +146,7 @@ def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: s
     rare = parts.join(df, "_gram").groupBy(needle, "_all").agg(
         F.min_by("_gram", F.struct("_df", "_gram")).alias("_gram"), F.count("*").alias("_known"))
     rare = rare.filter(F.col("_known") == F.col("_all")).select(needle, "_gram")
-    out = rare.join(posting, "_gram").filter(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
+    out = heavy_split(posting, rare, "_gram", hay, df).filter(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
     for n in range(min_length, GRAM):
         short = need.filter(F.length(needle) == n)
         inside = hays.filter(F.length(hay) >= n).select(hay, F.explode(grams(F.col(hay), n)).alias(needle))
@@ -138,6 +154,22 @@ def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: s
     return out
 
 
+def first_containing(needles: DataFrame, needle: str, records: DataFrame, name: str, order: str) -> DataFrame:
+    """(needle, name): for every needle the first record, by `order`, whose name contains it.
+
+    A needle of up to three characters is a gram itself, and of every gram only the head of its posting, its first record,
+    is kept; longer ones are looked up by their rarest gram.
+    """
+    r = records.groupBy(name).agg(F.min(order).alias(order))
+    need = needles.select(needle).distinct()
+    first = F.min(F.struct(order, name)).alias("_f")
+    out = contained_pairs(need, needle, r, name).join(r, name).groupBy(needle).agg(first)
+    for n in range(1, GRAM):
+        heads = r.filter(F.length(name) >= n).select(name, order, F.explode(grams(F.col(name), n)).alias(needle)).groupBy(needle).agg(first)
+        out = out.unionByName(need.filter(F.length(needle) == n).join(heads, needle))
+    return out.select(needle, F.col(f"_f.{name}").alias(name))
+
+
 def prefix_token_pairs(queries: DataFrame, query: str, names: DataFrame, name: str) -> DataFrame:
     """Pairs where every token of a query of two or more tokens starts some token of the name."""
     toks = lambda c: tokens(F.col(c), PREFIX_STOP)
@@ -151,7 +183,7 @@ def prefix_token_pairs(queries: DataFrame, query: str, names: DataFrame, name: s
         F.min_by("_key", F.struct("_df", "_key")).alias("_key"), F.count("*").alias("_known"))
     rare = rare.filter(F.col("_known") == F.size("_qt"))
     ok = F.forall("_qt", lambda t: F.exists("_st", lambda u: F.startswith(u, t)))
-    return rare.join(posting, "_key").filter(ok).select(query, name)
+    return heavy_split(posting, rare.drop("_known"), "_key", name, df).filter(ok).select(query, name)
 
 
 def jaccard_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str, token_col: str = "toks",
@@ -215,7 +247,8 @@ def fuzzy_pairs(queries: DataFrame, query: str, names: DataFrame, name: str, cut
         both = F.concat(F.coalesce(grams(F.col(c), 2), F.array().cast("array<string>")), grams(F.col(c), 1))
         return d.select(c, F.explode(F.array_distinct(both)).alias("_key"))
 
-    posting = keyed(s, name)
+    # the length of a name is a second key: a query of length a reaches the ratio with lengths from a c / (2 - c) to a (2 - c) / c
+    posting = keyed(s, name).withColumn("_size", F.length(name))
     df = posting.groupBy("_key").agg(F.count("*").alias("_df"))
     ql = F.length(query)
     use_bigrams = ql >= 4
@@ -229,7 +262,11 @@ def fuzzy_pairs(queries: DataFrame, query: str, names: DataFrame, name: str, cut
         F.floor(ql * (2 - 2 * r) / (2 - r) + 1e-9))
     keep = F.least(F.size("_o"), lost + 1).cast("int")
     heads = ranked.select(query, F.explode(F.transform(F.slice("_o", F.lit(1), keep), lambda x: x["k"])).alias("_key"))
-    cand = heads.join(posting, "_key").select(query, name).distinct()
+    sizes = F.sequence(F.ceil(ql * cutoff / (2 - cutoff) - 1e-9).cast("int"), F.floor(ql * (2 - cutoff) / cutoff + 1e-9).cast("int"))
+    by_size = lambda d: d.withColumn("_key", F.concat_ws("\n", "_key", F.col("_size").cast("string"))).drop("_size")
+    posting, probe = by_size(posting), by_size(heads.withColumn("_size", F.explode(sizes)))
+    counts = posting.groupBy("_key").agg(F.count("*").alias("_df"))
+    cand = heavy_split(posting, probe, "_key", name, counts).select(query, name).distinct()
     short, long = F.least(F.length(query), F.length(name)), F.greatest(F.length(query), F.length(name))
     edits = F.floor((short + long) * (1 - cutoff) + 1e-9).cast("int")
     cand = cand.filter((2 * short >= (short + long) * cutoff) & (F.levenshtein(query, name) <= edits))
@@ -291,7 +328,7 @@ def token_jaccard_match(candidates: DataFrame, records: DataFrame, aliases: Data
     al = aliases.select(F.col("raw").alias("_c"), norm_name("canonical").alias("_n"))
     r0 = pick(cn.join(al, "_c").join(forms, "_n"), 0)
     r1 = pick(cn.join(forms.withColumnRenamed("_n", "_c"), "_c"), 1)
-    left = contained_pairs(cn, "_c", rn, "_n", 1).unionByName(contained_pairs(rn, "_n", cn, "_c", 1))
+    left = first_containing(cn, "_c", forms, "_n", "_pos").unionByName(contained_pairs(rn, "_n", cn, "_c", 1).select("_c", "_n"))
     r2 = pick(left.join(forms, "_n"), 2)
     ct = cn.withColumn("toks", tokens(F.col("_c"), NAME_STOP))
     rt = r.withColumn("toks", tokens(F.col("_n"), NAME_STOP))
@@ -314,7 +351,7 @@ def partial_name_lookup(queries: DataFrame, records: DataFrame, query: str = "qu
     r = records.select(F.col(name).alias("_name"), F.lower(name).alias("_n"), F.col(order).alias("_pos"))
     qn, rn = q.select("_q").distinct(), r.select("_n").distinct()
     exact = qn.join(r.withColumnRenamed("_n", "_q"), "_q").select("_q", "_name", "_pos", F.lit(0).alias("rung"))
-    pairs = contained_pairs(rn, "_n", qn, "_q", 1).unionByName(contained_pairs(qn, "_q", rn, "_n", 1)).distinct()
+    pairs = contained_pairs(rn, "_n", qn, "_q", 1).select("_q", "_n").unionByName(first_containing(qn, "_q", r, "_n", "_pos")).distinct()
     part = pairs.join(r, "_n").select("_q", "_name", "_pos", F.lit(1).alias("rung"))
     best = first_per_key(exact.unionByName(part), ["_q"], ["rung", "_pos"])
     return q.join(best, "_q").select(query, F.col("_name").alias(name), "rung")

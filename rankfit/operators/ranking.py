@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import intent as I
 from ..functions.admission import lookup, selectivity_tier
 from ..session import cut_lineage
-from .keyed import top_k_per_key
+from .keyed import global_rank, top_k_per_key
 
 PRE_SORT_LIMIT = 150
 SIMILAR_LIMIT = 35
@@ -57,6 +57,26 @@ def intent_sort(rows: DataFrame, query_key: str = "query_id", text: str = "query
     return out.drop("_kind", "_states", "_k1", "_k2")
 
 
+def intent_rank(queries: DataFrame, pool: DataFrame, query_key: str = "query_id", text: str = "query", name: str = "school",
+                limit: int = PRE_SORT_LIMIT, **cols) -> DataFrame:
+    """(query, school, position): the best rows of one pool for every query, in the order its text asks for.
+
+    There are no more orders than sort kinds and named regions, whatever the number of queries. The pool is ranked once for
+    each, and a query takes the head of its own.
+    """
+    key = lambda kind, states: F.concat_ws("|", kind, F.array_join(states, ","))
+    kinds = [k for k, _ in I.SORTS if k != "strength"] + ["strength"]
+    orders = [F.struct(F.lit("region").alias("k"), F.array(*[F.lit(x) for x in s]).alias("s")) for s in sorted({tuple(s) for _, s in I.REGIONS})]
+    orders += [F.struct(F.lit(k).alias("k"), F.lit(None).cast("array<string>").alias("s")) for k in kinds]
+    d = pool.withColumn("_o", F.explode(F.array(*orders)))
+    first, second = I.sort_keys(F.col("_o.k"), F.col("_o.s"), **cols)
+    d = d.select(key(F.col("_o.k"), F.col("_o.s")).alias("_order"), first.alias("_k1"), second.alias("_k2"), F.col(cols.get("adj_pts", "adj_pts")).alias("_pts"), name)
+    heads = top_k_per_key(d, ["_order"], ["_k1", "_k2", F.desc("_pts"), F.asc(name)], limit, "position").select("_order", name, "position")
+    kind = I.sort_kind(text)
+    asked = queries.select(query_key, key(kind, F.when(kind == "region", I.region_of_query(text))).alias("_order"))
+    return asked.join(heads, "_order").select(query_key, name, "position")
+
+
 def prestige_sort(rows: DataFrame, query_key: str, limit: Column | int, by_label: bool = True, label: str = "label",
                   accept: str = "accept", points: str = "adj_pts", name: str = "school") -> DataFrame:
     """Hardest first: by label score or by accept rate (missing last), then points; limit per query, a number or a column."""
@@ -64,8 +84,8 @@ def prestige_sort(rows: DataFrame, query_key: str, limit: Column | int, by_label
     order = [first.asc(), F.desc(points), F.asc(name)]
     if isinstance(limit, int):
         return top_k_per_key(rows, [query_key], order, limit, "position")
-    w = Window.partitionBy(query_key).orderBy(*order)
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    ranked = global_rank(rows.withColumn("_first", first), [F.asc("_first"), *order[1:]], "position", [query_key])
+    return ranked.drop("_first").filter(F.col("position") <= limit).withColumn("position", F.col("position").cast("int"))
 
 
 def pick_by_position(pool: DataFrame, picks: DataFrame, key: str, order: Sequence, limit: int = SIMILAR_LIMIT) -> DataFrame:

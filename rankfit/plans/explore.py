@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import intent as I
 from ..functions.admission import admission_label_simple, lookup, selectivity_tier
@@ -10,7 +10,7 @@ from ..functions.names import looks_like_name, norm_key, search_surface
 from ..functions.numeric import round_to, to_double, to_long
 from ..functions.scoring import a_score, a_tier_label
 from ..operators import bests as B, matching as M, ranking as R, topscore as S
-from ..operators.keyed import first_per_key, top_k_per_key
+from ..operators.keyed import first_per_key, global_rank, top_k_per_key
 from ..session import cut_lineage
 
 META = ["accept", "sat_median", "sat25", "sat75", "gpa_mean", "hidden_ivy", "ivy_league", "stem", "moonshot", "merit",
@@ -91,7 +91,7 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     info = cut_lineage(q.select("query_id", "query", "swimmer", "path", "limit", "has_times", "_i", sat.alias("_sat")))
 
     multi = hits.join(info.filter("path = 'multi_match'").select("query_id", "path"), "query_id")
-    multi = multi.select("query_id", "school", "path", F.row_number().over(_by_score()).alias("position"))
+    multi = global_rank(multi, [F.desc("score"), F.asc("school")], "position", ["query_id"]).select("query_id", "school", "path", F.col("position").cast("int").alias("position"))
     direct = hits.join(info.filter("path = 'direct_match'").select("query_id", "path"), "query_id")
     like = R.similar_entities(universe.dropDuplicates(["school"]))
     near = direct.join(like, direct["school"] == like["target"]).select("query_id", F.col("candidate").alias("school"), "path", F.col("rank"))
@@ -103,10 +103,11 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     pool = universe.join(info.filter("path IN ('broad_pool', 'candidates')").drop("_sat"), "swimmer")
     pool = R.exclude_list(pool, excluded, keys=["query_id", "school"])
     broad = R.viable_pool(pool.filter("path = 'broad_pool'"))
-    broad = broad.withColumn("position", F.row_number().over(_by_prestige())).select("query_id", "school", "path", "position")
+    broad = broad.select("query_id", "school", "path", F.coalesce(F.nullif("accept", F.lit(0)), F.lit(999)).alias("_first"), "adj_pts")
+    broad = global_rank(broad, [F.asc("_first"), F.desc("adj_pts"), F.asc("school")], "position", ["query_id"])
+    broad = broad.select("query_id", "school", "path", F.col("position").cast("int").alias("position"))
 
-    order = universe.groupBy("school").agg(F.max("adj_pts").alias("most")).withColumn(
-        "pos", F.row_number().over(Window.orderBy(F.desc("most"), "school")))
+    order = global_rank(universe.groupBy("school").agg(F.max("adj_pts").alias("most")), [F.desc("most"), F.asc("school")], "pos")
     mapped = M.token_jaccard_match(candidates, order.drop("most"), cand_aliases).join(candidates, "candidate")
     mapped = first_per_key(mapped, ["query_id", "school"], [F.asc("pos")]).select("query_id", "school", F.col("pos").alias("_order"))
     cand = pool.filter("path = 'candidates'").join(mapped, ["query_id", "school"])
@@ -145,12 +146,3 @@ def _unknown_names(info: DataFrame, universe: DataFrame, excluded: DataFrame, ou
     rows = R.exclude_list(rows, excluded, keys=["query_id", "school"])
     like = top_k_per_key(rows, ["query_id"], [F.abs(F.col("_sel") - F.col("_own")), F.desc("adj_pts"), "school"], R.SIMILAR_LIMIT, "_rn")
     return stub, like.select("query_id", "school", "path", (F.col("_rn") + 1).alias("position"))
-
-
-def _by_score():
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("school"))
-
-
-def _by_prestige():
-    return Window.partitionBy("query_id").orderBy(
-        F.coalesce(F.nullif("accept", F.lit(0)), F.lit(999)).asc(), F.desc("adj_pts"), F.asc("school"))

@@ -5,13 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import events as E
+from ..functions.admission import lookup
 from ..functions.text import source_priority
 from ..operators import anchors as A, coverage as C, extraction as X, tiers as T
 from ..session import cut_lineage
+from ..sources.tables import file_metadata
 
 GROUP = ["bundle_id", "gender", "event"]
 
 
+VOTE_PAGES = 8
+
+
+def classify_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """files with name_gender, file_gender and session_score: by the file's name where it says so, else by its text.
+
+    The text votes for the gender with its first and last eight pages (so a file with all women's events first is seen to hold
+    both), and for the session with its first eight. A phrase counts within a line. A file without any sign of a gender holds both.
+    """
+    pages = lines.groupBy("source_file").agg(F.max("page_no").alias("_n"))
+    d = lines.join(pages, "source_file").filter((F.col("page_no") <= VOTE_PAGES) | (F.col("page_no") > F.col("_n") - VOTE_PAGES))
+    session = F.when(F.col("page_no") <= VOTE_PAGES, E.session_score("text")).otherwise(0)
+    votes = d.groupBy("source_file").agg(F.sum(E.gender_signals("text", "men")).alias("_men"), F.sum(E.gender_signals("text", "women")).alias("_women"), F.sum(session).alias("_session"))
+    d = files.withColumn("_m", file_metadata("source_file")).join(votes, "source_file", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    said = E.gender_vote(zero("_men"), zero("_women"))
+    kind = F.when(F.col("_m.is_prelim"), "prelims").when(F.col("_m.is_final"), "finals").otherwise(E.session_vote(zero("_session")))
+    return d.select(*files.columns, F.col("_m.gender").alias("name_gender"), F.when(F.col("_m.gender").isin("men", "women"), F.col("_m.gender"))
+                    .when(said != "unknown", said).otherwise("combined").alias("file_gender"), lookup(kind, E.SESSION_SCORES, 1).cast("int").alias("session_score"))
+
+
 def fold_sections(results: DataFrame, files: DataFrame) -> DataFrame:
     """Sections of the same event within a file folded in text order."""
     d = results.join(files.select("source_file", "bundle_id", "session_score"), "source_file")
@@ -93,7 +116,7 @@ def build_team_scores(lines: DataFrame, files: DataFrame) -> dict[str, DataFrame
     """
     pages = lines.groupBy("source_file").agg(F.max("page_no").alias("pages")).join(
         files.select("source_file", (source_priority("file_name") >= 200).alias("is_auxiliary")), "source_file")
-    rows = X.tail_then_full(X.extract_score_rows(lines), pages)
+    rows = X.tail_then_full(lines, pages)
     rows = rows.join(files.select("source_file", "bundle_id", "conference"), "source_file").withColumn("source", F.col("source_file"))
     final = T.best_source_per_group(rows, ["bundle_id", "gender"])
     seen = rows.groupBy("source_file").agg(F.lit(True).alias("section_found"))

@@ -286,6 +286,15 @@ def _(t):
     return OA.cross_group_frequency(t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey"), "l_partkey", "l_suppkey")
 
 
+@query("null_shared", """WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_partkey AS VARCHAR) AS hero, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_partkey + 1 AS VARCHAR) END AS pool FROM lineitem),
+u AS (SELECT v, count(DISTINCT l_suppkey) AS n FROM (SELECT l_suppkey, hero AS v FROM p UNION ALL SELECT l_suppkey, pool FROM p WHERE pool IS NOT NULL) x GROUP BY 1), s AS (SELECT v FROM u WHERE n - 1 >= 20)
+SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN hero NOT IN (SELECT v FROM s) THEN hero END AS hero, hero IN (SELECT v FROM s) AS hero_fallback,
+ CASE WHEN pool NOT IN (SELECT v FROM s) THEN pool END AS pool, pool IS NULL OR pool IN (SELECT v FROM s) AS pool_fallback FROM p""")
+def _(t):
+    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").cast("string").alias("hero"), F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_partkey") + 1).cast("string")).alias("pool"))
+    return OA.null_shared(d, ["hero", "pool"], "l_suppkey", others=20)
+
+
 @query("dominant_domain", """WITH d AS (SELECT split_part(split_part(url, '//', 2), '/', 1) AS host, regexp_extract(url, '/(fr|en|de|es)/', 1) AS lang FROM pages),
 c AS (SELECT lang, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(*) AS n FROM d GROUP BY 1, 2) SELECT lang AS entity, domain, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, domain) AS rn FROM c) x WHERE rn = 1""")
 def _(t):

@@ -127,11 +127,10 @@ def _(t):
 
 # ---- names -----------------------------------------------------------------------------------------------
 
-# made names, one per supplier: three words from a checksum of its name; search texts are distorted names
+# names of common words, many of them several times; search texts are distorted names
 role("doc_names", """
-SELECT s_suppkey AS pos, substr(m, 1, 6) || ' ' || substr(m, 7, 7) || ' ' || substr(m, 14, 5) AS school,
- CASE s_suppkey % 5 WHEN 0 THEN 'Los Angeles, CA' WHEN 1 THEN 'Boston, MA' WHEN 2 THEN 'Nashville, TN' WHEN 3 THEN 'Chicago, IL' ELSE '' END AS location
-FROM (SELECT s_suppkey, md5(s_name) AS m FROM {supplier}) x
+SELECT p_partkey AS pos, p_type || ' ' || p_name AS school,
+ CASE p_partkey % 5 WHEN 0 THEN 'Los Angeles, CA' WHEN 1 THEN 'Boston, MA' WHEN 2 THEN 'Nashville, TN' WHEN 3 THEN 'Chicago, IL' ELSE '' END AS location FROM {part}
 """)
 role("doc_queries", """
 SELECT pos, CASE pos % 8 WHEN 0 THEN '  ' || school || '.' WHEN 1 THEN substr(school, 1, 2) || substr(school, 4) WHEN 2 THEN split_part(school, ' ', 1) || ' ' || substr(split_part(school, ' ', 2), 1, 3) WHEN 3 THEN 'the ' || school || ' campus'

@@ -13,7 +13,7 @@ from .aggregates import COVER_COLS, COVER_CTE, TOPK_CTE, SCORED_CTE, anchors_sql
 from .base import query, rnd, role
 from .filters import LEGAL_SQL
 from .joins import _NK
-from .scalars import SC, TIER_SQL, a_score_sql, admission_sql, division_sql, ladder_sql
+from .scalars import SC, TIER_SQL, a_score_sql, admission_sql, division_sql, ladder_sql, plausible_sql
 from .sources import TEAMS_SQL
 from .texts import files_of, text_lines
 
@@ -55,6 +55,28 @@ def _(t):
     return built(t)["anchors"].select("bundle_id", "gender", "event", "first", "eighth", "sixteenth", "sec_per_place", "data_quality")
 
 
+_VKEYS = "bundle_id, gender, event, version"
+
+
+@query("build_anchors_by_votes", f"""WITH h AS ({anchors_sql('{session_places}', _VKEYS)}), f AS (SELECT {_VKEYS}, max(CASE WHEN place = 1 THEN sec END) AS sec FROM {{session_places}} GROUP BY ALL),
+v AS (SELECT f.*, h.first IS NOT NULL AS full, {plausible_sql('f.event', 'f.sec', 'f.gender')} AS ok FROM f LEFT JOIN h USING ({_VKEYS})),
+c AS (SELECT bundle_id, gender, event, CASE WHEN a.version IS NULL OR (a.full AND a.sec IS NOT NULL AND NOT a.ok AND b.full AND b.sec IS NOT NULL AND b.ok) THEN 'b' ELSE 'a' END AS version
+  FROM (SELECT * FROM v WHERE version = 'a') a FULL JOIN (SELECT * FROM v WHERE version = 'b') b USING (bundle_id, gender, event))
+SELECT h.* EXCLUDE (version), CASE version WHEN 'a' THEN 'finals' ELSE 'prelim_fallback' END AS data_quality FROM h JOIN c USING ({_VKEYS})""")
+def _(t):
+    lines = t.session_lines
+    files = lines.select("source_file", "bundle_id").distinct().withColumns({"conference": F.col("bundle_id"), "year": F.lit("2026"), "file_order": F.when(F.endswith("source_file", F.lit("_a")), 1).otherwise(2)})
+    lines = text_lines(lines)
+    return P.build_anchors(lines, P.classify_files(lines, files))["anchors"].select("bundle_id", "gender", "event", "first", "eighth", "sixteenth", "sec_per_place", "data_quality")
+
+
+@query("classify_files", """SELECT source_file, CASE WHEN count(DISTINCT gender) = 2 THEN 'combined' ELSE min(gender) END AS file_gender, CASE version WHEN 'a' THEN 3 ELSE 0 END AS session_score
+FROM (SELECT bundle_id || '_' || version AS source_file, gender, version FROM {session_places}) x GROUP BY source_file, version""")
+def _(t):
+    lines = t.session_lines
+    return P.classify_files(text_lines(lines), lines.select("source_file").distinct()).select("source_file", "file_gender", "session_score")
+
+
 @query("coverage_report", f"WITH {COVER_CTE.replace('{event_places}', '{extracted_places}')} SELECT {COVER_COLS} FROM cov".replace("r_name AS conference", "n_name AS conference"))
 def _(t):
     b = built(t)

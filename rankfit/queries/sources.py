@@ -91,16 +91,26 @@ def _(t):
     return TB.scan_standards(t.spark.read.text(path))
 
 
-@query("stage_partitions", """SELECT b.bundle_id, CASE WHEN b.bundle_id IN (SELECT DISTINCT bundle_id FROM {score_text}) THEN 'staged' ELSE 'empty' END AS status,
-  (SELECT count(*) FROM {score_text} s WHERE s.bundle_id = b.bundle_id) AS n_rows FROM (SELECT n_name AS bundle_id FROM nation UNION ALL SELECT r_name FROM region) b""")
+@query("stage_partitions", """SELECT b.bundle_id, CASE WHEN b.bundle_id = 'NATION_7' THEN 'failed' WHEN b.bundle_id IN (SELECT DISTINCT bundle_id FROM {score_text}) THEN 'staged' ELSE 'empty' END AS status,
+  (SELECT count(*) FROM {score_text} s WHERE s.bundle_id = b.bundle_id AND b.bundle_id <> 'NATION_7') AS n_rows FROM (SELECT n_name AS bundle_id FROM nation UNION ALL SELECT r_name FROM region) b""")
 def _(t):
     root = scratch_path(t.spark, "stages")
     rows = t.score_text
     nations = t.nation.select(F.col("n_name").alias("bundle_id"))
     half = nations.filter("substring(bundle_id, -1) IN ('0', '1', '2', '3', '4')")
-    ST.stage_partitions(rows, half, root)
-    # the second run stages what is missing, with the regions as bundles that have no rows
-    marks = ST.stage_partitions(rows, nations.unionByName(t.region.select(F.col("r_name").alias("bundle_id"))), root)
+
+    def raising(*bad):
+        def work(part):
+            if part["bundle_id"].iloc[0] in bad:
+                raise ValueError("unreadable")
+            return part
+
+        return work
+
+    schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    ST.stage_partitions(rows, half, root, work=raising("NATION_3", "NATION_7"), schema=schema)
+    # the second run stages what is missing and tries again what failed, with the regions as bundles that have no rows
+    marks = ST.stage_partitions(rows, nations.unionByName(t.region.select(F.col("r_name").alias("bundle_id"))), root, work=raising("NATION_7"), schema=schema).drop("error")
     counts = ST.read_stages(t.spark, root).groupBy("bundle_id").agg(F.count("*").alias("n_rows"))
     return marks.join(counts, "bundle_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
@@ -176,6 +186,26 @@ def _(t):
     return d.select("school", "major", "known_for", ST.cache_hit().alias("is_hit"))
 
 
+@query("cache_upsert_school", """SELECT school, known_for, campus_life_main, length(known_for) > 0 OR length(campus_life_main) > 0 AS is_hit FROM (SELECT *, row_number() OVER (PARTITION BY school ORDER BY updated DESC) AS rn FROM {cache_writes}) x WHERE rn = 1""")
+def _(t):
+    w = t.cache_writes.select("school", "known_for", "campus_life_main", "updated")
+    # the early turns first, then the later ones on top of them
+    first = ST.cache_upsert(w.limit(0), w.filter("updated < 3"), ["school"], "updated", "updated")
+    d = ST.cache_upsert(first, w.filter("updated >= 3"), ["school"], "updated", "updated")
+    return d.select("school", "known_for", "campus_life_main", ST.cache_hit().alias("is_hit"))
+
+
+@query("cache_upsert_minor", """SELECT school, major, minor, known_for FROM (SELECT *, row_number() OVER (PARTITION BY school, major, minor ORDER BY updated DESC) AS rn FROM (SELECT *, CASE WHEN updated % 3 = 0 THEN 'music' END AS minor FROM {cache_writes}) y) x WHERE rn = 1
+UNION ALL SELECT school, NULL, minor, known_for FROM (SELECT *, row_number() OVER (PARTITION BY school, minor ORDER BY updated DESC) AS rn FROM (SELECT *, 'music' AS minor FROM {cache_writes} WHERE updated % 3 = 0) y) x WHERE rn = 1""")
+def _(t):
+    w = t.cache_writes.select("school", "major", F.when(F.col("updated") % 3 == 0, "music").alias("minor"), "known_for", "updated")
+    both = ST.cache_upsert(w.limit(0), w, ["school", "major", "minor"], "updated", "updated")
+    minor = w.filter("minor is not null").drop("major")
+    alone = ST.cache_upsert(minor.limit(0), minor, ["school", "minor"], "updated", "updated").withColumn("major", F.lit(None).cast("string"))
+    cols = ["school", "major", "minor", "known_for"]
+    return both.select(*cols).unionByName(alone.select(*cols))
+
+
 @query("additive_schema", "SELECT user_id, event_type, value, CAST(NULL AS VARCHAR) AS note FROM events UNION ALL SELECT o_custkey, o_orderstatus, CAST(NULL AS DOUBLE), o_orderpriority FROM orders")
 def _(t):
     old = t.events.select("user_id", "event_type", "value")

@@ -35,6 +35,27 @@ role("loose_lines", _file(f"{_GENDERED} || {_STROKE} || ' - ' || split_part(even
     " UNION ALL SELECT DISTINCT bundle_id, gender, 'zz', 0, 0, 'close', CAST(0 AS BIGINT), 'Event 9 Men 75 Yard Free' FROM {event_places}"))
 
 
+# two files of every bundle, told apart by their text only: finals with all women's events first, and prelims of one flag
+# for odd bundles, whose places run on without labels. One bundle has no finals
+_EVENT_HEAD = f"'Event 12 ' || {_GENDERED} || split_part(event, ' ', 1) || ' Yard ' || {_STROKE}"
+_FINALS_IN, _PRELIMS_IN = "bundle_id <> 'NATION_7' AND event <> '75 Free'", "(substr(bundle_id, -1) NOT IN ('1', '3', '5', '9') OR gender = 'women') AND event <> '75 Free'"
+role("session_lines", f"""
+SELECT bundle_id, source_file, 1 + CAST(floor((rn - 1) / 50) AS INT) AS page_no, rn AS line_no, text FROM (
+ SELECT bundle_id, source_file, text, CAST(row_number() OVER (PARTITION BY source_file ORDER BY g, event, place, part) AS INT) AS rn FROM (
+  SELECT DISTINCT bundle_id, bundle_id || '_a' AS source_file, '' AS g, '' AS event, 0 AS place, 0 AS part, 'Championship Finals' AS text FROM {{event_places}} WHERE {_FINALS_IN}
+  UNION ALL SELECT DISTINCT bundle_id, bundle_id || '_b', '', '', 0, 0, 'Preliminaries and heats' FROM {{event_places}} WHERE {_PRELIMS_IN}
+  UNION ALL SELECT DISTINCT bundle_id, bundle_id || '_a', CASE gender WHEN 'women' THEN 'a' ELSE 'b' END, event, 0, 0, {_EVENT_HEAD} FROM {{event_places}} WHERE {_FINALS_IN}
+  UNION ALL SELECT DISTINCT bundle_id, bundle_id || '_b', gender, event, 0, 0, {_EVENT_HEAD} FROM {{event_places}} WHERE {_PRELIMS_IN}
+  UNION ALL SELECT DISTINCT bundle_id, bundle_id || '_a', CASE gender WHEN 'women' THEN 'a' ELSE 'b' END, event, CASE WHEN place > 16 THEN 17 ELSE 9 END, -1, CASE WHEN place > 16 THEN 'C - Final' ELSE 'Consolation Final' END FROM {{event_places}} WHERE place > 8 AND {_FINALS_IN}
+  UNION ALL SELECT bundle_id, bundle_id || '_a', CASE gender WHEN 'women' THEN 'a' ELSE 'b' END, event, place, 1, CAST({_SHOWN} AS STRING) || ' Lane, ' || gender || ' SO ' || bundle_id || ' ' || {_TIME} FROM (SELECT *, {_CS} AS c FROM {{event_places}} WHERE {_FINALS_IN}) r
+  UNION ALL SELECT bundle_id, bundle_id || '_b', gender, event, place, 1, CAST(place AS STRING) || ' Lane, ' || gender || ' SO ' || bundle_id || ' ' || {_TIME} FROM (SELECT *, 100 + {_CS} AS c FROM {{event_places}} WHERE {_PRELIMS_IN}) s) u) v
+""")
+role("session_places", f"""
+SELECT bundle_id, gender, event, 'a' AS version, place, CAST({_CS} AS DOUBLE) / 100 AS sec FROM {{event_places}} WHERE {_FINALS_IN}
+UNION ALL SELECT bundle_id, gender, event, 'b', place, CAST(100 + {_CS} AS DOUBLE) / 100 FROM {{event_places}} WHERE {_PRELIMS_IN}
+""")
+
+
 @query("classify_line", """SELECT source_file, line_no, CASE kind WHEN 'header' THEN 'event' WHEN 'label' THEN 'final' WHEN 'result' THEN 'result' ELSE 'other' END AS kind FROM {result_lines}""")
 def _(t):
     return t.result_lines.select("source_file", "line_no", EV.classify_line("text").alias("kind"))
@@ -128,7 +149,7 @@ def _(t):
 
 @query("extract_table_rows", "SELECT source_file, rank, team, score FROM {standings} WHERE flag = 'N' AND rank <= 60")
 def _(t):
-    d = t.score_lines.filter(F.col("page_no") == 12).select("source_file", F.inline(TX.score_entries("text", table=True)))
+    d = X.score_sections(t.score_lines).filter("is_table").select("source_file", F.inline("entries"))
     return d.select("source_file", "rank", "team", "score")
 
 
@@ -143,7 +164,25 @@ SELECT s.source_file, gender, rank, team, score FROM {standings} s JOIN f ON f.s
 def _(t):
     lines = t.score_lines
     pages = lines.groupBy("source_file").agg(F.max("page_no").alias("pages")).withColumn("is_auxiliary", F.lit(False))
-    return X.tail_then_full(X.extract_score_rows(lines), pages).select(*_ENTRY_COLS)
+    return X.tail_then_full(lines, pages).select(*_ENTRY_COLS)
+
+
+# a block of one flag, three other lines, a switch to the other flag, and entries that come after twelve other lines
+_FILLERS = lambda part, texts: "".join(f" UNION ALL SELECT source_file, {part}, {i}, '{x}' FROM {{score_files}}" for i, x in enumerate(texts))
+role("score_files", "SELECT DISTINCT source_file FROM {standings}")
+role("wide_blocks", f"""
+SELECT source_file, 1 AS page_no, CAST(row_number() OVER (PARTITION BY source_file ORDER BY part, ord) AS INT) AS line_no, text FROM (
+ SELECT source_file, CASE flag WHEN 'A' THEN 1 WHEN 'N' THEN 4 ELSE 6 END AS part, rank AS ord, CAST(rank AS STRING) || '. ' || team || '   ' || CAST(10 + rank AS STRING) AS text FROM {{standings}}
+ {_FILLERS(0, ["Men''s Team Scores", "Team"])}{_FILLERS(2, ["", "ab", "ab"])}{_FILLERS(3, ["Women Team Final"])}{_FILLERS(5, ["ab"] * 12)}) x
+""")
+
+
+@query("wide_score_rows", """WITH n AS (SELECT source_file, count(*) FILTER (flag = 'A') AS n FROM {standings} GROUP BY 1)
+SELECT source_file, 'men' AS gender, team, 10.0::DOUBLE + rank AS score FROM {standings} WHERE flag = 'A' UNION ALL SELECT source_file, 'women', team, 10.0::DOUBLE + rank FROM {standings} JOIN n USING (source_file) WHERE flag = 'N' AND n < 10""")
+def _(t):
+    # both flags: the switch is reached only where the first flag's entries are fewer than the misses that end a block
+    lines = t.wide_blocks
+    return X.wide_score_rows(lines, "men").unionByName(X.wide_score_rows(lines, "women")).select("source_file", "gender", "team", "score")
 
 
 role("wide_lines", """

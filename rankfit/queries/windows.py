@@ -221,9 +221,7 @@ SELECT query_id, school, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query("intent_sort", PRE_SORT_SQL)
 def _(t):
-    # every query ranks the same schools: the school list is short and joined through the query's own rows
-    rows = C.expected_grid_of(t.short_queries, {"school": t.pool_rows.select("school")}).join(t.pool_rows, "school")
-    return R.intent_sort(rows).select("query_id", "school", "position")
+    return R.intent_rank(t.short_queries, t.pool_rows)
 
 
 @query("prestige_sort", f"""SELECT grp, school, CAST(row_number() OVER (PARTITION BY grp ORDER BY {SCORE_SQL('label')}, adj_pts DESC, school) AS INTEGER) AS position FROM (SELECT *, school % 40 AS grp FROM {{search_rows}}) x QUALIFY position <= CASE WHEN grp % 2 = 0 THEN 12 ELSE 6 END""")
@@ -257,8 +255,8 @@ def _(t):
  SELECT k % 50 AS grp, k, file_name, TRY_CAST(coalesce(nullif(regexp_extract(lower(file_name), '_day_([1-9])', 1), ''), nullif(regexp_extract(lower(file_name), '_(?:day|d)([1-9])', 1), '')) AS INTEGER) AS d FROM {file_text}) x""")
 def _(t):
     d = t.file_text.withColumn("day", TB.file_metadata("file_name")["day"]).withColumn("grp", F.col("k") % 50)
-    w = Window.partitionBy("grp").orderBy(*TB.last_day_first(d), F.asc("k"))
-    return d.select("grp", "k", F.row_number().over(w).alias("position"))
+    d = K.global_rank(d, [*TB.last_day_first(d), F.asc("k")], "position", ["grp"])
+    return d.select("grp", "k", F.col("position").cast("int").alias("position"))
 
 
 # ---- set operations --------------------------------------------------------------------------------------

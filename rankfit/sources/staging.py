@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.keyed import first_per_key
@@ -19,24 +20,57 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def staged_ids(spark: SparkSession, root: str, key: str = "bundle_id") -> DataFrame:
-    """Ids that already have a stage. Reads the stage markers only."""
+    """Every id with the status of its last attempt and, where that failed, why. Reads the stage markers only."""
     marks = f"{root}/_marks"
     if not path_exists(spark, marks):
-        return spark.createDataFrame([], f"{key} string, status string")
-    return spark.read.parquet(marks)
+        return spark.createDataFrame([], f"{key} string, status string, error string")
+    d = spark.read.parquet(marks)
+    return first_per_key(d, [key], [F.desc("attempt")]).select(key, "status", "error")
 
 
-def stage_partitions(rows: DataFrame, ids: DataFrame, root: str, key: str = "bundle_id") -> DataFrame:
+def attempted(rows: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """`work` over the rows, a part of one id's rows at a time; what it raises becomes a row (key, _error) instead of the end
+    of the job. The other columns follow `schema`, which has the key too."""
+    kind = T._parse_datatype_string(schema)
+
+    def run(batches):
+        for d in batches:
+            for name, part in d.groupby(key, sort=False, dropna=False):
+                try:
+                    out = work(part).assign(_error=None)[[*kind.names, "_error"]]
+                except Exception as e:  # noqa: BLE001 - recorded with its id
+                    out = pd.DataFrame({c: [name if c == key else None] for c in kind.names} | {"_error": [f"{type(e).__name__}: {e}"]}, dtype=object)
+                yield out
+
+    return rows.mapInPandas(run, T.StructType([*kind.fields, T.StructField("_error", T.StringType())]))
+
+
+def stage_partitions(rows: DataFrame, ids: DataFrame, root: str, key: str = "bundle_id", work: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+                     schema: str | None = None) -> DataFrame:
     """Write one partition per id that is not staged yet; an id without rows gets an empty-stage marker. Returns the
-    markers. Running it again adds only what is missing."""
+    markers. Running it again adds what is missing and tries again what failed.
+
+    `work` makes an id's rows (of `schema`) from parts of them. An id for which it raises is marked failed, with the error, and
+    none of its rows is staged; the others go on.
+    """
     spark = rows.sparkSession
-    todo = ids.select(key).distinct().join(staged_ids(spark, root, key).select(key), key, "left_anti")
+    before = staged_ids(spark, root, key)
+    todo = ids.select(key).distinct().join(before.filter("status <> 'failed'").select(key), key, "left_anti")
     fresh = rows.join(todo, key, "left_semi")
+    attempt = spark.read.parquet(f"{root}/_marks").agg(F.max("attempt")).first()[0] + 1 if path_exists(spark, f"{root}/_marks") else 0
+    failed = spark.createDataFrame([], f"{key} string, error string")
+    if work is not None:
+        # the work is done once, whatever reads its rows
+        done = f"{root}/_work/{attempt}"
+        attempted(fresh, key, work, schema).write.mode("overwrite").parquet(done)
+        tried = spark.read.parquet(done)
+        failed = tried.filter("_error is not null").groupBy(key).agg(F.min("_error").alias("error"))
+        fresh = tried.filter("_error is null").drop("_error").join(failed, key, "left_anti")
     # many tasks may write one partition, so a hot id is not pulled into a single file
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{root}/data")
-    have = fresh.select(key).distinct()
-    status = F.when(F.col("_have").isNotNull(), "staged").otherwise("empty")
-    marks = todo.join(have.withColumn("_have", F.lit(True)), key, "left").select(key, status.alias("status"))
+    have = fresh.select(key).distinct().withColumn("_have", F.lit(True))
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("_have"), "staged").otherwise("empty")
+    marks = todo.join(have, key, "left").join(failed, key, "left").select(key, status.alias("status"), "error", F.lit(attempt).alias("attempt"))
     marks.write.mode("append").parquet(f"{root}/_marks")
     return staged_ids(spark, root, key)
 
