@@ -171,17 +171,17 @@ def fallback_type(quality: Column) -> Column:
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence) -> tuple[DataFrame, DataFrame]:
     """The row that holds its key first (ties: the smallest of the other columns), and the suppressed duplicates with a flag.
 
-    Equal rows are counted, the first row of a key is a minimum, and both are joined on the key, so no window has to number
-    a whole hot key.
+    The first row of a key is a minimum, reduced before the shuffle. Rows meet it once, by key; a row that is not it is a
+    duplicate as it stands, and of rows that equal it all but one are.
     """
     ranked = [*order, *[c for c in df.columns if c not in order]]
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    firsts = counted.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_head"))
-    marked = counted.join(firsts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_head"), _null_safe(counted, keys))
+    firsts = df.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_head"))
+    kept = firsts.select("_head.*").select(*df.columns)
+    marked = df.join(firsts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_head"), _null_safe(df, keys))
     marked = marked.withColumn("_is_first", F.struct(*ranked).eqNullSafe(F.col("_head")))
-    kept = marked.filter("_is_first").select(*df.columns)
-    more = F.col("_n") - F.when(F.col("_is_first"), 1).otherwise(0)
-    dropped = marked.filter(more > 0).select(*df.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), more)).alias("_i")).drop("_i")
+    copies = marked.filter("_is_first").groupBy(*df.columns).agg(F.count("*").alias("_n")).filter("_n > 1")
+    copies = copies.select(*df.columns, F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n"))).alias("_i")).drop("_i")
+    dropped = marked.filter("NOT _is_first").select(*df.columns).unionByName(copies)
     return kept, dropped.withColumn("issue", F.lit("duplicate_suppressed"))
 
 

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import short_values
 from ..functions.events import OPTIONAL_EVENTS
 from .keyed import first_per_key
 
 TARGET_PLACE = 16
+LISTED = 500
 EXCUSED = ["missing_optional_1000", "missing_data_ceiling", "missing_likely_not_contested"]
 
 
@@ -26,12 +26,15 @@ def expected_grid(groups: DataFrame, values: dict[str, Sequence[str]]) -> DataFr
 
 
 def expected_grid_of(groups: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Same with dimension columns that come from data: the values of each dimension are looked up first."""
+    """Same with dimension columns that come from data. The values lie in lists of about `LISTED`; every group meets every list
+    by its number, so a dimension may have any number of values."""
     d = groups
     for name, dim in dims.items():
-        kind = dict(dim.dtypes)[name]
-        items = F.array(*[F.lit(v) for v, in short_values(dim, [name]) if v is not None])
-        d = d.withColumn(name, F.explode(items.cast(f"array<{kind}>")))
+        values = dim.select(name).filter(F.col(name).isNotNull()).distinct()
+        lists = max(1, -(-values.count() // LISTED))
+        listed = values.groupBy(F.pmod(F.xxhash64(name), F.lit(lists)).alias("_list")).agg(F.collect_list(name).alias("_values"))
+        d = d.withColumn("_list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lists - 1).cast("bigint"))))
+        d = d.join(listed, "_list").withColumn(name, F.explode("_values")).drop("_list", "_values")
     return d
 
 

@@ -89,17 +89,15 @@ def _results_in_sections(d: DataFrame, boundary: Column, keys: list[str], long:
     island = F.when(boundary, F.struct(F.col("line_no").alias("at"), F.lit(None).cast("int").alias("waiting"))).when(
         ranked, F.struct(F.col("line_no").alias("at"), F.when(time.isNull(), full).alias("waiting")))
     d = carry_state(d.withColumns({"_island": island, "_full": F.when(ranked, full)}), ["_island"], keys, long)
-    # two readers below: materialise the state once
-    d = cut_lineage(d.withColumns({"_ranked": ranked, "_boundary": boundary}))
-    ranked, boundary = F.col("_ranked"), F.col("_boundary")
-    direct = d.filter(ranked & time.isNotNull()).select(
-        *keys, "page_no", "line_no", "_head", F.col("_full").alias("place"), time.alias("time"),
-        F.col("_r.suffix").alias("suffix"), F.col("_final").alias("final"))
-    late = d.filter(in_event & ~ranked & ~boundary & (F.col("kind") != "final") & F.col("_island.waiting").isNotNull())
-    late = late.withColumn("time", E.first_long_time("text")).filter(F.col("time").isNotNull())
-    late = first_per_key(late.withColumn("_at", F.col("_island.at")), [*keys, "_at"], ["line_no"])
-    late = late.select(*keys, "page_no", "line_no", "_head", F.col("_island.waiting").alias("place"), "time",
-                       time_suffix("text").alias("suffix"), F.col("_final").alias("final"))
+    waits = in_event & ~ranked & ~boundary & (F.col("kind") != "final") & F.col("_island.waiting").isNotNull()
+    d = d.withColumns({"_direct": ranked & time.isNotNull(), "_late": F.when(waits, E.first_long_time("text"))})
+    # two readers below: the lines that give a time are materialised once, without their texts
+    d = cut_lineage(d.filter(F.col("_direct") | F.col("_late").isNotNull()).select(
+        *keys, "page_no", "line_no", "_head", "_direct", F.when(F.col("_direct"), F.col("_full")).otherwise(F.col("_island.waiting")).alias("place"),
+        F.when(F.col("_direct"), time).otherwise(F.col("_late")).alias("time"), F.when(F.col("_direct"), F.col("_r.suffix")).otherwise(time_suffix("text")).alias("suffix"),
+        F.col("_final").alias("final"), F.col("_island.at").alias("_at")))
+    direct = d.filter("_direct").drop("_direct", "_at")
+    late = first_per_key(d.filter("NOT _direct"), [*keys, "_at"], ["line_no"]).drop("_direct", "_at")
     rows = direct.unionByName(late).withColumn("sec", parse_time_hms("time")).filter(F.col("sec").isNotNull())
     rows = rows.select(*keys, "page_no", "line_no", "_head.*", "place", "sec", "suffix", "final")
     return first_per_key(rows, [*keys, "header_line", "place"], ["line_no"])
@@ -187,9 +185,9 @@ def tail_then_full(lines: DataFrame, pages: DataFrame, tail: int = TAIL_PAGES) -
     in_tail = F.col("is_auxiliary") | (F.col("page_no") > F.col("pages") - tail)
     first = cut_lineage(extract_score_rows(lines.join(at, "source_file").filter(in_tail).select(*lines.columns)))
     found = first.groupBy("source_file").agg(F.min("gender").alias("_lo"), F.max("gender").alias("_hi"))
-    enough = found.filter(F.col("_lo") != F.col("_hi")).select("source_file")
-    open_files = cut_lineage(at.join(enough, "source_file", "left_anti"))
-    rest = lines.join(open_files, "source_file").filter(~in_tail).select(*lines.columns)
+    # a test that looks selective makes the join prune the scan
+    tested = cut_lineage(at.join(found, "source_file", "left").withColumn("_genders", F.when(F.col("_lo") != F.col("_hi"), 2).otherwise(1)))
+    rest = lines.join(tested.filter(F.col("_genders") < 2).drop("_lo", "_hi", "_genders"), "source_file").filter(~in_tail).select(*lines.columns)
     return first.unionByName(extract_score_rows(rest))
 
 

@@ -4,7 +4,8 @@
   shuffle, so a hot key moves at most k rows per input partition.
 * `with_group_stats`: partial aggregation plus a join back, instead of an unbounded window per key.
 * `carry_forward` / `running_total`: two-level windows over fixed-length chunks of the order column.
-* `exact_quantiles`: histogram refinement over distinct values, so no task sorts a whole group.
+* `exact_quantiles`: ranges of distinct values, so no task sorts a whole group.
+* `global_rank`: places in a whole order, or within long keys, from ranges and their sizes.
 """
 
 from __future__ import annotations
@@ -122,16 +123,17 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
 
 
 def order_statistics(
-    counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 4096, small: int = 2_000_000
+    counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Per key of a `value_counts` table: total `n` and, for each named probability, the two neighbouring order
     statistics and the fraction between them as `<name>_lo`, `<name>_hi`, `<name>_f`.
 
-    A short table is ranked with one window per key. A long one goes through an equal-width histogram per key, and only
-    the buckets that hold a wanted rank are ordered, so no task sorts a whole group. Both are exact.
+    Values are dealt out in ranges of (key, value) of like size, drawn from a sample, so a long key lies in many ranges and an
+    outlier in one of them like any other value. The ranges' counts give where each begins, and only ranges that hold a
+    wanted rank are counted through. Exact, and the same whatever the size.
     """
     keys = list(keys)
-    ranked = _ranked_values(counts, keys, value) if counts.count() <= small else _ranked_buckets(counts, keys, value, probs, buckets)
+    ranked = _ranked_ranges(counts, keys, value, probs)
     picks = []
     for c, r in _wanted_ranks(probs).items():
         here = (F.col("_hi_rank") - F.col("_n") <= r) & (r < F.col("_hi_rank"))
@@ -149,28 +151,22 @@ def _wanted_ranks(probs: dict[str, float]) -> dict[str, Column]:
     return out
 
 
-def _ranked_values(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(value)
-    return counts.withColumns({
-        "_hi_rank": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "n": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    })
-
-
-def _ranked_buckets(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int) -> DataFrame:
-    spans = counts.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_n").alias("n"))
-    scaled = F.try_divide(F.col(value) - F.col("_min"), F.col("_max") - F.col("_min")) * buckets
-    placed = counts.join(spans, keys).withColumn(
-        "_b", F.least(F.lit(buckets - 1), F.floor(F.coalesce(scaled, F.lit(0.0))).cast("int")))
-    hist = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"), F.first("n").alias("n"))
-    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_end", F.sum("_bn").over(run)).withColumn("_start", F.col("_end") - F.col("_bn"))
+def _ranked_ranges(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    # which range a value is in is fixed from here on
+    d = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+    sizes = d.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
+    # a key has at most as many rows here as there are ranges
+    w = Window.partitionBy(*keys)
+    sizes = sizes.withColumns({"_end": F.sum("_size").over(w.orderBy("_range")), "n": F.sum("_size").over(w)}).withColumn("_start", F.col("_end") - F.col("_size"))
     holds = F.lit(False)
     for r in _wanted_ranks(probs).values():
         holds = holds | ((F.col("_start") <= r) & (r < F.col("_end")))
-    wanted = hist.filter(holds).select(*keys, "_b", "_start")
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(wanted, [*keys, "_b"]).withColumn("_hi_rank", F.col("_start") + F.sum("_n").over(inside))
+    wanted = sizes.filter(holds).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), "_start", "n")
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(wanted, same).withColumn("_hi_rank", F.col("_start") + F.sum("_n").over(inside)).drop(*[f"_k_{k}" for k in keys], "_r")
 
 
 def interpolated(name: str, lo: Column | None = None, hi: Column | None = None) -> Column:

@@ -8,6 +8,7 @@ from ..functions.admission import admission_label
 from ..functions.numeric import round_to
 from ..functions.scoring import tier_label
 from ..functions.text import division_of
+from ..operators.coverage import expected_grid_of
 from ..operators.topscore import score_events, top_k_sum
 from ..session import short_values
 
@@ -46,10 +47,8 @@ def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools
 def score_one(times: DataFrame, anchors: DataFrame, school: DataFrame) -> DataFrame:
     """All events of every swimmer at the given school rows (conference, school, psf): scored ones with points, the
     others marked as not benchmarked."""
-    rows = short_values(school, ["conference", "school", "psf"])
-    schools = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("conference", "school", "psf"), r)]) for r in rows]).cast(
-        "array<struct<conference: string, school: string, psf: double>>")
-    at = times.filter(F.col("sec").isNotNull()).select(*times.columns, F.inline(schools))
+    rows = school.select(F.struct("conference", "school", "psf").alias("_s"))
+    at = expected_grid_of(times.filter(F.col("sec").isNotNull()), {"_s": rows}).select(*times.columns, "_s.*")
     marks = score_events(times, anchors.join(school.select("conference").distinct(), "conference", "left_semi"))
     d = at.join(marks.select("swimmer", "conference", "event", "place", "pts", "place_label"),
                 ["swimmer", "conference", "event"], "left")

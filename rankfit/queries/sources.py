@@ -110,7 +110,7 @@ def _(t):
     schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
     ST.stage_partitions(rows, half, root, work=raising("NATION_3", "NATION_7"), schema=schema)
     # the second run stages what is missing and tries again what failed, with the regions as bundles that have no rows
-    marks = ST.stage_partitions(rows, nations.unionByName(t.region.select(F.col("r_name").alias("bundle_id"))), root, work=raising("NATION_7"), schema=schema).drop("error")
+    marks = ST.stage_partitions(rows, nations.unionByName(t.region.select(F.col("r_name").alias("bundle_id"))), root, work=raising("NATION_7"), schema=schema)
     counts = ST.read_stages(t.spark, root).groupBy("bundle_id").agg(F.count("*").alias("n_rows"))
     return marks.join(counts, "bundle_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 

@@ -72,7 +72,7 @@ def stage_partitions(rows: DataFrame, ids: DataFrame, root: str, key: str = "bun
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("_have"), "staged").otherwise("empty")
     marks = todo.join(have, key, "left").join(failed, key, "left").select(key, status.alias("status"), "error", F.lit(attempt).alias("attempt"))
     marks.write.mode("append").parquet(f"{root}/_marks")
-    return staged_ids(spark, root, key)
+    return staged_ids(spark, root, key).select(key, "status")
 
 
 def read_stages(spark: SparkSession, root: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Cases of long groups, contended pools, odd ids and plans without cross joins."""
 
+import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankfit.functions import assets as AS, text as TX
-from rankfit.operators import anchors as A, assets as OA, extraction as X, ranking as R
+from rankfit.operators import anchors as A, assets as OA, extraction as X, matching as M, ranking as R
 from rankfit.operators.keyed import global_rank
 from rankfit.queries import all_queries
 from rankfit.session import short_values
@@ -186,6 +188,107 @@ def test_merged_lines_are_numbered_anew(spark):
     assert [r["line_no"] for r in got] == list(range(1501)) and got[-1]["text"] == "end"
 
 
+def test_failed_stages_are_recorded_and_tried_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", -1), ("c", 3)], "bundle_id string, v int").repartition(3)
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "bundle_id string")
+
+    def work(part):
+        if (part["v"] < 0).any():
+            raise ValueError("below zero")
+        return part.assign(v=part["v"] * 10)
+
+    args = dict(schema="bundle_id string, v int")
+    marks = ST.stage_partitions(rows, ids, f"{tmp_path}/s", work=work, **args)
+    assert sorted(map(tuple, marks.collect())) == [("a", "staged"), ("b", "failed"), ("c", "staged"), ("none", "empty")]
+    assert {tuple(r) for r in ST.staged_ids(spark, f"{tmp_path}/s").filter("error is not null").select("bundle_id", "error").collect()} == {("b", "ValueError: below zero")}
+    assert sorted((r["bundle_id"], r["v"]) for r in ST.read_stages(spark, f"{tmp_path}/s").collect()) == [("a", 10), ("c", 30)]
+    # only the failed one is tried again
+    marks = ST.stage_partitions(rows, ids, f"{tmp_path}/s", work=lambda part: part.assign(v=part["v"] + 1), **args)
+    assert sorted(map(tuple, marks.collect())) == [("a", "staged"), ("b", "staged"), ("c", "staged"), ("none", "empty")]
+    assert sorted((r["bundle_id"], r["v"]) for r in ST.read_stages(spark, f"{tmp_path}/s").collect()) == [("a", 10), ("b", 0), ("b", 3), ("c", 30)]
+
+
+def _score_lines(spark, path):
+    """Three files stored by file: both genders in the tail, one in the tail, none in the tail."""
+    rows = []
+    for name, men_page, women_page in (("both", 14, 15), ("one", 2, 15), ("none", 1, 2)):
+        at = 0
+        for page in range(1, 17):
+            texts = ["filler"] * 3
+            if page == men_page:
+                texts = ["Scores - Men", "1. Yale 200", "2. Brown 100"]
+            if page == women_page:
+                texts = ["Scores - Women", "1. MIT 150"]
+            for t in texts:
+                rows.append((name, page, at, t))
+                at += 1
+    spark.createDataFrame(rows, "source_file string, page_no int, line_no int, text string").write.partitionBy("source_file").parquet(path)
+    lines = spark.read.parquet(path).select("source_file", "page_no", "line_no", "text")
+    return lines, lines.groupBy("source_file").agg(F.max("page_no").alias("pages")).withColumn("is_auxiliary", F.lit(False))
+
+
+def test_tail_is_read_before_the_whole_file(spark, tmp_path, monkeypatch):
+    lines, pages = _score_lines(spark, f"{tmp_path}/lines")
+    read = []
+    whole = X.extract_score_rows
+    monkeypatch.setattr(X, "extract_score_rows", lambda d: read.append(d) or whole(d))
+    out = X.tail_then_full(lines, pages)
+    got = sorted((r["source_file"], r["gender"], r["team"]) for r in out.collect())
+    want = [("both", "men", "Brown"), ("both", "men", "Yale"), ("both", "women", "MIT")]
+    assert got == sorted(want + [(f, g, t) for f in ("one", "none") for _, g, t in want])
+    tails, rest = read
+    assert tails.groupBy("source_file").agg(F.min("page_no").alias("p")).select("p").distinct().collect()[0]["p"] == 7
+    assert {r["source_file"] for r in rest.select("source_file").distinct().collect()} == {"one", "none"} and rest.agg(F.max("page_no")).first()[0] == 6
+    # the second scan is pruned at run time to the folders of the files that need it
+    assert "dynamicpruning" in rest._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_standings_block_switches_and_ends(spark):
+    def rows(gender, *texts):
+        lines = spark.createDataFrame([("f", 1, i, t) for i, t in enumerate(texts)], "source_file string, page_no int, line_no int, text string")
+        return [r["team"] for r in X.wide_score_rows(lines, gender).orderBy("line_no").collect()]
+
+    text = ["1  Early   9", "Men's Team Scores", "Rank", "1  Yale   200", *["no entry"] * 11, "2  Brown   150", "Women Team Final", "1  Smith   90", *[""] * 12, "2  Late   80", "Team Scores", "1  Again   70"]
+    assert rows("men", *text) == ["Yale", "Brown", "Again"]
+    # for the other flag eleven misses and an entry of the first one end the block before its switch
+    assert rows("women", *text) == ["Again"]
+    assert rows("women", "Team Scores", "1  A College   10", *[""] * 12, "Women Standings", "2  B College   9") == ["A College", "B College"]
+    assert rows("men", "Team Scores", *["x"] * 12, "1  A College   10") == []
+
+
+def test_short_needles_read_one_row(spark):
+    names = spark.range(20_000).select(F.col("id").alias("pos"), F.concat(F.lit("name "), F.conv(F.col("id").cast("string"), 10, 36)).alias("n"))
+    needles = spark.createDataFrame([("e",), ("n",), ("7Z",), ("me 1",), ("zz9",), ("Q",)], "c string")
+    got = {r["c"]: r["n"] for r in M.first_containing(needles, "c", names, "n", "pos").collect()}
+    texts = ["name " + np.base_repr(i, 36) for i in range(20_000)]
+    assert got == {c: hit for (c,) in (("e",), ("n",), ("7Z",), ("me 1",), ("zz9",), ("Q",)) if (hit := next((t for t in texts if c in t), None))}
+
+
+def test_heavy_grams_are_dealt_out(spark, monkeypatch):
+    """A word that a third of all names hold: the same pairs, in parts of like size."""
+    rng = random.Random(4)
+    words = ["small", "ring", "blue", "bolt", "hot", "gear"]
+    names = sorted({" ".join(rng.choices(words, k=4)) + (" widget" if i % 3 == 0 else f" {i}") for i in range(900)})
+    queries = ["widget", "blue widget", "hot hot", "smal rin blue bolt widget", "ring gear"]
+    n, q = spark.createDataFrame([(x,) for x in names], "n string"), spark.createDataFrame([(x,) for x in queries], "q string")
+    monkeypatch.setattr(M.heavy_split, "__defaults__", (20, 10))
+    pairs = {tuple(r) for r in M.contained_pairs(q, "q", n, "n").collect()}
+    assert pairs == {(a, b) for a in queries for b in names if a in b}
+    got = sorted((r["q"], r["n"]) for r in M.fuzzy_pairs(q, "q", n, "n", hits=10**6).collect())
+    assert got == sorted((a, b) for a in queries for b in names if difflib.SequenceMatcher(None, b, a).ratio() >= M.FUZZY_CUTOFF)
+    posting = n.select("n", F.explode(M.grams(F.col("n"), 4)).alias("g"))
+    df = posting.groupBy("g").agg(F.count("*").alias("_df"))
+    probe = spark.createDataFrame([("widg",)], "g string")
+    sizes = [r["count"] for r in M.heavy_split(posting, probe, "g", "n", df).groupBy(F.pmod(F.hash("n"), F.lit(M.HEAVY_PARTS)).alias("p")).count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 4 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_values_of_many_groups_become_null(spark):
+    df = spark.createDataFrame([("a", "u", "v"), ("b", "u", None), ("c", "x", "u"), ("d", "y", "v"), ("d", None, "v")], "school string, hero string, pool string")
+    got = sorted((tuple(r) for r in OA.null_shared(df, ["hero", "pool"], "school").select("school", "hero", "hero_fallback", "pool", "pool_fallback").collect()), key=repr)
+    assert got == sorted([("a", None, True, "v", False), ("b", None, True, None, True), ("c", "x", False, None, True), ("d", "y", False, "v", False), ("d", None, True, "v", False)], key=repr)
+
+
 def test_prestige_limit_column(spark):
     rows = spark.createDataFrame([(1, f"s{i:02d}", "Possible", 50, float(i)) for i in range(40)], "q int, school string, label string, accept int, adj_pts double")
     assert R.prestige_sort(rows, "q", F.lit(30)).count() == 30

@@ -54,19 +54,48 @@ def test_smart_merge_folds_in_order(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("small", [10**9, 0])
-def test_exact_quantiles_with_a_hot_group(spark, small):
+def test_exact_quantiles_with_a_hot_group(spark):
     rng = np.random.default_rng(1)
-    data = {"hot": np.round(rng.lognormal(3, 1.5, 4000), 2), "tiny": np.array([1.0, 2.0]), "flat": np.full(50, 7.0)}
+    data = {"hot": np.round(rng.lognormal(3, 1.5, 4000), 2), "tiny": np.array([1.0, 2.0]), "flat": np.full(50, 7.0), "far": np.append(np.arange(3000.0), 1e300)}
     rows = [(k, float(v)) for k, vs in data.items() for v in vs]
     d = spark.createDataFrame(rows, "k string, v double")
     probs = {"a": 0.05, "m": 0.5, "z": 0.95}
-    stats = K.order_statistics(K.value_counts(d, ["k"], "v"), ["k"], "v", probs, buckets=64, small=small)
+    stats = K.order_statistics(K.value_counts(d, ["k"], "v"), ["k"], "v", probs)
     got = {r["k"]: [r[p] for p in probs] for r in stats.select("k", *[K.interpolated(p).alias(p) for p in probs]).collect()}
     for k, vs in data.items():
         assert got[k] == pytest.approx(np.quantile(vs, list(probs.values())).tolist())
 
 
+def test_quantiles_of_a_million_values(spark):
+    """One group of many values with an outlier: its ranges are of like size."""
+    n = 1_000_000
+    d = spark.range(n).select(F.lit("k").alias("k"), F.when(F.col("id") == n - 1, 1e300).otherwise(F.pmod(F.col("id") * 7919, F.lit(n)).cast("double")).alias("v"))
+    counts = K.value_counts(d, ["k"], "v")
+    got = K.order_statistics(counts, ["k"], "v", {"a": 0.25, "m": 0.5}).select(K.interpolated("a").alias("a"), K.interpolated("m").alias("m")).first()
+    values = np.append(np.array([(i * 7919) % n for i in range(n - 1)], float), 1e300)
+    assert tuple(got) == pytest.approx(np.quantile(values, [0.25, 0.5]).tolist())
+
+
+def test_first_wins_counts_copies(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(("a", "b", None)), rng.choice((1, 2, None)), rng.choice(("x", "y"))) for _ in range(200)]
+    kept, dropped = A.first_wins(spark.createDataFrame(rows, "k string, pos int, v string"), ["k"], ["pos"])
+    low = lambda r: tuple((x is not None, x) for x in (r[1], r[0], r[2]))
+    first = {k: min((r for r in rows if r[0] == k), key=low) for k in ("a", "b", None)}
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(first.values(), key=repr)
+    rest = list(rows)
+    for r in first.values():
+        rest.remove(r)
+    assert sorted((tuple(r)[:3] for r in dropped.collect()), key=repr) == sorted(rest, key=repr)
+
+
+def test_grid_of_many_values(spark):
+    groups = spark.createDataFrame([("a",), ("b",)], "g string")
+    dim = spark.range(3000).select((F.col("id") % 2500).cast("string").alias("v")).unionByName(spark.createDataFrame([(None,)], "v string"))
+    d = C.expected_grid_of(groups, {"v": dim})
+    assert d.count() == 5000 and d.distinct().count() == 5000
+
+
 def test_robust_profile_winsorizes_first(spark):
     rng = np.random.default_rng(2)
     sw = np.round(rng.normal(50, 3, 30), 2)
