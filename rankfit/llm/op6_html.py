@@ -34,6 +34,7 @@ from .common import arrow_batches, slices, texts
 from .ftrl import Penalties, train
 
 PAGES = 400
+CHARS = 8_000_000
 BUCKETS = 1 << 14
 PENALTIES = Penalties(alpha=0.3, l1=0.5, l2=0.05, epochs=2)
 
@@ -287,11 +288,17 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from arrow_batches(dict(zip(schema.names, zip(*rows))), schema)
 
 
-def fit(pages: DataFrame, limit: int = PAGES) -> Model:
+def fit(pages: DataFrame, limit: int = PAGES, chars: int = CHARS) -> Model:
+    """Model from at most `limit` pages of at most `chars` characters together: what the driver gets is a row per node of these."""
     source = F.col("html").cast("string")
     key = F.xxhash64("page_id", source)
-    named = pages.filter(source.rlike(r"(?i)<(article|main)[\s>]")).select(key.alias("key")).distinct()
-    chosen = named.orderBy("key").limit(limit)
+    named = pages.filter(source.rlike(r"(?i)<(article|main)[\s>]")).select(key.alias("key"), F.length(source).alias("n")).distinct()
+    keys, held = [], 0
+    for r in named.orderBy("key", "n").limit(limit).collect():
+        if held + r["n"] <= chars:
+            keys.append((r["key"],))
+            held += r["n"]
+    chosen = pages.sparkSession.createDataFrame(keys, "key bigint")
     rows = pages.select(key.alias("key"), source.alias("html")).join(F.broadcast(chosen), "key").dropDuplicates(["key"])
     got = rows.mapInArrow(_labelled, "key bigint, node int, features array<int>, label int, above int, is_text int").toPandas()
     if not got["label"].any():
