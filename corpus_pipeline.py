@@ -6,6 +6,16 @@ and read again as the next one's docs. All but the last return the columns of do
 Language identification drops rows whose language it can't tell. Line deduplication cuts repeated runs out of the texts
 (and brings n_chars up to date where there is such a column), but keeps every row. SimHash keeps one document of each group.
 Decontamination drops documents that overlap a benchmark item. Packing returns the pieces of the sequences.
+
+The order of the stages is given, so a run of lines that was cut from later documents goes with its first holder where a
+later stage drops that one, as a near copy of another document or for its overlap with a benchmark item.
+
+Null, empty and letterless texts have no language and go in the first stage, whatever else they hold. A text that line
+deduplication empties stays as an empty text; SimHash then keeps one of all empty ones. Long texts are read whole by every
+stage. Repeated rows count as one document for lines and become one with SimHash; equal ids with other texts are documents
+of their own up to the last stage; rows without an id come last in every order. Ties go to the smaller id, then to the
+smaller hash of the text. Further columns, whatever their names, pass through all stages but the last. An empty table gives an
+empty table at every stage, and an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
