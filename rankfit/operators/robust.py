@@ -34,6 +34,7 @@ EVENT_BOUNDS = [
 HARD_REASONS = ["anchor_order_broken", "sw_absurdly_fast", "sw_absurdly_slow", "deep_absurdly_slow",
                 "deep_extreme_outlier"]
 CROSS_RATIO = 4.0
+MOST_PROFILES = 10_000
 
 
 def robust_profile(rows: DataFrame, sw: str = "sw", deep: str = "deep", min_n: int = MIN_SAMPLES) -> DataFrame:
@@ -104,11 +105,13 @@ def family_bounds(event: Column) -> Column:
 def nearest_other(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     """Add `best_event` and `best_dist`: the closest profile of the same gender and another event (ties by name).
 
-    Profiles are one short array per gender, so rows are neither exploded nor shuffled.
+    Profiles are one short array per gender, so rows are neither exploded nor shuffled; a gender with more than
+    `MOST_PROFILES` of them is an error.
     """
     fields = ["event", *[f"{m}_{s}" for m in METRICS for s in ("median", "mad")]]
     lists = profiles.groupBy(F.col("gender").alias("_g")).agg(
         F.collect_list(F.struct(*fields)).alias("_profiles"))
+    lists = lists.withColumn("_profiles", F.when(F.size("_profiles") > MOST_PROFILES, F.raise_error(F.lit("too many profiles of a gender"))).otherwise(F.col("_profiles")))
     joined = rows.join(lists, rows["gender_norm"] == F.col("_g"), "left").drop("_g")
     values = {m: F.col(m) for m in METRICS}
     scored = F.transform(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -102,15 +102,31 @@ def bracket_lookup(times: DataFrame, standards_long: DataFrame) -> DataFrame:
     return d.groupBy(*times.columns).agg(F.max("a_score").alias("a_score"))
 
 
-def variant_compare(prod: DataFrame, exp: DataFrame, prod_events: DataFrame, exp_events: DataFrame,
-                    keys: Sequence[str] = ("swimmer", "school"), event_keys: Sequence[str] = ("swimmer", "conference")) -> DataFrame:
+def score_variants(times: DataFrame, anchors: DataFrame, variants: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """As `score_events`, for several variants (place, confidence) over one join: `place_<variant>` and `pts_<variant>`, null
+    where a variant has no place."""
+    d = times.join(anchors, "event").select("swimmer", "conference", "event", *[place.alias(f"_at_{v}") for v, (place, _) in variants.items()])
+    cols = []
+    for v, (_, confidence) in variants.items():
+        at = F.col(f"_at_{v}")
+        cols += [round_to(at, 2).alias(f"place_{v}"), round_to(exp_points(at) * confidence(at), 2).alias(f"pts_{v}")]
+    return d.filter(F.coalesce(*[F.col(f"_at_{v}") for v in variants]).isNotNull()).select("swimmer", "conference", "event", *cols)
+
+
+def variant_scores(scored: DataFrame, variant: str) -> DataFrame:
+    """The events of one variant, as `top_k_sum` takes them."""
+    return scored.filter(F.col(f"place_{variant}").isNotNull()).select("swimmer", "conference", "event", F.col(f"pts_{variant}").alias("pts"))
+
+
+def variant_compare(prod: DataFrame, exp: DataFrame, shifts: DataFrame, keys: Sequence[str] = ("swimmer", "school"),
+                    event_keys: Sequence[str] = ("swimmer", "conference")) -> DataFrame:
     """Deltas between two scoring variants per key, tier change, and the notable event shifts as text."""
     keys, ek = list(keys), list(event_keys)
     p = prod.select(*keys, "conference", F.col("raw_pts").alias("prod_raw"), F.col("adj_pts").alias("prod_adj"),
                     F.col("adj_tier").alias("prod_tier"))
     e = exp.select(*keys, F.col("raw_pts").alias("exp_raw"), F.col("adj_pts").alias("exp_adj"),
                    F.col("adj_tier").alias("exp_tier"))
-    shifts = event_shifts(prod_events, exp_events, ek).groupBy(*ek).agg(
+    shifts = shifts.groupBy(*ek).agg(
         F.array_join(F.array_sort(F.collect_list("shift")), "; ").alias("place_shifts"))
     d = p.join(e, keys).join(shifts, ek, "left")
     change = F.when(F.col("prod_tier") == F.col("exp_tier"), "same").otherwise(
@@ -122,11 +138,9 @@ def variant_compare(prod: DataFrame, exp: DataFrame, prod_events: DataFrame, exp
     })
 
 
-def event_shifts(prod_events: DataFrame, exp_events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Events whose place or points differ by at least half a unit between the variants, as text."""
-    keys = list(keys)
-    a = prod_events.select(*keys, "event", F.col("place").alias("p1"), F.col("pts").alias("s1"))
-    b = exp_events.select(*keys, "event", F.col("place").alias("p2"), F.col("pts").alias("s2"))
-    d = a.join(b, [*keys, "event"]).withColumns({"dp": F.col("p2") - F.col("p1"), "ds": F.col("s2") - F.col("s1")})
+def event_shifts(scored: DataFrame, first: str, second: str) -> DataFrame:
+    """Events whose place or points differ by at least half a unit between two variants of `score_variants`, as text."""
+    d = scored.withColumns({"p1": F.col(f"place_{first}"), "s1": F.col(f"pts_{first}"), "p2": F.col(f"place_{second}"), "s2": F.col(f"pts_{second}")})
+    d = d.withColumns({"dp": F.col("p2") - F.col("p1"), "ds": F.col("s2") - F.col("s1")})
     text = F.format_string("%s: %.1f/%.1f → %.1f/%.1f", "event", "p1", "s1", "p2", "s2")
     return d.filter((F.abs("dp") >= 0.5) | (F.abs("ds") >= 0.5)).withColumn("shift", text)

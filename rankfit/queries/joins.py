@@ -296,10 +296,11 @@ SELECT j.swimmer, j.school, {rnd('er - pr', 2)} AS delta_raw, {rnd('ea - pa', 2)
 def _(t):
     anchors = mens_anchors(t)
     exp_anchors = anchors.withColumns({"fifth": SC.derived_fifth("first", "eighth"), "fourteenth": SC.derived_fourteenth("eighth", "sixteenth")})
-    prod = S.score_events(t.times, anchors)
-    exp = S.score_events(t.times, exp_anchors, SC.estimate_place_5_14("sec", "first", "fifth", "fourteenth"), SC.confidence_5_14)
-    a, b = (S.spread_to_teams(S.top_k_sum(x), t.schools) for x in (prod, exp))
-    d = S.variant_compare(a, b, prod, exp)
+    scored = S.score_variants(t.times, exp_anchors, {
+        "prod": (SC.estimate_place("sec", "first", "eighth", "sixteenth", "sec_per_place"), SC.confidence_weight),
+        "exp": (SC.estimate_place_5_14("sec", "first", "fifth", "fourteenth"), SC.confidence_5_14)})
+    a, b = (S.spread_to_teams(S.top_k_sum(S.variant_scores(scored, v)), t.schools) for v in ("prod", "exp"))
+    d = S.variant_compare(a, b, S.event_shifts(scored, "prod", "exp"))
     n = F.when(F.col("place_shifts") == "", 0).otherwise(F.size(F.split("place_shifts", "; ")))
     return d.select("swimmer", "school", "delta_raw", "delta_adj", "tier_change", n.cast("bigint").alias("shifts"))
 

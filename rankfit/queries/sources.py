@@ -137,6 +137,23 @@ def _(t):
     return t.file_text.select("k", TB.file_metadata("file_name").alias("m")).select("k", "m.*")
 
 
+# documents as files: one line per supplier, in folders by region; suppliers of one name share a file
+role("file_docs", """
+SELECT s_suppkey AS k, 'region_' || CAST(s_nationkey % 5 AS STRING) AS folder, s_name AS line, CASE s_suppkey % 9 WHEN 0 THEN 'NESCAC' WHEN 1 THEN 'liberty_league' WHEN 2 THEN 'Big-12' WHEN 3 THEN 'IvyLeague' WHEN 4 THEN 'unknown' WHEN 5 THEN 'acc' ELSE 'uaa' END
+  || CASE (s_suppkey * 3) % 4 WHEN 0 THEN '_Women' WHEN 1 THEN '_mens' WHEN 2 THEN '_combined' ELSE '' END || CASE (s_suppkey * 5) % 7 WHEN 0 THEN '_Day_3' WHEN 1 THEN '_d2' WHEN 2 THEN '_saturday' ELSE '' END
+  || CASE (s_suppkey * 7) % 5 WHEN 0 THEN '_prelims' WHEN 1 THEN '_finals' WHEN 2 THEN '_results' ELSE '' END || CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE '_20' || CAST(10 + s_suppkey % 4 AS STRING) END || '.pdf' AS file_name
+FROM {supplier}
+""")
+
+
+@query("scan_files", f"""WITH {META_SQL.replace('{file_text}', '{file_docs}')} SELECT file_name, n_bytes, any_value(year) AS year, any_value(gender) AS gender, any_value(is_prelim) AS is_prelim, any_value(is_final) AS is_final, any_value(day) AS day, any_value(conference_hint) AS conference_hint
+FROM meta JOIN (SELECT file_name, CAST(sum(length(line) + 1) AS BIGINT) AS n_bytes FROM {{file_docs}} GROUP BY 1) b USING (file_name) GROUP BY 1, 2""")
+def _(t):
+    root = scratch_path(t.spark, "files")
+    t.file_docs.select("folder", "file_name", "line").repartition("folder").write.partitionBy("folder", "file_name").text(root)
+    return TB.scan_files(t.spark, root).drop("modified")
+
+
 def _bundle_sql() -> str:
     from .scalars import _category_sql
 

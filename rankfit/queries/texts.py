@@ -56,9 +56,16 @@ UNION ALL SELECT bundle_id, gender, event, 'b', place, CAST(100 + {_CS} AS DOUBL
 """)
 
 
-@query("classify_line", """SELECT source_file, line_no, CASE kind WHEN 'header' THEN 'event' WHEN 'label' THEN 'final' WHEN 'result' THEN 'result' ELSE 'other' END AS kind FROM {result_lines}""")
+# titles of sections before the lines of every file
+role("titled_lines", """
+SELECT source_file, line_no, kind, text FROM {result_lines} UNION ALL SELECT source_file, -2, 'section_men', 'Men''s Results' FROM {result_files} UNION ALL SELECT source_file, -1, 'section_women', 'Women''s Results' FROM {result_files}
+""")
+role("result_files", "SELECT DISTINCT source_file FROM {result_lines}")
+
+
+@query("classify_line", """SELECT source_file, line_no, CASE kind WHEN 'header' THEN 'event' WHEN 'label' THEN 'final' WHEN 'late' THEN 'other' ELSE kind END AS kind FROM {titled_lines}""")
 def _(t):
-    return t.result_lines.select("source_file", "line_no", EV.classify_line("text").alias("kind"))
+    return t.titled_lines.select("source_file", "line_no", EV.classify_line("text").alias("kind"))
 
 
 @query("parse_result_line", f"""SELECT source_file, line_no, CASE WHEN kind = 'result' THEN CAST({_SHOWN} AS INTEGER) END AS place, CASE WHEN kind = 'result' AND place % 5 <> 3 THEN {_TIME.replace('STRING', 'VARCHAR')} END AS time, CASE WHEN kind = 'result' AND place % 5 <> 3 AND place % 4 = 1 THEN 'q' ELSE '' END AS suffix FROM {{result_lines}} WHERE kind <> 'header'""")

@@ -133,6 +133,20 @@ def file_metadata(name) -> Column:
         F.get(days, F.lit(0)).alias("day"), F.array_join(hint, "_").alias("conference_hint"))
 
 
+def scan_files(spark: SparkSession, root: str) -> DataFrame:
+    """One row per document under a folder, at any depth: (file_name, n_bytes, modified) from the metadata of the files
+    themselves, and what the name tells. Contents are not read. A document that was written as a folder of part files goes by
+    the folder's name."""
+    m = F.col("_metadata")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
+        m["file_path"].alias("path"), m["file_name"].alias("name"), m["file_size"].alias("size"), m["file_modification_time"].alias("at"))
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_replace(F.substring_index(F.substring_index("path", "/", -2), "/", 1), "^[A-Za-z_]+=", "")
+    d = files.select(F.when(F.startswith("name", F.lit("part-")), plain(folder)).otherwise(plain(F.col("name"))).alias("file_name"), "size", "at")
+    d = d.groupBy("file_name").agg(F.sum("size").alias("n_bytes"), F.max("at").alias("modified"))
+    return d.withColumn("_m", file_metadata("file_name")).select("file_name", "n_bytes", "modified", "_m.*")
+
+
 def bundle_key(files: DataFrame, name: str = "file_name") -> DataFrame:
     """Files with their metadata, conference and bundle id (conference slug and year)."""
     d = files.withColumn("_m", file_metadata(name))
