@@ -20,7 +20,7 @@ from .keyed import first_per_key, top_k_per_key, with_group_stats
 GRAM = 4
 FUZZY_CUTOFF, FUZZY_HITS = 0.80, 6
 MIN_CONFIDENCE = 0.55
-HEAVY_SHARE, HEAVY_LEAST, HEAVY_PARTS = 200, 4096, 64
+HEAVY_ROWS, HEAVY_PARTS = 4096, 4096
 
 
 def canonicalize(rows: DataFrame, aliases: DataFrame, name: str = "school") -> DataFrame:
@@ -115,18 +115,17 @@ def longest(df: DataFrame, text: str) -> Column:
     return df.agg(F.max(F.length(text))).scalar()
 
 
-def heavy_split(posting: DataFrame, probe: DataFrame, key: str, row: str, df: DataFrame, share: int = HEAVY_SHARE, least: int = HEAVY_LEAST) -> DataFrame:
+def heavy_split(posting: DataFrame, probe: DataFrame, key: str, row: str, df: DataFrame, least: int = HEAVY_ROWS) -> DataFrame:
     """The join of `probe` with `posting` on `key`, where the postings of heavy keys are dealt out by a second key.
 
-    Heavy is a key (its row count is `_df` in `df`) that more than one in `share` of all rows has, and more than `least` rows:
-    there are at most `share` times as many of them as a row has keys. Such a posting lies in `HEAVY_PARTS` parts by the hash
-    of the row, and whatever looks it up is copied to each of them.
+    A key with more than `least` rows (`_df` in `df`) lies in parts of about that many, by the hash of the row, and what looks
+    it up is copied to each of them; from `HEAVY_PARTS` parts on the parts grow instead.
     """
-    rows = posting.select(row).distinct().agg(F.count("*")).scalar()
-    heavy = df.filter(F.col("_df") > F.greatest(F.lit(least), rows / share)).select(key, F.lit(True).alias("_heavy"))
-    parts = F.sequence(F.lit(0), F.lit(HEAVY_PARTS - 1))
-    left = probe.join(heavy, key, "left").withColumn("_part", F.explode(F.when(F.col("_heavy"), parts).otherwise(F.array(F.lit(0))))).drop("_heavy")
-    right = posting.join(heavy, key, "left").withColumn("_part", F.when(F.col("_heavy"), F.pmod(F.hash(row), F.lit(HEAVY_PARTS))).otherwise(0)).drop("_heavy")
+    parts = F.least(F.lit(HEAVY_PARTS), F.ceil(F.col("_df") / least)).cast("int")
+    heavy = df.filter(F.col("_df") > least).select(key, parts.alias("_parts"))
+    of = F.coalesce("_parts", F.lit(1))
+    left = probe.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), of - 1))).drop("_parts")
+    right = posting.join(heavy, key, "left").withColumn("_part", F.pmod(F.hash(row), of)).drop("_parts")
     return left.join(right, [key, "_part"]).drop("_part")
 
 

@@ -271,7 +271,7 @@ def test_heavy_grams_are_dealt_out(spark, monkeypatch):
     names = sorted({" ".join(rng.choices(words, k=4)) + (" widget" if i % 3 == 0 else f" {i}") for i in range(900)})
     queries = ["widget", "blue widget", "hot hot", "smal rin blue bolt widget", "ring gear"]
     n, q = spark.createDataFrame([(x,) for x in names], "n string"), spark.createDataFrame([(x,) for x in queries], "q string")
-    monkeypatch.setattr(M.heavy_split, "__defaults__", (20, 10))
+    monkeypatch.setattr(M.heavy_split, "__defaults__", (10,))
     pairs = {tuple(r) for r in M.contained_pairs(q, "q", n, "n").collect()}
     assert pairs == {(a, b) for a in queries for b in names if a in b}
     got = sorted((r["q"], r["n"]) for r in M.fuzzy_pairs(q, "q", n, "n", hits=10**6).collect())
@@ -279,7 +279,8 @@ def test_heavy_grams_are_dealt_out(spark, monkeypatch):
     posting = n.select("n", F.explode(M.grams(F.col("n"), 4)).alias("g"))
     df = posting.groupBy("g").agg(F.count("*").alias("_df"))
     probe = spark.createDataFrame([("widg",)], "g string")
-    sizes = [r["count"] for r in M.heavy_split(posting, probe, "g", "n", df).groupBy(F.pmod(F.hash("n"), F.lit(M.HEAVY_PARTS)).alias("p")).count().collect()]
+    parts = -(-df.filter("g = 'widg'").first()["_df"] // 10)
+    sizes = [r["count"] for r in M.heavy_split(posting, probe, "g", "n", df).groupBy(F.pmod(F.hash("n"), F.lit(parts)).alias("p")).count().collect()]
     assert len(sizes) > 1 and max(sizes) <= 4 * sorted(sizes)[len(sizes) // 2]
 
 
