@@ -21,6 +21,7 @@ GRAM = 4
 FUZZY_CUTOFF, FUZZY_HITS = 0.80, 6
 MIN_CONFIDENCE = 0.55
 HEAVY_ROWS, HEAVY_PARTS = 4096, 4096
+SMALL_POSTINGS = 1 << 21
 
 
 def canonicalize(rows: DataFrame, aliases: DataFrame, name: str = "school") -> DataFrame:
@@ -189,33 +190,36 @@ def jaccard_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: s
                   threshold: float = 0.5) -> DataFrame:
     """Pairs of token sets with Jaccard similarity of at least the threshold.
 
-    Prefix filter: with tokens ordered from rare to frequent, two sets that reach the threshold share a token in
-    their first |set| - ceil(threshold * |set|) + 1 tokens. Frequent tokens sort last and are rarely looked up.
-    Sets are compared once per distinct set.
+    Prefix filter: the tokens of a left set are ordered from rare to frequent (in the right sets). Where a pair's first common
+    token lies too late for the sets' sizes, the pair can't reach the threshold; the others are verified at that token, once,
+    where the right row lies. So neither candidates nor token lists are shuffled while the left sets' postings are small
+    enough to be broadcast (`SMALL_POSTINGS` tokens in all); larger ones are joined by token.
     """
-
-    def sets(df: DataFrame, key: str, tag: str) -> tuple[DataFrame, DataFrame]:
-        d = df.select(key, F.array_sort(token_col).alias("_set")).filter(F.size("_set") > 0)
-        return d.withColumnRenamed("_set", f"_set{tag}"), d.select("_set").distinct()
-
-    lmap, ls = sets(left, left_key, "l")
-    rmap, rs = sets(right, right_key, "r")
-    df = rs.select(F.explode("_set").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
-
-    def prefixes(d: DataFrame, tag: str) -> DataFrame:
-        size = F.size("_set")
-        known = d.select("_set", F.explode("_set").alias("_t")).join(df, "_t", "left")
-        ranked = known.groupBy("_set").agg(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), F.col("_t").alias("t")))).alias("_o"))
-        keep = size - F.ceil(size * F.lit(threshold)) + 1
-        heads = F.transform(F.slice("_o", F.lit(1), keep.cast("int")), lambda s: s["t"])
-        return ranked.select(F.col("_set").alias(f"_set{tag}"), F.explode(heads).alias("_t"))
-
-    cand = prefixes(ls, "l").join(prefixes(rs, "r"), "_t").select("_setl", "_setr").distinct()
-    inter = F.size(F.array_intersect("_setl", "_setr"))
-    score = inter / (F.size("_setl") + F.size("_setr") - inter)
-    good = cand.withColumn("jaccard", score).filter(F.col("jaccard") >= threshold)
-    return good.join(lmap, "_setl").join(rmap, "_setr").select(left_key, right_key, "jaccard")
+    filled = F.size(token_col) > 0
+    lmap = left.filter(filled).select(left_key, F.array_sort(token_col).alias("_setl"))
+    ls = lmap.select("_setl").distinct()
+    rs = right.filter(filled).select(right_key, F.col(token_col).alias("_setr"))
+    tokens_of = rs.select(right_key, "_setr", F.explode("_setr").alias("_t"))
+
+    size = F.size("_setl")
+    volume = ls.agg(F.sum(size.cast("bigint") * size)).first()[0] or 0
+    near = F.broadcast if volume <= SMALL_POSTINGS else lambda d: d
+    single = ls.select("_setl", F.explode("_setl").alias("_t"))
+    df = tokens_of.select("_t").join(near(single.select("_t").distinct()), "_t", "left_semi").groupBy("_t").agg(F.count("*").alias("_df"))
+    ranked = single.join(df, "_t", "left").groupBy("_setl").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), F.col("_t").alias("t")))).alias("_o"))
+    ranked = ranked.select("_setl", F.transform("_o", lambda s: s["t"]).alias("_l"))
+    # from the first common token on, so many tokens of the left set can be shared
+    posting = ranked.select("_setl", "_l", F.posexplode("_l").alias("_at", "_t")).withColumn("_left", size - F.col("_at")).drop("_at")
+    posting = posting.filter(F.col("_left") >= size * threshold - 1e-9)
+
+    # inter / (a + b - inter) >= t where inter (1 + t) >= t (a + b)
+    both = size + F.size("_setr")
+    cand = tokens_of.join(near(posting), "_t").filter(F.least("_left", F.size("_setr")) * (1 + threshold) >= both * threshold - 1e-9)
+    inter = F.size(F.array_intersect("_l", "_setr"))
+    good = cand.withColumn("jaccard", inter / (both - inter)).filter(F.col("jaccard") >= threshold)
+    good = good.filter(F.get(F.array_intersect("_l", "_setr"), F.lit(0)) == F.col("_t")).select("_setl", right_key, "jaccard")
+    return good.join(near(lmap), "_setl").select(left_key, right_key, "jaccard")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1,9 +1,12 @@
 """Faults that only larger tables showed."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from rankfit.functions import text as TX
-from rankfit.operators import extraction as X
+from rankfit.operators import extraction as X, matching as M
 
 
 def test_ranks_of_more_than_three_digits(spark, one):
@@ -13,3 +16,21 @@ def test_ranks_of_more_than_three_digits(spark, one):
     lines = spark.createDataFrame([("f", 1, i, t) for i, t in enumerate(texts)], "source_file string, page_no int, line_no int, text string")
     rows = X.wide_score_rows(lines).agg(F.count("*").alias("n"), F.max("score").alias("top")).first()
     assert (rows["n"], rows["top"]) == (50, 1039.0)
+
+
+def test_similar_sets_are_verified_where_they_lie(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    some = lambda n: [(i, sorted(set(rng.choices(words, k=rng.randint(0, 12))))) for i in range(n)]
+    a, b = some(60), some(300)
+    left, right = (spark.createDataFrame(d, f"{k} int, toks array<string>") for d, k in ((a, "l"), (b, "r")))
+    for threshold in (0.3, 0.5, 1.0):
+        want = {(i, j): len(set(x) & set(y)) / len(set(x) | set(y)) for i, x in a for j, y in b if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= threshold}
+        for small in (1 << 21, 0):
+            monkeypatch.setattr(M, "SMALL_POSTINGS", small)
+            got = M.jaccard_pairs(left, "l", right, "r", threshold=threshold)
+            assert [tuple(x) for x in sorted(got.collect())] == [(*k, v) for k, v in sorted(want.items())]
+            if small:
+                # neither rows of the right nor candidates are dealt out by their token lists
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert not re.search(r"hashpartitioning\(_setr", plan)
