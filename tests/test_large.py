@@ -5,8 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from rankfit.functions import text as TX
-from rankfit.operators import extraction as X, matching as M
+from rankfit.functions import scoring as SC, text as TX
+from rankfit.operators import assets as OA, extraction as X, matching as M, topscore as S
 
 
 def test_ranks_of_more_than_three_digits(spark, one):
@@ -34,3 +34,60 @@ def test_similar_sets_are_verified_where_they_lie(spark, monkeypatch):
                 # neither rows of the right nor candidates are dealt out by their token lists
                 plan = got._jdf.queryExecution().executedPlan().toString()
                 assert not re.search(r"hashpartitioning\(_setr", plan)
+
+
+def _times(spark):
+    rng = random.Random(3)
+    times = spark.createDataFrame([(s, f"e{e}", 20.0 + rng.random() * 30) for s in range(30) for e in range(7)], "swimmer int, event string, sec double")
+    anchors = spark.createDataFrame([(c, f"e{e}", 22.0 + i, 26.0 + i, 31.0 + i, 0.6) for i, c in enumerate("AB") for e in range(7)], "conference string, event string, first double, eighth double, sixteenth double, sec_per_place double")
+    return times, anchors
+
+
+def test_scores_are_dealt_out_once(spark):
+    times, anchors = _times(spark)
+    for sums in (S.top_k_sum, lambda d: S.weighted_top_k_sum(d, [1.0, 0.5])):
+        d = sums(S.score_events(S.dealt(times), anchors))
+        assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(map(tuple, d.collect())) == sorted(map(tuple, sums(S.score_events(times, anchors)).collect()))
+
+
+def test_variants_meet_before_the_teams(spark):
+    times, anchors = _times(spark)
+    anchors = anchors.withColumns({"fifth": F.col("first") + 2, "fourteenth": F.col("eighth") + 3})
+    teams = spark.createDataFrame([("A", "x", 1.1), ("A", "y", 0.8), ("B", "z", 1.0)], "conference string, school string, psf double")
+    scored = S.score_variants(times, anchors, {"prod": (SC.estimate_place("sec", "first", "eighth", "sixteenth", "sec_per_place"), SC.confidence_weight), "exp": (SC.estimate_place_5_14("sec", "first", "fifth", "fourteenth"), SC.confidence_5_14)})
+    a, b = (S.top_k_sum(S.variant_scores(scored, v)) for v in ("prod", "exp"))
+    shifts = S.event_shifts(scored, "prod", "exp")
+    cols = ["swimmer", "school", "delta_raw", "delta_adj", "tier_change", "place_shifts", "n_shifts"]
+    rows = lambda d: sorted(map(tuple, d.select(*cols).collect()))
+    got = rows(S.compare_sums(a, b, shifts, teams))
+    assert got and got == rows(S.variant_compare(S.spread_to_teams(a, teams), S.spread_to_teams(b, teams), shifts))
+    assert all(n == len([x for x in text.split("; ") if x]) for *_, text, n in got) and any(x[-1] for x in got)
+
+
+def test_missing_values_are_not_one_key(spark):
+    rows = spark.range(400).select(F.col("id").alias("school"), F.when(F.col("id") % 4 == 0, F.lit("shared")).when(F.col("id") % 4 == 1, F.col("id").cast("string")).alias("hero"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = OA.null_shared(rows, ["hero"], "school")
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["school"], r["hero"], r["hero_fallback"]) for r in d.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(hero#", plan)
+    assert [(i, h, f) for i, h, f in got] == [(i, str(i) if i % 4 == 1 else None, i % 4 != 1) for i in range(400)]
+
+
+def test_categories_search_what_holds_the_key(spark):
+    rng = random.Random(5)
+    pairs = [*TX.CONFERENCE_MAP, *TX.CONFERENCE_BUILTIN]
+    texts = ["".join(rng.choice([rng.choice(pairs)[0], "_", "-", " ", "\t", "2024", "x", "."]) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+
+    def first(text):
+        low = text.lower()
+        bare = re.sub(r"[_\-\s]", "", low)
+        return next((label for key, label in pairs if any(re.search(rf"(?<![a-z0-9]){key}(?![a-z0-9])", x) for x in (low, bare))), "Unknown")
+
+    d = spark.createDataFrame([(x,) for x in texts], "x string").select("x", TX.first_match_category("x", pairs).alias("y"))
+    assert "regexp_replace" not in d._jdf.queryExecution().analyzed().toString()
+    assert [(r["x"], r["y"]) for r in d.collect()] == [(x, first(x)) for x in texts]
