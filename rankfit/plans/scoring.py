@@ -9,7 +9,7 @@ from ..functions.numeric import round_to
 from ..functions.scoring import tier_label
 from ..functions.text import division_of
 from ..operators.coverage import expected_grid_of
-from ..operators.topscore import score_events, top_k_sum
+from ..operators.topscore import dealt, score_events, top_k_sum
 from ..session import short_values
 
 
@@ -23,7 +23,7 @@ def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools
     come in. The grid is built by expanding each swimmer over the short list of conferences and joining schools on
     the conference; no table is crossed with another.
     """
-    sums = top_k_sum(score_events(times, anchors)).select("swimmer", "conference", "raw_pts", "top_events", "has_depth")
+    sums = top_k_sum(score_events(dealt(times), anchors)).select("swimmer", "conference", "raw_pts", "top_events", "has_depth")
     confs = [c for c, in short_values(schools, ["conference"]) if c is not None]
     grid = swimmers.withColumn("conference", F.explode(F.array(*[F.lit(c) for c in confs]).cast("array<string>")))
     d = grid.join(sums, ["swimmer", "conference"], "left").join(schools, "conference")
