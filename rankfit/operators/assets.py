@@ -11,6 +11,7 @@ from ..session import cut_lineage, scratch_path
 from .keyed import first_per_key, global_rank, top_k_per_key, with_group_stats
 
 CATEGORIES = ["campus", "pool", "student_life"]
+STAND_INS = 4096
 
 
 def trim_per_category(rows: DataFrame, entity: str = "school", category: str = "category", url: str = "url",
@@ -59,12 +60,15 @@ def cross_group_frequency(rows: DataFrame, value: str, group: str, most: int = 4
 
 def null_shared(rows: DataFrame, values: Sequence[str], group: str, others: int = 2) -> DataFrame:
     """All rows; a value that `others` or more other groups use in any of the columns becomes null, and `<column>_fallback`
-    says where one is missing."""
+    says where one is missing. Rows without a value have nothing to look up; they are dealt out by a stand-in key, not to one task."""
     used = rows.select(F.col(group).alias("_g"), F.explode(F.array(*values)).alias("_v")).filter("_v is not null").distinct()
     shared = used.groupBy("_v").agg(F.count("*").alias("_n")).filter(F.col("_n") - 1 >= others).select("_v")
     for v in values:
-        rows = rows.join(shared.withColumn("_shared", F.lit(True)).withColumnRenamed("_v", v), v, "left")
-        rows = rows.withColumn(v, F.when(F.col("_shared").isNull(), F.col(v))).drop("_shared").withColumn(f"{v}_fallback", F.col(v).isNull())
+        # a stand-in that is a shared value by chance changes nothing: null stays null
+        stand_in = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*rows.columns), F.lit(STAND_INS)).cast("string"))
+        found = shared.select(F.col("_v").cast("string").alias("_key"), F.lit(True).alias("_shared"))
+        rows = rows.withColumn("_key", F.coalesce(F.col(v).cast("string"), stand_in)).join(found, "_key", "left")
+        rows = rows.withColumn(v, F.when(F.col("_shared").isNull(), F.col(v))).drop("_key", "_shared").withColumn(f"{v}_fallback", F.col(v).isNull())
     return rows
 
 
