@@ -26,8 +26,10 @@ _OUT = ["swimmer", "school", "conference", "raw_pts", "adj_pts", "adj_tier", "to
 SCORE_ALL_SQL = f"WITH {_GRID} " + "zz AS (WITH " + admission_sql("gc", "swimmer, school, conference, raw_pts, adj_pts, adj_tier, top_events") + f") SELECT swimmer, school, conference, raw_pts, adj_pts, adj_tier, top_events, CASE WHEN label = 'Unknown' THEN '' ELSE label END AS label, acad_band, swim_band, {division_sql('conference')} AS division FROM zz"
 
 
-def universe(t):
-    return PS.score_all(t.swimmers, t.times, mens_anchors(t), t.schools.drop("division"))
+def universe(t, of=None):
+    """Every swimmer at every school, or only those of `of` (swimmer)."""
+    swimmers, times = (d if of is None else d.join(of, "swimmer", "left_semi") for d in (t.swimmers, t.times))
+    return PS.score_all(swimmers, times, mens_anchors(t), t.schools.drop("division"))
 
 
 @query("score_all", SCORE_ALL_SQL)
@@ -137,7 +139,7 @@ UNION ALL SELECT 1000000 + n_nationkey, n_name, CAST(n_nationkey AS BIGINT), tru
 @query("search")
 def _(t):
     q = t.search_queries
-    u = universe(t)
+    u = universe(t, q.select("swimmer").distinct())
     cands = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")).withColumn("candidate", F.concat(F.lit("Nation "), ((F.col("query_id") + F.col("pos") * 3) % 25).cast("string")))
     cands = cands.withColumn("candidate", F.replace("candidate", F.lit("Nation "), F.lit("NATION_")))
     none = t.spark.createDataFrame([], "raw string, canonical string")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rankfit.functions import scoring as SC, text as TX
 from rankfit.operators import assets as OA, extraction as X, matching as M, topscore as S
+from rankfit.queries.base import Tables
+from rankfit.queries.plans import universe
 
 
 def test_ranks_of_more_than_three_digits(spark, one):
@@ -91,3 +93,11 @@ def test_categories_search_what_holds_the_key(spark):
     d = spark.createDataFrame([(x,) for x in texts], "x string").select("x", TX.first_match_category("x", pairs).alias("y"))
     assert "regexp_replace" not in d._jdf.queryExecution().analyzed().toString()
     assert [(r["x"], r["y"]) for r in d.collect()] == [(x, first(x)) for x in texts]
+
+
+def test_only_who_searches_is_scored(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    some = t.swimmers.filter("swimmer % 10 = 3").select("swimmer")
+    cols = ["swimmer", "school", "raw_pts", "adj_pts", "top_events", "label"]
+    got = sorted(map(tuple, universe(t, some).select(*cols).collect()))
+    assert got and got == sorted(map(tuple, universe(t).filter("swimmer % 10 = 3").select(*cols).collect()))
