@@ -74,7 +74,9 @@ def event_versions(lines: DataFrame, files: DataFrame, recover: bool = True) ->
 
 
 def build_anchors(lines: DataFrame, files: DataFrame, recover: bool = True) -> dict[str, DataFrame]:
-    """anchors, places, flags and fallbacks of all bundles. files also carries conference and year."""
+    """anchors, places, flags and fallbacks of all bundles. files also carries conference and year; it is a short table that
+    many steps read, so it, and the votes it may come from, are worked out once."""
+    files = cut_lineage(files)
     v = event_versions(lines, files, recover)
     v = cut_lineage(v.withColumn("version", F.concat_ws("#", "source_file", F.col("pass").cast("string"))))
     summary = A.version_summary(v, GROUP, "version")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bests as B
 from ..plans import explore as EX, results as P, scoring as PS
 from ..sources import tables as TB
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..streaming import streams as SM
 from .aggregates import COVER_COLS, COVER_CTE, TOPK_CTE, SCORED_CTE, anchors_sql, mens_anchors
 from .base import query, rnd, role
@@ -48,7 +48,7 @@ role("extracted_places", "SELECT bundle_id, bundle_id AS conference, gender, eve
 
 
 def built(t):
-    lines = text_lines(t.result_lines)
+    lines = cut_lineage(text_lines(t.result_lines))
     return P.build_anchors(lines, files_of(lines))
 
 
@@ -66,7 +66,7 @@ c AS (SELECT bundle_id, gender, event, CASE WHEN a.version IS NULL OR (a.full AN
   FROM (SELECT * FROM v WHERE version = 'a') a FULL JOIN (SELECT * FROM v WHERE version = 'b') b USING (bundle_id, gender, event))
 SELECT h.* EXCLUDE (version), CASE version WHEN 'a' THEN 'finals' ELSE 'prelim_fallback' END AS data_quality FROM h JOIN c USING ({_VKEYS})""")
 def _(t):
-    lines = t.session_lines
+    lines = cut_lineage(t.session_lines)
     files = lines.select("source_file", "bundle_id").distinct().withColumns({"conference": F.col("bundle_id"), "year": F.lit("2026"), "file_order": F.when(F.endswith("source_file", F.lit("_a")), 1).otherwise(2)})
     lines = text_lines(lines)
     return P.build_anchors(lines, P.classify_files(lines, files))["anchors"].select("bundle_id", "gender", "event", "first", "eighth", "sixteenth", "sec_per_place", "data_quality")
@@ -75,7 +75,7 @@ def _(t):
 @query("classify_files", """SELECT source_file, CASE WHEN count(DISTINCT gender) = 2 THEN 'combined' ELSE min(gender) END AS file_gender, CASE version WHEN 'a' THEN 3 ELSE 0 END AS session_score
 FROM (SELECT bundle_id || '_' || version AS source_file, gender, version FROM {session_places}) x GROUP BY source_file, version""")
 def _(t):
-    lines = t.session_lines
+    lines = cut_lineage(t.session_lines)
     return P.classify_files(text_lines(lines), lines.select("source_file").distinct()).select("source_file", "file_gender", "session_score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankfit.operators import extraction as X
 from rankfit.plans import results as P
 from rankfit.queries import all_oracles, all_queries
-from rankfit.queries.base import TABLES
+from rankfit.queries.base import TABLES, Tables
 from rankfit.queries.check import compare
 from rankfit.streaming import streams as SM
 
@@ -192,3 +192,18 @@ def test_query_matches_reference_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     result, _ = compare(spark, name, all_queries()[name], all_oracles()[name], SMALL, con)
     assert result.startswith("ok"), result
+
+
+def test_condensed_places_and_files_are_worked_out_once(spark):
+    all_queries()
+    t = Tables(spark, SMALL)
+    # no reader of the places goes back to the table they are condensed from
+    assert "l_partkey" not in t.session_lines._jdf.queryExecution().optimizedPlan().toString()
+    seen = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    text = ["Event 12 Men's 50 Yard Freestyle", *[f"{p} Lane, A SO B {20 + p}.00" for p in range(1, 17)]]
+    lines = spark.createDataFrame([("f", 1, i, x) for i, x in enumerate(text)], "source_file string, page_no int, line_no int, text string")
+    files = spark.createDataFrame([("f", "b", "c", "2026", "men", "men", 3, 1)], "source_file string, bundle_id string, conference string, year string, file_gender string, name_gender string, session_score int, file_order int")
+    got = P.build_anchors(lines, files.withColumn("file_gender", mark("file_gender")))["anchors"].collect()
+    assert [(r["event"], r["first"], r["sixteenth"]) for r in got] == [("50 Free", 21.0, 36.0)]
+    assert seen.value == 1
