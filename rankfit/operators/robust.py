@@ -35,6 +35,8 @@ HARD_REASONS = ["anchor_order_broken", "sw_absurdly_fast", "sw_absurdly_slow", "
                 "deep_extreme_outlier"]
 CROSS_RATIO = 4.0
 MOST_PROFILES = 10_000
+# profiles up to which they are broadcast to the rows, whose few genders and events would otherwise be few tasks
+NEAR_PROFILES = 100_000
 
 
 def robust_profile(rows: DataFrame, sw: str = "sw", deep: str = "deep", min_n: int = MIN_SAMPLES) -> DataFrame:
@@ -84,9 +86,13 @@ def _penalty(sev: Column, soft: float, hard: float, extreme: float) -> Column:
 
 def profile_distance(values: dict[str, Column], stat) -> Column:
     """Weighted robust-z distance; metrics without statistics do not count. `stat(name)` gives a column."""
+    return weighted_distance({m: robust_z(values[m], stat(f"{m}_median"), stat(f"{m}_mad")) for m in DISTANCE_WEIGHTS})
+
+
+def weighted_distance(zs: dict[str, Column]) -> Column:
     total, weight = F.lit(0.0), F.lit(0.0)
     for m, w in DISTANCE_WEIGHTS.items():
-        z = robust_z(values[m], stat(f"{m}_median"), stat(f"{m}_mad"))
+        z = zs[m]
         total = total + F.coalesce(w * z * z, F.lit(0.0))
         weight = weight + F.when(z.isNotNull(), w).otherwise(0.0)
     return F.sqrt(F.try_divide(total, F.nullif(weight, F.lit(0.0))))
@@ -108,17 +114,28 @@ def nearest_other(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     Profiles are one short array per gender, so rows are neither exploded nor shuffled; a gender with more than
     `MOST_PROFILES` of them is an error.
     """
+    return _nearest(rows, *_in_reach(profiles))
+
+
+def _in_reach(profiles: DataFrame):
+    """The profiles, worked out once, and how a table made of them is brought to the rows."""
+    profiles = cut_lineage(profiles)
+    return profiles, F.broadcast if profiles.count() <= NEAR_PROFILES else lambda d: d
+
+
+def _nearest(rows: DataFrame, profiles: DataFrame, near) -> DataFrame:
     fields = ["event", *[f"{m}_{s}" for m in METRICS for s in ("median", "mad")]]
     lists = profiles.groupBy(F.col("gender").alias("_g")).agg(
         F.collect_list(F.struct(*fields)).alias("_profiles"))
     lists = lists.withColumn("_profiles", F.when(F.size("_profiles") > MOST_PROFILES, F.raise_error(F.lit("too many profiles of a gender"))).otherwise(F.col("_profiles")))
-    joined = rows.join(lists, rows["gender_norm"] == F.col("_g"), "left").drop("_g")
-    values = {m: F.col(m) for m in METRICS}
-    scored = F.transform(
-        F.filter("_profiles", lambda p: p["event"] != F.col("event_norm")),
-        lambda p: F.struct(profile_distance(values, lambda n: p[n]).alias("d"), p["event"].alias("e")))
+    joined = rows.drop("best_dist", "best_event").join(near(lists), rows["gender_norm"] == F.col("_g"), "left").drop("_g")
+    others = F.filter("_profiles", lambda p: p["event"] != F.col("event_norm"))
+    zs = F.transform(others, lambda p: F.struct(p["event"].alias("e"), *[
+        robust_z(F.col(m), p[f"{m}_median"], p[f"{m}_mad"]).alias(m) for m in METRICS]))
+    scored = F.transform(zs, lambda z: F.struct(weighted_distance({m: z[m] for m in METRICS}).alias("d"), z["e"].alias("e")))
     best = F.array_min(F.filter(scored, lambda s: s["d"].isNotNull()))
-    return joined.withColumns({"best_dist": best["d"], "best_event": best["e"]}).drop("_profiles")
+    # an array of one: the search runs once a row, however often its result is read from here on
+    return joined.select("*", F.inline(F.array(best)).alias("best_dist", "best_event")).drop("_profiles")
 
 
 def validate_rows(rows: DataFrame, profiles: DataFrame, sw: str = "sw", deep: str = "deep") -> DataFrame:
@@ -133,9 +150,10 @@ def validate_rows(rows: DataFrame, profiles: DataFrame, sw: str = "sw", deep: st
     d = d.withColumns({"spread": F.col("deep") - F.col("sw"),
                        "shape": F.when(F.col("sw") > 0, F.col("deep") / F.col("sw"))})
     stat_cols = [f"{m}_{s}" for m in METRICS for s in ("median", "mad")] + ["sw_p95"]
+    profiles, near = _in_reach(profiles)
     own = profiles.select(F.col("gender").alias("_pg"), F.col("event").alias("_pe"), F.lit(True).alias("_has"), *stat_cols)
-    d = d.join(own, (d["gender_norm"] == F.col("_pg")) & (d["event_norm"] == F.col("_pe")), "left")
-    d = nearest_other(d, profiles)
+    d = d.join(near(own), (d["gender_norm"] == F.col("_pg")) & (d["event_norm"] == F.col("_pe")), "left")
+    d = _nearest(d, profiles, near)
     has = F.coalesce(F.col("_has"), F.lit(False))
     values = {m: F.col(m) for m in METRICS}
     z = {m: F.when(has, robust_z(values[m], F.col(f"{m}_median"), F.col(f"{m}_mad"))) for m in METRICS}
@@ -184,19 +202,18 @@ def validate_rows(rows: DataFrame, profiles: DataFrame, sw: str = "sw", deep: st
         .when(F.col("_conf") >= 50, "review").otherwise("likely_wrong_event")
     )
     known = lambda c: F.when(~missing, c)
-    out = d.withColumns({
+    verdict = {
+        "spread_seconds": round_to("spread", 3),
+        "shape_ratio": round_to("shape", 4),
         "validation_label": label,
         "confidence_score": F.when(missing, 50.0).otherwise(round_to("_conf", 1)),
         "reasons": known(F.array_join("_reasons", "; ")),
         "closest_other_event": known(F.coalesce("best_event", F.lit(""))),
         "claimed_event_distance": known(round_to("claimed_dist", 3)),
         "closest_other_event_distance": known(round_to("best_dist", 3)),
-        "spread_seconds": round_to("spread", 3),
-        "shape_ratio": round_to("shape", 4),
-    })
-    extra = ["spread_seconds", "shape_ratio", "validation_label", "confidence_score", "reasons",
-             "closest_other_event", "claimed_event_distance", "closest_other_event_distance"]
-    return out.select(*rows.columns, *extra)
+    }
+    # an array of one again: a filter on the label reads it instead of working out every signal a second time
+    return d.select(*rows.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in verdict.items()]))))
 
 
 def validation_report(validated: DataFrame) -> DataFrame:

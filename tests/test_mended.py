@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankfit.functions import assets as AS, text as TX
-from rankfit.operators import anchors as A, assets as OA, extraction as X, matching as M, ranking as R
+from rankfit.operators import anchors as A, assets as OA, extraction as X, matching as M, ranking as R, robust as RB
 from rankfit.operators.keyed import global_rank
 from rankfit.queries import all_queries
 from rankfit.session import short_values
@@ -337,3 +337,20 @@ def test_search_paths(spark):
     assert schools[4][0] == "Quux Zork" and by[4][0]["label"] == "Realistic Shot" and len(schools[4]) == 6
     assert schools[5] == [n for n in names if n != "Birch College"]
     assert schools[6] == names[::-1] and schools[7] == names
+
+
+def test_profiles_are_searched_once_a_row_where_the_rows_lie(spark):
+    prof = spark.createDataFrame([("men", e, *[float(x) for x in (b, 1, b + 4, 1, 4, 1, 1.1, 0.1)], b + 3.0) for e, b in (("50 free", 20), ("100 free", 45), ("200 im", 110))],
+                                 "gender string, event string, sw_median double, sw_mad double, deep_median double, deep_mad double, spread_median double, spread_mad double, shape_median double, shape_mad double, sw_p95 double")
+    rows = spark.createDataFrame([(1, "men", "100 Free", 20.0, 24.0), (2, "men", "50 Free", 20.0, 24.0), (3, "other", "50 Free", 20.0, 24.0), (4, None, "x", None, 1.0)], "id int, gender string, event string, sw double, deep double")
+    out = RB.validate_rows(rows, prof)
+    got = {r["id"]: (r["validation_label"], r["closest_other_event"], r["confidence_score"]) for r in out.collect()}
+    assert got[1][:2] == ("likely_wrong_event", "50 free") and got[2] == ("valid", "100 free", 100.0)
+    # a gender without profiles and a row without values keep their rows
+    assert got[3] == ("valid", "", 100.0) and got[4] == ("review", None, 50.0)
+    flagged = RB.validation_report(out)
+    assert [r["id"] for r in flagged.collect()] == [1]
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    # the search is written once in the plan, not again in the filter; rows meet the profiles without a shuffle
+    assert plan.count("array_min") == 1
+    assert "SortMergeJoin" not in flagged._jdf.queryExecution().executedPlan().toString()
