@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PR_SCHEMA = "user_id bigint, event string, ts timestamp, time_sec double, old_best double"
-# microseconds since 1970
+# moments are microseconds since 1970
+FOUND = Row("user_id", "event", "at", "time_sec", "old_best")
+FOUND_SCHEMA = "user_id bigint, event string, at bigint, time_sec double, old_best double"
 STATE_SCHEMA = "best double, announced bigint, seen bigint"
 HOUR = 3_600_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,19 +26,25 @@ def with_store(df: DataFrame) -> DataFrame:
     return df
 
 
-def staircase(moment: np.ndarray, sec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that are smaller than all before them in the order of (moment, sec)."""
-    order = np.lexsort((sec, moment))
-    moment, sec = moment[order], sec[order]
-    before = np.concatenate(([np.inf], np.minimum.accumulate(sec)[:-1])) if len(sec) else sec
-    return moment[sec < before], sec[sec < before]
+# rows of a key that are held before its staircase is taken again
+HELD = 65_536
+
+
+def staircase(steps: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """Of (moment, value) those that are smaller than all before them in that order."""
+    out, low = [], float("inf")
+    for at, value in sorted(steps):
+        if value < low:
+            out.append((at, value))
+            low = value
+    return out
 
 
 class NewBests(StatefulProcessor):
     """Per (user, event): announces a value that beats the stored best when the last announcement is old enough.
 
-    A key's rows come in Arrow batches in any order. Of every batch only its staircase is kept and merged into the one so
-    far, so a task holds the new bests of a key, not its rows.
+    A key's rows come one by one in any order. From time to time only their staircase is kept, so a task holds the new bests
+    of a key and some rows, not all of them. Rows, not data frames: most keys have a few rows a batch, and a frame costs more.
     """
 
     def __init__(self, gate_hours: float, ttl_hours: float | None, idle_hours: float | None):
@@ -49,36 +55,37 @@ class NewBests(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("best", STATE_SCHEMA, ttlDurationMs=self.idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         best, announced, seen = self.state.get() or (None, None, None)
-        moment, sec, latest = np.zeros(0, np.int64), np.zeros(0), seen
-        for batch in rows:
-            at, value = batch["ts"].to_numpy().astype("datetime64[us]"), batch["time_sec"].to_numpy(dtype=float)
-            there = ~(np.isnat(at) | np.isnan(value))
-            own = at[there].astype(np.int64)
-            if len(own):
-                latest = int(own.max()) if latest is None else max(latest, int(own.max()))
-                moment, sec = staircase(np.concatenate((moment, own)), np.concatenate((sec, value[there])))
+        steps, latest, most = [], seen, HELD
+        for row in rows:
+            at, value = row["at"], row["time_sec"]
+            if at is None or value is None or value != value:
+                continue
+            latest = at if latest is None or at > latest else latest
+            steps.append((at, value))
+            if len(steps) >= most:
+                steps = staircase(steps)
+                most = max(HELD, 2 * len(steps))
         out = []
-        for at, value in zip(moment.tolist(), sec.tolist()):
+        for at, value in staircase(steps):
             if best is not None and not value < best:
                 continue
             late = seen is not None and at < seen
             if not late and (announced is None or at - announced >= self.gate):
-                out.append((*key, pd.Timestamp(at, unit="us"), value, best))
+                out.append(FOUND(*key, at, value, best))
                 announced = at
             best = value
         if latest is not None:
             self.state.update((best, announced, latest))
             if self.ttl is not None and next(iter(self.handle.listTimers()), None) is None:
                 self.handle.registerTimer(self._due(latest, timerValues))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event", "ts", "time_sec", "old_best"]).astype({"old_best": "float64"})
+        return iter(out)
 
     def _due(self, seen: int, timers) -> int:
         return max((seen + self.ttl) // 1000, timers.getCurrentWatermarkInMs() + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         _, _, seen = self.state.get() or (None, None, None)
         if seen is not None and (seen + self.ttl) // 1000 > expiredTimerInfo.getExpiryTimeInMs():
             # rows came since: one timer per key, moved when it fires
@@ -102,7 +109,11 @@ def pr_detect_stream(events: DataFrame, gate_hours: float = 0.0, ttl_hours: floa
     if ttl_hours is not None and idle_hours is not None:
         raise ValueError("ttl_hours goes by the watermark, idle_hours by the clock; give one of them")
     mode = "None" if ttl_hours is None and idle_hours is None else "EventTime" if idle_hours is None else "ProcessingTime"
-    return with_store(events).groupBy("user_id", "event").transformWithStateInPandas(NewBests(gate_hours, ttl_hours, idle_hours), PR_SCHEMA, "Append", mode)
+    # the watermark goes by ts itself
+    moments = [F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), *(["ts"] if ttl_hours is not None else [])]
+    rows = with_store(events).select("user_id", "event", F.col("time_sec").cast("double").alias("time_sec"), *moments)
+    found = rows.groupBy("user_id", "event").transformWithState(NewBests(gate_hours, ttl_hours, idle_hours), FOUND_SCHEMA, "Append", mode)
+    return found.select("user_id", "event", F.timestamp_micros("at").alias("ts"), "time_sec", "old_best")
 
 
 def upsert_stream(changes: DataFrame, keys: list[str], updated: str, tie: str, checkpoint: str):

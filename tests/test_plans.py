@@ -1,10 +1,11 @@
 import os
 import tempfile
 import time
+from types import SimpleNamespace
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from rankfit.operators import extraction as X
 from rankfit.plans import results as P
@@ -207,3 +208,21 @@ def test_condensed_places_and_files_are_worked_out_once(spark):
     got = P.build_anchors(lines, files.withColumn("file_gender", mark("file_gender")))["anchors"].collect()
     assert [(r["event"], r["first"], r["sixteenth"]) for r in got] == [("50 Free", 21.0, 36.0)]
     assert seen.value == 1
+
+
+def test_new_bests_read_rows_one_by_one(monkeypatch):
+    """Few rows of a key are held at a time, in whatever order they come."""
+    kept, held = [], []
+    one = SM.staircase
+    monkeypatch.setattr(SM, "HELD", 8)
+    monkeypatch.setattr(SM, "staircase", lambda steps: held.append(len(steps)) or one(steps))
+    p = SM.NewBests(0.0, None, None)
+    p.state = SimpleNamespace(get=lambda: (90.0, None, None), update=kept.append)
+    rows = [(i * 7919 % 500, 100.0 - i * 7919 % 500 // 50) for i in range(500)]
+    odd = [Row(at=None, time_sec=1.0), Row(at=1, time_sec=None), Row(at=1, time_sec=float("nan"))]
+    got = list(p.handleInputRows((1, "a"), iter([*odd, *[Row(at=a, time_sec=s) for a, s in rows]]), None))
+    assert got == [] and kept == [(90.0, None, 499)]
+    p.state = SimpleNamespace(get=lambda: None, update=kept.append)
+    got = list(p.handleInputRows((1, "a"), iter([Row(at=a, time_sec=s) for a, s in rows]), None))
+    assert [(r["at"], r["time_sec"], r["old_best"]) for r in got] == [(50 * k, 100.0 - k, 101.0 - k if k else None) for k in range(10)]
+    assert max(held) <= 32
