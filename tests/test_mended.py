@@ -354,3 +354,35 @@ def test_profiles_are_searched_once_a_row_where_the_rows_lie(spark):
     # the search is written once in the plan, not again in the filter; rows meet the profiles without a shuffle
     assert plan.count("array_min") == 1
     assert "SortMergeJoin" not in flagged._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block, head", [(1, 1), (3, 2), (8, 1), (8, 5), (1024, 3), (1024, 32)])
+def test_exclusive_pick_past_the_heads(spark, block, head):
+    """Entities whose best offers are gone go on with the rest of them; an empty pool and null urls choose nothing."""
+    rng = random.Random(block * 100 + head)
+    rows = [(e, e, f"u{u:02d}", 90 - u) for e in range(30) for u in range(24)] + [(e, e, f"v{rng.randint(0, 25):02d}", rng.randint(1, 60)) for e in range(30, 60) for _ in range(20)]
+    rows += [(e, e, None, 99) for e in range(0, 60, 7)]
+    offers, taken, want = {}, set(), {}
+    for e, _, u, s in rows:
+        if u is not None:
+            offers.setdefault(e, {})[u] = max(s, offers.get(e, {}).get(u, -99))
+    for e in sorted(offers):
+        free = [(-s, u) for u, s in offers[e].items() if u not in taken]
+        if free:
+            want[e] = min(free)[1]
+            taken.add(want[e])
+    df = spark.createDataFrame(rows, "entity int, ord int, url string, score int")
+    assert {r["entity"]: r["url"] for r in OA.global_exclusive_pick(df, "entity", "ord", block=block, head=head).collect()} == want
+    assert OA.global_exclusive_pick(df.filter("score < 0"), "entity", "ord", block=block, head=head).isEmpty()
+
+
+def test_exclusive_pick_rounds_read_the_heads(spark, monkeypatch):
+    """A pool without long conflicts is settled from the best offers of each entity."""
+    seen = []
+    one = OA._block_round
+    monkeypatch.setattr(OA, "_block_round", lambda *a: seen.append((a[0].count(), a[1])) or one(*a))
+    rows = spark.range(3000).select(F.col("id").alias("entity"), F.col("id").alias("ord"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("i"))
+    rows = rows.select("entity", "ord", F.concat_ws("_", (F.col("entity") / 2).cast("int"), "i").alias("url"), (F.lit(200) - F.col("i")).cast("int").alias("score"))
+    got = {r["entity"]: r["url"] for r in OA.global_exclusive_pick(rows, "entity", "ord").collect()}
+    assert got == {e: f"{e // 2}_{e % 2}" for e in range(3000)}
+    assert all(n <= 33 * 1024 and whole is None for n, whole in seen)
