@@ -44,6 +44,8 @@ LABEL_COLORS = {
     "Moonshot": "#6B7280",
     MOONSHOT_FUN: "#6B7280",
 }
+# fixed values: working columns of `school_terms`
+SCHOOL_TERMS = ["_lo", "_hi", "_elite", "_floor", "_ultra", "_high", "_shift"]
 
 
 def _no(c: Column) -> Column:
@@ -79,16 +81,25 @@ def cap_rank(rank: Column, best_allowed: str) -> Column:
     return F.least(rank, F.lit(LABELS.index(best_allowed)))
 
 
-def admission_bands(df, sat="sat", gpa="gpa", accept="accept", sat_median="sat_median", sat25="sat25",
-                    sat75="sat75", gpa_mean="gpa_mean", hidden_ivy="hidden_ivy", adj_tier="adj_tier", psf="psf"):
-    """Add the working columns of the decision: bands, floors, selectivity."""
-    s, g = usable_sat(sat), usable_gpa(gpa)
+def school_terms(df, accept="accept", sat_median="sat_median", sat25="sat25", sat75="sat75", hidden_ivy="hidden_ivy", psf="psf"):
+    """Add the columns of the decision that hang on the school alone: selectivity, the SAT range with its floor, flags and shift.
+    Where schools are joined to many participants they are worked out before the join, once a school."""
     med = col(sat_median)
     lo = F.coalesce(F.nullif(col(sat25), F.lit(0)), F.when(med != 0, med - 60))
     hi = F.coalesce(F.nullif(col(sat75), F.lit(0)), F.when(med != 0, med + 60))
-    base = df.withColumns({"_s": s, "_g": g, "_lo": lo, "_hi": hi, "sel_tier": selectivity_tier(accept, sat_median)})
+    d = df.withColumns({"_lo": lo, "_hi": hi, "sel_tier": selectivity_tier(accept, sat_median), "_elite": _no(col(hidden_ivy))})
     floor = F.greatest(F.lit(800), F.col("_lo") - lookup(F.col("sel_tier"), SAT_OFFSETS).cast("int"))
-    base = base.withColumn("_floor", F.when(F.col("_lo").isNotNull(), floor))
+    return d.withColumns({
+        "_floor": F.when(F.col("_lo").isNotNull(), floor),
+        "_ultra": F.col("sel_tier") == "ultra_selective",
+        "_high": F.col("sel_tier") == "highly_selective",
+        "_shift": F.when(col(psf) > 1.0, 1).when(col(psf) <= 0.78, -1).otherwise(0),
+    })
+
+
+def admission_bands(df, sat="sat", gpa="gpa", sat_median="sat_median", gpa_mean="gpa_mean", adj_tier="adj_tier"):
+    """Add the working columns of the decision to rows with `school_terms`: bands and how they compare with the floors."""
+    base = df.withColumns({"_s": usable_sat(sat), "_g": usable_gpa(gpa)})
     s, g = F.col("_s"), F.col("_g")
     base = base.withColumns({"_gpa_low": _no(g < 2.0), "_below": _no(s < F.col("_floor"))})
     # outside the low-GPA stop the floor only counts when the whole range is known
@@ -102,25 +113,27 @@ def admission_bands(df, sat="sat", gpa="gpa", accept="accept", sat_median="sat_m
     )
     mean = col(gpa_mean)
     gpa_sub = F.when(_no(g > mean + 0.10), 1).when(_no(g < mean - 0.15), -1).otherwise(0)
-    raw = sat_sub + gpa_sub
+    swim = F.greatest(F.lit(0), F.least(F.lit(4), lookup(col(adj_tier), SWIM_BANDS, 0) + F.col("_shift")))
+    # each of these is read several times and written once
+    base = base.withColumns({"_raw": sat_sub + gpa_sub, "_swim": swim, "_weak": _no(s - col(sat_median) <= -120) | _no(g < 3.4)})
+    raw = F.col("_raw")
     band = F.when(raw == 4, 4).when(raw >= 2, 3).when(raw >= 0, 2).when(raw >= -2, 1).otherwise(0)
-    base = base.withColumn("acad_band", F.when(F.col("_gpa_low"), 0).otherwise(band))
-    weak = _no(s - med <= -120) | _no(g < 3.4)
-    shift = F.when(col(psf) > 1.0, 1).when(col(psf) <= 0.78, -1).otherwise(0)
-    swim = F.greatest(F.lit(0), F.least(F.lit(4), lookup(col(adj_tier), SWIM_BANDS, 0) + shift))
-    base = base.withColumns({"_weak": weak, "_elite": _no(col(hidden_ivy))})
-    return base.withColumn(
-        "swim_band",
-        F.when(F.col("_weak"), 0).when(F.col("_elite"), F.least(swim, F.lit(2))).otherwise(swim),
-    )
-
-
-def admission_label(df, has_meta="has_meta", moonshot="moonshot", **cols):
-    """Add `label`, `color`, `acad_band`, `swim_band`. Guardrails run in their fixed order."""
-    d = admission_bands(df, **cols)
-    acad, swim, sel = F.col("acad_band"), F.col("swim_band"), F.col("sel_tier")
-    cells = {f"{a}|{s}": LABELS.index(label) for a, row in MATRIX.items() for s, label in row.items()}
-    d = d.withColumn("_rank", lookup(F.concat_ws("|", acad, swim), cells))
+    return base.withColumns({
+        "acad_band": F.when(F.col("_gpa_low"), 0).otherwise(band),
+        "swim_band": F.when(F.col("_weak"), 0).when(F.col("_elite"), F.least(F.col("_swim"), F.lit(2))).otherwise(F.col("_swim")),
+    })
+
+
+def admission_label(df, has_meta="has_meta", moonshot="moonshot", sat="sat", gpa="gpa", sat_median="sat_median",
+                    gpa_mean="gpa_mean", adj_tier="adj_tier", prepared: bool = False, **school):
+    """Add `label`, `color`, `acad_band`, `swim_band`. Guardrails run in their fixed order. `prepared` rows carry their
+    `school_terms` already; all working columns are dropped."""
+    d = df if prepared else school_terms(df, sat_median=sat_median, **school)
+    given = [c for c in df.columns if c not in SCHOOL_TERMS] if prepared else df.columns
+    d = admission_bands(d, sat, gpa, sat_median, gpa_mean, adj_tier)
+    acad, swim = F.col("acad_band"), F.col("swim_band")
+    cells = [LABELS.index(MATRIX[a][s]) for a in range(5) for s in range(5)]
+    d = d.withColumn("_rank", F.get(F.array(*[F.lit(x) for x in cells]), acad * 5 + swim))
 
     def step(expr: Column) -> None:
         nonlocal d
@@ -133,11 +146,10 @@ def admission_label(df, has_meta="has_meta", moonshot="moonshot", **cols):
         .when(F.col("_sat_low") & (acad == 0), cap_rank(r, "Major Reach"))
         .otherwise(r)
     )
-    hard = sel.isin("highly_selective", "ultra_selective")
-    step(F.when(hard & _no(F.col("_g") < 3.5), 0).otherwise(r))
+    ultra, high = F.col("_ultra"), F.col("_high")
+    step(F.when((ultra | high) & _no(F.col("_g") < 3.5), 0).otherwise(r))
     strong_alone = (acad >= 3) & ~F.col("_elite") & ~F.col("_weak")
     step(F.when((swim == 0) & strong_alone, 4).when(swim == 0, cap_rank(r, "Possible")).otherwise(r))
-    ultra, high = sel == "ultra_selective", sel == "highly_selective"
     step(
         F.when(ultra & (acad == 0), 0)
         .when(ultra & (swim == 0), 0)
@@ -148,14 +160,14 @@ def admission_label(df, has_meta="has_meta", moonshot="moonshot", **cols):
     step(F.when(F.col("_weak"), cap_rank(r, "Major Reach")).otherwise(r))
     decided = col(has_meta) & ~_no(col(moonshot))
     label = F.when(~col(has_meta), "Unknown").when(_no(col(moonshot)), MOONSHOT_FUN).otherwise(
-        lookup(r, dict(enumerate(LABELS)))
+        F.get(F.array(*[F.lit(x) for x in LABELS]), r)
     )
     d = d.withColumns({
         "label": label,
         "acad_band": F.when(decided, acad),
         "swim_band": F.when(decided, swim),
     }).withColumn("color", lookup(F.col("label"), LABEL_COLORS, "#94A3B8"))
-    return d.drop(*[c for c in d.columns if c.startswith("_") and c not in df.columns])
+    return d.drop(*[c for c in d.columns if c.startswith("_") and c not in given])
 
 
 def admission_label_simple(accept, sat_median, sat) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.admission import admission_label
+from ..functions.admission import admission_label, school_terms
 from ..functions.numeric import round_to
 from ..functions.scoring import tier_label
 from ..functions.text import division_of
@@ -25,6 +25,8 @@ def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools
     """
     sums = top_k_sum(score_events(dealt(times), anchors)).select("swimmer", "conference", "raw_pts", "top_events", "has_depth")
     confs = [c for c, in short_values(schools, ["conference"]) if c is not None]
+    # what hangs on the school alone is worked out once a school, not once a row of the result
+    schools = school_terms(schools.withColumns({"psf": F.when(F.col("has_swim"), F.col("psf")).otherwise(1.0), "division": division_of("conference")}))
     grid = swimmers.withColumn("conference", F.explode(F.array(*[F.lit(c) for c in confs]).cast("array<string>")))
     d = grid.join(sums, ["swimmer", "conference"], "left").join(schools, "conference")
     scored = F.col("has_swim") & F.col("raw_pts").isNotNull()
@@ -32,16 +34,12 @@ def score_all(swimmers: DataFrame, times: DataFrame, anchors: DataFrame, schools
         "raw_pts": F.when(scored, F.col("raw_pts")).otherwise(0.0),
         "top_events": F.when(scored, F.col("top_events")).otherwise(""),
         "has_depth": F.when(scored, F.col("has_depth")).otherwise(False),
-        "psf": F.when(F.col("has_swim"), F.col("psf")).otherwise(1.0),
         "_scored": scored,
     })
     d = d.withColumn("adj_pts", round_to(F.col("raw_pts") * F.col("psf"), 2))
     d = d.withColumn("adj_tier", F.when(F.col("_scored"), tier_label("adj_pts")).otherwise("")).drop("_scored")
-    d = admission_label(d)
-    return d.withColumns({
-        "label": F.when(F.col("label") == "Unknown", "").otherwise(F.col("label")),
-        "division": division_of("conference"),
-    })
+    d = admission_label(d, prepared=True)
+    return d.withColumn("label", F.when(F.col("label") == "Unknown", "").otherwise(F.col("label")))
 
 
 def score_one(times: DataFrame, anchors: DataFrame, school: DataFrame) -> DataFrame:

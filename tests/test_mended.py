@@ -386,3 +386,22 @@ def test_exclusive_pick_rounds_read_the_heads(spark, monkeypatch):
     got = {r["entity"]: r["url"] for r in OA.global_exclusive_pick(rows, "entity", "ord").collect()}
     assert got == {e: f"{e // 2}_{e % 2}" for e in range(3000)}
     assert all(n <= 33 * 1024 and whole is None for n, whole in seen)
+
+
+def test_school_terms_are_worked_out_once_a_school(spark):
+    plan = all_queries()["score_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join" in line)
+    for each_row, each_school in ((plan[:join], False), (plan[join:], True)):
+        assert any("ultra_selective" in line for line in each_row) == each_school
+
+
+def test_prepared_schools_give_the_same_decision(spark):
+    from rankfit.functions import admission as AD
+    from rankfit.queries.base import Tables
+
+    d = Tables(spark, "/root/testdata/sf0.001").applicants
+    plain, prepared = AD.admission_label(d), AD.admission_label(AD.school_terms(d), prepared=True)
+    assert plain.columns == [*d.columns, "sel_tier", "acad_band", "swim_band", "label", "color"] == prepared.columns
+    rows = plain.collect()
+    assert len(rows) == d.count() and len({r["label"] for r in rows}) > 6
+    assert sorted(rows, key=lambda r: r["id"]) == sorted(prepared.collect(), key=lambda r: r["id"])
