@@ -134,23 +134,32 @@ def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: s
     """Pairs where the needle, of at least `min_length` characters, occurs inside the hay text.
 
     A needle of four or more characters is looked up by its rarest four-gram only, and dropped at once when one of its
-    grams is in no hay text. A shorter needle is itself a gram of its length.
+    grams is in no hay text. A shorter needle is itself a gram of its length. A hay text has about as many grams as letters, so
+    it goes by a number until its candidates are known; where the needles have up to `SMALL_POSTINGS` letters in all, their grams
+    are broadcast, and no other gram leaves the place of its text.
     """
     need = needles.select(F.col(needle)).distinct().filter(F.length(needle) >= min_length)
-    hays = haystack.select(F.col(hay)).distinct()
+    hays = cut_lineage(haystack.select(F.col(hay)).distinct().withColumn("_hay", F.monotonically_increasing_id()))
     need = need.filter(F.length(needle) <= longest(hays, hay))
-    posting = hays.filter(F.length(hay) >= GRAM).select(hay, F.explode(grams(F.col(hay), GRAM)).alias("_gram"))
-    df = posting.groupBy("_gram").agg(F.count("*").alias("_df"))
+    letters = lambda d, c: d.agg(F.sum(F.length(c).cast("bigint"))).first()[0] or 0
+    few = letters(need, needle) <= SMALL_POSTINGS
+
+    def posting(n: int, sought: DataFrame) -> DataFrame:
+        d = hays.filter(F.length(hay) >= n).select("_hay", F.explode(grams(F.col(hay), n)).alias("_gram"))
+        return d.join(F.broadcast(sought.select("_gram").distinct()), "_gram", "left_semi") if few else d
+
     long = need.filter(F.length(needle) >= GRAM).withColumn("_grams", grams(F.col(needle), GRAM))
     parts = long.select(needle, F.size("_grams").alias("_all"), F.explode("_grams").alias("_gram"))
-    rare = parts.join(df, "_gram").groupBy(needle, "_all").agg(
-        F.min_by("_gram", F.struct("_df", "_gram")).alias("_gram"), F.count("*").alias("_known"))
-    rare = rare.filter(F.col("_known") == F.col("_all")).select(needle, "_gram")
-    out = heavy_split(posting, rare, "_gram", hay, df).filter(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
+    df = posting(GRAM, parts).groupBy("_gram").agg(F.count("*").alias("_df"))
+    known = parts.join(F.broadcast(df) if letters(hays, hay) <= SMALL_POSTINGS else df, "_gram")
+    rare = known.groupBy(needle, "_all").agg(F.min(F.struct("_df", "_gram")).alias("_r"), F.count("*").alias("_known"))
+    rare = cut_lineage(rare.filter(F.col("_known") == F.col("_all")).select(needle, "_r.*"))
+    out = heavy_split(posting(GRAM, rare), rare.drop("_df"), "_gram", "_hay", rare.select("_gram", "_df").distinct())
+    out = out.select(needle, "_hay").join(hays, "_hay").filter(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
     for n in range(min_length, GRAM):
-        short = need.filter(F.length(needle) == n)
-        inside = hays.filter(F.length(hay) >= n).select(hay, F.explode(grams(F.col(hay), n)).alias(needle))
-        out = out.unionByName(short.join(inside, needle).select(needle, hay))
+        short = need.filter(F.length(needle) == n).withColumn("_gram", F.col(needle))
+        inside = posting(n, short).join(F.broadcast(short) if few else short, "_gram").select(needle, "_hay")
+        out = out.unionByName(inside.join(hays, "_hay").select(needle, hay))
     return out
 
 

@@ -46,10 +46,16 @@ def tier_order_sort(rows: DataFrame, tier: str = "tier_short", finish: str = "fi
             F.coalesce(F.nullif(finish, F.lit(0)), F.lit(99)).asc(), F.asc(name)]
 
 
-def intent_sort(rows: DataFrame, query_key: str = "query_id", text: str = "query", name: str = "school",
+def asked_order(text: str = "query") -> dict[str, Column]:
+    """What `intent_sort` takes from the text of a query, to be worked out before queries meet their rows."""
+    return {"_kind": I.sort_kind(text), "_states": I.region_of_query(text)}
+
+
+def intent_sort(rows: DataFrame, query_key: str = "query_id", text: str | None = "query", name: str = "school",
                 limit: int = PRE_SORT_LIMIT, **cols) -> DataFrame:
-    """Best rows per query in the order its text asks for, numbered; ties keep points then name order."""
-    d = rows.withColumns({"_kind": I.sort_kind(text), "_states": I.region_of_query(text)})
+    """Best rows per query in the order its text asks for, numbered; ties keep points then name order. Without `text` the rows
+    carry `asked_order`."""
+    d = rows if text is None else rows.withColumns(asked_order(text))
     first, second = I.sort_keys(F.col("_kind"), F.col("_states"), **cols)
     d = d.withColumns({"_k1": first, "_k2": second})
     pts = F.col(cols.get("adj_pts", "adj_pts"))

@@ -81,14 +81,15 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     q = q.withColumns({"_broad": I.is_broad_pool(F.col("_i"), "query"), "limit": F.when(I.wants_more("query"), 12).otherwise(6)})
     names = universe.select("school", "location").dropDuplicates(["school"])
     names = names.withColumn("surface", search_surface("school", "location"))
-    hits = M.resolve_entities(q, names, acronyms, fuzzy=fuzzy).join(q.select("query_id", "query"), "query")
+    hits = M.resolve_entities(q, names, acronyms, fuzzy=fuzzy).join(q.select("query_id", "query"), "query").drop("query")
     hits = cut_lineage(R.exclude_list(hits, excluded, keys=["query_id", "school"]))
     n_hits = hits.groupBy("query_id").agg(F.count("*").alias("_hits"))
     q = q.join(n_hits, "query_id", "left").withColumn("_hits", F.coalesce("_hits", F.lit(0)))
     q = q.withColumn("path", F.when(F.col("_hits") >= 2, "multi_match").when(F.col("_hits") == 1, "direct_match")
                      .when(looks_like_name("query"), "unknown_name").when(F.col("_broad"), "broad_pool").otherwise("candidates"))
     sat = F.col("sat") if "sat" in q.columns else F.lit(None).cast("int")
-    info = cut_lineage(q.select("query_id", "query", "swimmer", "path", "limit", "has_times", "_i", sat.alias("_sat")))
+    q = q.withColumns(R.asked_order("query"))
+    info = cut_lineage(q.select("query_id", "query", "swimmer", "path", "limit", "has_times", "_i", "_kind", "_states", sat.alias("_sat")))
 
     multi = hits.join(info.filter("path = 'multi_match'").select("query_id", "path"), "query_id")
     multi = global_rank(multi, [F.desc("score"), F.asc("school")], "position", ["query_id"]).select("query_id", "school", "path", F.col("position").cast("int").alias("position"))
@@ -100,7 +101,8 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
     direct = direct.select("query_id", "school", "path", F.lit(1).alias("position")).unionByName(near)
 
     stub, like_stub = _unknown_names(info.filter("path = 'unknown_name'"), universe, excluded, outside)
-    pool = universe.join(info.filter("path IN ('broad_pool', 'candidates')").drop("_sat"), "swimmer")
+    # a query has a row for every school from here on, so its text stays behind
+    pool = universe.join(info.filter("path IN ('broad_pool', 'candidates')").drop("_sat", "query"), "swimmer")
     pool = R.exclude_list(pool, excluded, keys=["query_id", "school"])
     broad = R.viable_pool(pool.filter("path = 'broad_pool'"))
     broad = broad.select("query_id", "school", "path", F.coalesce(F.nullif("accept", F.lit(0)), F.lit(999)).alias("_first"), "adj_pts")
@@ -117,13 +119,13 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
         "adm_threshold": F.col("_i.adm_threshold"), "has_any_times": F.col("has_times")})
     kept, _ = R.hard_filter(cand.filter("_i.is_personal"))
     keep = kept.unionByName(cand.filter("NOT _i.is_personal"))
-    hard = F.col("_i.is_prestige_sort")
-    keep = cut_lineage(keep)
+    hard = F.col("_hard")
+    keep = cut_lineage(keep.select("query_id", "school", "path", "limit", "label", "adj_pts", "_order", F.col("_i.is_prestige_sort").alias("_hard")))
     keep = top_k_per_key(keep, ["query_id"], [
         F.when(hard, I.label_score("label")).otherwise(0).asc(), F.when(hard, -F.col("adj_pts")).otherwise(0.0).asc(), "_order"],
         12, "position").filter(F.col("position") <= F.col("limit")).select("query_id", "school", "path", "position")
     bare = pool.filter("path = 'candidates'").join(keep.select("query_id").distinct(), "query_id", "left_anti")
-    fallback = R.intent_sort(bare, limit=6).select("query_id", "school", F.lit("fallback").alias("path"), "position")
+    fallback = R.intent_sort(bare, text=None, limit=6).select("query_id", "school", F.lit("fallback").alias("path"), "position")
     known = multi.unionByName(direct).unionByName(like_stub).unionByName(broad).unionByName(keep).unionByName(fallback)
     return known.withColumn("label", F.lit(None).cast("string")).unionByName(stub)
 

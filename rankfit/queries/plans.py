@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bests as B
+from ..operators.keyed import near
 from ..plans import explore as EX, results as P, scoring as PS
 from ..sources import tables as TB
 from ..session import cut_lineage, scratch_path
@@ -19,6 +20,9 @@ from .texts import files_of, text_lines
 
 # ---- scoring ---------------------------------------------------------------------------------------------
 
+# rows up to which those who search, and their orders, are broadcast
+FEW = 1 << 20
+
 _GRID = f"""{TOPK_CTE}, ga AS (SELECT s.*, w.swimmer, w.sat, w.gpa, CASE WHEN has_swim AND tk.raw_pts IS NOT NULL THEN tk.raw_pts ELSE 0.0 END AS raw_pts, has_swim AND tk.raw_pts IS NOT NULL AS is_scored, CASE WHEN has_swim AND tk.raw_pts IS NOT NULL THEN tk.top_events ELSE '' END AS top_events
  FROM {{swimmers}} w CROSS JOIN {{schools}} s LEFT JOIN tk ON tk.swimmer = w.swimmer AND tk.conference = s.conference), gb AS (SELECT * REPLACE (CASE WHEN has_swim THEN psf ELSE 1.0 END AS psf), {rnd('raw_pts * CASE WHEN has_swim THEN psf ELSE 1.0 END', 2)} AS adj_pts FROM ga),
  gc AS (SELECT *, CASE WHEN is_scored THEN {TIER_SQL('adj_pts')} ELSE '' END AS adj_tier FROM gb),"""
@@ -27,8 +31,13 @@ SCORE_ALL_SQL = f"WITH {_GRID} " + "zz AS (WITH " + admission_sql("gc", "swimmer
 
 
 def universe(t, of=None):
-    """Every swimmer at every school, or only those of `of` (swimmer)."""
-    swimmers, times = (d if of is None else d.join(of, "swimmer", "left_semi") for d in (t.swimmers, t.times))
+    """Every swimmer at every school, or only those of `of` (swimmer), for whose times their own orders are read."""
+    swimmers, times = t.swimmers, t.times
+    if of is not None:
+        of = near(of.distinct(), FEW)
+        swimmers = swimmers.join(of, "swimmer", "left_semi")
+        own = t.orders.join(of.withColumnRenamed("swimmer", "o_custkey"), "o_custkey", "left_semi")
+        times = t.of(orders=near(own.select("o_orderkey", "o_custkey"), FEW)).times
     return PS.score_all(swimmers, times, mens_anchors(t), t.schools.drop("division"))
 
 
@@ -139,7 +148,7 @@ UNION ALL SELECT 1000000 + n_nationkey, n_name, CAST(n_nationkey AS BIGINT), tru
 @query("search")
 def _(t):
     q = t.search_queries
-    u = universe(t, q.select("swimmer").distinct())
+    u = universe(t, q.select("swimmer"))
     cands = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")).withColumn("candidate", F.concat(F.lit("Nation "), ((F.col("query_id") + F.col("pos") * 3) % 25).cast("string")))
     cands = cands.withColumn("candidate", F.replace("candidate", F.lit("Nation "), F.lit("NATION_")))
     none = t.spark.createDataFrame([], "raw string, canonical string")

@@ -101,3 +101,31 @@ def test_only_who_searches_is_scored(spark):
     cols = ["swimmer", "school", "raw_pts", "adj_pts", "top_events", "label"]
     got = sorted(map(tuple, universe(t, some).select(*cols).collect()))
     assert got and got == sorted(map(tuple, universe(t).filter("swimmer % 10 = 3").select(*cols).collect()))
+
+
+def test_texts_are_looked_up_by_number(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["nation", "na", "3", "x", "tion 3", "ation", "zz", "on"]
+    hays = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(200)] + [None, ""]
+    needles = ["n", "on", "ion", "tion", "nation 3", "ation zz", "nowhere", "zz" * 40, "", None]
+    h, n = spark.createDataFrame([(x,) for x in hays], "hay string"), spark.createDataFrame([(x,) for x in needles], "needle string")
+    for least in (1, 4):
+        want = sorted({(x, y) for x in needles for y in hays if x and y and len(x) >= least and x in y})
+        for most in (1 << 21, 100, 0):
+            monkeypatch.setattr(M, "SMALL_POSTINGS", most)
+            got = M.contained_pairs(n, "needle", h, "hay", least)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            # no text goes along with its grams
+            assert "Generate explode(CASE" in plan and not re.search(r"Generate explode\(CASE.*hay#.*END\), false", plan)
+            assert sorted(map(tuple, got.collect())) == want
+
+
+def test_only_orders_of_who_searches_are_read(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    some = t.swimmers.filter("swimmer % 10 = 3").select("swimmer")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = universe(t, some)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Exchange hashpartitioning\(l_orderkey", plan)
