@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankfit.functions import scoring as SC, text as TX
 from rankfit.operators import assets as OA, extraction as X, matching as M, topscore as S
+from rankfit.queries import all_queries
 from rankfit.queries.base import Tables
 from rankfit.queries.plans import universe
 
@@ -129,3 +130,14 @@ def test_only_orders_of_who_searches_are_read(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not re.search(r"Exchange hashpartitioning\(l_orderkey", plan)
+
+
+def test_every_shift_is_written(spark):
+    rows = [("e4", 3.0, 20.0, 3.5, 20.0), ("e1", 1.0, 20.0, 2.25, 17.0), ("e2", 3.0, 16.0, 3.4, 16.4), ("e3", 18.62, 0.0, 17.25, 0.0), ("e0", 2.0, 1.0, None, None), ("e5", 14.0, 3.9, 14.0, 6.0)]
+    scored = spark.createDataFrame([(1, "A", *r) for r in rows] + [(2, "A", "e2", 3.0, 16.0, 3.0, 16.0)], "swimmer int, conference string, event string, place_prod double, pts_prod double, place_exp double, pts_exp double")
+    got = {r["swimmer"]: (r["place_shifts"], r["n_shifts"]) for r in S.shift_texts(S.event_shifts(scored, "prod", "exp"), ["swimmer", "conference"]).collect()}
+    assert got == {2: ("", 0), 1: ("; ".join([
+        "e1: prod pl=1.0/pts=20.0 → exp pl=2.3/pts=17.0 (Δplace=+1.3, Δpts=-3.0)", "e4: prod pl=3.0/pts=20.0 → exp pl=3.5/pts=20.0 (Δplace=+0.5, Δpts=+0.0)",
+        "e5: prod pl=14.0/pts=3.9 → exp pl=14.0/pts=6.0 (Δplace=+0.0, Δpts=+2.1)", "e3: prod pl=18.6/pts=0.0 → exp pl=17.3/pts=0.0 (Δplace=-1.4, Δpts=+0.0)"]), 4)}
+    out = all_queries()["variant_compare"](spark, "/root/testdata/sf0.001").select("shifts", "place_shifts").collect()
+    assert any(r["shifts"] for r in out) and all(r["shifts"] == r["place_shifts"].count(" → exp pl=") for r in out)
