@@ -138,27 +138,26 @@ def contained_pairs(needles: DataFrame, needle: str, haystack: DataFrame, hay: s
     it goes by a number until its candidates are known; where the needles have up to `SMALL_POSTINGS` letters in all, their grams
     are broadcast, and no other gram leaves the place of its text.
     """
-    need = needles.select(F.col(needle)).distinct().filter(F.length(needle) >= min_length)
     hays = cut_lineage(haystack.select(F.col(hay)).distinct().withColumn("_hay", F.monotonically_increasing_id()))
-    need = need.filter(F.length(needle) <= longest(hays, hay))
+    need = needles.select(F.col(needle)).distinct().filter(F.length(needle) >= min_length)
+    need = cut_lineage(need.filter(F.length(needle) <= longest(hays, hay)))
     letters = lambda d, c: d.agg(F.sum(F.length(c).cast("bigint"))).first()[0] or 0
     few = letters(need, needle) <= SMALL_POSTINGS
+    near = F.broadcast if few else lambda d: d
 
-    def posting(n: int, sought: DataFrame) -> DataFrame:
-        d = hays.filter(F.length(hay) >= n).select("_hay", F.explode(grams(F.col(hay), n)).alias("_gram"))
-        return d.join(F.broadcast(sought.select("_gram").distinct()), "_gram", "left_semi") if few else d
-
+    posting = hays.filter(F.length(hay) >= GRAM).select("_hay", F.explode(grams(F.col(hay), GRAM)).alias("_gram"))
+    only = lambda sought: posting.join(near(sought.select("_gram").distinct()), "_gram", "left_semi") if few else posting
     long = need.filter(F.length(needle) >= GRAM).withColumn("_grams", grams(F.col(needle), GRAM))
     parts = long.select(needle, F.size("_grams").alias("_all"), F.explode("_grams").alias("_gram"))
-    df = posting(GRAM, parts).groupBy("_gram").agg(F.count("*").alias("_df"))
+    df = only(parts).groupBy("_gram").agg(F.count("*").alias("_df"))
     known = parts.join(F.broadcast(df) if letters(hays, hay) <= SMALL_POSTINGS else df, "_gram")
     rare = known.groupBy(needle, "_all").agg(F.min(F.struct("_df", "_gram")).alias("_r"), F.count("*").alias("_known"))
     rare = cut_lineage(rare.filter(F.col("_known") == F.col("_all")).select(needle, "_r.*"))
-    out = heavy_split(posting(GRAM, rare), rare.drop("_df"), "_gram", "_hay", rare.select("_gram", "_df").distinct())
+    out = heavy_split(only(rare), rare.drop("_df"), "_gram", "_hay", rare.select("_gram", "_df").distinct())
     out = out.select(needle, "_hay").join(hays, "_hay").filter(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
-    for n in range(min_length, GRAM):
-        short = need.filter(F.length(needle) == n).withColumn("_gram", F.col(needle))
-        inside = posting(n, short).join(F.broadcast(short) if few else short, "_gram").select(needle, "_hay")
+    if min_length < GRAM:
+        heads = F.flatten(F.array_compact(F.array(*[grams(F.col(hay), n) for n in range(min_length, GRAM)])))
+        inside = hays.select("_hay", F.explode(heads).alias(needle)).join(near(need.filter(F.length(needle) < GRAM)), needle)
         out = out.unionByName(inside.join(hays, "_hay").select(needle, hay))
     return out
 

@@ -111,7 +111,8 @@ def search(queries: DataFrame, universe: DataFrame, acronyms: DataFrame, candida
 
     order = global_rank(universe.groupBy("school").agg(F.max("adj_pts").alias("most")), [F.desc("most"), F.asc("school")], "pos")
     mapped = M.token_jaccard_match(candidates, order.drop("most"), cand_aliases).join(candidates, "candidate")
-    mapped = first_per_key(mapped, ["query_id", "school"], [F.asc("pos")]).select("query_id", "school", F.col("pos").alias("_order"))
+    # the plan of the match is long and would stand in the result four times
+    mapped = cut_lineage(first_per_key(mapped, ["query_id", "school"], [F.asc("pos")]).select("query_id", "school", F.col("pos").alias("_order")))
     cand = pool.filter("path = 'candidates'").join(mapped, ["query_id", "school"])
     enough = cand.groupBy("query_id").agg(F.count("*").alias("_n")).filter("_n >= 3").select("query_id")
     cand = cand.join(enough, "query_id", "left_semi").withColumns({

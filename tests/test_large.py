@@ -117,7 +117,7 @@ def test_texts_are_looked_up_by_number(spark, monkeypatch):
             got = M.contained_pairs(n, "needle", h, "hay", least)
             plan = got._jdf.queryExecution().optimizedPlan().toString()
             # no text goes along with its grams
-            assert "Generate explode(CASE" in plan and not re.search(r"Generate explode\(CASE.*hay#.*END\), false", plan)
+            assert "Generate explode(" in plan and not re.search(r"Generate explode\(.*hay#.*\), false", plan)
             assert sorted(map(tuple, got.collect())) == want
 
 
